@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import mixing, pii, secrets
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_secrets": secrets.op2_secrets,
     "op8_mixing": mixing.op8_mixing,
 }
 SQL = {
