@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Kept:
+    """A table written to the folder that all executors share, to cut lineage: a lost executor costs a reread."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        context = spark.sparkContext
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "/tmp/driftline-shared"
+        self.path = f"{folder}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self._path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._path.getFileSystem(context._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self._fs.delete(self._path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder all executors share; in tests, where none is set, through one of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/driftline-checkpoints"))
-    return df.checkpoint()
+    return Kept(df).df

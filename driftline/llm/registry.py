@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets
+from . import mixing, packing, pii, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
+    "op5_simhash": simhash.op5_simhash,
     "op8_mixing": mixing.op8_mixing,
+    "op9_packing": packing.op9_packing,
 }
 SQL = {
     "op8_mixing": mixing.SQL,
