@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, secrets, simhash
+from . import ann, language, mixing, packing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
+    "op4_ann": ann.op4_ann,
     "op5_simhash": simhash.op5_simhash,
+    "op6_language": language.op6_language,
+    "op7_topk": topk.op7_topk,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op7_topk": topk.SQL,
     "op8_mixing": mixing.SQL,
 }
