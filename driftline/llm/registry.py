@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, packing, pii, secrets, simhash, topk, toxicity
+from . import ann, language, mixing, packing, pii, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
+    "op3_substrings": substrings.op3_substrings,
     "op4_ann": ann.op4_ann,
     "op5_simhash": simhash.op5_simhash,
     "op6_language": language.op6_language,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op3_substrings": substrings.SQL,
     "op7_topk": topk.SQL,
     "op8_mixing": mixing.SQL,
 }
