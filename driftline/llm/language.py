@@ -123,13 +123,15 @@ def mixtures(texts: list[str], logs):
     return share
 
 
-def predict(docs: DataFrame, names: list[str], logs) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of the mixture and its proportion.
+def predict(docs: DataFrame, names: list[str], logs, carry: tuple = ()) -> DataFrame:
+    """(doc_id, lang_pred, score): the likeliest language of the mixture and its proportion; then the columns to carry.
 
     UNKNOWN with score 0 if the text is null or has no letter, or if no language was learned. Ties go to the first
-    name. Repeated rows are answered each.
+    name. Repeated rows are answered each. Carried columns come back as _c_ and their number, so no name can clash.
     """
     model = docs.sparkSession.sparkContext.broadcast((names, logs))
+    kept = [f"_c_{i}" for i in range(len(carry))]
+    texts_at = 1 + carry.index("text") if "text" in carry else -1
 
     def score(batches: Iterator) -> Iterator:
         import numpy as np
@@ -137,12 +139,12 @@ def predict(docs: DataFrame, names: list[str], logs) -> DataFrame:
 
         names, logs = model.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(texts_at if texts_at > 0 else batch.num_columns - 1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             rows = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
             part, size = [], 0
             for i in [*rows, None]:
-                if part and (i is None or size > 2_000_000):
+                if part and (i is None or size > 1_000_000):
                     share = mixtures([texts[j] for j in part], logs)
                     for j, k, s in zip(part, share.argmax(axis=1).tolist(), share.max(axis=1).tolist(), strict=True):
                         langs[j], scores[j] = names[k], min(1.0, s)
@@ -150,12 +152,13 @@ def predict(docs: DataFrame, names: list[str], logs) -> DataFrame:
                 if i is not None:
                     part.append(i)
                     size += len(texts[i])
-            arrays = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores), *[batch.column(k) for k in range(2, batch.num_columns)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
+            arrays = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores), *[batch.column(1 + k) for k in range(len(kept))]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", *kept])
 
-    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc_id", "text"))
-    kept = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", *kept).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{carried}")
+    types = [docs.schema[c].dataType.simpleString() for c in ("doc_id", *carry)]
+    schema = f"doc_id {types[0]}, lang_pred string, score double" + "".join(f", {k} {t}" for k, t in zip(kept, types[1:], strict=True))
+    sent = [F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept, strict=True)] + ([] if texts_at > 0 else [F.col("text")])
+    return docs.select("doc_id", *sent).mapInArrow(score, schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +175,5 @@ LEAST = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter, and those in no language for the most part, go."""
     names, logs = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    carried = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c_{i}") for i, c in enumerate(docs.columns)])
-    rows = predict(carried, names, logs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST))
+    rows = predict(docs, names, logs, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST))
     return rows.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(docs.columns)])
