@@ -12,30 +12,47 @@ from .common import table
 
 CONTEXT = 1024
 END = 0
-#: Words kept with their ids by each Python worker; when full, it starts anew.
-CACHE = 400_000
-#: White space as the tokenizer's pattern has it. A word with the blanks before it is cut off where no token can cross.
-SPACE = "\t-\r \x85\xa0  -     　"
-SEGMENT = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+#: Words whose ids a Python worker keeps; when so many are new, those not seen since the last time are forgotten.
+CACHE = 300_000
+#: White space as the tokenizer's pattern has it, and letters it takes as such.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Words cut off where no token can cross: after letters that another ASCII character follows, and before white space.
+SEGMENT = rf"[ \n]?[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+SPECIAL = "<|endoftext|>"
 
 
 class Encoder(dict):
-    """Ids of words as little-endian bytes, encoded on first sight."""
+    """Ids of words as little-endian bytes, encoded on first sight.
+
+    Words go through the vocabulary's rank file, which is faster on short strings and gives the same ids; those that
+    hold a special token's string go through the tokenizer itself.
+    """
 
     def __init__(self, vocabulary: str):
+        import base64
         import re
 
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.segments = re.compile(SEGMENT).findall
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
+        import struct
 
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids if SPECIAL in word else self.ranked(word)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         self[word] = out
         return out
@@ -44,6 +61,17 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.segments(text)))
 
 
+def shared_encoder(vocabulary: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, kept where a reloaded function finds it."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders")).__dict__
+    if vocabulary not in kept:
+        kept[vocabulary] = Encoder(vocabulary)
+    return kept[vocabulary]
+
+
 def lengths(n: int, context: int = CONTEXT) -> list[int]:
     """Binary lengths of n ids: as many of the context's as fit, then the powers of two of the rest, falling."""
     rest = n % context
@@ -71,7 +99,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT,
         import numpy as np
         import pyarrow as pa
 
-        encoder = Encoder(vocabulary or default_vocabulary())
+        encoder = shared_encoder(vocabulary or default_vocabulary())
         end = np.array([END], dtype="<u4").tobytes()
 
         def flush(rows: list, ids: list) -> pa.RecordBatch:
