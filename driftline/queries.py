@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import approach as A
 from .operators import evidence as E
 from .operators import grid as G
 from .rules import EVENT_RULES as R
@@ -151,3 +153,141 @@ ambush AS (SELECT server_id, player_id, coalesce(waits, 0) AS waits, coalesce(hi
 def x4_ambush(spark, sf_dir):
     g = grid(spark, sf_dir)
     return E.ambushes(g, E.associates(g, R), R)
+
+
+# The approach rules over all pair rows of the grid at every shift, in the order in which they narrow the runs.
+APPROACH = """
+osh AS (SELECT server_id, player_id, x, y, n, s.shift, (idx + s.shift) % n AS idx FROM grid, (VALUES (0), (120), (240), (360)) s(shift) WHERE s.shift <= n // 2),
+dp AS (SELECT a.server_id, o.shift, a.player_id, o.player_id AS player_id_j, a.idx, a.n, a.x, a.y, a.dx, a.dy, a.aware, a.moving, o.x AS xj, o.y AS yj, (o.x - a.x) * (o.x - a.x) + (o.y - a.y) * (o.y - a.y) AS d
+       FROM head a JOIN osh o ON a.server_id = o.server_id AND a.idx = o.idx AND a.player_id <> o.player_id),
+al AS (SELECT dp.* FROM dp LEFT JOIN assoc c USING (server_id, player_id, player_id_j) WHERE c.server_id IS NULL AND moving AND d > 0 AND (xj - x) * dx + (yj - y) * dy >= 0.95 * sqrt(d * (dx * dx + dy * dy))),
+ab AS (SELECT *, CASE WHEN idx - lag(idx) OVER w - 1 <= 3 THEN 0 ELSE 1 END AS fresh FROM al WINDOW w AS (PARTITION BY server_id, shift, player_id, player_id_j ORDER BY idx)),
+ac AS (SELECT *, sum(fresh) OVER (PARTITION BY server_id, shift, player_id, player_id_j ORDER BY idx) AS g FROM ab),
+ar AS (SELECT server_id, shift, player_id, player_id_j, min(idx) AS run_start, max(idx) AS run_end, min_by(d, idx) AS d0, min_by(aware, idx) AS aware0, max(n) AS n FROM ac GROUP BY server_id, shift, player_id, player_id_j, g),
+as1 AS (SELECT * FROM ar WHERE d0 > aware0 * aware0 AND d0 <= 9000000 AND run_end - run_start + 1 >= 12),
+as2 AS (SELECT r.server_id, r.shift, r.player_id, r.player_id_j, run_start, run_end, d0, r.n, count(*) FILTER (p.idx <= run_end AND p.d > p.aware * p.aware) AS far, min(p.idx) FILTER (p.d <= 90000) AS arrival
+        FROM as1 r JOIN dp p ON p.server_id = r.server_id AND p.shift = r.shift AND p.player_id = r.player_id AND p.player_id_j = r.player_id_j AND p.idx BETWEEN run_start AND run_end + 3 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+as3 AS (SELECT r.* FROM as2 r WHERE far >= 12 AND arrival IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dp p WHERE p.server_id = r.server_id AND p.shift = r.shift AND p.player_id = r.player_id AND p.player_id_j = r.player_id_j AND p.idx BETWEEN run_start - 120 AND run_start AND p.d <= p.aware * p.aware)),
+way AS (SELECT r.server_id, r.shift, r.player_id, r.player_id_j, run_start FROM as3 r JOIN head h ON h.server_id = r.server_id AND h.player_id = r.player_id AND h.idx = run_start - 12 AND h.moving JOIN head e ON e.server_id = r.server_id AND e.player_id = r.player_id AND e.idx = arrival
+        WHERE (h.dx * h.dx + h.dy * h.dy) * ((e.x - h.x) * (e.x - h.x) + (e.y - h.y) * (e.y - h.y)) > 0
+        AND h.dx * (e.x - h.x) + h.dy * (e.y - h.y) >= 0.95 * sqrt((h.dx * h.dx + h.dy * h.dy) * ((e.x - h.x) * (e.x - h.x) + (e.y - h.y) * (e.y - h.y)))),
+came AS (SELECT r.server_id, r.shift, r.player_id, r.player_id_j, run_start FROM as3 r JOIN dp s ON s.server_id = r.server_id AND s.shift = r.shift AND s.player_id = r.player_id AND s.player_id_j = r.player_id_j AND s.idx = run_start
+         JOIN dp e ON e.server_id = r.server_id AND e.shift = r.shift AND e.player_id = r.player_id AND e.player_id_j = r.player_id_j AND e.idx = arrival
+         WHERE (e.xj - s.xj) * (s.x - s.xj) + (e.yj - s.yj) * (s.y - s.yj) > 0.3 * d0),
+as4 AS (SELECT r.* FROM as3 r LEFT JOIN way w USING (server_id, shift, player_id, player_id_j, run_start) LEFT JOIN came c USING (server_id, shift, player_id, player_id_j, run_start) WHERE w.server_id IS NULL AND c.server_id IS NULL)"""
+MERGE = """
+mo AS (SELECT *, max(arrival) OVER (PARTITION BY server_id, shift, player_id ORDER BY run_start, arrival, player_id_j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
+mg AS (SELECT *, sum(CASE WHEN before IS NULL OR run_start > before THEN 1 ELSE 0 END) OVER (PARTITION BY server_id, shift, player_id ORDER BY run_start, arrival, player_id_j) AS g FROM mo),
+merged AS (SELECT server_id, shift, player_id, min(run_start) AS run_start, max(arrival) AS arrival, first(player_id_j ORDER BY run_start, arrival, player_id_j) AS player_id_j, first(sqrt(d0) ORDER BY run_start, arrival, player_id_j) AS distance FROM mg GROUP BY server_id, shift, player_id, g)"""
+KNOWN = """
+ev2 AS (SELECT server_id, player_id, n, unnest(generate_series(greatest(0, idx - 24), idx)) AS idx FROM de WHERE event = 1),
+dy AS (SELECT DISTINCT server_id, player_id, s.shift, (idx + s.shift) % n AS idx FROM ev2, (VALUES (0), (120), (240), (360)) s(shift)),
+kt AS (SELECT server_id, shift, player_id, player_id_j, run_start, unnest(generate_series(greatest(0, (run_start - shift + n) % n - 36), (run_start - shift + n) % n)) AS idx FROM as4),
+known AS (SELECT DISTINCT k.server_id, k.shift, k.player_id, k.player_id_j, k.run_start FROM kt k JOIN near m ON m.server_id = k.server_id AND m.player_id_j = k.player_id_j AND m.idx = k.idx AND m.player_id <> k.player_id
+          JOIN grid g ON g.server_id = m.server_id AND g.player_id = m.player_id AND g.idx = m.idx LEFT JOIN assoc c ON c.server_id = m.server_id AND c.player_id = m.player_id AND c.player_id_j = m.player_id_j
+          WHERE m.d <= g.aware * g.aware AND m.d > 22500 AND c.server_id IS NULL),
+pr AS (SELECT r.server_id, r.shift, r.player_id, r.player_id_j, r.run_start AS s, p.idx FROM as4 r JOIN dp p ON p.server_id = r.server_id AND p.shift = r.shift AND p.player_id = r.player_id AND p.player_id_j = r.player_id_j AND p.idx BETWEEN arrival AND arrival + 60
+       WHERE p.d <= 22500 AND NOT EXISTS (SELECT 1 FROM dy WHERE dy.server_id = p.server_id AND dy.shift = p.shift AND dy.idx = p.idx AND dy.player_id = p.player_id) AND NOT EXISTS (SELECT 1 FROM dy WHERE dy.server_id = p.server_id AND dy.shift = p.shift AND dy.idx = p.idx AND dy.player_id = p.player_id_j)),
+pn AS (SELECT *, row_number() OVER (PARTITION BY server_id, shift, player_id, player_id_j, s ORDER BY idx) AS rn FROM pr),
+peace AS (SELECT DISTINCT server_id, shift, player_id, player_id_j, s AS run_start FROM (SELECT server_id, shift, player_id, player_id_j, s FROM pn GROUP BY server_id, shift, player_id, player_id_j, s, idx - rn HAVING count(*) >= 12)),
+as5 AS (SELECT r.* FROM as4 r LEFT JOIN known k USING (server_id, shift, player_id, player_id_j, run_start) LEFT JOIN peace p USING (server_id, shift, player_id, player_id_j, run_start) WHERE k.server_id IS NULL AND p.server_id IS NULL)"""
+BEELINE = """
+bu AS (SELECT server_id, player_id, count(*) FILTER (moving) * 5.0::DOUBLE AS moving_s, max(len(list_filter([120, 240, 360], lambda s: s <= n // 2))) AS used FROM head GROUP BY ALL),
+be AS (SELECT server_id, player_id, count(*) FILTER (shift = 0) AS episodes, count(*) FILTER (shift > 0) AS by_chance, sum(distance) FILTER (shift = 0) AS start_sum_m FROM merged GROUP BY ALL),
+beeline AS (SELECT server_id, player_id, moving_s, coalesce(episodes, 0) AS episodes, coalesce(by_chance, 0) / CAST(greatest(1, used) AS DOUBLE) AS null_episodes, round(coalesce(start_sum_m, 0), 6) AS start_sum_m FROM bu LEFT JOIN be USING (server_id, player_id))"""
+
+
+@query(with_(G.HEAD_SQL, ASSOC, APPROACH, MERGE.format(source="(SELECT * FROM as4 WHERE shift = 0)")) + " SELECT server_id, player_id, player_id_j, run_start, arrival, distance FROM merged")
+def x27_display_episodes(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    found = A.episodes(g, E.associates(g, R), R, null=False, known=False)
+    return A.merged(found).select("server_id", "player_id", "player_id_j", "run_start", "arrival", "distance")
+
+
+@query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN) + " SELECT server_id, shift, player_id, player_id_j, run_start, arrival FROM as5")
+def x1_beeline_episodes(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return A.episodes(g, E.associates(g, R), R).select(*E.PAIR, "run_start", "arrival")
+
+
+@query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN, MERGE.format(source="as5"), BEELINE) + " SELECT * FROM beeline")
+def x2_beeline_evidence(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    rows = A.beelines(g, A.episodes(g, E.associates(g, R), R), R)
+    return rows.withColumn("start_sum_m", F.round("start_sum_m", 6))
+
+
+TIPS = """
+town AS (SELECT *, row_number() OVER (PARTITION BY server_id, player_id ORDER BY run_start, arrival, player_id_j) AS ord FROM merged),
+tex AS (SELECT server_id, player_id, player_id_j AS m, ord FROM town UNION ALL SELECT t.server_id, t.player_id, c.player_id_j, ord FROM town t JOIN assoc c ON c.server_id = t.server_id AND c.player_id = t.player_id_j),
+tl AS (SELECT server_id, player_id, m, max(ord) AS last FROM tex GROUP BY ALL),
+tt AS (SELECT server_id, player_id, player_id_j, ord, unnest(generate_series(greatest(0, run_start - 36), run_start)) AS idx FROM town),
+ts AS (SELECT DISTINCT t.server_id, t.player_id, t.ord, o.player_id AS m, o.shift, o.n FROM tt t JOIN grid k ON k.server_id = t.server_id AND k.player_id = t.player_id_j AND k.idx = t.idx JOIN osh o ON o.server_id = t.server_id AND o.idx = t.idx AND o.player_id <> t.player_id AND o.player_id <> t.player_id_j
+       LEFT JOIN grid r ON r.server_id = t.server_id AND r.player_id = o.player_id AND r.idx = t.idx
+       WHERE (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) <= coalesce(r.aware, 300) * coalesce(r.aware, 300) AND (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) > 22500),
+tip AS (SELECT ts.server_id, least(ts.player_id, ts.m) AS player_a, greatest(ts.player_id, ts.m) AS player_b, count(*) FILTER (shift = 0) AS tips,
+        round(sum(CASE WHEN shift > 0 THEN 1.0::DOUBLE / greatest(1, len(list_filter([120, 240, 360], lambda s: s <= n // 2))) ELSE 0.0::DOUBLE END), 6) AS null_tips
+        FROM ts LEFT JOIN tl USING (server_id, player_id, m) WHERE ord > coalesce(last, 0) GROUP BY 1, 2, 3)"""
+TIP_CHAIN = (APPROACH, MERGE.format(source="(SELECT * FROM as4 WHERE shift = 0)"), TIPS)
+
+
+@query(with_(G.HEAD_SQL, ASSOC, *TIP_CHAIN) + " SELECT * FROM tip")
+def x8_tips(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return A.tips(g, E.associates(g, R), R).withColumn("null_tips", F.round("null_tips", 6))
+
+
+def pair_evidence(g):
+    """Meetups and tips of each pair, over all servers."""
+    meets = E.meetups(g, R).select("player_a", "player_b", "meets", "null_meets", F.lit(0).cast("long").alias("tips"), F.lit(0.0).alias("null_tips"))
+    tips = A.tips(g, E.associates(g, R), R).select("player_a", "player_b", F.lit(0).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), "tips", "null_tips")
+    return meets.unionByName(tips).groupBy("player_a", "player_b").agg(*[F.sum(c).alias(c) for c in ("meets", "null_meets", "tips", "null_tips")])
+
+
+#: On this table hardly any pair is linked at the default levels, so the query links from one meeting or tip on.
+LOOSE = replace(R, link_min=1, link_z=0.5)
+CLANS = """
+pe AS (SELECT player_a, player_b, sum(meets) + sum(tips) AS seen, sum(null_meets) + sum(null_tips) AS chance FROM
+       (SELECT player_a, player_b, meets, null_meets, 0 AS tips, 0.0::DOUBLE AS null_tips FROM meet UNION ALL SELECT player_a, player_b, 0, 0.0::DOUBLE, tips, null_tips FROM tip) GROUP BY 1, 2),
+lk AS (SELECT player_a AS a, player_b AS b FROM pe WHERE seen >= 1 AND (seen - chance) / sqrt(chance + 1) >= 0.5),
+both_ AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+reach AS (SELECT a AS p, a AS q FROM both_ UNION SELECT r.p, e.b FROM reach r JOIN both_ e ON e.a = r.q)"""
+
+
+@query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, MEET, *TIP_CHAIN, CLANS).replace("WITH", "WITH RECURSIVE", 1) + " SELECT p AS player_id, min(q) AS clan FROM reach GROUP BY p")
+def x9_clans(spark, sf_dir):
+    return A.clans(A.clan_links(pair_evidence(grid(spark, sf_dir)), LOOSE))
+
+
+TTC = """
+cr AS (SELECT player_id, coalesce(dino_class, '') AS c, duration_s AS d, censored AS k FROM spawn),
+cq AS (SELECT r.player_id, r.k, (SELECT count(*) FROM cr o WHERE o.player_id <> r.player_id) AS na, (SELECT count(*) FROM cr o WHERE o.player_id <> r.player_id AND o.c = r.c) AS nc, (SELECT count(*) FROM cr o WHERE o.player_id = r.player_id) AS ma,
+       (SELECT coalesce(sum(CASE WHEN o.k THEN 0.5::DOUBLE ELSE 1.0 END), 0) FROM cr o WHERE o.player_id <> r.player_id AND o.d < r.d) AS ba,
+       (SELECT coalesce(sum(CASE WHEN o.k THEN 0.5::DOUBLE ELSE 1.0 END), 0) FROM cr o WHERE o.player_id <> r.player_id AND o.c = r.c AND o.d < r.d) AS bc FROM cr r),
+cs AS (SELECT player_id, k, CASE WHEN nc < 10 THEN ba / na ELSE bc / nc END AS share FROM cq WHERE ma >= 2 AND na >= 10),
+ct AS (SELECT player_id, count(*) AS episodes, count(*) FILTER (NOT k) AS contacts, avg(CASE WHEN k THEN (share + 1) / 2 ELSE share END) AS mean_rank FROM cs GROUP BY 1),
+ttc AS (SELECT *, (0.5 - mean_rank) * sqrt(12.0::DOUBLE * episodes) AS z, least(1, greatest(0, ((0.5 - mean_rank) * sqrt(12.0::DOUBLE * episodes) - 1) / 2.5)) AS score FROM ct)"""
+
+
+@query(with_(ASSOC, SPAWN, TTC) + " SELECT player_id, episodes, contacts, round(mean_rank, 8) AS mean_rank, round(z, 6) AS z, round(score, 6) AS score FROM ttc")
+def x6_contact_scores(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    rows = A.contact_scores(E.spawn_episodes(g, E.associates(g, R), R), R)
+    return rows.select("player_id", "episodes", "contacts", F.round("mean_rank", 8).alias("mean_rank"), F.round("z", 6).alias("z"), F.round("score", 6).alias("score"))
+
+
+SCORE = """
+sb AS (SELECT player_id, sum(moving_s) AS moving_s, sum(episodes) AS e, sum(null_episodes) AS ne FROM beeline GROUP BY 1),
+sa AS (SELECT player_id, sum(waits) AS waits, sum(hits) AS h, sum(null_hits) AS nh FROM ambush GROUP BY 1),
+sc AS (SELECT player_id, CASE WHEN moving_s >= 600 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((e - ne) / sqrt(ne + 1) - 3) / 4)) END AS beeline, ttc.score AS ttc,
+       CASE WHEN waits >= 3 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((h - nh) / sqrt(nh + 1) - 4) / 4)) END AS ambush FROM sb FULL JOIN sa USING (player_id) LEFT JOIN ttc USING (player_id)),
+score AS (SELECT *, 1 - (1 - coalesce(beeline, 0)) * (1 - coalesce(0.35 * ttc, 0)) * (1 - coalesce(0.9 * ambush, 0)) AS score FROM sc)"""
+
+
+@query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN, MERGE.format(source="as5"), BEELINE, WAITS, AMBUSH, SPAWN, TTC, SCORE) + " SELECT player_id, round(beeline, 6) AS beeline, round(ttc, 6) AS ttc, round(ambush, 6) AS ambush, round(score, 6) AS score, score >= 0.6 AS flagged FROM score")
+def x12_scores(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    assoc = E.associates(g, R)
+    beeline = A.beelines(g, A.episodes(g, assoc, R), R)
+    rows = A.scores(beeline, A.contact_scores(E.spawn_episodes(g, assoc, R), R), E.ambushes(g, assoc, R), R)
+    return rows.select("player_id", *[F.round(c, 6).alias(c) for c in ("beeline", "ttc", "ambush", "score")], "flagged")
