@@ -14,6 +14,7 @@ from ..functions.scalars import count_z, noisy_or, ramp
 from ..rules import Rules
 from .evidence import PAIR
 from .grid import PLAYER, headings, islands, n_shifts, pairs, shifted, square
+from .state import Table
 
 RUN = (*PAIR, "run_start")
 PLACE = ("server_id", "idx", "player_id", "x", "y")
@@ -61,15 +62,18 @@ def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True,
         F.count_if((F.col("idx") <= F.col("run_end")) & (F.col("_d") > F.col("aware") * F.col("aware"))).alias("_far"),
         F.min(F.when(F.col("_d") <= rules.arrive_m**2, F.col("idx"))).alias("arrival"),
     )
-    found = reach.filter(F.col("arrival").isNotNull() & (F.col("_far") >= rules.steps(rules.aligned_min_s))).drop("_far")
+    # each narrowing reads its runs twice, so they are written in between and not worked out anew
+    found = Table(reach.filter(F.col("arrival").isNotNull() & (F.col("_far") >= rules.steps(rules.aligned_min_s))).drop("_far")).df
     back = F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.near_s))
     near = around(found, back, F.col("run_start"), place, others).filter(square() <= F.col("aware") * F.col("aware")).select(*RUN).distinct()
-    found = found.join(near, [*RUN], "left_anti")
+    found = Table(found.join(near, [*RUN], "left_anti")).df
     if known:
         found = found.join(shared(found, grid, assoc, rules, clans), [*RUN], "left_anti")
     found = found.join(on_the_way(found, mine, rules), [*RUN], "left_anti")
+    found = Table(found).df
     found = found.join(approached(found, mine, others, rules), [*RUN], "left_anti")
     if known:
+        found = Table(found).df
         found = found.join(reunions(found, grid, place, others, rules), [*RUN], "left_anti")
     return found.select(*RUN, "arrival", F.sqrt("d0").alias("distance"))
 
@@ -160,7 +164,7 @@ def tips(grid: DataFrame, assoc: DataFrame, rules: Rules) -> DataFrame:
     the last approach that excludes the tipper.
     """
     own = merged(episodes(grid, assoc, rules, null=False, known=False)).drop("shift")
-    own = own.withColumn("ord", F.row_number().over(W.partitionBy(*PLAYER).orderBy("run_start", "arrival", "player_id_j")))
+    own = Table(own).df.withColumn("ord", F.row_number().over(W.partitionBy(*PLAYER).orderBy("run_start", "arrival", "player_id_j")))
     with_target = assoc.select("server_id", F.col("player_id").alias("player_id_j"), F.col("player_id_j").alias("m"))
     out = own.select(*PLAYER, "player_id_j", "ord")
     excluded = out.select(*PLAYER, "ord", F.col("player_id_j").alias("m")).unionByName(out.join(with_target, ["server_id", "player_id_j"]).select(*PLAYER, "ord", "m"))
@@ -189,8 +193,6 @@ def clan_links(pair_evidence: DataFrame, rules: Rules) -> DataFrame:
 
 def clans(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(player_id, clan): connected players, named by the least id. Rounds halve the way left, so they are few."""
-    from .state import Table
-
     both = links.unionByName(links.select(F.col("player_b").alias("player_a"), F.col("player_a").alias("player_b"))).distinct()
     edges = Table(both)
     labels = Table(edges.df.groupBy(F.col("player_a").alias("player_id")).agg(F.least(F.min("player_b"), F.min("player_a")).alias("clan")))

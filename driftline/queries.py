@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import approach as A
 from .operators import evidence as E
 from .operators import grid as G
+from .operators.state import Table
 from .rules import EVENT_RULES as R
 from .sources import events as S
 
@@ -33,7 +34,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.resample(samples(spark, sf_dir), R)
+    """The grid, written once: most queries read it many times."""
+    return Table(G.resample(samples(spark, sf_dir), R)).df
+
+
+def company(g: DataFrame) -> DataFrame:
+    return Table(E.associates(g, R)).df
 
 
 def with_(*parts: str) -> str:
@@ -133,7 +139,7 @@ spawn AS (SELECT server_id, player_id, idx, dino_class, coalesce(hit - idx, step
 @query(with_(ASSOC, SPAWN) + " SELECT * FROM spawn")
 def x5_spawn_episodes(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return E.spawn_episodes(g, E.associates(g, R), R)
+    return E.spawn_episodes(g, company(g), R)
 
 
 AMBUSH = """
@@ -152,7 +158,7 @@ ambush AS (SELECT server_id, player_id, coalesce(waits, 0) AS waits, coalesce(hi
 @query(with_(ASSOC, WAITS, G.DEATH_SQL, AMBUSH) + " SELECT * FROM ambush")
 def x4_ambush(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return E.ambushes(g, E.associates(g, R), R)
+    return E.ambushes(g, company(g), R)
 
 
 # The approach rules over all pair rows of the grid at every shift, in the order in which they narrow the runs.
@@ -200,20 +206,20 @@ beeline AS (SELECT server_id, player_id, moving_s, coalesce(episodes, 0) AS epis
 @query(with_(G.HEAD_SQL, ASSOC, APPROACH, MERGE.format(source="(SELECT * FROM as4 WHERE shift = 0)")) + " SELECT server_id, player_id, player_id_j, run_start, arrival, distance FROM merged")
 def x27_display_episodes(spark, sf_dir):
     g = grid(spark, sf_dir)
-    found = A.episodes(g, E.associates(g, R), R, null=False, known=False)
+    found = A.episodes(g, company(g), R, null=False, known=False)
     return A.merged(found).select("server_id", "player_id", "player_id_j", "run_start", "arrival", "distance")
 
 
 @query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN) + " SELECT server_id, shift, player_id, player_id_j, run_start, arrival FROM as5")
 def x1_beeline_episodes(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return A.episodes(g, E.associates(g, R), R).select(*E.PAIR, "run_start", "arrival")
+    return A.episodes(g, company(g), R).select(*E.PAIR, "run_start", "arrival")
 
 
 @query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN, MERGE.format(source="as5"), BEELINE) + " SELECT * FROM beeline")
 def x2_beeline_evidence(spark, sf_dir):
     g = grid(spark, sf_dir)
-    rows = A.beelines(g, A.episodes(g, E.associates(g, R), R), R)
+    rows = A.beelines(g, A.episodes(g, company(g), R), R)
     return rows.withColumn("start_sum_m", F.round("start_sum_m", 6))
 
 
@@ -234,13 +240,13 @@ TIP_CHAIN = (APPROACH, MERGE.format(source="(SELECT * FROM as4 WHERE shift = 0)"
 @query(with_(G.HEAD_SQL, ASSOC, *TIP_CHAIN) + " SELECT * FROM tip")
 def x8_tips(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return A.tips(g, E.associates(g, R), R).withColumn("null_tips", F.round("null_tips", 6))
+    return A.tips(g, company(g), R).withColumn("null_tips", F.round("null_tips", 6))
 
 
 def pair_evidence(g):
     """Meetups and tips of each pair, over all servers."""
     meets = E.meetups(g, R).select("player_a", "player_b", "meets", "null_meets", F.lit(0).cast("long").alias("tips"), F.lit(0.0).alias("null_tips"))
-    tips = A.tips(g, E.associates(g, R), R).select("player_a", "player_b", F.lit(0).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), "tips", "null_tips")
+    tips = A.tips(g, company(g), R).select("player_a", "player_b", F.lit(0).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), "tips", "null_tips")
     return meets.unionByName(tips).groupBy("player_a", "player_b").agg(*[F.sum(c).alias(c) for c in ("meets", "null_meets", "tips", "null_tips")])
 
 
@@ -272,7 +278,7 @@ ttc AS (SELECT *, (0.5 - mean_rank) * sqrt(12.0::DOUBLE * episodes) AS z, least(
 @query(with_(ASSOC, SPAWN, TTC) + " SELECT player_id, episodes, contacts, round(mean_rank, 8) AS mean_rank, round(z, 6) AS z, round(score, 6) AS score FROM ttc")
 def x6_contact_scores(spark, sf_dir):
     g = grid(spark, sf_dir)
-    rows = A.contact_scores(E.spawn_episodes(g, E.associates(g, R), R), R)
+    rows = A.contact_scores(E.spawn_episodes(g, company(g), R), R)
     return rows.select("player_id", "episodes", "contacts", F.round("mean_rank", 8).alias("mean_rank"), F.round("z", 6).alias("z"), F.round("score", 6).alias("score"))
 
 
@@ -287,7 +293,7 @@ score AS (SELECT *, 1 - (1 - coalesce(beeline, 0)) * (1 - coalesce(0.35 * ttc, 0
 @query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN, MERGE.format(source="as5"), BEELINE, WAITS, AMBUSH, SPAWN, TTC, SCORE) + " SELECT player_id, round(beeline, 6) AS beeline, round(ttc, 6) AS ttc, round(ambush, 6) AS ambush, round(score, 6) AS score, score >= 0.6 AS flagged FROM score")
 def x12_scores(spark, sf_dir):
     g = grid(spark, sf_dir)
-    assoc = E.associates(g, R)
+    assoc = company(g)
     beeline = A.beelines(g, A.episodes(g, assoc, R), R)
     rows = A.scores(beeline, A.contact_scores(E.spawn_episodes(g, assoc, R), R), E.ambushes(g, assoc, R), R)
     return rows.select("player_id", *[F.round(c, 6).alias(c) for c in ("beeline", "ttc", "ambush", "score")], "flagged")
