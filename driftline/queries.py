@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import approach as A
 from .operators import evidence as E
 from .operators import grid as G
+from .operators import relational as Q
 from .operators.state import Table
 from .rules import EVENT_RULES as R
 from .sources import events as S
@@ -297,3 +298,199 @@ def x12_scores(spark, sf_dir):
     beeline = A.beelines(g, A.episodes(g, assoc, R), R)
     rows = A.scores(beeline, A.contact_scores(E.spawn_episodes(g, assoc, R), R), E.ambushes(g, assoc, R), R)
     return rows.select("player_id", *[F.round(c, 6).alias(c) for c in ("beeline", "ttc", "ambush", "score")], "flagged")
+
+
+# ---- relational operators, on tables derived from events ----
+DAY = 86_400
+EVENTS_SQL = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS s FROM events)"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    return S.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", s.alias("s"))
+
+
+def on_events(body: str, *parts: str) -> str:
+    return "WITH " + ", ".join([EVENTS_SQL, *parts]) + " " + body
+
+
+EVIDENCE_SQL = "v AS (SELECT user_id, s // 86400 AS w, count(*) AS episodes, sum(value) AS moved, string_agg(DISTINCT event_type, ',') AS servers FROM e GROUP BY 1, 2)"
+
+
+def window_evidence(e: DataFrame) -> DataFrame:
+    return e.groupBy("user_id", F.expr("s div 86400").alias("w")).agg(F.count(F.lit(1)).alias("episodes"), F.sum("value").alias("moved"), F.array_join(F.collect_set("event_type"), ",").alias("servers"))
+
+
+@query(on_events("SELECT event_id, user_id, event_type, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s // 3600 ORDER BY event_id) AS n FROM e WHERE (user_id, s // 3600) NOT IN (SELECT (user_id, s // 3600) FROM e WHERE event_id % 5 = 0)) WHERE n = 1"))
+def k1_ingest_dedupe(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("hour", F.expr("s div 3600"))
+    return Q.ingest(e, e.filter("event_id % 5 = 0").select("user_id", "hour").distinct(), ["user_id", "hour"], ["event_id"]).select("event_id", "user_id", "event_type", "s")
+
+
+@query(on_events("SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN n.total ELSE o.total END AS total FROM o FULL JOIN n ON o.user_id = n.user_id", "o AS (SELECT user_id, count(*) AS total FROM e WHERE user_id % 3 > 0 GROUP BY 1)", "n AS (SELECT user_id, -count(*) AS total FROM e WHERE user_id % 2 = 0 GROUP BY 1)"))
+def k3_upsert(spark, sf_dir):
+    e = events(spark, sf_dir)
+    old = e.filter("user_id % 3 > 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    return Q.upsert(old, e.filter("user_id % 2 = 0").groupBy("user_id").agg((-F.count(F.lit(1))).alias("total")), ["user_id"])
+
+
+@query(on_events("SELECT user_id, event_type, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) AS n FROM e) WHERE n = 1"))
+def k4_latest_version(spark, sf_dir):
+    return Q.latest(events(spark, sf_dir), ["user_id"], ["s", "event_id"]).select("user_id", "event_type", "s")
+
+
+@query(on_events("SELECT user_id, arg_max(event_type, s * 1000000 + event_id) AS name FROM e GROUP BY 1"))
+def a3_latest_name(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.col("s") * 1000000 + F.col("event_id")).alias("name"))
+
+
+@query(on_events("SELECT a, b, CAST(sum(n) AS BIGINT) AS meets, CAST(sum(n) FILTER (w % 2 = 0) AS BIGINT) AS tips FROM p WHERE w > 19730 GROUP BY 1, 2", "p AS (SELECT least(user_id, user_id * 7 % 15) AS a, greatest(user_id, user_id * 7 % 15) AS b, s // 86400 AS w, count(*) AS n FROM e GROUP BY 1, 2, 3)"))
+def a1_pair_horizon(spark, sf_dir):
+    other = F.col("user_id") * 7 % 15
+    p = events(spark, sf_dir).groupBy(F.least("user_id", other).alias("a"), F.greatest("user_id", other).alias("b"), F.expr("s div 86400").alias("w")).agg(F.count(F.lit(1)).alias("meets"))
+    p = p.withColumn("tips", F.when(F.col("w") % 2 == 0, F.col("meets")))
+    return Q.horizon(p, ["a", "b"], F.col("w"), F.lit(19730), ["meets", "tips"])
+
+
+@query(on_events("SELECT user_id, CAST(sum(episodes) AS BIGINT) AS episodes, array_to_string(list_sort(list_distinct(flatten(list(string_split(servers, ','))))), ',') AS servers FROM v WHERE w > 19730 GROUP BY 1", EVIDENCE_SQL))
+def a2_player_horizon(spark, sf_dir):
+    return Q.horizon(window_evidence(events(spark, sf_dir)), ["user_id"], F.col("w"), F.lit(19730), ["episodes"], ("servers",))
+
+
+@query(on_events("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(s) AS last FROM e GROUP BY 1"))
+def a10_status_counts(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.max("s").alias("last"))
+
+
+@query(on_events("SELECT DISTINCT s // 60 AS w FROM e WHERE s // 60 NOT IN (SELECT s // 60 FROM e WHERE event_id % 3 = 0) ORDER BY 1 LIMIT 12"))
+def j5_pending_windows(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("w", F.expr("s div 60"))
+    return Q.pending(e, e.filter("event_id % 3 = 0").select("w").distinct(), ["w"], 12)
+
+
+@query(on_events("SELECT v.user_id, v.w, episodes, coalesce(n, 0) AS purchases FROM v LEFT JOIN (SELECT user_id, s // 86400 AS w, count(*) AS n FROM e WHERE event_type = 'purchase' GROUP BY 1, 2) USING (user_id, w)", EVIDENCE_SQL))
+def j8_window_rows(spark, sf_dir):
+    e = events(spark, sf_dir)
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", F.expr("s div 86400").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return window_evidence(e).join(bought, ["user_id", "w"], "left").select("user_id", "w", "episodes", F.coalesce("n", F.lit(0)).cast("long").alias("purchases"))
+
+
+@query(on_events("SELECT event_id, user_id, s FROM e WHERE s >= 1705000000 OR user_id IN (SELECT user_id FROM e WHERE event_type = 'purchase' AND value > 90)"))
+def k7_retention(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return Q.retained(e, "s", F.lit(1705000000), e.filter("event_type = 'purchase' and value > 90"), "user_id").select("event_id", "user_id", "s")
+
+
+@query(on_events("SELECT event_id, user_id FROM (SELECT *, sum(event_id % 97 + 1) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS b FROM e) WHERE b <= 1000"))
+def k12_bounded_queue(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("size", F.col("event_id") % 97 + 1)
+    return Q.bounded_queue(e, ["user_id"], "event_id", "size", 1000).select("event_id", "user_id")
+
+
+@query(on_events("SELECT user_id, s, coalesce(gap_s, -1) AS gap_s FROM (SELECT user_id, s, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap_s FROM e) WHERE gap_s IS NULL OR gap_s >= 21600"))
+def w15_rejoins(spark, sf_dir):
+    return Q.rejoins(events(spark, sf_dir).select("user_id", "s"), ["user_id"], "s", 21600).withColumn("gap_s", F.coalesce("gap_s", F.lit(-1)))
+
+
+FLAG_SQL = "sc AS (SELECT user_id, avg(value) / 100 AS score FROM e GROUP BY 1), f AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'open' ELSE 'false_positive' END AS status, value / 100 AS max_score, s AS resolved_at FROM e WHERE event_id % 40 < 2)"
+
+
+@query(on_events("SELECT sc.user_id AS player_id, round(score, 6) AS score, CASE WHEN o.user_id IS NOT NULL THEN 'refresh' WHEN x.user_id IS NOT NULL THEN 'suppressed' ELSE 'create' END AS action, round(greatest(score, coalesce(o.m, score)), 6) AS max_score FROM sc LEFT JOIN (SELECT user_id, max(max_score) AS m FROM f WHERE status = 'open' GROUP BY 1) o USING (user_id) LEFT JOIN (SELECT DISTINCT user_id FROM f WHERE status = 'false_positive' AND resolved_at >= 1706000000 - 2592000) x USING (user_id) WHERE score >= 0.2", FLAG_SQL))
+def x13_flags(spark, sf_dir):
+    e = events(spark, sf_dir)
+    scores = e.groupBy(F.col("user_id").alias("player_id")).agg((F.avg("value") / 100).alias("score"))
+    flags = e.filter("event_id % 40 < 2").select(F.col("user_id").alias("player_id"), F.when(F.col("event_id") % 2 == 0, "open").otherwise("false_positive").alias("status"), (F.col("value") / 100).alias("max_score"), F.col("s").alias("resolved_at"))
+    rows = Q.apply_flags(scores, flags, F.lit(1706000000), 0.2, F.lit(30 * DAY))
+    return rows.select("player_id", F.round("score", 6).alias("score"), "action", F.round("max_score", 6).alias("max_score"))
+
+
+@query(on_events("SELECT event_id, user_id, s FROM e LEFT JOIN (SELECT user_id, max(s) AS last FROM e WHERE event_id % 3 = 0 GROUP BY 1) USING (user_id) WHERE event_id % 3 = 1 AND (last IS NULL OR s - last >= 3600)"))
+def x14_cooldown(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return Q.cooled_down(e.filter("event_id % 3 = 1"), e.filter("event_id % 3 = 0"), "user_id", "s", F.lit(3600)).select("event_id", "user_id", "s")
+
+
+@query(on_events("SELECT event_id, CASE WHEN event_type = 'view' THEN 'sent' WHEN event_type = 'error' OR event_id % 6 + 1 >= 5 THEN 'failed' ELSE 'pending' END AS status, event_id % 6 + 1 AS attempts, CASE WHEN event_type <> 'view' AND NOT (event_type = 'error' OR event_id % 6 + 1 >= 5) THEN greatest(least(600.0::DOUBLE, 30.0::DOUBLE * pow(2.0::DOUBLE, event_id % 6)), 45.0::DOUBLE) END AS wait_s FROM e"))
+def x15_deliveries(spark, sf_dir):
+    e = events(spark, sf_dir)
+    outcome = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "permanent").otherwise("later")
+    return Q.deliveries(e.select("event_id", (F.col("event_id") % 6).alias("attempts"), outcome.alias("outcome"), F.lit(45.0).alias("retry_after")), 30, 600, 5)
+
+
+@query(on_events("SELECT sum(CASE WHEN p.value > n.value THEN 1.0 WHEN p.value = n.value THEN 0.5 ELSE 0 END) / count(*) AS auc FROM (SELECT round(value) AS value FROM e WHERE event_type = 'purchase') p, (SELECT round(value) AS value FROM e WHERE event_type <> 'purchase') n").replace("AS auc", "AS raw").replace("SELECT sum", "SELECT round(raw, 9) AS auc FROM (SELECT sum", 1) + ")")
+def a16_auc(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.round("value").alias("v"), (F.col("event_type") == "purchase").alias("p"))
+    return Q.auc(e, "v", "p").select(F.round("auc", 9).alias("auc"))
+
+
+@query(on_events("SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM e) WHERE r = ceil(0.995 * (n - 1))"))
+def a19_quantile_higher(spark, sf_dir):
+    return Q.quantile_higher(events(spark, sf_dir), ["event_type"], "value", 0.995)
+
+
+@query(on_events("SELECT user_id, CAST(sum(m) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS g, CAST(sum(sq) AS BIGINT) AS gg, CAST(sum(s * s) AS BIGINT) AS ss, CAST(sum(s * m) AS BIGINT) AS sm, CAST(sum(m * m) AS BIGINT) AS mm FROM (SELECT user_id, (r - 1) // 8 AS b, count(*) AS m, sum(v) AS s, sum(v * v) AS sq FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM e) GROUP BY 1, 2) GROUP BY 1"))
+def a18_block_statistics(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("v", F.floor("value").cast("long"))
+    return Q.block_statistics(e, ["user_id"], ["event_id"], "v")
+
+
+@query(on_events("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY 1, 2)) WHERE r = 1"))
+def a14_mode(spark, sf_dir):
+    return Q.mode(events(spark, sf_dir), ["user_id"], "event_type")
+
+
+@query(on_events("SELECT window_end, count(*) FILTER (counted) AS counted, count(*) AS n FROM (SELECT t0 + (w + 1) * 7200 AS window_end, s >= t0 + w * 7200 AS counted FROM (SELECT s, t0, unnest(CASE WHEN (s - t0) % 7200 >= 5400 THEN [(s - t0) // 7200, (s - t0) // 7200 + 1] ELSE [(s - t0) // 7200] END) AS w FROM e, (SELECT min(s) AS t0 FROM e))) GROUP BY 1"))
+def st1_windows_with_context(spark, sf_dir):
+    e = events(spark, sf_dir)
+    first = e.agg(F.min("s")).first()[0]
+    rows = Q.windows_with_context(e, "s", F.lit(first), 7200, 1800)
+    return rows.groupBy("window_end").agg(F.count_if("counted").alias("counted"), F.count(F.lit(1)).alias("n"))
+
+
+@query(on_events("SELECT DISTINCT user_id, CAST(CAST('0x' || substr(sha256('valid:u' || user_id), 1, 16) AS UBIGINT) % 7 AS INTEGER) AS fold FROM e"))
+def f14_folds(spark, sf_dir):
+    from .functions.scalars import stable_fold
+
+    users = events(spark, sf_dir).select("user_id").distinct()
+    return users.select("user_id", stable_fold(F.concat(F.lit("u"), F.col("user_id").cast("string")), "valid", 7).alias("fold"))
+
+
+EXPORT_KEY = b"an export key for tests"
+_PADS = ["".join(f"\\x{x ^ p:02X}" for x in EXPORT_KEY.ljust(64, b"\0")) for p in (0x36, 0x5C)]
+
+
+@query(on_events(f"SELECT DISTINCT user_id, substr(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode('player:u' || user_id)))), 1, 20) AS pseudonym FROM e"))
+def p11_pseudonyms(spark, sf_dir):
+    from .functions.scalars import pseudonym
+
+    users = events(spark, sf_dir).select("user_id").distinct()
+    return users.select("user_id", pseudonym("player", F.concat(F.lit("u"), F.col("user_id").cast("string")), EXPORT_KEY).alias("pseudonym"))
+
+
+@query()
+def f21_token_bucket(spark, sf_dir):
+    return Q.token_bucket(events(spark, sf_dir), "user_id", "s", 1 / 43_200, 2)
+
+
+@query(on_events("SELECT hit, n_true, n_found, hit / n_found AS precision, hit / n_true AS recall, round(2.0::DOUBLE * hit / (n_true + n_found), 9) AS f1 FROM (SELECT count(*) FILTER (t.a IS NOT NULL AND f.a IS NOT NULL) AS hit, count(t.a) AS n_true, count(f.a) AS n_found FROM t FULL JOIN f ON t.a = f.a AND t.b = f.b)", "t AS (SELECT DISTINCT user_id AS a, user_id + event_id % 3 AS b FROM e WHERE event_id % 2 = 0)", "f AS (SELECT DISTINCT user_id AS a, user_id + event_id % 3 AS b FROM e WHERE event_id % 7 = 0)"))
+def a17_pair_quality(spark, sf_dir):
+    e = events(spark, sf_dir)
+    pair = [F.col("user_id").alias("player_a"), (F.col("user_id") + F.col("event_id") % 3).alias("player_b")]
+    rows = Q.pair_quality(e.filter("event_id % 2 = 0").select(*pair).distinct(), e.filter("event_id % 7 = 0").select(*pair).distinct())
+    return rows.withColumn("f1", F.round("f1", 9))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text responses made from events: one per hour, a line per event; the id is missing from some lines."""
+    e = events(spark, sf_dir)
+    person = F.when(F.col("event_id") % 13 == 0, F.lit("")).otherwise(F.concat(F.lit(", PlayerID: u"), F.col("user_id").cast("string")))
+    line = F.concat(F.lit("Name: p"), F.col("user_id").cast("string"), person, F.lit(", Location: X="), F.col("event_id").cast("string"), F.lit(" Y=-2.5 Z=1e2, Class: BP_"), F.initcap("event_type"), F.lit("_C, Growth: "), (F.col("event_id") % 101).cast("string"), F.lit("%"))
+    rows = e.groupBy(F.expr("s div 3600").alias("response_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    return rows.select("response_id", F.concat(F.lit("[2026.01.02-03.04.05] PlayerData\n"), F.array_join(F.col("l.line"), "\n"), F.lit("\nPlayerDataEnd\nrest")).alias("text"))
+
+
+@query(on_events("SELECT h AS response_id, CAST(r + 1 AS INTEGER) AS line_no, CASE WHEN ok AND d = 1 THEN 'u' || user_id END AS player_id, CASE WHEN ok AND d = 1 THEN CAST(event_id AS DOUBLE) END AS x, CASE WHEN ok AND d = 1 THEN upper(event_type[1]) || event_type[2:] END AS dino_class, CASE WHEN ok AND d = 1 AND event_id % 101 <= 100 THEN (event_id % 101) / 100.0::DOUBLE END AS growth, CASE WHEN NOT ok THEN 'no id' WHEN d > 1 THEN 'duplicate id' END AS reason FROM (SELECT *, s // 3600 AS h, event_id % 13 <> 0 AS ok, row_number() OVER (PARTITION BY s // 3600 ORDER BY event_id) AS r, row_number() OVER (PARTITION BY s // 3600, CASE WHEN event_id % 13 <> 0 THEN user_id END ORDER BY event_id) AS d FROM e)"))
+def s1_parse_lines(spark, sf_dir):
+    from .sources.text import parse
+
+    return parse(responses(spark, sf_dir)).select("response_id", "line_no", "player_id", "x", "dino_class", "growth", "reason")
