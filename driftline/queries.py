@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .operators import approach as A
 from .operators import evidence as E
 from .operators import grid as G
+from .operators import leakage as L
 from .operators import relational as Q
 from .operators.state import Table
 from .rules import EVENT_RULES as R
 from .sources import events as S
+from .sources import export as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -494,3 +496,47 @@ def s1_parse_lines(spark, sf_dir):
     from .sources.text import parse
 
     return parse(responses(spark, sf_dir)).select("response_id", "line_no", "player_id", "x", "dino_class", "growth", "reason")
+
+
+# ---- step selection, on moves made from events ----
+TERMS_SQL = """
+m AS (SELECT user_id, event_id, event_id % 13 AS y, unnest(generate_series(0, 12)) AS cand FROM e),
+ms AS (SELECT m.*, s.shift, ((event_id * 7 + cand * 5) % 11) / 8.0::DOUBLE AS a, ((event_id * 3 + cand * 2 + s.shift) % 7) / 8.0::DOUBLE AS b FROM m, (VALUES (0), (1), (2)) s(shift)),
+mt AS (SELECT *, max(a) OVER w AS ta, max(a + b) OVER w AS tb FROM ms WINDOW w AS (PARTITION BY event_id, shift)),
+mu AS (SELECT *, greatest(a - ta - ln(sum(exp(a - ta)) OVER w), ln(0.0001)) AS la, greatest(a + b - tb - ln(sum(exp(a + b - tb)) OVER w), ln(0.0001)) AS lb FROM mt WINDOW w AS (PARTITION BY event_id, shift)),
+g AS (SELECT user_id, event_id, max(lb) FILTER (shift = 0) - avg(lb) FILTER (shift > 0) AS gain FROM mu WHERE cand = y GROUP BY 1, 2)"""
+
+
+def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") % 13).alias("y"))
+    rows = L.candidate_rows(e, "y").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    a = (F.col("event_id") * 7 + F.col("cand") * 5) % 11 / 8.0
+    b = (F.col("event_id") * 3 + F.col("cand") * 2 + F.col("shift")) % 7 / 8.0
+    return L.terms(rows.withColumn("score_a", a).withColumn("score_b", b), ["user_id", "event_id"])
+
+
+@query(on_events("SELECT user_id, event_id, round(gain, 8) AS gain FROM g", TERMS_SQL))
+def x19_leakage_terms(spark, sf_dir):
+    return gains(spark, sf_dir).withColumn("gain", F.round("gain", 8))
+
+
+@query(on_events("""SELECT user_id, n, blocks, round(CASE WHEN blocks < 2 OR v <= 0 THEN 0 ELSE s / sqrt(v) END, 6) AS z FROM (SELECT *, greatest(greatest(gg - 2 * (s / n) * gm + pow(s / n, 2) * mm, 0) * blocks / (blocks - 1), greatest(q - n * pow(s / n, 2), 0) * n / greatest(n - 1, 1)) AS v FROM
+ (SELECT user_id, CAST(sum(m) AS BIGINT) AS n, count(*) AS blocks, sum(s) AS s, sum(q) AS q, sum(s * s) AS gg, sum(s * m) AS gm, sum(m * m) AS mm FROM (SELECT user_id, (r - 1) // 8 AS b, count(*) AS m, sum(gain) AS s, sum(gain * gain) AS q FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM g) GROUP BY 1, 2) GROUP BY 1))""", TERMS_SQL))
+def x20_leakage_z(spark, sf_dir):
+    return L.statistics(gains(spark, sf_dir), ["user_id"], ["event_id"]).select("user_id", "n", "blocks", F.round(L.z(), 6).alias("z"))
+
+
+@query(with_() + " SELECT substr(sha256('" + _PADS[1] + "'::BLOB || unhex(sha256('" + _PADS[0] + "'::BLOB || encode('org:org')))), 1, 20) AS org, CAST((idx * 5 // 7200 + 1) * 7200 AS BIGINT) AS window_end, count(*) AS rows, count(DISTINCT player_id) AS players, count(DISTINCT server_id) AS servers FROM grid GROUP BY 1, 2")
+def k8_export_manifest(spark, sf_dir):
+    rows = grid(spark, sf_dir).withColumn("org_id", F.lit("org")).withColumn("t", F.col("idx") * 5)
+    out = X.manifest(X.pseudonymous(rows, EXPORT_KEY))
+    return out.withColumn("window_end", F.col("window_end").cast("long"))
+
+
+@query(with_(G.HEAD_SQL) + " SELECT server_id, player_id, idx, CASE WHEN NOT moving THEN 12 ELSE CAST(((floor((atan2(dy, dx) + pi() + pi() / 12) / (pi() / 6))) % 12 + 12) % 12 AS INTEGER) END AS move FROM head WHERE dx IS NOT NULL AND idx % 3 = 0")
+def x18_moves(spark, sf_dir):
+    from .functions.scalars import direction_bin
+
+    h = G.headings(grid(spark, sf_dir), R).filter("dx is not null and idx % 3 = 0")
+    speed = F.when(F.col("moving"), F.lit(9.0)).otherwise(F.lit(0.0))
+    return h.select("server_id", "player_id", "idx", direction_bin(F.col("dx"), F.col("dy"), speed).alias("move"))
