@@ -13,6 +13,7 @@ from .operators import evidence as E
 from .operators import grid as G
 from .operators import leakage as L
 from .operators import relational as Q
+from .operators import tracks as T
 from .operators.state import Table
 from .rules import EVENT_RULES as R
 from .sources import events as S
@@ -540,3 +541,63 @@ def x18_moves(spark, sf_dir):
     h = G.headings(grid(spark, sf_dir), R).filter("dx is not null and idx % 3 = 0")
     speed = F.when(F.col("moving"), F.lit(9.0)).otherwise(F.lit(0.0))
     return h.select("server_id", "player_id", "idx", direction_bin(F.col("dx"), F.col("dy"), speed).alias("move"))
+
+
+# ---- more sequence operators ----
+@query(with_() + " SELECT server_id, player_id, idx, round(avg(x) OVER w, 6) AS mean_x FROM grid WINDOW w AS (PARTITION BY server_id, player_id ORDER BY idx RANGE BETWEEN 12 PRECEDING AND CURRENT ROW)")
+def w8_trailing_mean(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return g.select("server_id", "player_id", "idx", F.round(T.trailing_mean(g, "x", 12), 6).alias("mean_x"))
+
+
+LIFE_SQL = """
+lf AS (SELECT *, CASE WHEN coalesce(lag(idx) OVER w <> idx - 1, true) OR pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) > 90000 OR dino_class IS DISTINCT FROM lag(dino_class) OVER w THEN idx END AS s FROM grid WINDOW w AS (PARTITION BY server_id, player_id ORDER BY idx)),
+life AS (SELECT *, max(s) OVER (PARTITION BY server_id, player_id ORDER BY idx) AS life_start FROM lf)"""
+
+
+@query(with_(LIFE_SQL) + " SELECT server_id, player_id, life_start, max(idx - life_start) AS lasted FROM life GROUP BY ALL")
+def w9_lives(spark, sf_dir):
+    return T.lives(grid(spark, sf_dir), R).groupBy("server_id", "player_id", "life_start").agg(F.max("since").alias("lasted"))
+
+
+@query(with_(G.HEAD_SQL) + " SELECT server_id, player_id, idx, last_value(CASE WHEN moving THEN dx END IGNORE NULLS) OVER w AS hx, last_value(CASE WHEN moving THEN dy END IGNORE NULLS) OVER w AS hy FROM head WINDOW w AS (PARTITION BY server_id, player_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def w10_last_heading(spark, sf_dir):
+    return T.last_heading(G.headings(grid(spark, sf_dir), R)).select("server_id", "player_id", "idx", "hx", "hy")
+
+
+@query(f"WITH {S.SQL}, sg AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 300 THEN 0 ELSE 1 END AS n FROM pos WINDOW w AS (PARTITION BY server_id, player_id ORDER BY t)), sh AS (SELECT *, CAST(sum(n) OVER (PARTITION BY server_id, player_id ORDER BY t) AS BIGINT) AS segment FROM sg) SELECT server_id, player_id, segment, min(t) AS first, max(t) AS last, count(*) AS points FROM sh GROUP BY 1, 2, 3")
+def w14_segments(spark, sf_dir):
+    return T.segments(samples(spark, sf_dir), 300)
+
+
+NEAR_SQL = "np AS (SELECT a.server_id, a.player_id, a.idx, a.aware, b.player_id AS player_id_j, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS distance2 FROM grid a JOIN grid b ON a.server_id = b.server_id AND a.idx = b.idx AND a.player_id <> b.player_id)"
+
+
+@query(with_(NEAR_SQL) + " SELECT server_id, player_id, idx, slot, player_id_j, distance2 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY server_id, player_id, idx ORDER BY distance2, player_id_j) AS INTEGER) AS slot FROM np WHERE distance2 <= 250000) WHERE slot <= 3")
+def w17_nearest_slots(spark, sf_dir):
+    return T.nearest_slots(grid(spark, sf_dir), 3, 500.0)
+
+
+@query(with_(NEAR_SQL) + " SELECT server_id, player_id, idx, count(*) FILTER (distance2 <= (aware + 50) * (aware + 50)) AS n_visible, count(*) FILTER (distance2 > (aware + 50) * (aware + 50) AND distance2 <= 9000000) AS n_beyond FROM np GROUP BY 1, 2, 3")
+def a21_neighbourhood(spark, sf_dir):
+    return T.neighbourhood(grid(spark, sf_dir), 50.0, 3000.0)
+
+
+@query(f"WITH {S.SQL} SELECT server_id, player_id, t, 0.25::DOUBLE * x + -0.5::DOUBLE * y + 100.0::DOUBLE AS u, 0.5::DOUBLE * x + 0.25::DOUBLE * y + -7.0::DOUBLE AS v FROM pos")
+def p13_map_points(spark, sf_dir):
+    u, v = T.map_point(F.col("x"), F.col("y"), ((0.25, -0.5, 100.0), (0.5, 0.25, -7.0)))
+    return samples(spark, sf_dir).select("server_id", "player_id", "t", u.alias("u"), v.alias("v"))
+
+
+@query(on_events("SELECT event_id, 'see https://h.example/*** or ***@***, Password: ***' AS line FROM e"))
+def p14_redaction(spark, sf_dir):
+    n = F.col("event_id").cast("string")
+    line = F.concat(F.lit("see https://h.example/"), n, F.lit("/x or m"), n, F.lit("@mail.example, Password: p"), n)
+    return events(spark, sf_dir).select("event_id", T.redacted(line).alias("line"))
+
+
+@query(on_events("SELECT h AS response_id, count(*) AS lines, count(*) FILTER (ok AND d = 1) AS players, 0::BIGINT AS salvaged, count(*) FILTER (NOT ok OR d > 1) AS unparsed FROM (SELECT s // 3600 AS h, event_id % 13 <> 0 AS ok, row_number() OVER (PARTITION BY s // 3600, CASE WHEN event_id % 13 <> 0 THEN user_id END ORDER BY event_id) AS d FROM e) GROUP BY 1"))
+def a13_parse_health(spark, sf_dir):
+    from .sources.text import parse
+
+    return T.parse_health(parse(responses(spark, sf_dir))).drop("errors")
