@@ -273,23 +273,25 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
                 at = np.repeat(p["first"][hit], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 m, h = (kernel.run(r, at, at + WINDOW).view(np.int64) for r in p["rolled"])
                 out.append((m, h, np.repeat(ids[p["doc"][hit]], lengths), at - np.repeat(begin[hit], lengths)))
-        if not out:
-            return pa.schema([("bucket", pa.int64()), ("blob", pa.binary())]).empty_table()
-        return pa.Table.from_batches([emit_rows(*map(np.concatenate, zip(*out, strict=True)), n)])
+        none = [np.zeros(0, dtype=np.int64)] * 4
+        m, h, doc, pos = map(np.concatenate, zip(*out, strict=True)) if out else none
+        keep = firsts(m, h, doc, pos)
+        m, h, doc, pos = m[keep], h[keep], doc[keep], pos[keep]
+        return pa.table({"bucket": m % n, "m": m, "h": h, "doc": doc, "pos": pos.astype("int32")})
 
     def first_windows(rows):
         import numpy as np
         import pyarrow as pa
 
-        m, h, doc, pos = opened(rows.column("blob"), ROW)
+        m, h, doc, pos = (rows.column(c).to_numpy() for c in ("m", "h", "doc", "pos"))
         keep = firsts(m, h, doc, pos)
-        return pa.Table.from_batches([blobs(np.mod(hash_long(doc[keep]), n), [doc[keep], pos[keep]])])
+        return pa.table({"bucket": np.mod(hash_long(doc[keep]), n), "doc": doc[keep], "pos": pos[keep]})
 
     by_bucket = docs.select(F.col("doc_id"), F.col("text")).withColumn("bucket", bucket_of(F.col("doc_id"), n))
     path_marks = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(paths, blob).groupBy("bucket").applyInArrow(lambda t: first_paths(t), blob)
-    singles = by_bucket.groupBy("bucket").cogroup(path_marks.groupBy("bucket")).applyInArrow(lambda a, b: windows(a, b), blob)
-    window_marks = singles.groupBy("bucket").applyInArrow(lambda t: first_windows(t), blob)
-    marks = path_marks.withColumn("kind", F.lit(0)).unionByName(window_marks.withColumn("kind", F.lit(1)))
+    singles = by_bucket.groupBy("bucket").cogroup(path_marks.groupBy("bucket")).applyInArrow(lambda a, b: windows(a, b), "bucket long, m long, h long, doc long, pos int")
+    window_marks = singles.groupBy("bucket").applyInArrow(lambda t: first_windows(t), "bucket long, doc long, pos int")
+    marks = path_marks.unionByName(window_marks, allowMissingColumns=True)
     return by_bucket, marks, n
 
 
@@ -330,11 +332,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        path = opened(marks_.filter(pc.equal(marks_.column("kind"), 0)).column("blob"), MARK)
+        path = opened(marks_.column("blob").drop_null(), MARK)
         firsts_ = np.unique(np.stack([path[0], path[1] // 2]), axis=1)
         odd = path[1] % 2 == 1
         branching = np.unique(np.stack([path[0][odd], path[1][odd] // 2]), axis=1)
-        singles = np.unique(np.stack(opened(marks_.filter(pc.equal(marks_.column("kind"), 1)).column("blob"), MARK)), axis=1)
+        alone = marks_.filter(pc.is_valid(marks_.column("pos")))
+        singles = np.unique(np.stack([alone.column("doc").to_numpy(), alone.column("pos").to_numpy().astype(np.int64)]), axis=1)
         kernel = Kernel()
         n_words, n_removed, digests, texts = [], [], [], []
         for row, ids, data, offsets in slices(id_array(docs_.column("doc_id")), docs_.column("text")):
