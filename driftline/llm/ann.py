@@ -11,8 +11,8 @@ from .blocks import QUERIES, SHARD, kth, meet, packed, ranked, top_merge, valid
 from .common import partitions, table
 
 K = 20
-#: Widths of the error bound in standard deviations of an estimate, and the seed of the rotation.
-SIGMAS, SEED = 4.0, 11
+#: Width of the error bound in standard deviations of an estimate, and the seed of the rotation.
+SIGMAS, SEED = 2.2, 11
 
 
 def rotation(width: int, seed: int = SEED):
@@ -55,14 +55,14 @@ def search(width: int, k: int):
             low = (middle - error) * norms * lengths[:, None]
             other = ids[None, :] != query_ids[:, None]
             low[~other] = -np.inf
-            if len(ids) > k:
+            if len(ids) > k and np.isneginf(bound).any():
                 bound = np.maximum(bound, -np.partition(-low, k - 1, axis=1)[:, k - 1])
             rows, columns = np.nonzero((high >= bound[:, None]) & other)
             for a in range(0, len(rows), 1 << 16):
                 r, c = rows[a : a + (1 << 16)], columns[a : a + (1 << 16)]
                 scores = np.einsum("ij,ij->i", queries[r], data[c])
-                found = top_merge(tuple(np.concatenate(x) for x in zip(best, (r, ids[c], scores), strict=True)), k)
-                best = found
+                fit = scores >= bound[r]
+                best = top_merge(tuple(np.concatenate(x) for x in zip(best, (r[fit], ids[c[fit]], scores[fit]), strict=True)), k)
             bound = np.maximum(bound, kth(best, len(queries), k))
         rows, ids, scores = best
         yield {"query_id": query_ids[rows], "vec_id": ids, "score": scores}
