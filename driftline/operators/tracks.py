@@ -93,3 +93,35 @@ def health_sum(parts: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
     top = each.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
     maps = top.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("errors"))
     return sums.join(maps, keys, "left") if keys else sums.join(maps)
+
+
+def tracking(rows: DataFrame) -> DataFrame:
+    """(server_id, player_id, idx, player_id_j, cos): the nearest other at each step of a moving player, and the cosine of heading for them."""
+    near = rows.withColumn("_d", square())
+    least = F.struct("_d", "player_id_j")
+    best = near.groupBy(*PLAYER, "idx", "dx", "dy").agg(F.min_by(F.struct("player_id_j", (F.col("x_j") - F.col("x")).alias("rx"), (F.col("y_j") - F.col("y")).alias("ry"), "_d"), least).alias("n"))
+    cos = (F.col("n.rx") * F.col("dx") + F.col("n.ry") * F.col("dy")) / F.nullif(F.sqrt(F.col("n._d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))), F.lit(0.0))
+    return best.select(*PLAYER, "idx", F.col("n.player_id_j").alias("player_id_j"), cos.alias("cos"))
+
+
+def nearest_approach(mine: DataFrame, grid: DataFrame, radius: float, most: int) -> DataFrame:
+    """(server_id, player_id, player_id_j, distance2): who ever came how near to where a player ever was, at any times.
+
+    The plane is cut into cells of the radius; points meet those of their own and the eight cells around.
+    """
+    cell = lambda c, shift=0: (F.floor(F.col(c) / radius) + shift).cast("long")
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    left = mine.select(*PLAYER, "x", "y").distinct().withColumn("_i", around).withColumn("_k", around)
+    left = left.select(*PLAYER, "x", "y", (cell("x") + F.col("_i")).alias("cx"), (cell("y") + F.col("_k")).alias("cy"))
+    right = grid.select("server_id", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j")).distinct()
+    right = right.withColumn("cx", cell("x_j")).withColumn("cy", cell("y_j"))
+    near = left.join(right, ["server_id", "cx", "cy"]).filter((F.col("player_id") != F.col("player_id_j")) & (square() <= radius * radius))
+    best = near.groupBy(*PLAYER, "player_id_j").agg(F.min(square()).alias("distance2"))
+    order = W.partitionBy(*PLAYER).orderBy("distance2", "player_id_j")
+    return best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def summary(rows: DataFrame, kind: str, value: str, flag_at: float) -> DataFrame:
+    """(kind, n, mean, most, p90, flagged): how a score is spread in each kind of player."""
+    v = F.col(value)
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("most"), F.percentile(v, 0.9).alias("p90"), F.median(v).alias("middle"), F.avg((v >= flag_at).cast("double")).alias("flagged"))

@@ -601,3 +601,22 @@ def a13_parse_health(spark, sf_dir):
     from .sources.text import parse
 
     return T.parse_health(parse(responses(spark, sf_dir))).drop("errors")
+
+
+@query(on_events("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS middle, round(avg(CASE WHEN value >= 60 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS flagged FROM e GROUP BY 1"))
+def a15_summary(spark, sf_dir):
+    rows = T.summary(events(spark, sf_dir), "event_type", "value", 60.0)
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "p90", "middle", "flagged")})
+
+
+@query(with_(G.HEAD_SQL) + ", tr AS (SELECT a.server_id, a.player_id, a.idx, a.dx, a.dy, b.player_id AS j, b.x - a.x AS rx, b.y - a.y AS ry, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d FROM head a JOIN grid b ON a.server_id = b.server_id AND a.idx = b.idx AND a.player_id <> b.player_id WHERE a.moving AND a.idx % 12 = 0), tm AS (SELECT *, row_number() OVER (PARTITION BY server_id, player_id, idx ORDER BY d, j) AS n FROM tr) SELECT server_id, player_id, idx, j AS player_id_j, round((rx * dx + ry * dy) / nullif(sqrt(d * (dx * dx + dy * dy)), 0), 8) AS cos FROM tm WHERE n = 1")
+def w18_tracking(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    mine = G.headings(g, R).filter("moving and idx % 12 = 0").select("server_id", "idx", "player_id", "x", "y", "dx", "dy")
+    return T.tracking(G.pairs(mine, g.select("server_id", "idx", "player_id", "x", "y"))).withColumn("cos", F.round("cos", 8))
+
+
+@query(with_() + ", na AS (SELECT DISTINCT server_id, player_id, x, y FROM grid WHERE idx % 60 = 0 AND player_id LIKE '%0'), nb AS (SELECT DISTINCT server_id, player_id, x, y FROM grid WHERE idx % 60 = 0), nc AS (SELECT a.server_id, a.player_id, b.player_id AS player_id_j, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance2 FROM na a JOIN nb b ON a.server_id = b.server_id AND a.player_id <> b.player_id GROUP BY 1, 2, 3) SELECT server_id, player_id, player_id_j, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY server_id, player_id ORDER BY distance2, player_id_j) AS n FROM nc WHERE distance2 <= 250000) WHERE n <= 8")
+def j11_nearest_approach(spark, sf_dir):
+    g = grid(spark, sf_dir).filter("idx % 60 = 0")
+    return T.nearest_approach(g.filter(F.col("player_id").endswith("0")), g, 500.0, 8)
