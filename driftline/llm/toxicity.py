@@ -138,10 +138,11 @@ def vectors(hits: list, size: int):
     return x
 
 
-def train_linear(x, target, decay: float = 2e-4, steps: int = 800):
+def train_linear(x, target, decay: float = 2e-4, steps: int = 400):
     """Logistic regression on soft labels, by accelerated gradient steps."""
     import numpy as np
 
+    x = x.astype(np.float64)
     step = 4 / (np.square(x).sum(axis=1).max() + 1e-6)
     w = v = np.zeros(x.shape[1])
     for k in range(steps):
