@@ -18,7 +18,7 @@ from .common import partitions, table
 
 WINDOW, KMER = 20, 6
 #: Text bytes that are worked on at once, paths gathered before equal ones are combined, buckets per shuffle partition.
-SLICE, COMBINE, FINE = 2_000_000, 400_000, 8
+SLICE, COMBINE, FINE = 2_000_000, 400_000, 2
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 
