@@ -12,6 +12,8 @@ SHARE = 1.5
 EPOCHS = 2
 #: Documents of a source that are dealt to one sampling bucket, on average.
 BUCKET_DOCS = 2048
+#: Parts a source is dealt to when its documents meet its target.
+SALTS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -51,7 +53,7 @@ def mix(docs: DataFrame, seed: int = 17, carry: tuple = (), **params) -> DataFra
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), *[F.col(c).alias(f"_c_{c}") for c in carry], word_count(F.col("text")).alias("size"))
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    rows = _with_targets(rows, targets(sizes, **params))
+    rows = _with_targets(rows, targets(sizes, **params), seed)
     rows = rows.withColumn("_bucket", draw(F.col("doc_id"), seed, "b") % F.col("_buckets")).withColumn("_order", draw(F.col("doc_id"), seed, "o"))
     bucket = Window.partitionBy("_key", "_bucket")
     ordered = bucket.orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,10 +64,12 @@ def mix(docs: DataFrame, seed: int = 17, carry: tuple = (), **params) -> DataFra
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 
-def _with_targets(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """One row per source on the right; Spark broadcasts it where it is below its threshold and splits hot keys else."""
+def _with_targets(rows: DataFrame, by_source: DataFrame, seed: int) -> DataFrame:
+    """Joins each document with its source's row, which is repeated for every salt so that a hot source is spread."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    return rows.withColumn("_key", key).drop("source").join(by_source.withColumn("_key", key).drop("source"), "_key")
+    rows = rows.withColumn("_key", key).withColumn("_salt", draw(F.col("doc_id"), seed, "s") % SALTS).drop("source")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.join(by_source.withColumn("_key", key).withColumn("_salt", salts).drop("source"), ["_key", "_salt"]).drop("_salt")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
