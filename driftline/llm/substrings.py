@@ -212,7 +212,6 @@ def opened(column, types):
 
 
 ROW = ("<i8", "<i8", "<i8", "<i4")
-MARK = ("<i8", "<i4")
 
 
 def emit_rows(m, h, doc, pos, buckets: int):
@@ -252,14 +251,16 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         m, doc, pos = m[keep], doc[keep], pos[keep]
         same = np.concatenate([[False], m[1:] == m[:-1], [False]])
         branching = same[1:] | same[:-1]
-        return pa.Table.from_batches([blobs(np.mod(hash_long(doc), n), [doc, pos * np.int32(2) + branching.astype("<i4")])])
+        bucket, mark = np.mod(hash_long(doc), n), pos * np.int32(2) + branching.astype("int32")
+        order = np.lexsort((mark, doc, bucket))
+        return pa.table({"bucket": bucket[order], "doc": doc[order], "mark": mark[order]})
 
     def windows(docs_, marks):
         """The single windows of the branching first paths of a bucket's documents."""
         import numpy as np
         import pyarrow as pa
 
-        doc, mark = opened(marks.column("blob"), MARK)
+        doc, mark = marks.column("doc").to_numpy(), marks.column("mark").to_numpy().astype(np.int64)
         pick = mark % 2 == 1
         wanted = np.unique(np.stack([doc[pick], mark[pick] // 2]), axis=1)
         out, kernel = [], Kernel()
@@ -288,7 +289,7 @@ def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         return pa.table({"bucket": np.mod(hash_long(doc[keep]), n), "doc": doc[keep], "pos": pos[keep]})
 
     by_bucket = docs.select(F.col("doc_id"), F.col("text")).withColumn("bucket", bucket_of(F.col("doc_id"), n))
-    path_marks = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(paths, blob).groupBy("bucket").applyInArrow(lambda t: first_paths(t), blob)
+    path_marks = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(paths, blob).groupBy("bucket").applyInArrow(lambda t: first_paths(t), "bucket long, doc long, mark int")
     singles = by_bucket.groupBy("bucket").cogroup(path_marks.groupBy("bucket")).applyInArrow(lambda a, b: windows(a, b), "bucket long, m long, h long, doc long, pos int")
     window_marks = singles.groupBy("bucket").applyInArrow(lambda t: first_windows(t), "bucket long, doc long, pos int")
     marks = path_marks.unionByName(window_marks, allowMissingColumns=True)
@@ -332,7 +333,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        path = opened(marks_.column("blob").drop_null(), MARK)
+        paths = marks_.filter(pc.is_valid(marks_.column("mark")))
+        path = paths.column("doc").to_numpy(), paths.column("mark").to_numpy().astype(np.int64)
         firsts_ = np.unique(np.stack([path[0], path[1] // 2]), axis=1)
         odd = path[1] % 2 == 1
         branching = np.unique(np.stack([path[0][odd], path[1][odd] // 2]), axis=1)
