@@ -12,7 +12,9 @@ from .common import partitions, table
 
 K = 20
 #: Width of the error bound in standard deviations of an estimate, and the seed of the rotation.
-SIGMAS, SEED = 2.2, 11
+SIGMAS, SEED = 4.0, 11
+#: Added to the error bound, as estimates are in single precision.
+ROUNDING = 1e-5
 
 
 def rotation(width: int, seed: int = SEED):
@@ -44,26 +46,29 @@ def search(width: int, k: int):
         lengths = np.linalg.norm(queries, axis=1)
         turned = (queries / lengths[:, None]) @ turn
         best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-        bound = np.full(len(queries), -np.inf)
         for ids, data in shards:
             codes, norms, own = encode(data, turn)
             signs = (np.unpackbits(codes, axis=1, count=width).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(width))
             near = turned.astype(np.float32) @ signs.T
-            error = SIGMAS * np.sqrt(np.maximum(0.0, 1 - own**2) / max(1, width - 1)) / own
+            error = SIGMAS * np.sqrt(np.maximum(0.0, 1 - own**2) / max(1, width - 1)) / own + ROUNDING
             middle = near / own
             high = (middle + error) * norms * lengths[:, None]
-            low = (middle - error) * norms * lengths[:, None]
             other = ids[None, :] != query_ids[:, None]
-            low[~other] = -np.inf
-            if len(ids) > k and np.isneginf(bound).any():
-                bound = np.maximum(bound, -np.partition(-low, k - 1, axis=1)[:, k - 1])
-            rows, columns = np.nonzero((high >= bound[:, None]) & other)
+            least = kth(best, len(queries), k)
+            may = other & (high >= least[:, None])
+            new = np.nonzero(np.isneginf(least))[0]
+            if len(ids) > k and len(new):
+                picks = np.argpartition(np.where(other[new], -middle[new] * norms, np.inf), k - 1, axis=1)[:, :k]
+                others = np.take_along_axis(other[new], picks, axis=1)
+                least[new] = np.where(others, np.einsum("ij,ikj->ik", queries[new], data[picks]), -np.inf).min(axis=1)
+                may[new] &= high[new] >= least[new, None]
+                may[new[:, None], picks] = others
+            rows, columns = np.nonzero(may)
             for a in range(0, len(rows), 1 << 16):
                 r, c = rows[a : a + (1 << 16)], columns[a : a + (1 << 16)]
                 scores = np.einsum("ij,ij->i", queries[r], data[c])
-                fit = scores >= bound[r]
+                fit = scores >= kth(best, len(queries), k)[r]
                 best = top_merge(tuple(np.concatenate(x) for x in zip(best, (r[fit], ids[c[fit]], scores[fit]), strict=True)), k)
-            bound = np.maximum(bound, kth(best, len(queries), k))
         rows, ids, scores = best
         yield {"query_id": query_ids[rows], "vec_id": ids, "score": scores}
 
@@ -74,8 +79,9 @@ def neighbours(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, the k rows of largest inner product found.
 
     Every row is encoded and estimated: code and correction scalars of a candidate give an estimate whose error is
-    bounded by SIGMAS deviations, and only candidates whose upper bound reaches the kth lower bound (or the kth exact
-    score so far) are scored exactly, in double precision. Null, zero and non-finite vectors take no part; shorter
+    bounded by SIGMAS deviations, and only candidates whose upper bound reaches the kth exact score so far are scored
+    exactly, in double precision. While a query has no kth score, the k candidates of highest estimate are scored first
+    and always kept as candidates, so each query gets k rows where the table has them. Null, zero and non-finite vectors take no part; shorter
     ones are filled up with zeros; a null vec_id takes no part; of rows that share an id, each is a candidate. Ties go
     to the smaller id. Scores are exact, what is found may rarely miss one (see the tests for the recall).
     """

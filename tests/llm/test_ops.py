@@ -172,6 +172,23 @@ def test_ann_recall(spark):
     assert run(ann.op4_ann, spark, embeddings=df.filter("false")) == []
 
 
+def test_ann_fills_every_query_among_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6000, 64))
+    x[:4000] = np.repeat(rng.standard_normal((80, 64)), 50, axis=0)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("float32").astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df, 6).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    hit = 0
+    for q in range(0, 6000, 6):
+        s = np.delete(x @ x[q], q)
+        hit += sum(v >= np.sort(s)[-20] - 1e-9 for v in got.get(q, []))
+    assert [len(got.get(q, [])) for q in range(0, 6000, 6)] == [20] * 1000
+    assert hit / 20_000 >= 0.995
+
+
 def test_topk_is_exact(spark):
     df, x = vectors(spark)
     v = np.floor(256 * x).astype(int)
