@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..rules import Rules
 from .grid import PLAYER, pairs, square
+from .state import Table
 
 
 def trailing_mean(rows: DataFrame, value: str, steps: int, keys: tuple = PLAYER) -> Column:
@@ -95,6 +96,10 @@ def health_sum(parts: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
     return sums.join(maps, keys, "left") if keys else sums.join(maps)
 
 
+#: Small cells to the side of a large one in nearest_approach.
+BOXES = 8
+
+
 def tracking(rows: DataFrame) -> DataFrame:
     """(server_id, player_id, idx, player_id_j, cos): the nearest other at each step of a moving player, and the cosine of heading for them."""
     near = rows.withColumn("_d", square())
@@ -107,16 +112,31 @@ def tracking(rows: DataFrame) -> DataFrame:
 def nearest_approach(mine: DataFrame, grid: DataFrame, radius: float, most: int) -> DataFrame:
     """(server_id, player_id, player_id_j, distance2): who ever came how near to where a player ever was, at any times.
 
-    The plane is cut into cells of the radius; points meet those of their own and the eight cells around.
+    Each track is cut into boxes, the points of a small cell of the plane. Boxes meet those of their own and the eight
+    large cells around, a radius wide. Two boxes are at least their gap apart, and the tracks at most as far as any
+    point of one from any of the other: only boxes whose gap doesn't exceed that and the radius are compared point by
+    point, so nothing is lost. Points that aren't finite take no part.
     """
-    cell = lambda c, shift=0: (F.floor(F.col(c) / radius) + shift).cast("long")
+    side = radius * (1 + 1e-9) / BOXES
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    points = lambda g: g.filter(finite).select(*PLAYER, "x", "y").distinct().withColumn("bx", cell("x")).withColumn("by", cell("y"))
+    ends = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("least_", F.min), ("most_", F.max))]
+    boxes = lambda rows: rows.groupBy(*PLAYER, "bx", "by").agg(*ends, F.min(F.struct("x", "y")).alias("p")).select("*", "p.x", "p.y").drop("p")
+    other = lambda rows: rows.select("server_id", *[F.col(c).alias(f"{c}_j") for c in rows.columns if c != "server_id"])
+    left, right = points(mine), points(grid)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    left = mine.select(*PLAYER, "x", "y").distinct().withColumn("_i", around).withColumn("_k", around)
-    left = left.select(*PLAYER, "x", "y", (cell("x") + F.col("_i")).alias("cx"), (cell("y") + F.col("_k")).alias("cy"))
-    right = grid.select("server_id", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j")).distinct()
-    right = right.withColumn("cx", cell("x_j")).withColumn("cy", cell("y_j"))
-    near = left.join(right, ["server_id", "cx", "cy"]).filter((F.col("player_id") != F.col("player_id_j")) & (square() <= radius * radius))
-    best = near.groupBy(*PLAYER, "player_id_j").agg(F.min(square()).alias("distance2"))
+    large = lambda c: F.floor(F.col(c) / BOXES).cast("long")
+    ours = boxes(left).withColumn("_i", around).withColumn("_k", around).withColumn("cx", large("bx") + F.col("_i")).withColumn("cy", large("by") + F.col("_k")).drop("_i", "_k")
+    theirs = other(boxes(right)).withColumn("cx", large("bx_j")).withColumn("cy", large("by_j"))
+    gap = lambda c: F.greatest(F.col(f"least_{c}_j") - F.col(f"most_{c}"), F.col(f"least_{c}") - F.col(f"most_{c}_j"), F.lit(0.0))
+    met = ours.join(theirs, ["server_id", "cx", "cy"]).filter(F.col("player_id") != F.col("player_id_j"))
+    met = met.withColumn("gap2", gap("x") * gap("x") + gap("y") * gap("y")).filter(F.col("gap2") <= radius * radius)
+    pair = [*PLAYER, "player_id_j"]
+    bound = Table(met.groupBy(*pair).agg(F.min(square()).alias("bound"))).df
+    open_ = met.select(*pair, "bx", "by", "bx_j", "by_j", "gap2").join(bound, pair).filter("gap2 <= bound").drop("gap2", "bound")
+    near = open_.join(left, [*PLAYER, "bx", "by"]).join(other(right), ["server_id", "player_id_j", "bx_j", "by_j"]).filter(square() <= radius * radius)
+    best = near.groupBy(*pair).agg(F.min(square()).alias("distance2"))
     order = W.partitionBy(*PLAYER).orderBy("distance2", "player_id_j")
     return best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
 

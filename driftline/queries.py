@@ -620,3 +620,10 @@ def w18_tracking(spark, sf_dir):
 def j11_nearest_approach(spark, sf_dir):
     g = grid(spark, sf_dir).filter("idx % 60 = 0")
     return T.nearest_approach(g.filter(F.col("player_id").endswith("0")), g, 500.0, 8)
+
+
+# ---- the whole job of queries above that keep some steps only, as their SQL does ----
+@query(with_() + ", na AS (SELECT DISTINCT server_id, player_id, x, y FROM grid), nc AS (SELECT a.server_id, a.player_id, b.player_id AS player_id_j, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance2 FROM na a JOIN na b ON a.server_id = b.server_id AND a.player_id <> b.player_id GROUP BY 1, 2, 3) SELECT server_id, player_id, player_id_j, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY server_id, player_id ORDER BY distance2, player_id_j) AS n FROM nc WHERE distance2 <= 250000) WHERE n <= 8")
+def j11_nearest_approach_all(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return T.nearest_approach(g, g, 500.0, 8)

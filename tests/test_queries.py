@@ -34,3 +34,28 @@ def test_query_equals_sql(spark, duck, name):
     want = [tuple(plain(r[i]) for i in order) for r in result.fetchall()]
     assert sorted(frame.columns) == sorted(result.columns)
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.fixture(scope="session")
+def few(spark, tmp_path_factory):
+    """A folder with the events of four players whose ids don't end in 0, and their grid."""
+    folder = str(tmp_path_factory.mktemp("few"))
+    spark.read.parquet(f"{DATA}/events.parquet").filter("user_id in (1, 2, 3, 4) and event_id % 3 = 0").write.parquet(f"{folder}/events.parquet")
+    tracks = {}
+    for r in Q.QUERIES["w1_resample"](spark, folder).collect():
+        tracks.setdefault((r["server_id"], r["player_id"]), {})[r["idx"]] = (r["x"], r["y"])
+    return folder, tracks
+
+
+def test_nearest_approach_takes_every_point_and_player(spark, few):
+    folder, tracks = few
+    want = {}
+    for a, mine in tracks.items():
+        for b, others in tracks.items():
+            if a[0] == b[0] and a != b:
+                least = min((u - x) * (u - x) + (v - y) * (v - y) for x, y in set(mine.values()) for u, v in set(others.values()))
+                if least <= 250000:
+                    want[(*a, b[1])] = least
+    got = Q.QUERIES["j11_nearest_approach_all"](spark, folder).collect()
+    assert {r["player_id"] for r in got} == {p for _, p in tracks} and want
+    assert {(r["server_id"], r["player_id"], r["player_id_j"]): r["distance2"] for r in got} == want and len(got) == len(want)
