@@ -59,3 +59,16 @@ def test_nearest_approach_takes_every_point_and_player(spark, few):
     got = Q.QUERIES["j11_nearest_approach_all"](spark, folder).collect()
     assert {r["player_id"] for r in got} == {p for _, p in tracks} and want
     assert {(r["server_id"], r["player_id"], r["player_id_j"]): r["distance2"] for r in got} == want and len(got) == len(want)
+
+
+def test_tracking_has_every_moving_step(spark, few):
+    folder, tracks = few
+    want = set()
+    for (server, player), mine in tracks.items():
+        others = [t for (s, p), t in tracks.items() if s == server and p != player]
+        for idx, (x, y) in mine.items():
+            ahead = mine.get(idx + 3)
+            if ahead and (ahead[0] - x) ** 2 + (ahead[1] - y) ** 2 >= 506.25 and any(idx in t for t in others):
+                want.add((server, player, idx))
+    got = [(r["server_id"], r["player_id"], r["idx"]) for r in Q.QUERIES["w18_tracking_all"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and any(idx % 12 for _, _, idx in want)
