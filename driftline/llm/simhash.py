@@ -19,7 +19,7 @@ ROUNDS = 60
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of each row; a null or wordless text has 0."""
+    """(doc_id, fp, text_hash) of each row, the fingerprint as a signed long; a null or wordless text has 0."""
 
     def hashed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -46,9 +46,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     bits = np.unpackbits(hashes[a : a + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     counts += bits.sum(axis=0, dtype=np.int64)
                 out[row] = weights[counts * 2 > len(hashes)].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text")).mapInArrow(hashed, "doc_id long, fp long, text_hash long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -114,6 +114,14 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components not settled in {ROUNDS} rounds")
 
 
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, first, label): its smallest doc_id and the label of its component."""
+    prints = cut(fingerprints(docs))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    labels = components(links(firsts.select("fp")))
+    return prints, firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row; the component is the smallest doc_id reachable by links.
 
@@ -121,10 +129,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and wordless texts have fingerprint 0, linked like any other. Repeated rows are answered each; a null doc_id
     counts as larger than any other. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(firsts.select("fp")))
-    groups = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    prints, groups = grouped(docs)
     least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = groups.join(least, "label").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
@@ -140,8 +145,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; of rows that share that id, one."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    """Pipeline stage: of each component one row stays, that with the smallest id; null ids come last.
+
+    Of rows that share that id the one with the least hash of its text stays. Ids need not be there or differ: components
+    are told apart by their labels, and rows are found again by id and hash.
+    """
+    prints, groups = grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    kept = prints.join(groups.select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__kept"))
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
+    first = Window.partitionBy("doc_id", "__hash").orderBy("text")
     return rows.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*docs.columns)

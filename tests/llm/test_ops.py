@@ -375,3 +375,14 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns
     want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_dedup_keeps_a_row_of_each_component_whatever_its_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(12)]
+    ids = [None] * 5 + [7] * 3 + [1, 2, 3, 4]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (None, texts[8]), (9, texts[1]), (7, texts[9]), (0, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {texts[i]: d for i, d in enumerate(ids)} | {texts[1]: 9, texts[5]: 0}
+    got = [(r["text"], r["doc_id"]) for r in simhash.dedup_stage(spark, docs, DATA).collect()]
+    assert len(got) == len(want) and dict(got) == want
