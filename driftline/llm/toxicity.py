@@ -12,8 +12,8 @@ from .common import held_out, table
 
 #: Labelled documents that the models are fitted on, at most (chosen by a hash of the id).
 SAMPLE = 10_000
-#: Features kept, voters they are dealt to by kind, lengths of the word beginnings that count as patterns.
-FEATURES, VOTERS, STEMS = 600, 6, (4, 5, 6, 7, 8)
+#: Voters that features are dealt to by kind, lengths of the word beginnings that count as patterns.
+VOTERS, STEMS = 6, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 #: Least share of toxic rows among those that have a feature.
 PRECISION = 0.9
@@ -35,7 +35,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
 
-def select_features(train: DataFrame, features: int = FEATURES):
+def select_features(train: DataFrame):
     """Words and word beginnings that mark toxic texts, strongest first, and the share of toxic rows.
 
     A feature's likelihood ratio against the base rate must exceed the logarithm of the number of features tried and a
@@ -62,7 +62,7 @@ def select_features(train: DataFrame, features: int = FEATURES):
     gain = F.col("p") * F.log(here / rate) + F.when(F.col("q") > 0, F.col("q") * F.log((1 - here) / (1 - rate))).otherwise(0.0)
     scored = counts.filter("p > 0").withColumn("gain", gain).filter(here >= PRECISION)
     tried = counts.count()
-    rows = scored.filter(F.col("gain") > F.log(F.lit(float(tried + 1))) + 3).orderBy(F.desc("gain"), "f").limit(features).collect()
+    rows = scored.filter(F.col("gain") > F.log(F.lit(float(tried + 1))) + 3).orderBy(F.desc("gain"), "f").collect()
     return [r["f"] for r in rows], rate
 
 

@@ -386,3 +386,11 @@ def test_dedup_keeps_a_row_of_each_component_whatever_its_id(spark):
     want = {texts[i]: d for i, d in enumerate(ids)} | {texts[1]: 9, texts[5]: 0}
     got = [(r["text"], r["doc_id"]) for r in simhash.dedup_stage(spark, docs, DATA).collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_toxicity_takes_a_large_lexicon_whole(spark):
+    rng = random.Random(5)
+    bad, plain = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(150)], [f"plain{c}" for c in "abcdefghij"]
+    rows = [(" ".join(rng.choices(plain, k=20) + (rng.sample(bad, 12) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(2000)]
+    found, _ = toxicity.select_features(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {toxicity.features_of(w)[0] for w in bad} <= set(found) and len(found) > 600
