@@ -1,380 +1,342 @@
-"""Substring dedup: repeated 20-word windows found in a compacted De Bruijn graph of word k-mers.
+"""Substring dedup on a De Bruijn graph of words: 20-word windows are its edges, repeated paths are compacted and verified.
 
-The windows are the edges of the graph, the words in front and behind their nodes. Each window is put down to one
-short k-mer in it, the one with the least hash, so consecutive windows with the same k-mer make a path, which is kept
-as one row: (k-mer, hash of all its words, document, position). Equal windows always have the same k-mer at the same
-place. So a k-mer that is followed and preceded by the same words wherever it stands (a nonbranching path) needs no
-more than the first of its equal rows; only paths whose k-mer branches are expanded to their single windows.
+An edge is a window; the nodes between two edges are the 19 words they share. Only edges that may repeat become rows:
+each window has an anchor, the 10-word run in it with the least hash, and equal windows have equal anchors, so a window
+whose anchor stands once in the corpus can't repeat. Repeated edges point to the coordinates (document, word) of their
+first occurrence. Where two neighbours point to neighbours the node between them doesn't branch, and such runs are
+compacted to one path. Every path is then compared word by word with the text at its source coordinates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import Kept, partitions, table
 
-WINDOW, KMER = 20, 6
-#: Text bytes that are worked on at once, paths gathered before equal ones are combined, buckets per shuffle partition.
-SLICE, COMBINE, FINE = 2_000_000, 400_000, 2
+WINDOW, ANCHOR = 20, 10
+#: Words hashed at once, rows gathered in a task before equal ones are combined, words to a block of verified source text.
+SLICE, COMBINE, BLOCK = 500_000, 1_000_000, 64
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
+AT = ["doc", "copy"]
+SOURCE = ["sdoc", "scopy", "spos"]
 
 
-class Kernel:
-    """Array arithmetic over the words of many documents at once."""
-
-    def __init__(self):
-        import numpy as np
-
-        rng = np.random.default_rng(20)
-        self.bytes = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.blank = np.zeros(256, dtype=bool)
-        self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
-        self.powers: list = []
-
-    def power(self, n: int) -> list:
-        """Powers of each base and of its inverse, modulo 2^64, up to n of them."""
-        import numpy as np
-
-        if not self.powers or len(self.powers[0]) < n:
-            n = max(n, SLICE + 1)
-            both = [x for b in self.bases for x in (b, pow(b, -1, 1 << 64))]
-            self.powers = [np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n, b, dtype=np.uint64))]) for b in both]
-        return self.powers
-
-    @staticmethod
-    def mix(x):
-        import numpy as np
-
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-    def words(self, data, offsets):
-        """Hash of each word, and the number of words up to each document's begin. offsets start at 0."""
-        import numpy as np
-
-        blank = self.blank[data]
-        before, after = np.empty_like(blank), np.empty_like(blank)
-        before[1:], after[:-1] = blank[:-1], blank[1:]
-        full = offsets[:-1] < offsets[1:]
-        before[offsets[:-1][full]] = True
-        after[offsets[1:][full] - 1] = True
-        starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-        powers = self.power(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.bytes[data] * powers[0][: len(data)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * powers[1][starts]
-        return self.mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
-
-    def rolling(self, hashes):
-        """Two running sums from which the hash of any run of words comes."""
-        import numpy as np
-
-        powers = self.power(len(hashes) + 1)
-        out = []
-        for b, h in ((2, hashes), (4, self.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))):
-            sums = np.zeros(len(h) + 1, dtype=np.uint64)
-            np.cumsum(h * powers[b][: len(h)], out=sums[1:])
-            out.append((sums, powers[b + 1]))
-        return out
-
-    def run(self, rolled, start, end):
-        sums, inverse = rolled
-        return self.mix((sums[end] - sums[start]) * inverse[start])
+def mix(x):
+    """A fixed permutation of 64-bit numbers that spreads every bit."""
+    import numpy as np
 
-    def paths(self, data, offsets):
-        """The paths of all documents: dict of arrays, one row a path, ordered by document and position.
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        first, last: its windows' first words, counted over all documents; m, h: the two hashes; doc: the document.
-        """
-        import numpy as np
 
-        hashes, bounds = self.words(data, offsets)
-        rolled = self.rolling(hashes)
-        n = len(hashes)
-        none = np.zeros(0, dtype=np.int64)
-        if n < WINDOW:
-            return {"first": none, "last": none, "m": none, "h": none, "doc": none, "bounds": bounds, "rolled": rolled}
-        at = np.arange(n - KMER + 1)
-        kmers = self.run(rolled[0], at, at + KMER)
-        order = self.mix(kmers) & ~np.uint64(15)
-        size = n - WINDOW + 1
-        best = order[:size].copy()
-        for j in range(1, WINDOW - KMER + 1):
-            np.minimum(best, order[j : j + size] | np.uint64(j), out=best)
-        least = np.arange(size) + (best & np.uint64(15)).astype(np.int64)
-        counts = np.diff(bounds)
-        whole = np.zeros(size, dtype=bool)
-        edge = np.zeros(size + 1, dtype=np.int32)
-        long = counts >= WINDOW
-        np.add.at(edge, bounds[:-1][long], 1)
-        np.add.at(edge, bounds[1:][long] - WINDOW + 1, -1)
-        whole = np.cumsum(edge[:size]) > 0
-        starts = np.flatnonzero(whole)
-        if not len(starts):
-            return {"first": none, "last": none, "m": none, "h": none, "doc": none, "bounds": bounds, "rolled": rolled}
-        least = least[starts]
-        doc = np.repeat(np.arange(len(counts))[long], counts[long] - WINDOW + 1)
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
-        first = starts[new]
-        last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
-        m = kmers[least[new]]
-        h = self.run(rolled[1], first, last + WINDOW) + (last - first).astype(np.uint64)
-        return {"first": first, "last": last, "m": m.view(np.int64), "h": h.view(np.int64), "doc": doc[new], "bounds": bounds, "rolled": rolled}
-
-
-def slices(ids, texts) -> Iterator:
-    """(first row, ids, bytes, offsets) of runs of rows of about SLICE bytes; nulls count as empty."""
+def rolled(words, n: int):
+    """Hash of each run of n words, from the hashes of the words."""
     import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    row = 0
-    while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
-        yield row, ids[row:to], data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
-        row = to
 
+    size = max(0, len(words) - n + 1)
+    out = np.zeros(size, dtype=np.uint64)
+    for j in range(n):
+        out = (out ^ words[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
-def id_array(column):
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
 
 
-def hash_long(x, seed: int = 42):
-    """Spark's xxhash64 of longs."""
+def hashed(batches: Iterator, extra: bool = False) -> Iterator:
+    """(doc, copy, runs, word hashes, bounds) of runs of rows of about SLICE words. Columns: doc, copy, text, and runs."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest as digest
+
+    def joined():
+        return np.array(docs, dtype=np.int64), np.array(copies, dtype=np.int64), runs, np.concatenate(hashes), np.cumsum([0, *map(len, hashes)])
+
+    docs, copies, runs, hashes, size = [], [], [], [], 0
+    for batch in batches:
+        ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, text in enumerate(batch.column(2)):
+            words = words_of(text.as_py())
+            hashes.append(np.fromiter(map(digest, words), dtype=np.uint64, count=len(words)))
+            docs.append(ids[row])
+            copies.append(marks[row])
+            if extra:
+                runs.append(batch.column(3)[row])
+            size += len(words)
+            if size >= SLICE:
+                yield joined()
+                docs, copies, runs, hashes, size = [], [], [], [], 0
+    if docs:
+        yield joined()
+
+
+def anchored(words, bounds):
+    """Runs of windows with the same anchor: (anchor hash, row, first, last window), words counted over all rows."""
     import numpy as np
 
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.uint64(seed) + p5 + np.uint64(8) ^ turn(x.view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
+    size, counts = len(words) - WINDOW + 1, np.diff(bounds)
+    none = np.zeros(0, dtype=np.int64)
+    long = counts >= WINDOW
+    if not long.any():
+        return none.astype(np.uint64), none, none, none
+    hashes = rolled(words, ANCHOR)
+    # the lowest bits give way to the place in the window, so the least value names the leftmost of equal runs
+    order = hashes & ~np.uint64(15)
+    best = order[:size].copy()
+    for j in range(1, WINDOW - ANCHOR + 1):
+        np.minimum(best, order[j : j + size] | np.uint64(j), out=best)
+    row = np.repeat(np.flatnonzero(long), counts[long] - WINDOW + 1)
+    starts = np.arange(len(row)) - np.repeat(np.cumsum(counts[long] - WINDOW + 1) - (counts[long] - WINDOW + 1), counts[long] - WINDOW + 1) + bounds[row]
+    least = starts + (best[starts] & np.uint64(15)).astype(np.int64)
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
+    first = starts[new]
+    last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
+    return hashes[least[new]], row[new], first, last
+
+
+def ranks(*keys):
+    """Order by the keys (the first is the group's), each row's rank within its group, and where its group begins."""
+    import numpy as np
 
-def bucket_of(doc_id: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(NO_ID))), F.lit(n).cast("long"))
+    order = np.lexsort(keys[::-1])
+    group = keys[0][order]
+    new = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+    return order, np.arange(len(group)) - begin, begin
 
 
-def firsts(m, h, doc, pos):
-    """Indexes of the first (document, position) of each (m, h), in the order of (m, h)."""
+def gathered(parts: Iterator, emit) -> Iterator:
+    """Emits the columns of parts combined, whenever there are COMBINE rows."""
     import numpy as np
 
-    order = np.lexsort((pos, doc, h, m))
-    m, h = m[order], h[order]
-    return order[np.concatenate([[True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])])] if len(order) else order
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= COMBINE:
+            yield emit(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield emit(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def blobs(bucket, columns):
-    """One record batch: a row per bucket with each column's values as bytes."""
-    import numpy as np
+def batch_of(**columns):
     import pyarrow as pa
 
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
-    columns = [c[order] for c in columns]
-    rows = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def opened(column, types):
-    """The columns of all blobs of a column, joined."""
+def anchors(batches: Iterator) -> Iterator:
+    """Rows of (key, salt, again, doc, copy, first, last). Of equal anchors met by a task one has salt 0; the others, which
+    repeat for certain, are spread by theirs, so that a frequent anchor makes no large group."""
     import numpy as np
 
-    width = sum(np.dtype(t).itemsize for t in types)
-    parts = [[np.zeros(0, dtype=t)] for t in types]
-    for blob in column:
-        data = np.frombuffer(blob.as_buffer(), dtype=np.uint8)
-        n, at = len(data) // width, 0
-        for t, out in zip(types, parts, strict=True):
-            size = n * np.dtype(t).itemsize
-            out.append(data[at : at + size].view(t) if at % np.dtype(t).itemsize == 0 else np.frombuffer(data[at : at + size].tobytes(), dtype=t))
-            at += size
-    return [np.concatenate(p) for p in parts]
+    def emit(key, doc, copy, first, last):
+        order, rank, begin = ranks(key)
+        size = np.bincount(begin, minlength=len(begin))[begin]
+        return batch_of(key=key[order].view(np.int64), salt=rank.astype(np.int32), again=size > 1, doc=doc[order], copy=copy[order], first=first[order].astype(np.int32), last=last[order].astype(np.int32))
 
+    def parts():
+        for docs, copies, _, words, bounds in hashed(batches):
+            key, row, first, last = anchored(words, bounds)
+            yield key, docs[row], copies[row], first - bounds[row], last - bounds[row]
 
-ROW = ("<i8", "<i8", "<i8", "<i4")
+    yield from gathered(parts(), emit)
 
 
-def emit_rows(m, h, doc, pos, buckets: int):
-    keep = firsts(m, h, doc, pos)
-    m, h, doc, pos = m[keep], h[keep], doc[keep], pos[keep]
-    return blobs(m % buckets, [m, h, doc, pos.astype("<i4")])
+def edges(bits: int):
+    """Rows of (key, salt, doc, copy, pos, source) of the windows in runs. Of equal edges met by a task the first has salt 0
+    and no source yet; it is the source of the others."""
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def mark_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The documents by bucket, and by bucket the marks: which paths and which single windows are the first of their kind."""
-    spark = docs.sparkSession
-    n = FINE * partitions(spark)
-    blob = "bucket long, blob binary"
+        def emit(key, doc, copy, pos):
+            order, rank, begin = ranks(key, doc, copy, pos)
+            key, doc, copy, pos = key[order], doc[order], copy[order], pos[order].astype(np.int32)
+            alone = rank == 0
+            columns = {"key": key.view(np.int64), "salt": rank.astype(np.int32), "doc": doc, "copy": copy, "pos": pos}
+            sources = {n: pa.array(c[begin], mask=alone) for n, c in zip(SOURCE, (doc, copy, pos), strict=True)}
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), *sources.values()], names=[*columns, *sources])
 
-    def paths(batches: Iterator) -> Iterator:
-        import numpy as np
+        def parts():
+            for docs, copies, runs, words, bounds in hashed(batches, extra=True):
+                flat = [np.array([(x["first"], x["last"]) for x in r.as_py()], dtype=np.int64).reshape(-1, 2) for r in runs]
+                row = np.repeat(np.arange(len(flat)), list(map(len, flat)))
+                first, last = np.concatenate(flat).T + bounds[row]
+                n = last - first + 1
+                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(row, n)
+                yield rolled(words, WINDOW)[at] >> np.uint64(64 - bits), docs[row], copies[row], at - bounds[row]
 
-        kernel, held, size = Kernel(), [], 0
-        for batch in batches:
-            for _, ids, data, offsets in slices(id_array(batch.column(0)), batch.column(1)):
-                p = kernel.paths(data, offsets)
-                held.append((p["m"], p["h"], ids[p["doc"]], p["first"] - p["bounds"][p["doc"]]))
-                size += len(p["m"])
-                if size >= COMBINE:
-                    yield emit_rows(*map(np.concatenate, zip(*held, strict=True)), n)
-                    held, size = [], 0
-        if size:
-            yield emit_rows(*map(np.concatenate, zip(*held, strict=True)), n)
-
-    def first_paths(rows):
-        """Of each path the first, and whether its k-mer branches, as marks: position x 2 + branching."""
-        import numpy as np
-        import pyarrow as pa
+        yield from gathered(parts(), emit)
 
-        m, h, doc, pos = opened(rows.column("blob"), ROW)
-        keep = firsts(m, h, doc, pos)
-        m, doc, pos = m[keep], doc[keep], pos[keep]
-        same = np.concatenate([[False], m[1:] == m[:-1], [False]])
-        branching = same[1:] | same[:-1]
-        bucket, mark = np.mod(hash_long(doc), n), pos * np.int32(2) + branching.astype("int32")
-        order = np.lexsort((mark, doc, bucket))
-        return pa.table({"bucket": bucket[order], "doc": doc[order], "mark": mark[order]})
-
-    def windows(docs_, marks):
-        """The single windows of the branching first paths of a bucket's documents."""
-        import numpy as np
-        import pyarrow as pa
+    return run
 
-        doc, mark = marks.column("doc").to_numpy(), marks.column("mark").to_numpy().astype(np.int64)
-        pick = mark % 2 == 1
-        wanted = np.unique(np.stack([doc[pick], mark[pick] // 2]), axis=1)
-        out, kernel = [], Kernel()
-        if wanted.shape[1]:
-            has = docs_.filter(pa.array(np.isin(id_array(docs_.column("doc_id")), wanted[0])))
-            for _, ids, data, offsets in slices(id_array(has.column("doc_id")), has.column("text")):
-                p = kernel.paths(data, offsets)
-                begin = p["bounds"][p["doc"]]
-                hit = found(wanted, ids[p["doc"]], p["first"] - begin)
-                lengths = (p["last"] - p["first"] + 1)[hit]
-                at = np.repeat(p["first"][hit], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                m, h = (kernel.run(r, at, at + WINDOW).view(np.int64) for r in p["rolled"])
-                out.append((m, h, np.repeat(ids[p["doc"][hit]], lengths), at - np.repeat(begin[hit], lengths)))
-        none = [np.zeros(0, dtype=np.int64)] * 4
-        m, h, doc, pos = map(np.concatenate, zip(*out, strict=True)) if out else none
-        keep = firsts(m, h, doc, pos)
-        m, h, doc, pos = m[keep], h[keep], doc[keep], pos[keep]
-        return pa.table({"bucket": m % n, "m": m, "h": h, "doc": doc, "pos": pos.astype("int32")})
-
-    def first_windows(rows):
-        import numpy as np
-        import pyarrow as pa
 
-        m, h, doc, pos = (rows.column(c).to_numpy() for c in ("m", "h", "doc", "pos"))
-        keep = firsts(m, h, doc, pos)
-        return pa.table({"bucket": np.mod(hash_long(doc[keep]), n), "doc": doc[keep], "pos": pos[keep]})
+def quotes(source: bool):
+    """Texts of pieces of a row's words: (sdoc, scopy, block, text) of whole blocks, or pieces with what they stand for."""
 
-    by_bucket = docs.select(F.col("doc_id"), F.col("text")).withColumn("bucket", bucket_of(F.col("doc_id"), n))
-    path_marks = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(paths, blob).groupBy("bucket").applyInArrow(lambda t: first_paths(t), "bucket long, doc long, mark int")
-    singles = by_bucket.groupBy("bucket").cogroup(path_marks.groupBy("bucket")).applyInArrow(lambda a, b: windows(a, b), "bucket long, m long, h long, doc long, pos int")
-    window_marks = singles.groupBy("bucket").applyInArrow(lambda t: first_windows(t), "bucket long, doc long, pos int")
-    marks = path_marks.unionByName(window_marks, allowMissingColumns=True)
-    return by_bucket, marks, n
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: dict[str, list] = {}
+            for doc, copy, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = words_of(text.as_py())
+                for piece in wanted.as_py():
+                    if source:
+                        piece = {"sdoc": doc.as_py(), "scopy": copy.as_py(), "block": piece, "text": b" ".join(words[piece * BLOCK : (piece + 1) * BLOCK]).decode()}
+                    else:
+                        a = piece["pos"]
+                        piece |= {"doc": doc.as_py(), "copy": copy.as_py(), "text": b" ".join(words[a : a + piece["n"]]).decode()}
+                    for k, v in piece.items():
+                        out.setdefault(k, []).append(v)
+            if out:
+                names = ["sdoc", "scopy", "block", "text"] if source else ["doc", "copy", "first", "pos", "n", "sdoc", "scopy", "block", "skip", "salt", "text"]
+                types = {"text": pa.string(), "first": pa.int32(), "pos": pa.int32(), "n": pa.int32(), "block": pa.int32(), "skip": pa.int32(), "salt": pa.int32()}
+                yield pa.RecordBatch.from_arrays([pa.array(out[k], types.get(k, pa.int64())) for k in names], names=names)
+
+    return run
+
+
+def compacted(repeats: DataFrame) -> DataFrame:
+    """(doc, copy, first, last, source): maximal runs of neighbouring windows that point to neighbouring windows.
+
+    Both sides of the join of an edge with the one before it are the same rows in the same order, so it is a lag.
+    """
+    order = Window.partitionBy(*AT).orderBy("pos")
+    before = lambda c: F.lag(c).over(order)
+    goes_on = (before("pos") == F.col("pos") - 1) & (before("sdoc") == F.col("sdoc")) & (before("scopy") == F.col("scopy")) & (before("spos") == F.col("spos") - 1)
+    rows = repeats.withColumn("head", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("pos")))
+    rows = rows.withColumn("first", F.max("head").over(order))
+    return rows.groupBy(*AT, "first").agg(F.max("pos").alias("last"), F.max("sdoc").alias("sdoc"), F.max("scopy").alias("scopy"), F.min("spos").alias("spos"))
 
 
-def found(pairs, doc, pos):
-    """Which (doc, pos) are among the sorted, distinct pairs."""
-    import numpy as np
+def verified(docs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The paths with ok: whether all words equal those at the source coordinates.
 
-    docs, at = np.unique(pairs[0], return_index=True)
-    stops = np.append(at[1:], pairs.shape[1])
-    which = np.searchsorted(docs, doc)
-    which[which == len(docs)] = 0
-    out = np.zeros(len(doc), dtype=bool)
-    if not len(docs):
+    A path is cut where its source passes from one block of BLOCK words to the next. A block that many paths point to
+    is sent once for every salt, so no task has to compare all of them.
+    """
+    salts = max(1, partitions(docs.sparkSession))
+    begin, end = F.col("spos"), F.col("spos") + F.col("last") - F.col("first") + WINDOW
+
+    def piece(b):
+        a = F.greatest(begin, b * BLOCK)
+        fields = {"first": F.col("first"), "pos": F.col("first") + a - begin, "n": F.least(end, (b + 1) * BLOCK) - a, "sdoc": F.col("sdoc"), "scopy": F.col("scopy"), "block": b, "skip": a - b * BLOCK, "salt": F.pmod(F.xxhash64(*AT, "first"), F.lit(salts))}
+        types = {"sdoc": "long", "scopy": "long"}
+        return F.struct(*[c.cast(types.get(k, "int")).alias(k) for k, c in fields.items()])
+
+    blocks = F.sequence((begin / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int"))
+    pieces = paths.select(*AT, F.transform(blocks, piece).alias("p"))
+    asked = pieces.select(F.explode("p").alias("p")).select("p.sdoc", "p.scopy", "p.block", "p.salt").distinct()
+    wanted = pieces.groupBy(*AT).agg(F.flatten(F.collect_list("p")).alias("p"))
+    own = docs.join(wanted, AT).select(*AT, "text", "p").mapInArrow(quotes(False), "doc long, copy long, first int, pos int, n int, sdoc long, scopy long, block int, skip int, salt int, text string")
+    sources = asked.groupBy("sdoc", "scopy").agg(F.collect_set("block").alias("p")).select(F.col("sdoc").alias("doc"), F.col("scopy").alias("copy"), "p")
+    told = docs.join(sources, AT).select(*AT, "text", "p").mapInArrow(quotes(True), "sdoc long, scopy long, block int, text string")
+    told = told.dropDuplicates(["sdoc", "scopy", "block"]).withColumnRenamed("text", "source")
+    told = told.join(asked, ["sdoc", "scopy", "block"])
+    same = F.array_join(F.slice(F.split("source", " "), F.col("skip") + 1, F.col("n")), " ") == F.col("text")
+    judged = own.join(told, ["sdoc", "scopy", "block", "salt"]).groupBy(*AT, "first").agg(F.bool_and(same).alias("ok"))
+    return paths.join(judged, [*AT, "first"])
+
+
+def removed(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc, copy, first, last) of the runs of windows to remove, verified. docs: (doc, copy, text), rows may repeat.
+
+    Equal windows always have equal hashes, so nothing is missed. A path whose words differ from its source's (its
+    hashes collide; `bits` of them count) is not removed as such: all windows with those hashes are grouped anew, by
+    their words.
+    """
+    rows = docs.select(*AT, "text").mapInArrow(anchors, "key long, salt int, again boolean, doc long, copy long, first int, last int")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).filter(F.col("again") | (F.col("_n") > 1))
+    runs = rows.groupBy(*AT).agg(F.collect_set(F.struct("first", "last")).alias("p"))
+    found = docs.join(runs, AT).select(*AT, "text", "p").mapInArrow(edges(bits), "key long, salt int, doc long, copy long, pos int, sdoc long, scopy long, spos int")
+    order = Window.partitionBy("key", "salt").orderBy(*AT, "pos")
+    sources = [F.coalesce(F.col(s), F.first(c).over(order)).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
+    repeats = found.select("key", *AT, "pos", *sources).filter(~((F.col("doc") == F.col("sdoc")) & (F.col("copy") == F.col("scopy")) & (F.col("pos") == F.col("spos"))))
+    paths = Kept(verified(docs, compacted(repeats))).df
+    out = paths.filter("ok").select(*AT, "first", "last")
+    if paths.filter("NOT ok").isEmpty():
         return out
-    here = docs[which] == doc
-    # positions are below 2^31, so a document's number and a position make one sortable key
-    keys = np.repeat(np.arange(len(docs)), stops - at) << 32 | pairs[1]
-    mine = which << 32 | pos
-    k = np.searchsorted(keys, mine)
-    k[k == len(keys)] = 0
-    return here & (keys[k] == mine)
+    wrong = paths.filter("NOT ok").select(*AT, F.explode(F.sequence("first", "last")).alias("pos"))
+    keys = found.select("key", *AT, "pos").join(wrong, [*AT, "pos"], "left_semi").select("key").distinct()
+    return out.unionByName(regrouped(docs, found.join(keys, "key", "left_semi").select(*AT, "pos").distinct()))
+
 
+def regrouped(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc, copy, first, last) of those of the windows whose words stand earlier too, grouped by the words themselves."""
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    def texts(batches: Iterator) -> Iterator:
+        for batch in batches:
+            doc, copy, pos, text = [], [], [], []
+            for d, c, t, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = words_of(t.as_py())
+                for p in wanted.as_py():
+                    doc.append(d.as_py())
+                    copy.append(c.as_py())
+                    pos.append(p)
+                    text.append(b" ".join(words[p : p + WINDOW]).decode())
+            if doc:
+                import pyarrow as pa
+
+                yield batch_of(doc=doc, copy=copy, pos=pa.array(pos, pa.int32()), words=text)
+
+    rows = docs.join(windows.groupBy(*AT).agg(F.collect_set("pos").alias("p")), AT).select(*AT, "text", "p")
+    rows = rows.mapInArrow(texts, "doc long, copy long, pos int, words string").distinct()
+    first = rows.groupBy("words").agg(F.min(F.struct(*AT, "pos")).alias("f"))
+    later = rows.join(first, "words").filter(F.struct(*AT, "pos") != F.col("f"))
+    return later.select(*AT, F.col("pos").alias("first"), F.col("pos").alias("last"))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row, with the kept words as text if asked for.
 
     A word goes if a 20-word window over it stands earlier too: in a smaller doc_id, or earlier in the same document.
-    Windows are compared by two 64-bit hashes of their words. Null and empty texts have no words. A null doc_id counts
-    as the smallest. Rows that share a doc_id are one document: equal texts don't count as repeats of each other.
+    Null and empty texts have no words. A null doc_id counts as the smallest. Rows that share doc_id and text are one
+    document: they don't repeat each other, and each is answered. Of rows that share a doc_id only, the one with the
+    smaller hash of the text is the earlier. Other columns are not read; an empty table gives an empty result.
     """
-    by_bucket, marks, _ = mark_repeats(docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("copy"))
+    gone = removed(rows.select(*AT, "text"), bits).groupBy(*AT).agg(F.collect_set(F.struct("first", "last")).alias("p"))
 
-    def kept(docs_, marks_):
+    def kept(batches: Iterator) -> Iterator:
         import hashlib
 
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        paths = marks_.filter(pc.is_valid(marks_.column("mark")))
-        path = paths.column("doc").to_numpy(), paths.column("mark").to_numpy().astype(np.int64)
-        firsts_ = np.unique(np.stack([path[0], path[1] // 2]), axis=1)
-        odd = path[1] % 2 == 1
-        branching = np.unique(np.stack([path[0][odd], path[1][odd] // 2]), axis=1)
-        alone = marks_.filter(pc.is_valid(marks_.column("pos")))
-        singles = np.unique(np.stack([alone.column("doc").to_numpy(), alone.column("pos").to_numpy().astype(np.int64)]), axis=1)
-        kernel = Kernel()
-        n_words, n_removed, digests, texts = [], [], [], []
-        for row, ids, data, offsets in slices(id_array(docs_.column("doc_id")), docs_.column("text")):
-            p = kernel.paths(data, offsets)
-            bounds = p["bounds"]
-            begin, owner = bounds[p["doc"]], ids[p["doc"]]
-            first = found(firsts_, owner, p["first"] - begin)
-            gone = np.zeros(bounds[-1] + WINDOW + 1, dtype=np.int32)
-            again = ~first
-            np.add.at(gone, p["first"][again], 1)
-            np.add.at(gone, p["last"][again] + WINDOW, -1)
-            open_ = first & found(branching, owner, p["first"] - begin)
-            lengths = (p["last"] - p["first"] + 1)[open_]
-            at = np.repeat(p["first"][open_], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            at = at[~found(singles, np.repeat(owner[open_], lengths), at - np.repeat(begin[open_], lengths))]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + WINDOW, -1)
-            gone = np.cumsum(gone[: bounds[-1]]) > 0
-            raw = data.tobytes()
-            for i in range(len(ids)):
-                a, b = int(bounds[i]), int(bounds[i + 1])
-                lost = int(gone[a:b].sum())
-                words = raw[offsets[i] : offsets[i + 1]].split() if lost < b - a else []
-                if lost and words:
-                    words = [w for w, g in zip(words, gone[a:b].tolist(), strict=True) if not g]
+
+        for batch in batches:
+            n_words, n_removed, digests, texts = [], [], [], []
+            for text, wanted in zip(batch.column(1), batch.column(2), strict=True):
+                words = words_of(text.as_py())
+                n_words.append(len(words))
+                if wanted.is_valid:
+                    edge = np.zeros(len(words) + 1, dtype=np.int32)
+                    first, last = np.array([(x["first"], x["last"]) for x in wanted.as_py()]).T
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, last + WINDOW, -1)
+                    stays = np.cumsum(edge[:-1]) == 0
+                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                n_removed.append(n_words[-1] - len(words))
                 line = b" ".join(words)
-                n_words.append(b - a)
-                n_removed.append(lost)
                 digests.append(hashlib.sha256(line).hexdigest())
                 if with_text:
                     texts.append(line.decode())
-        arrays = [docs_.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-        return pa.Table.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
+            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
-    return by_bucket.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda a, b: kept(a, b), schema)
+    return rows.join(gone, AT, "left").select("doc_id", "text", "p").mapInArrow(kept, schema)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
