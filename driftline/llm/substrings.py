@@ -1,10 +1,11 @@
 """Substring dedup on a De Bruijn graph of words: 20-word windows are its edges, repeated paths are compacted and verified.
 
-An edge is a window; the nodes between two edges are the 19 words they share. Only edges that may repeat become rows:
-each window has an anchor, the 10-word run in it with the least hash, and equal windows have equal anchors, so a window
-whose anchor stands once in the corpus can't repeat. Repeated edges point to the coordinates (document, word) of their
-first occurrence. Where two neighbours point to neighbours the node between them doesn't branch, and such runs are
-compacted to one path. Every path is then compared word by word with the text at its source coordinates.
+An edge is a window of 20 words. Each window has an anchor, the 8-word run in it with the least hash; consecutive windows
+with the same anchor are one path from the start, so equal windows always lie at the same place of paths with the same
+anchor. A path that equals an earlier one points to its coordinates (document, word) as a whole. Where an anchor branches,
+that is where different paths share it, the paths are taken apart to single edges, which point to their first occurrence.
+Neighbours that point to neighbours are compacted to one long path, and every long path is then joined with the text at
+its source coordinates and compared word by word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Kept, partitions, table
 
-WINDOW, ANCHOR = 20, 10
+WINDOW, ANCHOR = 20, 8
 #: Words hashed at once, rows gathered in a task before equal ones are combined, words to a block of verified source text.
 SLICE, COMBINE, BLOCK = 500_000, 1_000_000, 64
 #: Stands for a null doc_id, before all others.
@@ -100,17 +101,6 @@ def anchored(words, bounds):
     return hashes[least[new]], row[new], first, last
 
 
-def ranks(*keys):
-    """Order by the keys (the first is the group's), each row's rank within its group, and where its group begins."""
-    import numpy as np
-
-    order = np.lexsort(keys[::-1])
-    group = keys[0][order]
-    new = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
-    return order, np.arange(len(group)) - begin, begin
-
-
 def gathered(parts: Iterator, emit) -> Iterator:
     """Emits the columns of parts combined, whenever there are COMBINE rows."""
     import numpy as np
@@ -126,175 +116,217 @@ def gathered(parts: Iterator, emit) -> Iterator:
         yield emit(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def batch_of(**columns):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-
+def paths(batches: Iterator) -> Iterator:
+    """Rows (key, salt, known, branch, h, doc, copy, pos, n, source): runs of n windows with the anchor `key`, all their words hashed to h.
 
-def anchors(batches: Iterator) -> Iterator:
-    """Rows of (key, salt, again, doc, copy, first, last). Of equal anchors met by a task one has salt 0; the others, which
-    repeat for certain, are spread by theirs, so that a frequent anchor makes no large group."""
+    What a task meets twice is settled at once: equal runs point to the first of them (known), an anchor with different
+    runs branches. Of an anchor's different runs one has salt 0, the others their own hash, so that neither a frequent
+    run nor a frequent anchor makes a large group.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    def emit(key, doc, copy, first, last):
-        order, rank, begin = ranks(key)
-        size = np.bincount(begin, minlength=len(begin))[begin]
-        return batch_of(key=key[order].view(np.int64), salt=rank.astype(np.int32), again=size > 1, doc=doc[order], copy=copy[order], first=first[order].astype(np.int32), last=last[order].astype(np.int32))
+    def emit(key, h, doc, copy, pos, n):
+        order = np.lexsort((pos, copy, doc, h, key))
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        run = new | np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        first = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
+        group = np.cumsum(new) - 1
+        branch = np.bincount(group, weights=run)[group] > 1
+        salt = np.where(h[order] == h[order][np.flatnonzero(new)][group], np.uint64(0), h[order] | np.uint64(1))
+        salt = np.where(run, salt, np.uint64(2) * np.arange(len(order), dtype=np.uint64) + np.uint64(2))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        source = order[first[back]]
+        known = ~run[back]
+        columns = {"key": key.view(np.int64), "salt": salt[back].view(np.int64), "known": known, "branch": branch[back], "h": h.view(np.int64), "doc": doc, "copy": copy, "pos": pos.astype(np.int32), "n": n.astype(np.int32)}
+        columns |= {c: np.where(known, x[source], 0) for c, x in zip(SOURCE, (doc, copy, pos), strict=True)}
+        columns["spos"] = columns["spos"].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     def parts():
         for docs, copies, _, words, bounds in hashed(batches):
             key, row, first, last = anchored(words, bounds)
-            yield key, docs[row], copies[row], first - bounds[row], last - bounds[row]
+            n = last - first + 1
+            yield key, spans_hashed(words, first, n + WINDOW - 1), docs[row], copies[row], first - bounds[row], n
 
     yield from gathered(parts(), emit)
 
 
-def edges(bits: int):
-    """Rows of (key, salt, doc, copy, pos, source) of the windows in runs. Of equal edges met by a task the first has salt 0
-    and no source yet; it is the source of the others."""
+def spans_hashed(words, first, n):
+    """Hash of the n words from each first, n being at most the words of all windows with an anchor."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    out = n.astype(np.uint64)
+    for j in range(int(n.max(initial=0))):
+        more = j < n
+        out[more] = (out[more] ^ words[first[more] + j]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
-        def emit(key, doc, copy, pos):
-            order, rank, begin = ranks(key, doc, copy, pos)
-            key, doc, copy, pos = key[order], doc[order], copy[order], pos[order].astype(np.int32)
-            alone = rank == 0
-            columns = {"key": key.view(np.int64), "salt": rank.astype(np.int32), "doc": doc, "copy": copy, "pos": pos}
-            sources = {n: pa.array(c[begin], mask=alone) for n, c in zip(SOURCE, (doc, copy, pos), strict=True)}
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), *sources.values()], names=[*columns, *sources])
-
-        def parts():
-            for docs, copies, runs, words, bounds in hashed(batches, extra=True):
-                flat = [np.array([(x["first"], x["last"]) for x in r.as_py()], dtype=np.int64).reshape(-1, 2) for r in runs]
-                row = np.repeat(np.arange(len(flat)), list(map(len, flat)))
-                first, last = np.concatenate(flat).T + bounds[row]
-                n = last - first + 1
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row = np.repeat(row, n)
-                yield rolled(words, WINDOW)[at] >> np.uint64(64 - bits), docs[row], copies[row], at - bounds[row]
-
-        yield from gathered(parts(), emit)
 
-    return run
+def edges(batches: Iterator) -> Iterator:
+    """Rows of (key, salt, known, doc, copy, pos, source) of the single windows in runs, with known sources as in paths."""
+    import numpy as np
+    import pyarrow as pa
+
+    def emit(key, doc, copy, pos):
+        order = np.lexsort((pos, copy, doc, key))
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        known, source = ~new[back], order[first[back]]
+        columns = {"key": key.view(np.int64), "salt": (back - first[back]).astype(np.int32), "known": known, "doc": doc, "copy": copy, "pos": pos.astype(np.int32)}
+        columns |= {c: np.where(known, x[source], 0) for c, x in zip(SOURCE, (doc, copy, pos), strict=True)}
+        columns["spos"] = columns["spos"].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    def parts():
+        for docs, copies, runs, words, bounds in hashed(batches, extra=True):
+            flat = [np.array([(x["pos"], x["n"]) for x in r.as_py()], dtype=np.int64).reshape(-1, 2) for r in runs]
+            row = np.repeat(np.arange(len(flat)), list(map(len, flat)))
+            first, n = np.concatenate(flat).T
+            at = np.repeat(first + bounds[row], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(row, n)
+            yield rolled(words, WINDOW)[at], docs[row], copies[row], at - bounds[row]
+
+    yield from gathered(parts(), emit)
 
 
 def quotes(source: bool):
-    """Texts of pieces of a row's words: (sdoc, scopy, block, text) of whole blocks, or pieces with what they stand for."""
+    """Texts of pieces of a row's words: whole blocks for each salt that asks for them, or pieces with what they stand for."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        long, short = pa.int64(), pa.int32()
+        if source:
+            types = {"sdoc": long, "scopy": long, "block": short, "salt": short, "source": pa.string()}
+        else:
+            types = {"doc": long, "copy": long, "path": short, "pos": short, "n": short, "sdoc": long, "scopy": long, "block": short, "skip": short, "salt": short, "text": pa.string()}
         for batch in batches:
-            out: dict[str, list] = {}
+            rows = []
             for doc, copy, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-                words = words_of(text.as_py())
-                for piece in wanted.as_py():
-                    if source:
-                        piece = {"sdoc": doc.as_py(), "scopy": copy.as_py(), "block": piece, "text": b" ".join(words[piece * BLOCK : (piece + 1) * BLOCK]).decode()}
-                    else:
-                        a = piece["pos"]
-                        piece |= {"doc": doc.as_py(), "copy": copy.as_py(), "text": b" ".join(words[a : a + piece["n"]]).decode()}
-                    for k, v in piece.items():
-                        out.setdefault(k, []).append(v)
-            if out:
-                names = ["sdoc", "scopy", "block", "text"] if source else ["doc", "copy", "first", "pos", "n", "sdoc", "scopy", "block", "skip", "salt", "text"]
-                types = {"text": pa.string(), "first": pa.int32(), "pos": pa.int32(), "n": pa.int32(), "block": pa.int32(), "skip": pa.int32(), "salt": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(out[k], types.get(k, pa.int64())) for k in names], names=names)
+                at, words = (doc.as_py(), copy.as_py()), words_of(text.as_py())
+                for p in wanted.as_py():
+                    a, n = (p["block"] * BLOCK, BLOCK) if source else (p["pos"], p["n"])
+                    piece = b" ".join(words[a : a + n]).decode()
+                    rows += [(*at, p["block"], salt, piece) for salt in p["salts"]] if source else [(*at, *p.values(), piece)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
     return run
 
 
 def compacted(repeats: DataFrame) -> DataFrame:
-    """(doc, copy, first, last, source): maximal runs of neighbouring windows that point to neighbouring windows.
+    """(doc, copy, pos, n, source): repeats joined to maximal paths, as long as neighbours point to neighbours.
 
-    Both sides of the join of an edge with the one before it are the same rows in the same order, so it is a lag.
+    Both sides of the join of a run with the one before it are the same rows in the same order, so it is a lag.
     """
-    order = Window.partitionBy(*AT).orderBy("pos")
+    order = Window.partitionBy(*AT).orderBy("pos", "n")
     before = lambda c: F.lag(c).over(order)
-    goes_on = (before("pos") == F.col("pos") - 1) & (before("sdoc") == F.col("sdoc")) & (before("scopy") == F.col("scopy")) & (before("spos") == F.col("spos") - 1)
+    goes_on = (before("pos") + before("n") == F.col("pos")) & (before("sdoc") == F.col("sdoc")) & (before("scopy") == F.col("scopy")) & (before("spos") + before("n") == F.col("spos"))
     rows = repeats.withColumn("head", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("pos")))
-    rows = rows.withColumn("first", F.max("head").over(order))
-    return rows.groupBy(*AT, "first").agg(F.max("pos").alias("last"), F.max("sdoc").alias("sdoc"), F.max("scopy").alias("scopy"), F.min("spos").alias("spos"))
+    rows = rows.withColumn("head", F.max("head").over(order))
+    longest = [whole(F.max(c)).alias(c) for c in ("sdoc", "scopy")]
+    return rows.groupBy(*AT, "head").agg(whole(F.max(F.col("pos") + F.col("n"))).alias("end"), *longest, whole(F.min("spos")).alias("spos")).select(*AT, whole(F.col("head")).alias("pos"), (F.col("end") - whole(F.col("head"))).alias("n"), *SOURCE)
+
+
+def whole(x):
+    """The column, known to have no nulls: so the joins add no filters of their own, and equal shuffles are shared."""
+    return F.coalesce(x, F.lit(0))
 
 
-def verified(docs: DataFrame, paths: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """The paths with ok: whether all words equal those at the source coordinates.
 
     A path is cut where its source passes from one block of BLOCK words to the next. A block that many paths point to
     is sent once for every salt, so no task has to compare all of them.
     """
     salts = max(1, partitions(docs.sparkSession))
-    begin, end = F.col("spos"), F.col("spos") + F.col("last") - F.col("first") + WINDOW
+    begin, end = F.col("spos"), F.col("spos") + F.col("n") + (WINDOW - 1)
 
     def piece(b):
         a = F.greatest(begin, b * BLOCK)
-        fields = {"first": F.col("first"), "pos": F.col("first") + a - begin, "n": F.least(end, (b + 1) * BLOCK) - a, "sdoc": F.col("sdoc"), "scopy": F.col("scopy"), "block": b, "skip": a - b * BLOCK, "salt": F.pmod(F.xxhash64(*AT, "first"), F.lit(salts))}
+        fields = {"path": F.col("pos"), "pos": F.col("pos") + a - begin, "n": F.least(end, (b + 1) * BLOCK) - a, "sdoc": F.col("sdoc"), "scopy": F.col("scopy"), "block": b, "skip": a - b * BLOCK, "salt": F.pmod(F.xxhash64(*AT, "pos"), F.lit(salts))}
         types = {"sdoc": "long", "scopy": "long"}
         return F.struct(*[c.cast(types.get(k, "int")).alias(k) for k, c in fields.items()])
 
     blocks = F.sequence((begin / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int"))
-    pieces = paths.select(*AT, F.transform(blocks, piece).alias("p"))
-    asked = pieces.select(F.explode("p").alias("p")).select("p.sdoc", "p.scopy", "p.block", "p.salt").distinct()
-    wanted = pieces.groupBy(*AT).agg(F.flatten(F.collect_list("p")).alias("p"))
-    own = docs.join(wanted, AT).select(*AT, "text", "p").mapInArrow(quotes(False), "doc long, copy long, first int, pos int, n int, sdoc long, scopy long, block int, skip int, salt int, text string")
-    sources = asked.groupBy("sdoc", "scopy").agg(F.collect_set("block").alias("p")).select(F.col("sdoc").alias("doc"), F.col("scopy").alias("copy"), "p")
-    told = docs.join(sources, AT).select(*AT, "text", "p").mapInArrow(quotes(True), "sdoc long, scopy long, block int, text string")
-    told = told.dropDuplicates(["sdoc", "scopy", "block"]).withColumnRenamed("text", "source")
-    told = told.join(asked, ["sdoc", "scopy", "block"])
+    wanted = repeats.groupBy(*AT).agg(F.flatten(F.collect_list(F.transform(blocks, piece))).alias("p"))
+    own = docs.join(wanted, AT).select(*AT, "text", "p").mapInArrow(quotes(False), required(f"doc long, copy long, path int, pos int, n int, sdoc long, scopy long, block int, skip int, salt int, text string"))
+    asked = repeats.select(F.explode(F.transform(blocks, piece)).alias("p")).select(*[whole(F.col(f"p.{c}")).alias(c) for c in ("sdoc", "scopy", "block", "salt")])
+    asked = asked.groupBy("sdoc", "scopy", "block").agg(F.collect_set("salt").alias("salts"))
+    sources = asked.groupBy("sdoc", "scopy").agg(F.collect_list(F.struct("block", "salts")).alias("p")).select(F.col("sdoc").alias("doc"), F.col("scopy").alias("copy"), "p")
+    told = docs.join(sources, AT).select(*AT, "text", "p").mapInArrow(quotes(True), required("sdoc long, scopy long, block int, salt int, source string"))
     same = F.array_join(F.slice(F.split("source", " "), F.col("skip") + 1, F.col("n")), " ") == F.col("text")
-    judged = own.join(told, ["sdoc", "scopy", "block", "salt"]).groupBy(*AT, "first").agg(F.bool_and(same).alias("ok"))
-    return paths.join(judged, [*AT, "first"])
+    judged = own.join(told, ["sdoc", "scopy", "block", "salt"]).groupBy(*AT, "path").agg(F.min(same).alias("ok"))
+    return repeats.join(judged.withColumnRenamed("path", "pos"), [*AT, "pos"]).select(*AT, "pos", "n", "ok")
 
 
-def removed(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(doc, copy, first, last) of the runs of windows to remove, verified. docs: (doc, copy, text), rows may repeat.
+def required(columns: str) -> str:
+    return columns.replace(",", " not null,") + " not null"
 
-    Equal windows always have equal hashes, so nothing is missed. A path whose words differ from its source's (its
-    hashes collide; `bits` of them count) is not removed as such: all windows with those hashes are grouped anew, by
-    their words.
-    """
-    rows = docs.select(*AT, "text").mapInArrow(anchors, "key long, salt int, again boolean, doc long, copy long, first int, last int")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).filter(F.col("again") | (F.col("_n") > 1))
-    runs = rows.groupBy(*AT).agg(F.collect_set(F.struct("first", "last")).alias("p"))
-    found = docs.join(runs, AT).select(*AT, "text", "p").mapInArrow(edges(bits), "key long, salt int, doc long, copy long, pos int, sdoc long, scopy long, spos int")
-    order = Window.partitionBy("key", "salt").orderBy(*AT, "pos")
-    sources = [F.coalesce(F.col(s), F.first(c).over(order)).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
-    repeats = found.select("key", *AT, "pos", *sources).filter(~((F.col("doc") == F.col("sdoc")) & (F.col("copy") == F.col("scopy")) & (F.col("pos") == F.col("spos"))))
-    paths = Kept(verified(docs, compacted(repeats))).df
-    out = paths.filter("ok").select(*AT, "first", "last")
-    if paths.filter("NOT ok").isEmpty():
-        return out
-    wrong = paths.filter("NOT ok").select(*AT, F.explode(F.sequence("first", "last")).alias("pos"))
-    keys = found.select("key", *AT, "pos").join(wrong, [*AT, "pos"], "left_semi").select("key").distinct()
-    return out.unionByName(regrouped(docs, found.join(keys, "key", "left_semi").select(*AT, "pos").distinct()))
-
-
-def regrouped(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc, copy, first, last) of those of the windows whose words stand earlier too, grouped by the words themselves."""
 
-    def texts(batches: Iterator) -> Iterator:
-        for batch in batches:
-            doc, copy, pos, text = [], [], [], []
-            for d, c, t, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-                words = words_of(t.as_py())
-                for p in wanted.as_py():
-                    doc.append(d.as_py())
-                    copy.append(c.as_py())
-                    pos.append(p)
-                    text.append(b" ".join(words[p : p + WINDOW]).decode())
-            if doc:
-                import pyarrow as pa
+def candidates(docs: DataFrame, bits: int) -> DataFrame:
+    """Runs of windows by anchor, each with the first equal run: whether it repeats, and whether its anchor branches."""
+    rows = docs.select(*AT, "text").mapInArrow(paths, required("key long, salt long, known boolean, branch boolean, h long, doc long, copy long, pos int, n int, sdoc long, scopy long, spos int"))
+    rows = rows.withColumn("h", F.shiftrightunsigned("h", 64 - bits))
+    group = Window.partitionBy("key", "salt")
+    rows = rows.withColumn("_open", F.max("branch").over(group) | (F.min("h").over(group) != F.max("h").over(group)))
+    order = Window.partitionBy("key", "salt", "h").orderBy(*AT, "pos")
+    sources = [whole(F.when(F.col("known"), F.col(s)).otherwise(F.first(c).over(order))).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
+    return rows.select("key", *AT, "pos", "n", *sources, whole_flag("_open").alias("open"))
+
+
+def whole_flag(c: str):
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def itself():
+    """True for what points to itself: a first occurrence."""
+    return (F.col("doc") == F.col("sdoc")) & (F.col("copy") == F.col("scopy")) & (F.col("pos") == F.col("spos"))
+
 
-                yield batch_of(doc=doc, copy=copy, pos=pa.array(pos, pa.int32()), words=text)
+def judged_paths(docs: DataFrame, bits: int) -> DataFrame:
+    """(doc, copy, pos, n, ok): the repeated paths. bits: how many of a hash's count, fewer in tests of collisions."""
+    runs = candidates(docs, bits)
+    single = runs.filter(itself() & F.col("open")).groupBy(*AT).agg(F.collect_set(F.struct("pos", "n")).alias("p"))
+    found = docs.join(single, AT).select(*AT, "text", "p").mapInArrow(edges, required("key long, salt int, known boolean, doc long, copy long, pos int, sdoc long, scopy long, spos int"))
+    order = Window.partitionBy(F.shiftrightunsigned("key", 64 - bits), "salt").orderBy(*AT, "pos")
+    sources = [whole(F.when(F.col("known"), F.col(s)).otherwise(F.first(c).over(order))).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
+    windows = found.select(*AT, "pos", F.lit(1).alias("n"), *sources)
+    repeats = runs.select(*AT, "pos", "n", *SOURCE).unionByName(windows).filter(~itself())
+    return verified(docs, compacted(repeats))
 
-    rows = docs.join(windows.groupBy(*AT).agg(F.collect_set("pos").alias("p")), AT).select(*AT, "text", "p")
-    rows = rows.mapInArrow(texts, "doc long, copy long, pos int, words string").distinct()
+
+def regrouped(docs: DataFrame, judged: DataFrame, bits: int) -> DataFrame:
+    """(doc, copy, pos, n) to remove where hashes collide: paths that are sound, and of the anchors in the others every
+    window, grouped anew by its words."""
+
+    def texts(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, copy, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = words_of(text.as_py())
+                places = {p for x in wanted.as_py() for p in range(x["pos"], x["pos"] + x["n"])}
+                out += [(doc.as_py(), copy.as_py(), p, b" ".join(words[p : p + WINDOW]).decode()) for p in sorted(places)]
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc", "copy", "pos", "words"])
+
+    runs = Kept(candidates(docs, bits).select("key", *AT, "pos", "n")).df
+    wrong = judged.filter("NOT ok").select(*AT, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("at"))
+    places = runs.select("key", *AT, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("at"))
+    keys = places.join(wrong, [*AT, "at"], "left_semi").select("key").distinct()
+    again = runs.join(keys, "key", "left_semi").groupBy(*AT).agg(F.collect_set(F.struct("pos", "n")).alias("p"))
+    rows = docs.join(again, AT).select(*AT, "text", "p").mapInArrow(texts, "doc long, copy long, pos int, words string").distinct()
     first = rows.groupBy("words").agg(F.min(F.struct(*AT, "pos")).alias("f"))
     later = rows.join(first, "words").filter(F.struct(*AT, "pos") != F.col("f"))
-    return later.select(*AT, F.col("pos").alias("first"), F.col("pos").alias("last"))
+    return later.select(*AT, "pos", F.lit(1).alias("n")).unionByName(judged.filter("ok").select(*AT, "pos", "n"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) -> DataFrame:
@@ -305,10 +337,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) ->
     document: they don't repeat each other, and each is answered. Of rows that share a doc_id only, the one with the
     smaller hash of the text is the earlier. Other columns are not read; an empty table gives an empty result.
     """
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    ids = docs.groupBy("doc_id").count().filter("count > 1")
+    copy = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("copy"))
-    gone = removed(rows.select(*AT, "text"), bits).groupBy(*AT).agg(F.collect_set(F.struct("first", "last")).alias("p"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), copy.alias("copy"))
+    judged = judged_paths(rows, bits)
+    result = Kept(without(rows, judged.groupBy(*AT).agg(F.collect_list(F.struct("pos", "n", "ok")).alias("p")), with_text)).df
+    if not result.filter("NOT sure").isEmpty():
+        gone = regrouped(rows, Kept(judged).df, bits).withColumn("ok", F.lit(True))
+        result = without(rows, gone.groupBy(*AT).agg(F.collect_list(F.struct("pos", "n", "ok")).alias("p")), with_text)
+    return result.drop("sure")
+
+
+def without(rows: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
+    """The rows without the words of the windows that are gone, and whether all of those are verified (sure)."""
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, sure boolean" + ", text string" * with_text
 
     def kept(batches: Iterator) -> Iterator:
         import hashlib
@@ -317,24 +360,24 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) ->
         import pyarrow as pa
 
         for batch in batches:
-            n_words, n_removed, digests, texts = [], [], [], []
+            n_words, n_removed, digests, sure, texts = [], [], [], [], []
             for text, wanted in zip(batch.column(1), batch.column(2), strict=True):
-                words = words_of(text.as_py())
+                words, marks = words_of(text.as_py()), wanted.as_py() or ()
                 n_words.append(len(words))
-                if wanted.is_valid:
-                    edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    first, last = np.array([(x["first"], x["last"]) for x in wanted.as_py()]).T
+                sure.append(all(x["ok"] for x in marks))
+                if marks:
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
+                    first, n = np.array([(x["pos"], x["n"]) for x in marks]).T
                     np.add.at(edge, first, 1)
-                    np.add.at(edge, last + WINDOW, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                    np.add.at(edge, first + n + (WINDOW - 1), -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 n_removed.append(n_words[-1] - len(words))
                 line = b" ".join(words)
                 digests.append(hashlib.sha256(line).hexdigest())
                 if with_text:
                     texts.append(line.decode())
-            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
+            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(sure, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "sure"] + ["text"] * with_text)
 
     return rows.join(gone, AT, "left").select("doc_id", "text", "p").mapInArrow(kept, schema)
 
