@@ -1,14 +1,15 @@
-"""Queries against all rows, in blocks: packed query blocks meet packed shards of the candidates."""
+"""Queries against all rows, in blocks: every task holds a group of query blocks while a run of shards streams by."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows to a shard and to a query block, about.
-SHARD, QUERIES = 4096, 1024
+#: Rows to a shard and to a query block, about; query blocks that a task holds at once.
+SHARD, QUERIES, GROUP = 4096, 1024, 64
 
 
 def valid(vector: Column) -> Column:
@@ -17,10 +18,11 @@ def valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
-def packed(rows: DataFrame, key: str, size: int, total: int, width: int) -> DataFrame:
-    """(block, ids, data): rows of (id, v array<double>) packed by a hash of the id, about `size` to a block.
+def packed(rows: DataFrame, size: int, total: int, width: int, prepare) -> DataFrame:
+    """(n, blob): rows of (id, v array<double>) dealt by a hash of the id, about `size` to a block, and prepared once.
 
-    Rows are dealt by the hash alone, so equal vectors spread over all blocks. Shorter vectors are filled up with zeros.
+    Equal vectors spread over all blocks. prepare(ids, matrix) gives the arrays of a block, in the order of the ids;
+    shorter vectors are filled up with zeros.
     """
     n = max(1, -(-total // size))
 
@@ -38,40 +40,48 @@ def packed(rows: DataFrame, key: str, size: int, total: int, width: int) -> Data
             ids.append(batch.column(0).to_numpy(zero_copy_only=False))
             data.append(matrix)
         ids, data = np.concatenate(ids), np.concatenate(data)
-        order = np.argsort(ids, kind="stable")
-        return pa.Table.from_arrays([pa.array([keys[0].as_py()], pa.int64()), pa.array([ids[order].astype("<i8").tobytes()]), pa.array([data[order].astype("<f8").tobytes()])], names=[key, "ids", "data"])
+        order = np.lexsort((*data.T[:1], ids))
+        blob = pickle.dumps(prepare(ids[order], data[order]), protocol=5)
+        return pa.Table.from_arrays([pa.array([keys[0].as_py()], pa.int64()), pa.array([blob])], names=["n", "blob"])
 
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n)).alias(key))
-    return dealt.groupBy(key).applyInArrow(pack, f"{key} long, ids binary, data binary")
+    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n)).alias("n"))
+    return dealt.groupBy("n").applyInArrow(pack, "n long, blob binary")
 
 
-def meet(queries: DataFrame, shards: DataFrame, n_queries: int, n_shards: int, function, schema: str, tasks: int) -> DataFrame:
-    """Runs function(query ids, query matrix, iterator of (ids, matrix)) where each query block meets a run of shards.
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """Of the rows that share an id, the one with the least vector: an id is one query."""
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
-    Each query block goes to `lanes` tasks and each shard to one lane of every query block, so the work is dealt over
-    (query blocks x lanes) tasks, and what a task holds is one query block and one shard at a time.
-    """
-    lanes = max(1, min(n_shards, tasks // max(1, n_queries)))
-    left = queries.select("q", "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    right = shards.select("s", "ids", "data", (F.col("s") % lanes).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_queries - 1)).cast("long"))).alias("q"))
 
-    def opened(rows) -> Iterator:
-        import numpy as np
+def meet(queries: DataFrame, shards: DataFrame, n_queries: int, n_shards: int, search, schema: str, tasks: int) -> DataFrame:
+    """Runs a search where groups of query blocks meet runs of shards: search(query blocks).step(shard), then .best().
 
-        for batch in rows.to_batches():
-            for ids, data in zip(batch.column("ids"), batch.column("data"), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), dtype="<i8")
-                yield ids, np.frombuffer(data.as_buffer(), dtype="<f8").reshape(len(ids), -1)
+    A group of GROUP query blocks goes to every lane, a shard to one lane of every group: a task holds one group and one
+    shard at a time. As lanes are no more than `tasks`, what is shuffled grows in proportion to the rows, as long as the
+    queries fit one group; from there on each further group costs one more pass of the shards.
+    """
+    groups, lanes = max(1, -(-n_queries // GROUP)), max(1, min(n_shards, tasks))
+    left = queries.select("n", "blob", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.expr(f"cast(n div {GROUP} as int)").alias("g"))
+    right = shards.select("n", "blob", F.lit(1).alias("kind"), (F.col("n") % lanes).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    rows = left.unionByName(right).repartitionById(groups * lanes, (F.col("g") * lanes + F.col("lane")).cast("int"))
+    fields = [x.split() for x in schema.split(", ")]
 
-    def tables(keys, a, b):
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        mine = next(opened(a), None)
-        out = list(function(*mine, opened(b))) if mine else []
-        fields = [(n, pa.int64() if t == "long" else pa.float64()) for n, t in (x.split() for x in schema.split(", "))]
-        return pa.concat_tables([pa.table(x, schema=pa.schema(fields)) for x in out]) if out else pa.schema(fields).empty_table()
+        blocks, work = [], None
+        for batch in batches:
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                arrays = pickle.loads(blob.as_buffer())
+                if kind == 0:
+                    blocks.append(arrays)
+                    continue
+                work = work or search(blocks)
+                work.step(*arrays)
+        for found in work.best() if work else ():
+            yield pa.RecordBatch.from_arrays([pa.array(found[n], pa.int64() if t == "long" else pa.float64()) for n, t in fields], names=[n for n, _ in fields])
 
-    return left.groupBy("q", "lane").cogroup(right.groupBy("q", "lane")).applyInArrow(tables, schema)
+    return rows.sortWithinPartitions("g", "lane", "kind", "n").select("kind", "blob").mapInArrow(run, schema)
 
 
 def top_merge(best, k: int):
@@ -86,12 +96,12 @@ def top_merge(best, k: int):
     return rows[keep], ids[keep], scores[keep]
 
 
-def kth(best, n: int, k: int):
-    """The kth score of each query row so far; minus infinity where there are fewer."""
+def kth(best, n: int, k: int, lowest):
+    """The kth score of each query row so far; `lowest` where there are fewer."""
     import numpy as np
 
     rows, _, scores = best
-    out = np.full(n, -np.inf)
+    out = np.full(n, lowest, dtype=scores.dtype)
     first = np.searchsorted(rows, np.arange(n))
     full = np.searchsorted(rows, np.arange(n), side="right") - first >= k
     out[full] = scores[first[full] + k - 1]

@@ -394,3 +394,32 @@ def test_toxicity_takes_a_large_lexicon_whole(spark):
     rows = [(" ".join(rng.choices(plain, k=20) + (rng.sample(bad, 12) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(2000)]
     found, _ = toxicity.select_features(spark.createDataFrame(rows, "text string, toxic int"))
     assert {toxicity.features_of(w)[0] for w in bad} <= set(found) and len(found) > 600
+
+
+@pytest.mark.parametrize("query, k", [(ann.op4_ann, 20), (topk.op7_topk, 5)])
+def test_an_id_is_one_query(spark, query, k):
+    df, _ = vectors(spark, 200)
+    rows = run(query, spark, embeddings=df.unionByName(df.filter("vec_id = 0")))
+    mine = [r["vec_id"] for r in rows if r["query_id"] == 0]
+    assert len(mine) == len(set(mine)) == k and 0 not in mine
+
+
+def test_topk_beyond_exact_doubles(spark):
+    rng = random.Random(6)
+    x = [[rng.uniform(-1, 1) * 2.0**20 for _ in range(8)] for _ in range(60)]
+    v = [[int(np.floor(256 * a)) for a in row] for row in x]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.nearest(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), 50).collect()}
+    assert max(sum(a * a for a in row) for row in v) > 2**53
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(v[i], v[q], strict=True)), i) for i in range(60) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
+def test_code_estimates_stay_within_their_bounds():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 48))
+    _, codes, norms, own, _ = ann.encode(np.arange(2000), x)
+    middle, error = ann.estimates(ann.quantised(x[:50]), codes, own)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    off = np.abs(middle - unit[:50] @ unit.T) / (error + 1e-9)
+    assert (off < 4).mean() > 0.999 and codes.shape == (2000, 3)
