@@ -1,9 +1,9 @@
 """Substring dedup on a De Bruijn graph of words: 20-word windows are its edges, repeated paths are compacted and verified.
 
-An edge is a window of 20 words. Each window has an anchor, the 8-word run in it with the least hash; consecutive windows
+An edge is a window of 20 words. Each window has an anchor, the 6-word run in it with the least hash; consecutive windows
 with the same anchor are one path from the start, so equal windows always lie at the same place of paths with the same
 anchor. A path that equals an earlier one points to its coordinates (document, word) as a whole. Where an anchor branches,
-that is where different paths share it, the paths are taken apart to single edges, which point to their first occurrence.
+that is where different paths share it, the paths are taken apart to single edges, which point to the equal one before.
 Neighbours that point to neighbours are compacted to one long path, and every long path is then joined with the text at
 its source coordinates and compared word by word.
 """
@@ -15,13 +15,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, partitions, table
+from .common import Kept, cut, table
 
-WINDOW, ANCHOR = 20, 8
+WINDOW, ANCHOR = 20, 6
 #: Words hashed at once, rows gathered in a task before equal ones are combined, words to a block of verified source text.
 SLICE, COMBINE, BLOCK = 500_000, 1_000_000, 64
-#: Stands for a null doc_id, before all others.
+#: Stands for a null doc_id, before all others; no other row may have it.
 NO_ID = -(1 << 63)
+#: More than the windows that can share an anchor.
+PLACES = 16
 AT = ["doc", "copy"]
 SOURCE = ["sdoc", "scopy", "spos"]
 
@@ -117,11 +119,11 @@ def gathered(parts: Iterator, emit) -> Iterator:
 
 
 def paths(batches: Iterator) -> Iterator:
-    """Rows (key, salt, known, branch, h, doc, copy, pos, n, source): runs of n windows with the anchor `key`, all their words hashed to h.
+    """Rows (key, h, at, doc, copy, salt, branch, source): runs of windows with the anchor `key`, all their words hashed to h.
 
-    What a task meets twice is settled at once: equal runs point to the first of them (known), an anchor with different
-    runs branches. Of an anchor's different runs one has salt 0, the others their own hash, so that neither a frequent
-    run nor a frequent anchor makes a large group.
+    `at` is the first window and the number of windows. What a task meets twice is settled at once: such runs point to the
+    equal one before (spos, which is -1 in others). An anchor with different runs branches; of those one has salt 0, the
+    others their own hash. So neither a frequent run nor a frequent anchor makes a large group.
     """
     import numpy as np
     import pyarrow as pa
@@ -130,18 +132,15 @@ def paths(batches: Iterator) -> Iterator:
         order = np.lexsort((pos, copy, doc, h, key))
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         run = new | np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        first = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
         group = np.cumsum(new) - 1
         branch = np.bincount(group, weights=run)[group] > 1
         salt = np.where(h[order] == h[order][np.flatnonzero(new)][group], np.uint64(0), h[order] | np.uint64(1))
-        salt = np.where(run, salt, np.uint64(2) * np.arange(len(order), dtype=np.uint64) + np.uint64(2))
+        salt = np.where(~run, np.uint64(2) * np.arange(len(order), dtype=np.uint64) + np.uint64(2), salt)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        source = order[first[back]]
-        known = ~run[back]
-        columns = {"key": key.view(np.int64), "salt": salt[back].view(np.int64), "known": known, "branch": branch[back], "h": h.view(np.int64), "doc": doc, "copy": copy, "pos": pos.astype(np.int32), "n": n.astype(np.int32)}
-        columns |= {c: np.where(known, x[source], 0) for c, x in zip(SOURCE, (doc, copy, pos), strict=True)}
-        columns["spos"] = columns["spos"].astype(np.int32)
+        known, source = ~run[back], order[back - 1]
+        columns = {"key": key.view(np.int64), "h": h.view(np.int64), "at": pos * PLACES + n, "doc": doc, "copy": copy, "salt": salt[back].view(np.int64), "branch": branch[back]}
+        columns |= {c: np.where(known, x[source], none) for c, x, none in zip(SOURCE, (doc, copy, pos), (0, 0, -1), strict=True)}
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     def parts():
@@ -166,20 +165,18 @@ def spans_hashed(words, first, n):
 
 
 def edges(batches: Iterator) -> Iterator:
-    """Rows of (key, salt, known, doc, copy, pos, source) of the single windows in runs, with known sources as in paths."""
+    """Rows of (key, pos, doc, copy, salt, source) of the single windows in runs, with known sources as in paths."""
     import numpy as np
     import pyarrow as pa
 
     def emit(key, doc, copy, pos):
         order = np.lexsort((pos, copy, doc, key))
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        known, source = ~new[back], order[first[back]]
-        columns = {"key": key.view(np.int64), "salt": (back - first[back]).astype(np.int32), "known": known, "doc": doc, "copy": copy, "pos": pos.astype(np.int32)}
-        columns |= {c: np.where(known, x[source], 0) for c, x in zip(SOURCE, (doc, copy, pos), strict=True)}
-        columns["spos"] = columns["spos"].astype(np.int32)
+        known, source = ~new[back], order[back - 1]
+        columns = {"key": key.view(np.int64), "pos": pos, "doc": doc, "copy": copy, "salt": np.where(known, back, 0)}
+        columns |= {c: np.where(known, x[source], none) for c, x, none in zip(SOURCE, (doc, copy, pos), (0, 0, -1), strict=True)}
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     def parts():
@@ -194,29 +191,25 @@ def edges(batches: Iterator) -> Iterator:
     yield from gathered(parts(), emit)
 
 
-def quotes(source: bool):
-    """Texts of pieces of a row's words: whole blocks for each salt that asks for them, or pieces with what they stand for."""
+QUOTE = "sdoc long, scopy long, block long, source string, doc long, copy long, path long, windows long, skip long, n long, text string"
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        long, short = pa.int64(), pa.int32()
-        if source:
-            types = {"sdoc": long, "scopy": long, "block": short, "salt": short, "source": pa.string()}
-        else:
-            types = {"doc": long, "copy": long, "path": short, "pos": short, "n": short, "sdoc": long, "scopy": long, "block": short, "skip": short, "salt": short, "text": pa.string()}
-        for batch in batches:
-            rows = []
-            for doc, copy, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-                at, words = (doc.as_py(), copy.as_py()), words_of(text.as_py())
-                for p in wanted.as_py():
-                    a, n = (p["block"] * BLOCK, BLOCK) if source else (p["pos"], p["n"])
-                    piece = b" ".join(words[a : a + n]).decode()
-                    rows += [(*at, p["block"], salt, piece) for salt in p["salts"]] if source else [(*at, *p.values(), piece)]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+def quotes(batches: Iterator) -> Iterator:
+    """Words of each row: the blocks that others point to (source), and the pieces of its own paths (text) with where they point to."""
+    import pyarrow as pa
 
-    return run
+    fields = [x.split() for x in QUOTE.split(", ")]
+    for batch in batches:
+        rows = []
+        for doc, copy, text, own, blocks in zip(*(batch.column(i) for i in range(5)), strict=True):
+            at, words = (doc.as_py(), copy.as_py()), words_of(text.as_py())
+            for b in blocks.as_py():
+                rows.append((*at, b, b" ".join(words[b * BLOCK : (b + 1) * BLOCK]).decode(), None, None, None, None, None, None, None))
+            for p in own.as_py():
+                piece = b" ".join(words[p["pos"] : p["pos"] + p["n"]]).decode()
+                rows.append((p["sdoc"], p["scopy"], p["block"], None, *at, p["path"], p["windows"], p["skip"], p["n"], piece))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def compacted(repeats: DataFrame) -> DataFrame:
@@ -241,28 +234,26 @@ def whole(x):
 def verified(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """The paths with ok: whether all words equal those at the source coordinates.
 
-    A path is cut where its source passes from one block of BLOCK words to the next. A block that many paths point to
-    is sent once for every salt, so no task has to compare all of them.
+    A path is cut where its source passes from one block of BLOCK words to the next. As what equals something points to
+    the one before it, and not all to the first, no block is asked for by many.
     """
-    salts = max(1, partitions(docs.sparkSession))
     begin, end = F.col("spos"), F.col("spos") + F.col("n") + (WINDOW - 1)
 
     def piece(b):
         a = F.greatest(begin, b * BLOCK)
-        fields = {"path": F.col("pos"), "pos": F.col("pos") + a - begin, "n": F.least(end, (b + 1) * BLOCK) - a, "sdoc": F.col("sdoc"), "scopy": F.col("scopy"), "block": b, "skip": a - b * BLOCK, "salt": F.pmod(F.xxhash64(*AT, "pos"), F.lit(salts))}
-        types = {"sdoc": "long", "scopy": "long"}
-        return F.struct(*[c.cast(types.get(k, "int")).alias(k) for k, c in fields.items()])
-
-    blocks = F.sequence((begin / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int"))
-    wanted = repeats.groupBy(*AT).agg(F.flatten(F.collect_list(F.transform(blocks, piece))).alias("p"))
-    own = docs.join(wanted, AT).select(*AT, "text", "p").mapInArrow(quotes(False), required(f"doc long, copy long, path int, pos int, n int, sdoc long, scopy long, block int, skip int, salt int, text string"))
-    asked = repeats.select(F.explode(F.transform(blocks, piece)).alias("p")).select(*[whole(F.col(f"p.{c}")).alias(c) for c in ("sdoc", "scopy", "block", "salt")])
-    asked = asked.groupBy("sdoc", "scopy", "block").agg(F.collect_set("salt").alias("salts"))
-    sources = asked.groupBy("sdoc", "scopy").agg(F.collect_list(F.struct("block", "salts")).alias("p")).select(F.col("sdoc").alias("doc"), F.col("scopy").alias("copy"), "p")
-    told = docs.join(sources, AT).select(*AT, "text", "p").mapInArrow(quotes(True), required("sdoc long, scopy long, block int, salt int, source string"))
-    same = F.array_join(F.slice(F.split("source", " "), F.col("skip") + 1, F.col("n")), " ") == F.col("text")
-    judged = own.join(told, ["sdoc", "scopy", "block", "salt"]).groupBy(*AT, "path").agg(F.min(same).alias("ok"))
-    return repeats.join(judged.withColumnRenamed("path", "pos"), [*AT, "pos"]).select(*AT, "pos", "n", "ok")
+        fields = {"path": F.col("pos"), "windows": F.col("n"), "pos": F.col("pos") + a - begin, "n": F.least(end, (b + 1) * BLOCK) - a, "sdoc": F.col("sdoc"), "scopy": F.col("scopy"), "block": b, "skip": a - b * BLOCK}
+        return F.struct(*[c.cast("long").alias(k) for k, c in fields.items()])
+
+    blocks = F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK))
+    own = F.struct(*AT, F.transform(blocks, piece).alias("own"), F.lit(None).cast("array<long>").alias("blocks"))
+    theirs = F.struct(F.col("sdoc").alias("doc"), F.col("scopy").alias("copy"), F.lit(None).alias("own"), blocks.alias("blocks"))
+    wanted = repeats.select(F.explode(F.array(own, theirs)).alias("x")).select(*[whole(F.col(f"x.{c}")).alias(c) for c in AT], "x.own", "x.blocks")
+    wanted = wanted.groupBy(*AT).agg(F.flatten(F.collect_list("own")).alias("own"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    texts = docs.join(wanted, AT).select(*AT, "text", "own", "blocks").mapInArrow(quotes, QUOTE)
+    source = F.first("source").over(Window.partitionBy("sdoc", "scopy", "block").orderBy(F.col("source").isNull()))
+    same = F.array_join(F.slice(F.split(source, " "), (F.col("skip") + 1).cast("int"), F.col("n").cast("int")), " ") == F.col("text")
+    judged = texts.withColumn("same", F.coalesce(same, F.lit(False))).filter("text IS NOT NULL").groupBy(*AT, "path", "windows").agg(F.min("same").alias("ok"))
+    return judged.select(*AT, F.col("path").alias("pos"), F.col("windows").alias("n"), "ok")
 
 
 def required(columns: str) -> str:
@@ -270,18 +261,18 @@ def required(columns: str) -> str:
 
 
 def candidates(docs: DataFrame, bits: int) -> DataFrame:
-    """Runs of windows by anchor, each with the first equal run: whether it repeats, and whether its anchor branches."""
-    rows = docs.select(*AT, "text").mapInArrow(paths, required("key long, salt long, known boolean, branch boolean, h long, doc long, copy long, pos int, n int, sdoc long, scopy long, spos int"))
+    """Runs of windows by anchor, each with the coordinates of the equal run before it, and whether its anchor branches."""
+    rows = docs.select(*AT, "text").mapInArrow(paths, required("key long, h long, at long, doc long, copy long, salt long, branch boolean, sdoc long, scopy long, spos long"))
     rows = rows.withColumn("h", F.shiftrightunsigned("h", 64 - bits))
+    order = Window.partitionBy("key", "salt", "h").orderBy(*AT, "at")
+    known, lag = F.col("spos") >= 0, lambda c: F.coalesce(F.lag(c).over(order), F.col(c))
+    rows = rows.select("key", "h", *AT, "at", "salt", "branch", *SOURCE, *[lag(c).alias(f"before_{c}") for c in (*AT, "at")])
+    before = [F.col("before_doc"), F.col("before_copy"), F.shiftright("before_at", 4)]
+    before = [whole(F.when(known, F.col(s)).otherwise(c)).alias(s) for s, c in zip(SOURCE, before, strict=True)]
+    rows = rows.select("key", "h", *AT, F.shiftright("at", 4).alias("pos"), (F.col("at") % PLACES).alias("n"), "salt", "branch", *before)
+    # sorted for the window before, the rows need no other sort for this one
     group = Window.partitionBy("key", "salt")
-    rows = rows.withColumn("_open", F.max("branch").over(group) | (F.min("h").over(group) != F.max("h").over(group)))
-    order = Window.partitionBy("key", "salt", "h").orderBy(*AT, "pos")
-    sources = [whole(F.when(F.col("known"), F.col(s)).otherwise(F.first(c).over(order))).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
-    return rows.select("key", *AT, "pos", "n", *sources, whole_flag("_open").alias("open"))
-
-
-def whole_flag(c: str):
-    return F.coalesce(F.col(c), F.lit(False))
+    return rows.withColumn("open", F.max("branch").over(group) | (F.min("h").over(group) != F.max("h").over(group))).drop("h", "salt", "branch")
 
 
 def itself():
@@ -291,12 +282,13 @@ def itself():
 
 def judged_paths(docs: DataFrame, bits: int) -> DataFrame:
     """(doc, copy, pos, n, ok): the repeated paths. bits: how many of a hash's count, fewer in tests of collisions."""
-    runs = candidates(docs, bits)
-    single = runs.filter(itself() & F.col("open")).groupBy(*AT).agg(F.collect_set(F.struct("pos", "n")).alias("p"))
-    found = docs.join(single, AT).select(*AT, "text", "p").mapInArrow(edges, required("key long, salt int, known boolean, doc long, copy long, pos int, sdoc long, scopy long, spos int"))
+    runs = cut(candidates(docs, bits).filter(~itself() | F.col("open")).drop("key"))
+    runs = runs.select(*[whole(F.col(c)).alias(c) for c in (*AT, "pos", "n", *SOURCE)], "open")
+    single = runs.filter(itself()).groupBy(*AT).agg(F.collect_set(F.struct("pos", "n")).alias("p"))
+    found = docs.join(single, AT).select(*AT, "text", "p").mapInArrow(edges, required("key long, pos long, doc long, copy long, salt long, sdoc long, scopy long, spos long"))
     order = Window.partitionBy(F.shiftrightunsigned("key", 64 - bits), "salt").orderBy(*AT, "pos")
-    sources = [whole(F.when(F.col("known"), F.col(s)).otherwise(F.first(c).over(order))).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
-    windows = found.select(*AT, "pos", F.lit(1).alias("n"), *sources)
+    before = [whole(F.when(F.col("spos") >= 0, F.col(s)).otherwise(F.coalesce(F.lag(c).over(order), c))).alias(s) for s, c in zip(SOURCE, (*AT, "pos"), strict=True)]
+    windows = found.select(*AT, "pos", F.lit(1).cast("long").alias("n"), *before)
     repeats = runs.select(*AT, "pos", "n", *SOURCE).unionByName(windows).filter(~itself())
     return verified(docs, compacted(repeats))
 
@@ -315,7 +307,7 @@ def regrouped(docs: DataFrame, judged: DataFrame, bits: int) -> DataFrame:
                 places = {p for x in wanted.as_py() for p in range(x["pos"], x["pos"] + x["n"])}
                 out += [(doc.as_py(), copy.as_py(), p, b" ".join(words[p : p + WINDOW]).decode()) for p in sorted(places)]
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc", "copy", "pos", "words"])
 
     runs = Kept(candidates(docs, bits).select("key", *AT, "pos", "n")).df
@@ -323,10 +315,10 @@ def regrouped(docs: DataFrame, judged: DataFrame, bits: int) -> DataFrame:
     places = runs.select("key", *AT, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("at"))
     keys = places.join(wrong, [*AT, "at"], "left_semi").select("key").distinct()
     again = runs.join(keys, "key", "left_semi").groupBy(*AT).agg(F.collect_set(F.struct("pos", "n")).alias("p"))
-    rows = docs.join(again, AT).select(*AT, "text", "p").mapInArrow(texts, "doc long, copy long, pos int, words string").distinct()
+    rows = docs.join(again, AT).select(*AT, "text", "p").mapInArrow(texts, "doc long, copy long, pos long, words string").distinct()
     first = rows.groupBy("words").agg(F.min(F.struct(*AT, "pos")).alias("f"))
     later = rows.join(first, "words").filter(F.struct(*AT, "pos") != F.col("f"))
-    return later.select(*AT, "pos", F.lit(1).alias("n")).unionByName(judged.filter("ok").select(*AT, "pos", "n"))
+    return later.select(*AT, "pos", F.lit(1).cast("long").alias("n")).unionByName(judged.filter("ok").select(*AT, "pos", "n"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) -> DataFrame:
@@ -340,7 +332,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) ->
     ids = docs.groupBy("doc_id").count().filter("count > 1")
     copy = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), copy.alias("copy"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), copy.alias("copy"), "text")
     judged = judged_paths(rows, bits)
     result = Kept(without(rows, judged.groupBy(*AT).agg(F.collect_list(F.struct("pos", "n", "ok")).alias("p")), with_text)).df
     if not result.filter("NOT sure").isEmpty():
@@ -379,7 +371,8 @@ def without(rows: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(sure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "sure"] + ["text"] * with_text)
 
-    return rows.join(gone, AT, "left").select("doc_id", "text", "p").mapInArrow(kept, schema)
+    rows = rows.join(gone, AT, "left").select("doc", "text", "p").mapInArrow(kept, schema)
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
