@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/driftline-shared"
 
 
 class Table:
-    """A DataFrame written to spark.checkpoint.dir (a folder under /tmp where none is set, as in tests) and read again."""
+    """A DataFrame written to the shared folder and read again: a lost executor costs a reread."""
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/driftline-shared"
-        self.path = f"{folder}/table-{uuid.uuid4().hex}"
+        context = df.sparkSession.sparkContext
+        self.path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._path.getFileSystem(context._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         self._fs.delete(self._path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    return Table(df).df
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place in the order, from 0. Rows equal in the order get neighbouring places, whichever.
+
+    Range partitions are sorted and written; only their sizes, a number for each, go through the driver.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kept = cut(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() % (1 << 33)))
+    sizes = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
+    starts, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(F.lit(total).cast("long"))
+        total += sizes.get(part, 0)
+    return kept.withColumn(name, F.element_at(F.array(*starts), F.col("_part") + 1) + F.col("_row")).drop("_part", "_row")
