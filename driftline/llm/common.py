@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import Table as Kept
+from ..operators.state import cut, numbered
+
+__all__ = ["Kept", "cut", "numbered"]
+
 #: The blanks between words, as the inside of a character class and as a list.
 BLANKS = r"\x20\x09-\x0D"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -31,23 +34,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class Kept:
-    """A table written to the folder that all executors share, to cut lineage: a lost executor costs a reread."""
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        context = spark.sparkContext
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "/tmp/driftline-shared"
-        self.path = f"{folder}/kept-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self._path = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._path.getFileSystem(context._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        self._fs.delete(self._path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    return Kept(df).df
+def numbers(columns: list[str]) -> list[Column]:
+    """The columns under the names _c_0, _c_1 and so on, with which none of an operator's own can clash."""
+    return [F.col(f"`{c}`").alias(f"_c_{i}") for i, c in enumerate(columns)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .spans import found, gaps, joined, placed
+from .common import cut, numbers, table
+from .spans import BLOCK, between, found, gaps, joined, pieces, placed
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {
@@ -22,74 +22,108 @@ ENCODINGS = (
     ("0123456789ABCDEF", "^[0-9A-F]+$"),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^[A-Z2-7]+$"),
     ("0123456789abcdefghijklmnopqrstuvwxyz", "^[0-9a-z]+$"),
+    ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^[0-9A-Za-z+/]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[0-9A-Za-z_-]+$"),
     ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_", "."),
 )
-#: Chance that two letters of a natural text are the same; the false discovery rate; the least fit to randomness.
-TEXT_COLLISION, FDR, FIT = 0.066, 0.01, 0.001
-#: Tokens are put in classes of doubling length, p-values in bins of half a power of two.
-CLASSES, BINS = 8, 120
+#: Chance that two letters of a natural text are the same; how far, as a share of a random token's spread and the root of the
+#: length, runs and correlations of natural text stray; the false discovery rate; the least fit to randomness.
+TEXT_COLLISION, TEXT_ORDER, FDR, FIT = 0.066, 0.15, 0.01, 0.001
+#: Tokens are put in classes of doubling length (from 20 up to what a text can hold), p-values in bins of half a power of two.
+SHORTEST, CLASSES, BINS = 20, 28, 120
 
 
 def normal_cdf(z: Column) -> Column:
-    """Logistic approximation of the normal distribution function, within 0.0002."""
-    z = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))
-    return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+    """The normal distribution function: a logistic approximation in the middle, the asymptotic series in the tails."""
+    z = F.greatest(F.lit(-37.0), F.least(F.lit(37.0), z))
+    middle = 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+    tail = F.exp(-z * z / 2) / (2.5066282746 * F.abs(z)) * (1 - 1 / (z * z) + 3 / F.pow(z, F.lit(4.0)))
+    return F.when(z < -3, tail).when(z > 3, 1 - tail).otherwise(middle)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
 
 
 def battery(token: Column) -> Column:
-    """struct(fit, text, class): how well a token fits randomness, and how often natural text looks as random.
+    """struct(fit, class, bin): how well a token fits randomness, and how seldom natural text looks as random.
 
     Chi-squared over the inferred alphabet (does it use all symbols alike?), runs above and below the middle of the
-    alphabet, and the correlation of neighbours each give a normal score. fit is the tail of the summed squares;
-    text is the chance that a natural text of this length has a chi-squared as low, which falls with the length.
+    alphabet, and the correlation of neighbours each give a normal score. fit is the tail of the summed squares. As to
+    natural text, each test gives the chance that text of this length comes as near to randomness, and Fisher's method
+    makes one p-value of the three; its bin is that of the false-discovery control. Every step is one pass over the
+    token, whatever its length: symbols are counted by removing them, moments come from the counts.
     """
     alphabet = F.lit(ENCODINGS[-1][0])
     for letters, shape in reversed(ENCODINGS[:-1]):
         alphabet = F.when(token.rlike(shape), F.lit(letters)).otherwise(alphabet)
 
-    def scored(x: Column) -> Column:
+    def counted(x: Column) -> Column:
         m, a = x["m"], x["a"]
-        n, k = F.length(m).cast("double"), F.length(a).cast("double")
-        values = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: (F.position(F.substr(m, i, F.lit(1)), a) - 1).cast("double"))
-        return F.struct(m.alias("m"), n.alias("n"), k.alias("k"), values.alias("v"))
-
-    def tested(x: Column) -> Column:
-        n, k, v = x["n"], x["k"], x["v"]
-        square = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        chi = square * k / n - n
-        high = F.size(F.filter(v, lambda y: y >= k / 2)).cast("double")
-        low = n - high
-        pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("x"), F.slice(v, F.lit(2), F.size(v) - 1).alias("y"))
-        runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["x"] >= k / 2) != (p["y"] >= k / 2)))
-        mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-        spread = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
-        together = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"] - mean) * (p["y"] - mean))
-        return F.struct(x["m"].alias("m"), n.alias("n"), k.alias("k"), chi.alias("chi"), high.alias("h"), low.alias("l"), runs.alias("r"), F.when(spread > 0, together / spread).otherwise(1.0).alias("c"))
+        n = F.length(m)
+        symbols = F.filter(F.split(a, ""), lambda c: c != "")
+        counts = F.transform(symbols, lambda c, i: F.struct(i.cast("double").alias("v"), (n - F.length(F.replace(m, c, F.lit("")))).cast("double").alias("c")))
+        values = F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c: (F.position(c, a) - 1).cast("double"))
+        return F.struct(n.cast("double").alias("n"), F.length(a).cast("double").alias("k"), counts.alias("c"), values.alias("v"))
+
+    def paired(x: Column) -> Column:
+        k, v, last = x["k"], x["v"], F.size(x["v"]) - 1
+        left, right = F.slice(v, F.lit(1), last), F.slice(v, F.lit(2), last)
+        sum_ = total(F.transform(x["c"], lambda y: y["v"] * y["c"]))
+        return F.struct(
+            x["n"].alias("n"),
+            k.alias("k"),
+            total(F.transform(x["c"], lambda y: y["c"] * y["c"])).alias("squares"),
+            total(F.transform(x["c"], lambda y: F.when(y["v"] >= k / 2, y["c"]).otherwise(0.0))).alias("h"),
+            (sum_ / x["n"]).alias("mean"),
+            total(F.transform(x["c"], lambda y: y["v"] * y["v"] * y["c"])).alias("second"),
+            total(F.zip_with(left, right, lambda a, b: a * b)).alias("product"),
+            (2 * sum_ - v[0] - F.element_at(v, -1)).alias("inner"),
+            (1 + total(F.zip_with(left, right, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)))).alias("r"),
+        )
 
-    def judged(x: Column) -> Column:
-        n, k, both = x["n"], x["k"], x["h"] * x["l"]
-        z_chi = F.greatest(F.lit(0.0), (x["chi"] - (k - 1)) / F.sqrt(2 * (k - 1)))
+    def scored(x: Column) -> Column:
+        n, k, mean = x["n"], x["k"], x["mean"]
+        low = n - x["h"]
+        both = x["h"] * low
+        chi = x["squares"] * k / n - n
+        spread = x["second"] - n * mean * mean
+        together = x["product"] - mean * x["inner"] + (n - 1) * mean * mean
         expected = 2 * both / n + 1
         variance = F.greatest(F.lit(1e-9), 2 * both * (2 * both - n) / (n * n * (n - 1)))
         z_runs = F.when(both > 0, (x["r"] - expected) / F.sqrt(variance)).otherwise(F.lit(9.0))
-        z_next = (x["c"] + 1 / n) * F.sqrt(n)
-        summed = z_chi * z_chi + z_runs * z_runs + z_next * z_next
+        z_next = (F.when(spread > 1e-9, together / spread).otherwise(1.0) + 1 / n) * F.sqrt(n)
+        return F.struct(n.alias("n"), k.alias("k"), chi.alias("chi"), z_runs.alias("r"), z_next.alias("s"))
+
+    def judged(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        z_chi = F.greatest(F.lit(0.0), (x["chi"] - (k - 1)) / F.sqrt(2 * (k - 1)))
+        summed = z_chi * z_chi + x["r"] * x["r"] + x["s"] * x["s"]
         # the Wilson-Hilferty cube root makes a chi-squared of three degrees nearly normal
         fit = 1 - normal_cdf((F.cbrt(summed / 3) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27)))
-        excess = k * TEXT_COLLISION - 1
-        shift = (n - 1) * F.greatest(F.lit(0.25), excess)
-        text = normal_cdf((x["chi"] - (k - 1) - shift) / F.sqrt(2 * (k - 1) + 4 * shift))
-        length_class = F.least(F.lit(CLASSES - 1), F.floor(F.log2(n / 20))).cast("int")
-        bin_ = F.least(F.lit(BINS - 1), F.floor(-2 * F.log2(text))).cast("int")
-        return F.struct(fit.alias("fit"), length_class.alias("c"), bin_.alias("b"))
-
-    start = F.array(F.struct(token.alias("m"), alphabet.alias("a")))
-    return F.transform(F.transform(F.transform(start, scored), tested), judged)[0]
-
-
-def candidates(docs: DataFrame, carry: tuple = ()) -> DataFrame:
-    """Base spans, and the other long tokens with their tests, of each row."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+        shift = (n - 1) * F.greatest(F.lit(0.25), k * TEXT_COLLISION - 1)
+        uniform = normal_cdf((x["chi"] - (k - 1) - shift) / F.sqrt(2 * (k - 1) + 4 * shift))
+        stray = 1 + TEXT_ORDER * F.sqrt(n)
+        near = [2 * normal_cdf(F.abs(z) / stray) - 1 for z in (x["r"], x["s"])]
+        return F.struct(fit.alias("fit"), n.alias("n"), (-total(F.transform(F.array(uniform, *near), lambda p: F.log(F.greatest(p, F.lit(1e-300)))))).alias("f"))
+
+    def binned(x: Column) -> Column:
+        # Fisher: twice f is chi-squared of six degrees
+        text = F.exp(-x["f"]) * (1 + x["f"] + x["f"] * x["f"] / 2)
+        length_class = F.least(F.lit(CLASSES - 1), F.floor(F.log2(x["n"] / SHORTEST))).cast("int")
+        bin_ = F.least(F.lit(BINS - 1), F.floor(-2 * F.log2(F.greatest(text, F.lit(1e-300))))).cast("int")
+        return F.struct(x["fit"].alias("fit"), length_class.alias("c"), F.greatest(bin_, F.lit(0)).alias("b"))
+
+    out = F.array(F.struct(token.alias("m"), alphabet.alias("a")))
+    for step in (counted, paired, scored, judged, binned):
+        out = F.transform(out, step)
+    return out[0]
+
+
+def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """(doc_id, base spans, clear spans and tests of the other long tokens, carried columns by number, _t if they hold text)."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t"), *numbers(carry))
     rows = rows.select("*", *[found(F.col("_t"), p).alias(f"_m_{k}") for k, p in PATTERNS.items()])
     rows = rows.select("*", *[gaps(F.col("_t"), p, F.col(f"_m_{k}")).alias(f"_g_{k}") for k, p in PATTERNS.items()])
     spans = {k: placed(F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in PATTERNS}
@@ -100,7 +134,9 @@ def candidates(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     clear = F.filter("_s_random", lambda x: ~F.exists(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
     rows = rows.withColumn("_clear", clear)
     tests = F.transform("_clear", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("t")))
-    return rows.withColumn("_tests", F.when(F.size("_clear") > 0, tests))
+    rows = rows.withColumn("_tests", F.when(F.size("_clear") > 0, tests))
+    ends = [F.transform(f"_s_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"_s_{k}") for k in BASE]
+    return rows.select("doc_id", "_tests", *ends, *[f"_c_{i}" for i in range(len(carry))])
 
 
 def thresholds(rows: DataFrame) -> dict[int, int]:
@@ -112,29 +148,31 @@ def thresholds(rows: DataFrame) -> dict[int, int]:
     least = {}
     for c in range(CLASSES):
         bins = {r["b"]: r["count"] for r in counts if r["c"] == c}
-        total, passed = sum(bins.values()), 0
+        total_, passed = sum(bins.values()), 0
         for b in sorted(bins, reverse=True):
             passed += bins[b]
-            if 2.0 ** (-b / 2) <= FDR * passed / total:
+            if 2.0 ** (-b / 2) <= FDR * passed / total_:
                 least[c] = b
     return least
 
 
-def find_secrets(docs: DataFrame, carry: tuple = ()) -> DataFrame:
-    """(doc_id, spans): (s, e, k) by start, then kind, the base kinds and "random".
+def find_secrets(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, spans): (s, e, k) by start, then kind, the base kinds and "random"; then the columns to carry, by number.
 
     A token is random if natural text of its length would look as random too seldom (thresholds) and the battery
-    doesn't reject randomness (FIT). Null and empty texts have none; repeated rows are answered each.
+    doesn't reject randomness (FIT). Texts are read once: spans and test results are written to the shared folder, then
+    counted, then judged. Null and empty texts have none; texts and tokens of any length take time in proportion to it;
+    repeated rows are answered each; an empty table gives an empty result. Other columns are not read.
     """
-    rows = candidates(docs, carry)
-    least = thresholds(candidates(docs))
+    rows = cut(candidates(docs, list(carry)))
+    least = thresholds(rows)
     levels = F.array(*[F.lit(least.get(c, BINS)) for c in range(CLASSES)])
     random = F.filter("_tests", lambda x: (x["t"]["fit"] >= FIT) & (x["t"]["b"] >= F.element_at(levels, x["t"]["c"] + 1)))
     parts = [F.transform(f"_s_{k}", of(i)) for i, k in enumerate(BASE)]
     parts.append(F.transform(F.coalesce(random, F.array().cast("array<struct<s:bigint,e:bigint,t:struct<fit:double,c:int,b:int>>>")), of(len(BASE))))
     names = F.array(*[F.lit(k) for k in PATTERNS])
     ordered = F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(names, x["o"] + 1).alias("k")))
-    return rows.select("doc_id", ordered.alias("spans"), F.col("_t"), *[F.col(f"_c_{c}") for c in carry])
+    return rows.select("doc_id", ordered.alias("spans"), *[f"_c_{i}" for i in range(len(carry))])
 
 
 def of(order: int):
@@ -156,23 +194,43 @@ MASK = "[SECRET]"
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every run of overlapping spans replaced by MASK."""
+    """The text with every run of overlapping spans replaced by MASK.
+
+    A span goes if it begins where an earlier one has ended by then; the text between those that stay is what remains.
+    Both are gathered in blocks, as a fold copies what it has gathered.
+    """
+    spot = "array<struct<p:bigint,s:bigint>>"
 
     def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substr(text, (acc["p"] + 1).cast("int"), (x["s"] - acc["p"]).cast("int")), F.lit(MASK))
-        out = F.when(x["s"] >= acc["p"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), out.alias("out"))
+        kept = F.when(x["s"] >= acc["p"], F.array(F.struct(acc["p"].alias("p"), x["s"].alias("s")))).otherwise(F.array().cast(spot))
+        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["out"], kept).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(b, F.struct(acc["p"].alias("p"), F.array().cast(spot).alias("out")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["p"].alias("p"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
 
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["p"] + 1).cast("int"))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(F.array(spans), lambda all_: F.transform(starts, lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))[0]
+    start = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(f"array<{spot}>").alias("out"))
+    gaps_ = F.aggregate(blocks, start, block, lambda acc: F.struct(F.flatten(acc["out"]).alias("out"), acc["p"].alias("p")))
+
+    def masked(cut: Column, g: Column) -> Column:
+        parts = F.transform(g["out"], lambda x: F.concat(between(cut, x["p"], x["s"]), F.lit(MASK)))
+        return F.concat(F.array_join(parts, ""), between(cut, g["p"], F.length(text).cast("long")))
+
+    return F.transform(F.arrays_zip(F.array(pieces(text)).alias("c"), F.array(gaps_).alias("g")), lambda z: masked(z["c"], z["g"]))[0]
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays; its secrets are masked in the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = find_secrets(docs, (*others, "text"))
-    masked = F.when(F.size("spans") > 0, redact(F.col("_t"), F.col("spans"))).otherwise(F.col("_c_text"))
-    rows = rows.select("doc_id", masked.alias("text"), *[F.col(f"_c_{c}").alias(c) for c in others])
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.contains("text", F.lit(MASK)), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    """Pipeline stage: every document stays; its secrets are masked in the text, and n_chars, if there, follows.
+
+    Null and empty texts stay as they are, as do repeated rows and rows without an id; further columns of any name come
+    back unchanged; an empty table gives an empty one.
+    """
+    rows = find_secrets(docs, docs.columns)
+    at = {c: F.col(f"_c_{i}") for i, c in enumerate(docs.columns)}
+    masked = F.size("spans") > 0
+    out = at | {"text": F.when(masked, redact(at["text"], F.col("spans"))).otherwise(at["text"])}
+    if "n_chars" in at:
+        out["n_chars"] = F.when(masked, F.length(out["text"])).otherwise(at["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(n) for n, c in out.items()])

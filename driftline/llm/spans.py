@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
-#: Spans gathered by one inner fold: copying while gathering is quadratic only within such a block.
+#: Spans gathered by one inner fold. A fold copies what it has gathered, so blocks are gathered apart and flattened at the end.
 BLOCK = 256
 
 
@@ -33,13 +33,30 @@ def placed(matches: Column, before: Column) -> Column:
         return F.struct(end.alias("p"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
 
     def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(F.slice(both, b * BLOCK + 1, BLOCK), F.struct(acc["p"].alias("p"), none.alias("out")), step)
-        return F.transform(F.array(inner), lambda r: F.struct(r["p"].alias("p"), F.concat(acc["out"], r["out"]).alias("out")))[0]
+        inner = F.aggregate(b, F.struct(acc["p"].alias("p"), none.alias("out")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["p"].alias("p"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
 
-    whole = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int")), F.struct(F.lit(0).cast("long").alias("p"), none.alias("out")), block)
-    return F.when(F.size(matches) > 0, whole["out"]).otherwise(none)
+    starts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(F.array(both), lambda all_: F.transform(starts, lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))[0]
+    whole = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(f"array<{SPANS}>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(matches) > 0, whole).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end of spans that have k, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+#: Code points to a piece of a text that is cut up so that places in it are found without counting from its start.
+PIECE = 256
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The code points of a text that was cut into pieces, from start to end (exclusive), in time in proportion to their number."""
+    first = F.floor(start / PIECE)
+    near = F.array_join(F.slice(cut, (first + 1).cast("int"), (F.floor(end / PIECE) - first + 1).cast("int")), "")
+    return F.substr(near, (start - first * PIECE + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
