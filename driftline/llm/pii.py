@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import found, gaps, joined, placed
+from .spans import between, found, gaps, joined, pieces, placed
 
 # The patterns are anchored so that no start inside a run is tried again: every one takes time in proportion to the text.
 LOCAL = "A-Za-z0-9._%+-"
@@ -24,10 +24,10 @@ BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span, what a word nearby adds, and those words.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.9, "pan": 0.4, "ssn": 0.3}
 CONTEXT = {
-    "email": "mail|contact|write|reach",
+    "email": "e-?mail|mail|contact|write|reach",
     "ip": "address|host|server|login|client",
     "card": "card|visa|mastercard|credit|debit|payment",
-    "phone": "phone|call|tel|mobile|fax|contact",
+    "phone": "phone|telephone|call|tel|mobile|fax|contact",
     "iban": "iban|bank|account|transfer|konto|cuenta|compte",
     "pan": "card|amex|credit|debit|payment",
     "ssn": "ssn|social security|tax id",
@@ -79,13 +79,14 @@ def of_kind(kind: str):
 def scored(kind: str, spans: Column, text: Column) -> Column:
     """Adds the kind and the score, raised where a word of the kind's context stands within REACH code points."""
 
-    def one(x: Column) -> Column:
+    def one(x: Column, cut: Column) -> Column:
         start = F.greatest(x["s"] - REACH, F.lit(0))
-        near = F.concat(F.substr(text, (start + 1).cast("int"), (x["s"] - start).cast("int")), F.lit(" "), F.substr(text, (x["e"] + 1).cast("int"), F.lit(REACH)))
-        score = F.lit(SCORES[kind]) + F.when(F.lower(near).rlike(CONTEXT[kind]), RAISE).otherwise(0.0)
+        near = F.concat(between(cut, start, x["s"]), F.lit(" "), between(cut, x["e"], x["e"] + REACH))
+        score = F.lit(SCORES[kind]) + F.when(F.lower(near).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})s?(?![a-z])"), RAISE).otherwise(0.0)
         return F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.least(F.lit(1.0), F.round(score, 2)).alias("score"))
 
-    return F.when(F.size(spans) > 0, F.transform(spans, one)).otherwise(F.array().cast("array<struct<k:string,s:bigint,e:bigint,score:double>>"))
+    judged = F.transform(F.array(pieces(text)), lambda cut: F.transform(spans, lambda x: one(x, cut)))[0]
+    return F.when(F.size(spans) > 0, judged).otherwise(F.array().cast("array<struct<k:string,s:bigint,e:bigint,score:double>>"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
