@@ -1,4 +1,4 @@
-"""Packing by power-of-two decomposition: every piece of a document is a sequence of its own, of a binary length."""
+"""Packing by power-of-two decomposition: every piece of a document is a sequence of its own, in the bucket of its binary length."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, numbered, table
 
 CONTEXT = 1024
 END = 0
-#: Words whose ids a Python worker keeps; when so many are new, those not seen since the last time are forgotten.
-CACHE = 300_000
+#: Words of up to LONG characters whose ids a Python worker keeps; when so many are new, those not seen since the last time
+#: are forgotten.
+CACHE, LONG = 300_000, 64
 #: White space as the tokenizer's pattern has it, and letters it takes as such.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -25,25 +26,32 @@ SPECIAL = "<|endoftext|>"
 class Encoder(dict):
     """Ids of words as little-endian bytes, encoded on first sight.
 
-    Words go through the vocabulary's rank file, which is faster on short strings and gives the same ids; those that
-    hold a special token's string go through the tokenizer itself.
+    Words go through the vocabulary's rank file, if it lies beside, which is faster on short strings and gives the same
+    ids; those that hold a special token's string, and all where there is no such file, go through the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
-        import base64
         import re
+        from pathlib import Path
 
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = Path(vocabulary.removesuffix(".json") + ".tiktoken")
+        self.ranked = self.fast(ranks) if ranks.exists() else lambda word: self.tokenizer.encode(word, add_special_tokens=False).ids
         self.segments = re.compile(SEGMENT).findall
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def fast(path):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def __missing__(self, word: str) -> bytes:
         import struct
 
@@ -51,6 +59,8 @@ class Encoder(dict):
         if out is None:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids if SPECIAL in word else self.ranked(word)
             out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) > LONG:
+            return out
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -85,12 +95,14 @@ def default_vocabulary() -> str:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT, with_ids: bool = False) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, offset, sequence_id), with the ids if asked for.
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset), with the ids if asked for.
 
     A document's ids end with END; a null or empty text is that id alone. Each piece is a sequence of its own, at
-    offset 0: its length is a power of two of at most the context, which must be one itself, so nothing is padded, no
-    sequence crosses documents and equal lengths make a bucket (the length). Repeated rows are packed each; the
-    sequence id is unique to a piece, and the same when a lost task runs again.
+    offset 0: its length is a power of two of at most the context, which must be one itself, so nothing is padded and no
+    sequence crosses documents. Pieces of equal length share a bucket (the exponent), and the sequence ids number the
+    pieces bucket by bucket, from 0, in the order of (doc_id, start): so any run of ids within a bucket makes a batch of
+    equal lengths, and ids depend on the rows alone, not on how they are dealt. Repeated rows are packed each; a null
+    doc_id comes first; other columns are not read; an empty table gives an empty result.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
@@ -125,15 +137,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT,
         if rows:
             yield flush(rows, ids)
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pieces, schema)
-    return out.withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", F.monotonically_increasing_id())
+    kept = cut(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pieces, schema))
+    bucketed = kept.withColumn("bucket", F.log2("length").cast("int")).withColumn("offset", F.lit(0).cast("long"))
+    return numbered(bucketed, [F.col(c).asc_nulls_first() for c in ("bucket", "doc_id", "start", "doc_tokens", "ids_crc32")], "sequence_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
     return pack(table(spark, sf_dir, "documents")).select(*columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces."""
+    """Pipeline stage, the last: the pieces of pack, which says what becomes of nulls, repeats and empty tables."""
     return pack(docs)
