@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,27 +15,39 @@ GRAM, BUCKETS, SEGMENT = 4, 1 << 16, 48
 SAMPLE = 2000
 #: Overlapping n-grams tell the same thing over again: their joint log-likelihood counts by so much.
 TEMPER = 1 / GRAM
-STEPS = 12
+#: EM ends when no proportion changes by more than SETTLED, or after so many steps.
+SETTLED, STEPS = 1e-4, 200
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Segments whose likelihoods are worked out at once.
+CHUNK = 20_000
 
 
-def grams(texts: list[str]):
-    """Hashed n-grams of all texts in one array, and where each text's begin and end."""
+def has_letter(text: str) -> bool:
+    """Whether any character is of one of Unicode's letter categories; numerals and marks are none."""
+    return any(map(str.isalpha, text))
+
+
+def prepared(texts: list[str]):
+    """The bytes of all texts, plain letters only, each with blanks around it, and where each one's n-grams begin and end."""
     import numpy as np
 
     raw = [f"   {t.lower()} ".encode() for t in texts]
-    sizes = np.array([len(x) for x in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw) + b"   ", dtype=np.uint8)
-    plain = np.full(256, 32, dtype=np.uint32)
+    ends = np.cumsum([len(x) for x in raw])
+    plain = np.full(256, 32, dtype=np.uint8)
     plain[97:123], plain[128:] = np.arange(97, 123), np.arange(128, 256)
-    data = plain[data]
-    code = data[:-3].copy()
+    return plain[np.frombuffer(b"".join(raw), dtype=np.uint8)], ends - np.array([len(x) for x in raw]), ends - (GRAM - 1)
+
+
+def grams(data):
+    """Hashed n-grams of bytes, one for each of the first len(data) - GRAM + 1."""
+    import numpy as np
+
+    size = len(data) - GRAM + 1
+    code = data[:size].astype(np.uint32)
     for k in range(1, GRAM):
-        code |= data[k : len(data) - 3 + k] << np.uint32(8 * k)
+        code |= data[k : size + k].astype(np.uint32) << np.uint32(8 * k)
     code *= np.uint32(2654435761)
-    ends = np.cumsum(sizes)
-    return (code >> np.uint32(16)).astype(np.int32), ends - sizes, ends - (GRAM - 1)
+    return (code >> np.uint32(16)).astype(np.int32)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE):
@@ -61,8 +72,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(langs):
-                got, _, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == name])
-                total[name] = total.get(name, 0) + np.bincount(got, minlength=BUCKETS)
+                for t in (t for t, x in zip(texts, langs, strict=True) if x == name):
+                    total[name] = total.get(name, 0) + np.bincount(grams(prepared([t])[0]), minlength=BUCKETS)
         for name, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n.astype("<i8").tobytes()])], names=["lang", "n"])
 
@@ -82,7 +93,7 @@ def mixtures(texts: list[str], logs):
     """
     import numpy as np
 
-    codes, starts, ends = grams(texts)
+    data, starts, ends = prepared(texts)
     cuts = [np.arange(a, max(b, a + 1), SEGMENT) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     n = np.array([len(c) for c in cuts])
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -90,9 +101,12 @@ def mixtures(texts: list[str], logs):
     stops = np.append(edges[1:], 0)
     stops[np.append(first[1:], len(edges)) - 1] = ends
     like = np.empty((len(edges), len(logs)))
-    for j, row in enumerate(logs):
-        running = np.concatenate([[0.0], np.cumsum(row[codes], dtype=np.float64)])
-        like[:, j] = (running[stops] - running[edges]) * TEMPER
+    for a in range(0, len(edges), CHUNK):
+        begin, end = edges[a : a + CHUNK], stops[a : a + CHUNK]
+        codes = grams(data[begin[0] : end[-1] + GRAM - 1])
+        for j, row in enumerate(logs):
+            running = np.concatenate([[0.0], np.cumsum(row[codes], dtype=np.float64)])
+            like[a : a + CHUNK, j] = (running[end - begin[0]] - running[begin - begin[0]]) * TEMPER
     top = like.max(axis=1, keepdims=True)
     like = np.exp(like - top)
     whose = np.repeat(np.arange(len(texts)), n)
@@ -103,7 +117,9 @@ def mixtures(texts: list[str], logs):
         for _ in range(STEPS):
             part = like * share[whose]
             part /= part.sum(axis=1, keepdims=True) + 1e-300
-            share = np.add.reduceat(part, first, axis=0) / n[:, None]
+            before, share = share, np.add.reduceat(part, first, axis=0) / n[:, None]
+            if np.abs(share - before).max() < SETTLED:
+                break
         fit_ = np.add.reduceat(np.log((like * share[whose]).sum(axis=1) + 1e-300), first) + base
         return share, fit_
 
@@ -141,7 +157,7 @@ def predict(docs: DataFrame, names: list[str], logs, carry: tuple = ()) -> DataF
         for batch in batches:
             texts = batch.column(texts_at if texts_at > 0 else batch.num_columns - 1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+            rows = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
             part, size = [], 0
             for i in [*rows, None]:
                 if part and (i is None or size > 1_000_000):
@@ -173,7 +189,11 @@ LEAST = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter, and those in no language for the most part, go."""
+    """Pipeline stage: documents without a letter (null and empty texts too), and those in no language for the most part, go.
+
+    The model is fitted on the stage's own input, without the held-out third. Repeated rows and rows without an id are
+    judged each; columns of any name come back unchanged; an empty table gives an empty one.
+    """
     names, logs = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
     rows = predict(docs, names, logs, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST))
     return rows.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(docs.columns)])
