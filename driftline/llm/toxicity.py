@@ -10,16 +10,27 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-#: Labelled documents that the models are fitted on, at most (chosen by a hash of the id).
+#: Labelled documents that lexicons are induced from and the classifier is fitted on, at most (chosen by a hash of the id).
 SAMPLE = 10_000
-#: Voters that features are dealt to by kind, lengths of the word beginnings that count as patterns.
+#: Voters that induced words, and as many that induced word beginnings, are dealt to; lengths of those beginnings.
 VOTERS, STEMS = 6, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
-#: Least share of toxic rows among those that have a feature.
+#: Least share of toxic rows among those that have an induced feature.
 PRECISION = 0.9
 CACHE = 400_000
 WORD = re.compile(r"[^\W\d_]+")
-ROUNDS = 30
+#: Insults that need no labels.
+INSULTS = tuple(
+    "idiot moron imbecile stupid dumb fool loser pathetic worthless disgusting scum trash garbage vermin clown pig coward liar creep freak jerk "
+    "dummkopf idiotin abschaum trottel arschloch versager crétin imbécile connard ordure minable estúpido imbécil basura escoria inútil".split()
+)
+#: Signs that stand for letters in disguised words.
+DISGUISE = str.maketrans("013457@$!", "oieastasi")
+DISGUISED = re.compile(r"[a-z]*[013457@$!][a-z013457@$!]*[a-z]")
+AIMED = re.compile(rf"\byou(?:'re| are)?\s+(?:\w+\s+){{0,2}}(?:{'|'.join(INSULTS)})")
+THREAT = re.compile(r"\b(?:kill|hurt|beat|destroy|hate)\s+(?:you|him|her|them)\b")
+SURFACE = ("insult", "disguised", "aimed", "threat", "repeated", "dense", "exclaiming", "shouting")
+ROUNDS = 200
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -28,8 +39,12 @@ def features_of(word: str) -> tuple[str, ...]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most about `sample` labelled rows, which alone are sent to all executors."""
-    rows = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    """(doc_id, text, toxic) of at most about `sample` labelled documents, which alone are sent to all executors.
+
+    A document labelled more than once is toxic if one of its labels says so; labels other than 0 and 1 say nothing.
+    """
+    rows = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
@@ -48,7 +63,7 @@ def select_features(train: DataFrame):
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(WORD.findall((text or "").lower())) for f in features_of(w[:64])}:
+                for f in {f for w in set(WORD.findall((text or "").lower())) for f in features_of(w)}:
                     counts[f, toxic] = counts.get((f, toxic), 0) + 1
             names, marks = zip(*counts, strict=True) if counts else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int32()), pa.array(counts.values(), pa.int64())], names=["f", "toxic", "n"])
@@ -75,7 +90,7 @@ class Reader(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = out = tuple(self.index[f] for f in features_of(word[:64]) if f in self.index)
+        self[word] = out = tuple(self.index[f] for f in features_of(word) if f in self.index)
         return out
 
     def hits(self, text: str) -> tuple[dict[int, int], int]:
@@ -89,38 +104,50 @@ class Reader(dict):
 
 
 def ballots(hits: list, texts: list[str], features: list[str]):
-    """Votes (rows x voters) of 1 for toxic, 0 for not seen: lexicons, patterns, repeated hits, surface marks."""
-    import numpy as np
-
-    votes = np.zeros((len(hits), 2 * VOTERS + 4))
-    for row, ((counts, words), text) in enumerate(zip(hits, texts, strict=True)):
+    """Votes of each text as bits: induced words and beginnings, dealt to VOTERS each, then SURFACE."""
+    known = {f"w {w}" for w in INSULTS}
+    bit = [VOTERS * 2 if f in known else i % VOTERS + VOTERS * f.startswith("s") for i, f in enumerate(features)]
+    out = []
+    for (counts, words), text in zip(hits, texts, strict=True):
+        votes, lower, total = 0, text.lower(), sum(counts.values())
         for i in counts:
-            votes[row, i % VOTERS + VOTERS * features[i].startswith("s")] = 1
-        total = sum(counts.values())
-        votes[row, -4:] = total >= 2, total >= 1 and total * 200 >= words, text.count("!") * 20 > words + 1, text.upper() == text and text.lower() != text
-    return votes
-
-
-def label_model(votes, marks, rate: float):
-    """Posteriors of the label model for the rows: class prior, each voter's accuracies, and their correlations.
-
-    Expectation-maximisation starts at the accuracies on the given labels. Voters that agree beyond what the classes
-    explain say the same thing: each vote counts by one over the sum of its squared correlations within the classes.
+            votes |= 1 << bit[i]
+        disguised = any(w.translate(DISGUISE) in INSULTS for w in set(DISGUISED.findall(lower)))
+        surface = (False, disguised, AIMED.search(lower), THREAT.search(lower), total >= 2, total >= 1 and total * 200 >= words, text.count("!") * 20 > words + 1, text.upper() == text and lower != text)
+        for k, vote in enumerate(surface):
+            votes |= bool(vote) << (2 * VOTERS + k)
+        out.append(votes)
+    return out
+
+
+def label_model(votes, counts, rate: float, known=None):
+    """Posterior of each pattern of votes: class prior, each voter's accuracies, and their correlations, from the votes alone.
+
+    votes: patterns x voters of 0 and 1; counts: documents with each pattern, labelled or not; known: those of them that
+    are labelled, clean and toxic, which stay in their class. Expectation-maximisation starts at whether any voter but the
+    last two (loud punctuation says little) has voted, and ends when no posterior moves. Voters that agree beyond what
+    the classes explain say the same thing: each vote counts by one over the sum of its squared correlations within the
+    classes.
     """
     import numpy as np
 
-    post = np.asarray(marks, dtype=float)
+    votes, counts = np.asarray(votes, dtype=float), np.asarray(counts, dtype=float)
+    known = np.zeros((len(counts), 2)) if known is None else np.asarray(known, dtype=float)
+    free = np.maximum(counts - known.sum(axis=1), 0)
+    post = votes[:, :-2].any(axis=1).astype(float)
     for _ in range(ROUNDS):
-        hit = (post @ votes + 0.5) / (post.sum() + 1)
-        false = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1)
-        left = votes - np.outer(post, hit) - np.outer(1 - post, false)
-        spread = np.sqrt((left**2).sum(axis=0)) + 1e-9
-        weight = 1 / np.maximum(1.0, ((left.T @ left / np.outer(spread, spread)) ** 2).sum(axis=1))
+        a, b = free * post + known[:, 1], free * (1 - post) + known[:, 0]
+        hit, false = (a @ votes + 0.5) / (a.sum() + 1), (b @ votes + 0.05) / (b.sum() + 1)
+        left, right = votes - a @ votes / max(a.sum(), 1e-9), votes - b @ votes / max(b.sum(), 1e-9)
+        both = (left.T * a) @ left + (right.T * b) @ right
+        spread = np.diag(both) + 1e-6
+        weight = 1 / np.maximum(1.0, (both**2 / np.outer(spread, spread)).sum(axis=1))
         ratio = votes * (weight * np.log(hit / false)) + (1 - votes) * (weight * np.log((1 - hit) / (1 - false)))
-        new = 1 / (1 + np.exp(-np.clip(np.log(rate / (1 - rate)) + ratio.sum(axis=1), -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        prior = (a.sum() + rate) / (a.sum() + b.sum() + 1)
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio.sum(axis=1), -30, 30)))
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-6:
             break
-        post = new
     return post
 
 
@@ -138,54 +165,74 @@ def vectors(hits: list, size: int):
     return x
 
 
-def train_linear(x, target, decay: float = 2e-4, steps: int = 400):
-    """Logistic regression on soft labels, by accelerated gradient steps."""
+def train_linear(x, target, weight, decay: float = 2e-4, settled: float = 1e-9):
+    """Logistic regression of soft labels on weighted rows, by Newton's steps until the gradient is settled."""
     import numpy as np
 
-    x = x.astype(np.float64)
-    step = 4 / (np.square(x).sum(axis=1).max() + 1e-6)
-    w = v = np.zeros(x.shape[1])
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        grad = x.T @ (p - target) / len(x) + decay * np.append(v[:-1], 0)
-        new = v - step * grad
-        v, w = new + k / (k + 3) * (new - w), new
+    x, total = x.astype(np.float64), weight.sum()
+    w = np.zeros(x.shape[1])
+    ridge = np.append(np.full(x.shape[1] - 1, decay), 1e-9)
+    loss = lambda w: (weight @ (np.logaddexp(0, x @ w) - target * (x @ w))) / total + ridge @ (w * w) / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - target)) / total + ridge * w
+        if np.abs(grad).max() < settled:
+            break
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x / total + np.diag(ridge + 1e-12), grad)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Selected features and the weights of the linear classifier (None if either class is missing)."""
+    """Features and the weights of the linear classifier (None if either class is missing).
+
+    Lexicons are induced from the labelled sample. The votes of all documents that aren't held out, labelled or not, are
+    counted by pattern (2 to the number of voters at most, in fact a few hundred) for the label model, in which the
+    sample's labels anchor the classes. The classifier learns the posteriors of the sample's votes; the labels are no
+    targets.
+    """
+    import json
+
     import numpy as np
 
     train = sampled(docs, labels, sample)
-    features, rate = select_features(train)
-    if not features:
+    induced, rate = select_features(train)
+    if not induced:
         return [], np.array([np.log(rate / (1 - rate))]) if 0 < rate < 1 else None
+    features = [*induced, *sorted({f"w {w}" for w in INSULTS} - set(induced))]
 
-    def read(batches: Iterator) -> Iterator:
-        import json
-
+    def vote(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         reader = Reader(features)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             hits = [reader.hits(t) for t in texts]
-            votes = ballots(hits, texts, features).astype("uint8")
-            rows = [json.dumps([list(c.items()), n]) for c, n in hits]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([v.tobytes() for v in votes]), batch.column(1), batch.column(2)], names=["hits", "votes", "toxic", "doc_id"])
-
-    import json
-
-    rows = train.select("text", F.col("toxic").cast("int"), "doc_id").mapInArrow(read, "hits string, votes binary, toxic int, doc_id long").orderBy("doc_id", "hits").collect()
+            rows = [json.dumps([sorted(c.items()), n if c else 0]) for c, n in hits]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ballots(hits, texts, features), pa.int64()), batch.column(1)], names=["hits", "votes", "toxic"])
+
+    schema = "hits string, votes long, toxic int"
+    allowed = docs.filter(~held_out(F.col("doc_id"))).select("text", F.lit(0).alias("toxic"))
+    patterns = {r["votes"]: r["count"] for r in allowed.mapInArrow(vote, schema).groupBy("votes").count().collect()}
+    rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(vote, schema).groupBy("hits", "votes", "toxic").count().orderBy("hits", "votes", "toxic").collect()
+    known = {v: [sum(r["count"] for r in rows if (r["votes"], r["toxic"]) == (v, t)) for t in (0, 1)] for v in {r["votes"] for r in rows}}
+    order, bits = sorted(patterns), np.arange(2 * VOTERS + len(SURFACE))
+    post = label_model([v >> bits & 1 for v in order], [patterns[v] for v in order], rate, [known.get(v, [0, 0]) for v in order])
+    post = dict(zip(order, post.tolist(), strict=True))
     hits = [(dict(c), n) for c, n in (json.loads(r["hits"]) for r in rows)]
-    votes = np.array([np.frombuffer(r["votes"], dtype="uint8") for r in rows], dtype=float)
-    post = label_model(votes, [r["toxic"] for r in rows], rate)
-    return features, train_linear(vectors(hits, len(features)), post)
+    target, weight = np.array([post[r["votes"]] for r in rows]), np.array([float(r["count"]) for r in rows])
+    return features, train_linear(vectors(hits, len(features)), target, weight)
 
 
 def predict(docs: DataFrame, features: list[str], weights) -> DataFrame:
-    """(doc_id, score): of every whole text. Null and empty texts are scored like any text without a hit."""
+    """(doc_id, score): of every whole text. Null and empty texts are scored like any text without a hit.
+
+    Words count whole, however long. Repeated rows and rows without an id are scored each; other columns are not read;
+    an empty table gives an empty result, and without labels of both classes every score is the share of toxic labels.
+    """
     model = docs.sparkSession.sparkContext.broadcast((features, weights))
 
     def score(batches: Iterator) -> Iterator:
