@@ -7,13 +7,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, cut, table
+from .common import Kept, cut, numbers, table
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Buckets of up to so many fingerprints are compared at once; larger ones meet through shared neighbours instead.
 SMALL = 16
+#: A fingerprint is joined by broadcast if it has more than one in so many of all rows.
+LARGE = 1000
 #: Rounds of label propagation after which components count as faulty.
 ROUNDS = 60
 
@@ -115,9 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and (fp, first, label): its smallest doc_id and the label of its component."""
+    """The fingerprints of all rows, and (fp, first, n, label): its smallest doc_id, its rows and the label of its component."""
     prints = cut(fingerprints(docs))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     labels = components(links(firsts.select("fp")))
     return prints, firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
@@ -131,8 +133,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints, groups = grouped(docs)
     least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = groups.join(least, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = groups.join(least, "label").select("fp", "n", "component_id")
+    # a fingerprint with a thousandth of all rows would make a large task: there are a thousand of those at most, sent to all
+    large = F.col("n") > prints.count() / LARGE
+    hot = cut(ids.filter(large).select("fp", F.col("component_id").alias("hot_id")))
+    rows = prints.join(F.broadcast(hot), "fp", "left")
+    known = rows.filter("hot_id IS NOT NULL").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
+    # a component of null ids only has a null id: hot ones are then found here too
+    rest = rows.filter("hot_id IS NULL").join(ids.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return known.unionByName(rest)
 
 
 def hexed(fp: Column) -> Column:
@@ -148,12 +157,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that with the smallest id; null ids come last.
 
     Of rows that share that id the one with the least hash of its text stays. Ids need not be there or differ: components
-    are told apart by their labels, and rows are found again by id and hash.
+    are told apart by their labels, and rows are found again by id and hash. Null and wordless texts are one component;
+    columns of any name come back unchanged; an empty table gives an empty one.
     """
     prints, groups = grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
-    kept = prints.join(groups.select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__kept"))
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id", "__hash").orderBy("text")
-    return rows.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*docs.columns)
+    least = prints.groupBy("fp").agg(F.min(order).alias("k"))
+    kept = least.join(groups.select("fp", "label"), "fp").groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__kept"))
+    at = {c: F.col(f"_c_{i}") for i, c in enumerate(docs.columns)}
+    rows = docs.select(*numbers(docs.columns)).withColumn("__hash", F.xxhash64(at["text"]))
+    rows = rows.join(kept, at["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
+    first = Window.partitionBy(at["doc_id"], "__hash").orderBy(at["text"])
+    return rows.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*[c.alias(n) for n, c in at.items()])
