@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+
+from .state import accumulated, numbered
 
 
 def ingest(new: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,16 +97,16 @@ def deliveries(outbox: DataFrame, base: float, cap: float, tries: int) -> DataFr
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, ties counted half: from counts per distinct score, so no pair is formed."""
     by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    before = F.coalesce(F.sum("q").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("p", "q", (F.col("p") * (before + F.col("q") / 2)).alias("won"))
+    by = accumulated(by, [F.col(score)], "q", "_before")
+    won = by.select("p", "q", (F.col("p") * (F.col("_before") + F.col("q") / 2)).alias("won"))
     return won.agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The value at rank ceil(p (n - 1)), counted from zero."""
-    order, every = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys)
-    rows = rows.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(every))
-    return rows.filter(F.col("_r") == F.ceil(F.lit(p) * (F.col("_n") - 1))).select(*keys, value)
+    """The value at rank ceil(p (n - 1)), counted from zero. Ranks come from range partitions, so a large key takes many tasks."""
+    placed = numbered(rows.select(*keys, value), [*map(F.col, keys), F.col(value)], "_i")
+    first = placed.groupBy(*keys).agg((F.min("_i") + F.ceil(F.lit(p) * (F.count(F.lit(1)) - 1))).alias("_i"))
+    return placed.join(first, [*keys, "_i"]).select(*keys, value)
 
 
 def block_statistics(rows: DataFrame, keys: list[str], order: list[str], value: str, size: int = 8) -> DataFrame:
@@ -130,17 +135,28 @@ def windows_with_context(rows: DataFrame, at: str, anchor: Column, length: int,
 
 
 def token_bucket(calls: DataFrame, key: str, at: str, rate: float, burst: float) -> DataFrame:
-    """(key, at, allowed): each call takes a token; tokens come back at `rate`, up to `burst`. One fold per key."""
-    ordered = F.array_sort(F.collect_list(F.col(at).cast("double")))
-    start = F.struct(F.lit(float(burst)).alias("t"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<at:double,allowed:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        have = F.least(F.lit(float(burst)), acc["t"] + F.coalesce(x - acc["last"], F.lit(0.0)) * rate)
-        ok = have >= 1
-        return F.struct((have - F.when(ok, 1.0).otherwise(0.0)).alias("t"), x.alias("last"), F.concat(acc["out"], F.array(F.struct(x.alias("at"), ok.alias("allowed")))).alias("out"))
-
-    rows = calls.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("o"))
-    return rows.select(key, F.inline("o"))
+    """(key, at, allowed): each call takes a token; tokens come back at `rate`, up to `burst`.
+
+    The calls of a key stream by in their order; a task holds no more than the tokens of the key it is at.
+    """
+    field = calls.schema[key]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, tokens, last = None, burst, None
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is None or k != now:
+                    now, tokens, last = k, burst, t
+                tokens, last = min(burst, tokens + (t - last) * rate), t
+                allowed.append(tokens >= 1)
+                tokens -= allowed[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[key, "at", "allowed"])
+
+    ordered = calls.select(key, F.col(at).cast("double").alias("at")).repartition(key).sortWithinPartitions(key, "at")
+    return ordered.mapInArrow(run, StructType([field, StructField("at", DoubleType()), StructField("allowed", BooleanType())]))
 
 
 def pair_quality(true: DataFrame, found: DataFrame) -> DataFrame:

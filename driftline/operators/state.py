@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,36 @@ def cut(df: DataFrame) -> DataFrame:
     return Table(df).df
 
 
+def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in sorted range partitions, written, with the partition (_part) and the place in it (_row)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return cut(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() % (1 << 33)))
+
+
+def _starts(sums: dict, zero: Column) -> Column:
+    """Of each partition, what the partitions before it sum up to."""
+    starts, total = [], 0
+    for part in range(max(sums, default=0) + 1):
+        starts.append(F.lit(total) + zero)
+        total += sums.get(part, 0)
+    return F.element_at(F.array(*starts), F.col("_part") + 1)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place in the order, from 0. Rows equal in the order get neighbouring places, whichever.
 
     Range partitions are sorted and written; only their sizes, a number for each, go through the driver.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    kept = cut(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() % (1 << 33)))
+    kept = _ranges(df, order)
     sizes = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
-    starts, total = [], 0
-    for part in range(max(sizes, default=0) + 1):
-        starts.append(F.lit(total).cast("long"))
-        total += sizes.get(part, 0)
-    return kept.withColumn(name, F.element_at(F.array(*starts), F.col("_part") + 1) + F.col("_row")).drop("_part", "_row")
+    return kept.withColumn(name, _starts(sizes, F.lit(0).cast("long")) + F.col("_row")).drop("_part", "_row")
+
+
+def accumulated(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of a number over all rows before each in the order, in the same way."""
+    kept = _ranges(df, order)
+    sums = {r["_part"]: r["s"] or 0 for r in kept.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    before = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(before), F.lit(0))
+    return kept.withColumn(name, _starts(sums, F.lit(0)) + own).drop("_part", "_row")

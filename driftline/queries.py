@@ -38,8 +38,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid, written once: most queries read it many times."""
-    return Table(G.resample(samples(spark, sf_dir), R)).df
+    """The grid and the headings on it, written once: most queries read them many times."""
+    return Table(G.headings(G.resample(samples(spark, sf_dir), R), R)).df
 
 
 def company(g: DataFrame) -> DataFrame:
@@ -470,7 +470,12 @@ def p11_pseudonyms(spark, sf_dir):
     return users.select("user_id", pseudonym("player", F.concat(F.lit("u"), F.col("user_id").cast("string")), EXPORT_KEY).alias("pseudonym"))
 
 
-@query()
+BUCKET = """c AS (SELECT user_id, CAST(s AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY s) AS n FROM e),
+b AS (SELECT user_id, n, t, 1.0::DOUBLE AS have, true AS allowed FROM c WHERE n = 1
+      UNION ALL SELECT user_id, n, t, h - CASE WHEN h >= 1 THEN 1 ELSE 0 END, h >= 1 FROM (SELECT c.*, least(2.0::DOUBLE, b.have + (c.t - b.t) / 43200) AS h FROM b JOIN c ON c.user_id = b.user_id AND c.n = b.n + 1))"""
+
+
+@query(on_events('SELECT user_id, t AS "at", allowed FROM b', BUCKET).replace("WITH", "WITH RECURSIVE", 1))
 def f21_token_bucket(spark, sf_dir):
     return Q.token_bucket(events(spark, sf_dir), "user_id", "s", 1 / 43_200, 2)
 
@@ -534,12 +539,12 @@ def k8_export_manifest(spark, sf_dir):
     return out.withColumn("window_end", F.col("window_end").cast("long"))
 
 
-@query(with_(G.HEAD_SQL) + " SELECT server_id, player_id, idx, CASE WHEN NOT moving THEN 12 ELSE CAST(((floor((atan2(dy, dx) + pi() + pi() / 12) / (pi() / 6))) % 12 + 12) % 12 AS INTEGER) END AS move FROM head WHERE dx IS NOT NULL AND idx % 3 = 0")
+@query(with_(G.HEAD_SQL) + " SELECT server_id, player_id, idx, CASE WHEN NOT moving THEN 12 ELSE CAST(((floor((atan2(dy, dx) + pi() + pi() / 12) / (pi() / 6))) % 12 + 12) % 12 AS INTEGER) END AS move FROM head WHERE dx IS NOT NULL")
 def x18_moves(spark, sf_dir):
     from .functions.scalars import direction_bin
 
-    h = G.headings(grid(spark, sf_dir), R).filter("dx is not null and idx % 3 = 0")
-    speed = F.when(F.col("moving"), F.lit(9.0)).otherwise(F.lit(0.0))
+    h = G.headings(grid(spark, sf_dir), R).filter("dx is not null")
+    speed = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / R.heading_s
     return h.select("server_id", "player_id", "idx", direction_bin(F.col("dx"), F.col("dy"), speed).alias("move"))
 
 
@@ -609,28 +614,14 @@ def a15_summary(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "p90", "middle", "flagged")})
 
 
-@query(with_(G.HEAD_SQL) + ", tr AS (SELECT a.server_id, a.player_id, a.idx, a.dx, a.dy, b.player_id AS j, b.x - a.x AS rx, b.y - a.y AS ry, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d FROM head a JOIN grid b ON a.server_id = b.server_id AND a.idx = b.idx AND a.player_id <> b.player_id WHERE a.moving AND a.idx % 12 = 0), tm AS (SELECT *, row_number() OVER (PARTITION BY server_id, player_id, idx ORDER BY d, j) AS n FROM tr) SELECT server_id, player_id, idx, j AS player_id_j, round((rx * dx + ry * dy) / nullif(sqrt(d * (dx * dx + dy * dy)), 0), 8) AS cos FROM tm WHERE n = 1")
-def w18_tracking(spark, sf_dir):
-    g = grid(spark, sf_dir)
-    mine = G.headings(g, R).filter("moving and idx % 12 = 0").select("server_id", "idx", "player_id", "x", "y", "dx", "dy")
-    return T.tracking(G.pairs(mine, g.select("server_id", "idx", "player_id", "x", "y"))).withColumn("cos", F.round("cos", 8))
-
-
-@query(with_() + ", na AS (SELECT DISTINCT server_id, player_id, x, y FROM grid WHERE idx % 60 = 0 AND player_id LIKE '%0'), nb AS (SELECT DISTINCT server_id, player_id, x, y FROM grid WHERE idx % 60 = 0), nc AS (SELECT a.server_id, a.player_id, b.player_id AS player_id_j, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance2 FROM na a JOIN nb b ON a.server_id = b.server_id AND a.player_id <> b.player_id GROUP BY 1, 2, 3) SELECT server_id, player_id, player_id_j, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY server_id, player_id ORDER BY distance2, player_id_j) AS n FROM nc WHERE distance2 <= 250000) WHERE n <= 8")
-def j11_nearest_approach(spark, sf_dir):
-    g = grid(spark, sf_dir).filter("idx % 60 = 0")
-    return T.nearest_approach(g.filter(F.col("player_id").endswith("0")), g, 500.0, 8)
-
-
-# ---- the whole job of queries above that keep some steps only, as their SQL does ----
 @query(with_(G.HEAD_SQL) + ", tr AS (SELECT a.server_id, a.player_id, a.idx, a.dx, a.dy, b.player_id AS j, b.x - a.x AS rx, b.y - a.y AS ry, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d FROM head a JOIN grid b ON a.server_id = b.server_id AND a.idx = b.idx AND a.player_id <> b.player_id WHERE a.moving), tm AS (SELECT *, row_number() OVER (PARTITION BY server_id, player_id, idx ORDER BY d, j) AS n FROM tr) SELECT server_id, player_id, idx, j AS player_id_j, (rx * dx + ry * dy) / nullif(sqrt(d * (dx * dx + dy * dy)), 0) AS cos FROM tm WHERE n = 1")
-def w18_tracking_all(spark, sf_dir):
+def w18_tracking(spark, sf_dir):
     g = grid(spark, sf_dir)
     mine = G.headings(g, R).filter("moving").select("server_id", "idx", "player_id", "x", "y", "dx", "dy")
     return T.tracking(G.pairs(mine, g.select("server_id", "idx", "player_id", "x", "y")))
 
 
 @query(with_() + ", na AS (SELECT DISTINCT server_id, player_id, x, y FROM grid), nc AS (SELECT a.server_id, a.player_id, b.player_id AS player_id_j, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance2 FROM na a JOIN na b ON a.server_id = b.server_id AND a.player_id <> b.player_id GROUP BY 1, 2, 3) SELECT server_id, player_id, player_id_j, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY server_id, player_id ORDER BY distance2, player_id_j) AS n FROM nc WHERE distance2 <= 250000) WHERE n <= 8")
-def j11_nearest_approach_all(spark, sf_dir):
+def j11_nearest_approach(spark, sf_dir):
     g = grid(spark, sf_dir)
     return T.nearest_approach(g, g, 500.0, 8)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from driftline import queries as Q
+from driftline import plans as Q
 
 DATA = "/root/testdata/sf0.001"
 
@@ -56,7 +56,7 @@ def test_nearest_approach_takes_every_point_and_player(spark, few):
                 least = min((u - x) * (u - x) + (v - y) * (v - y) for x, y in set(mine.values()) for u, v in set(others.values()))
                 if least <= 250000:
                     want[(*a, b[1])] = least
-    got = Q.QUERIES["j11_nearest_approach_all"](spark, folder).collect()
+    got = Q.QUERIES["j11_nearest_approach"](spark, folder).collect()
     assert {r["player_id"] for r in got} == {p for _, p in tracks} and want
     assert {(r["server_id"], r["player_id"], r["player_id_j"]): r["distance2"] for r in got} == want and len(got) == len(want)
 
@@ -70,5 +70,5 @@ def test_tracking_has_every_moving_step(spark, few):
             ahead = mine.get(idx + 3)
             if ahead and (ahead[0] - x) ** 2 + (ahead[1] - y) ** 2 >= 506.25 and any(idx in t for t in others):
                 want.add((server, player, idx))
-    got = [(r["server_id"], r["player_id"], r["idx"]) for r in Q.QUERIES["w18_tracking_all"](spark, folder).collect()]
+    got = [(r["server_id"], r["player_id"], r["idx"]) for r in Q.QUERIES["w18_tracking"](spark, folder).collect()]
     assert sorted(got) == sorted(want) and any(idx % 12 for _, _, idx in want)
