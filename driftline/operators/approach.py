@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import count_z, noisy_or, ramp
 from ..rules import Rules
 from .evidence import PAIR
-from .grid import PLAYER, headings, islands, n_shifts, pairs, shifted, square
+from .grid import PLAYER, counted, headings, islands, n_shifts, pairs, shifted, square
 from .state import Table
 
 RUN = (*PAIR, "run_start")
@@ -39,7 +39,7 @@ def around(runs: DataFrame, first, last, mine: DataFrame, others: DataFrame) ->
     return steps.join(left, ["server_id", "player_id", "idx"]).join(right, ["server_id", "shift", "player_id_j", "idx"])
 
 
-def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True, known: bool = True, clans: DataFrame | None = None) -> DataFrame:
+def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True, known: bool = True, clans: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
     """(server_id, shift, player_id, player_id_j, run_start, arrival, distance): unmerged episodes of i towards j.
 
     Without `known`, what others knew and whether the two meet in peace don't matter (the display form).
@@ -53,7 +53,7 @@ def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True,
     aligned = rows.filter(straight).select(*PAIR, "idx", "_d", "aware", "n").join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti")
     runs = islands(aligned, PAIR, rules.steps(rules.bridge_s), (F.min_by("_d", "idx").alias("d0"), F.min_by("aware", "idx").alias("aware0"), F.max("n").alias("n")))
     far = (F.col("d0") > F.col("aware0") * F.col("aware0")) & (F.col("d0") <= rules.max_start_m**2)
-    runs = runs.filter(far & (F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.aligned_min_s)))
+    runs = counted(runs.filter(far & (F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.aligned_min_s))), since, "run_start")
     place = mine.select(*PLACE, "aware")
     tail = rules.steps(rules.arrive_grace_s)
     span = around(runs, F.col("run_start"), F.least(F.col("run_end") + tail, F.col("n") - 1), place, others).withColumn("_d", square())
@@ -147,23 +147,23 @@ def merged(found: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "_g").agg(F.min("run_start").alias("run_start"), F.max("arrival").alias("arrival"), F.min_by("player_id_j", first).alias("player_id_j"), F.min_by("distance", first).alias("distance")).drop("_g")
 
 
-def beelines(grid: DataFrame, found: DataFrame, rules: Rules) -> DataFrame:
-    """(server_id, player_id, moving_s, episodes, null_episodes, start_sum_m) of every player."""
+def beelines(grid: DataFrame, found: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
+    """(server_id, player_id, moving_s, episodes, null_episodes, start_sum_m) of every player in the steps that count."""
     count = merged(found).groupBy(*PLAYER).agg(F.count_if(F.col("shift") == 0).alias("episodes"), F.count_if(F.col("shift") > 0).alias("by_chance"), F.sum(F.when(F.col("shift") == 0, F.col("distance"))).alias("start_sum_m"))
-    moving = headings(grid, rules).groupBy(*PLAYER).agg((F.count_if("moving") * F.lit(rules.step_s)).alias("moving_s"), F.max("n").alias("n"))
+    moving = counted(headings(grid, rules), since).groupBy(*PLAYER).agg((F.count_if("moving") * F.lit(rules.step_s)).alias("moving_s"), F.max("n").alias("n"))
     rows = moving.withColumn("used", n_shifts(F.col("n"), rules)).join(count, [*PLAYER], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     null = zero("by_chance") / F.greatest(F.lit(1.0), F.col("used").cast("double"))
     return rows.select(*PLAYER, "moving_s", zero("episodes").cast("long").alias("episodes"), null.alias("null_episodes"), F.coalesce("start_sum_m", F.lit(0.0)).alias("start_sum_m"))
 
 
-def tips(grid: DataFrame, assoc: DataFrame, rules: Rules) -> DataFrame:
+def tips(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
     """(player_a, player_b, tips, null_tips): approaches of one to a target that the other had spotted just before.
 
     An approach clears what its player had counted so far for the target and its company, so a tip counts only after
     the last approach that excludes the tipper.
     """
-    own = merged(episodes(grid, assoc, rules, null=False, known=False)).drop("shift")
+    own = merged(episodes(grid, assoc, rules, null=False, known=False, since=since)).drop("shift")
     own = Table(own).df.withColumn("ord", F.row_number().over(W.partitionBy(*PLAYER).orderBy("run_start", "arrival", "player_id_j")))
     with_target = assoc.select("server_id", F.col("player_id").alias("player_id_j"), F.col("player_id_j").alias("m"))
     out = own.select(*PLAYER, "player_id_j", "ord")
@@ -191,12 +191,13 @@ def clan_links(pair_evidence: DataFrame, rules: Rules) -> DataFrame:
     return pair_evidence.filter((seen >= rules.link_min) & (count_z(seen, null) >= rules.link_z)).select("player_a", "player_b")
 
 
-def clans(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(player_id, clan): connected players, named by the least id. Rounds halve the way left, so they are few."""
+def clans(links: DataFrame) -> DataFrame:
+    """(player_id, clan): connected players, named by the least id. Rounds go on until no label changes; as they halve the
+    way left, they are few."""
     both = links.unionByName(links.select(F.col("player_b").alias("player_a"), F.col("player_a").alias("player_b"))).distinct()
     edges = Table(both)
     labels = Table(edges.df.groupBy(F.col("player_a").alias("player_id")).agg(F.least(F.min("player_b"), F.min("player_a")).alias("clan")))
-    for _ in range(rounds):
+    while True:
         best = edges.df.join(labels.df.withColumnRenamed("player_id", "player_b"), "player_b").groupBy(F.col("player_a").alias("player_id")).agg(F.min("clan").alias("near"))
         step = labels.df.join(best, "player_id").select("player_id", F.least("clan", "near").alias("clan"), F.col("clan").alias("old"))
         jump = labels.df.select(F.col("player_id").alias("clan"), F.col("clan").alias("next"))
@@ -218,11 +219,14 @@ def contact_scores(spawns: DataFrame, rules: Rules) -> DataFrame:
     """
     rows = spawns.select("player_id", F.coalesce("dino_class", F.lit("")).alias("c"), "duration_s", F.col("censored").cast("int").alias("k"))
     weight = F.sum(F.when(F.col("k") == 1, 0.5).otherwise(1.0))
-    tiny = W.unboundedPreceding
-    below = lambda *keys: F.coalesce(weight.over(W.partitionBy(*keys).orderBy("duration_s").rangeBetween(tiny, -1)), F.lit(0.0)) if keys else None
-    count = lambda *keys: F.count(F.lit(1)).over(W.partitionBy(*keys))
-    rows = rows.withColumn("_all", F.lit(1))
-    rows = rows.select("*", below("c").alias("bc"), below("c", "player_id").alias("oc"), count("c").alias("nc"), count("c", "player_id").alias("mc"), below("_all").alias("ba"), below("_all", "player_id").alias("oa"), count("_all").alias("na"), count("player_id").alias("ma"))
+    for keys, name in ((["c"], "c"), (["c", "player_id"], "oc"), ([], "a"), (["player_id"], "oa")):
+        # counts per distinct duration, of which there are no more than steps in a grid, and sums over those before
+        per = rows.groupBy(*keys, "duration_s").agg(weight.alias("_w"), F.count(F.lit(1)).alias("_k"))
+        order = W.partitionBy(*keys or [F.lit(0)])
+        before = F.coalesce(F.sum("_w").over(order.orderBy("duration_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        per = per.select(*keys, "duration_s", before.alias(f"_b{name}"), F.sum("_k").over(order).alias(f"_n{name}"))
+        rows = rows.join(per, [*keys, "duration_s"])
+    rows = rows.withColumnsRenamed({"_bc": "bc", "_boc": "oc", "_nc": "nc", "_noc": "mc", "_ba": "ba", "_boa": "oa", "_na": "na", "_noa": "ma"})
     rows = rows.filter((F.col("ma") >= rules.spawn_min_own) & (F.col("na") - F.col("ma") >= rules.spawn_min_others))
     wide = F.col("nc") - F.col("mc") < rules.spawn_min_others
     share = F.when(wide, (F.col("ba") - F.col("oa")) / (F.col("na") - F.col("ma"))).otherwise((F.col("bc") - F.col("oc")) / F.greatest(F.lit(1), F.col("nc") - F.col("mc")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..rules import Rules
-from .grid import PLAYER, deaths, headings, islands, n_shifts, pairs, shifted, square
+from .grid import PLAYER, close, counted, deaths, headings, islands, n_shifts, pairs, shifted, square
 
 PAIR = ("server_id", "shift", "player_id", "player_id_j")
 
@@ -37,13 +37,13 @@ def waits(grid: DataFrame, rules: Rules) -> DataFrame:
 def associates(grid: DataFrame, rules: Rules) -> DataFrame:
     """(server_id, player_id, player_id_j) in both orders: pairs within associate_radius_m for associate_min_s in all."""
     place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = pairs(place, place, ordered=True).filter(square() <= rules.associate_radius_m**2)
+    near = close(place, place, rules.associate_radius_m, ordered=True)
     found = near.groupBy("server_id", "player_id", "player_id_j").count().filter(F.col("count") * rules.step_s >= rules.associate_min_s).drop("count")
     return found.unionByName(found.select("server_id", F.col("player_id_j").alias("player_id"), F.col("player_id").alias("player_id_j")))
 
 
-def _meetups(rows: DataFrame, rules: Rules) -> DataFrame:
-    """Meetups of each pair and shift, fights excluded."""
+def _meetups(rows: DataFrame, rules: Rules, since: DataFrame | None) -> DataFrame:
+    """Meetups of each pair and shift, fights excluded. One that begins as context isn't counted, but separates the next."""
     far = square()
     order = W.partitionBy(*PAIR).orderBy("idx")
     rows = rows.select(*PAIR, "idx", (far <= rules.meet_radius_m**2).alias("close"), F.sum((far > rules.apart_m**2).cast("int")).over(order).alias("apart"), (F.col("died") | F.col("died_j")).alias("fight"))
@@ -51,19 +51,19 @@ def _meetups(rows: DataFrame, rules: Rules) -> DataFrame:
     runs = islands(rows.filter("close"), PAIR, extra=edges).filter(F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.meet_min_s))
     previous = F.lag("after").over(W.partitionBy(*PAIR).orderBy("run_start"))
     runs = runs.withColumn("separate", previous.isNull() | (F.col("before") > previous))
-    return runs.groupBy(*PAIR).agg(F.count_if(F.col("separate") & ~F.col("fight")).alias("meets"))
+    return counted(runs, since, "run_start").groupBy(*PAIR).agg(F.count_if(F.col("separate") & ~F.col("fight")).alias("meets"))
 
 
-def meetups(grid: DataFrame, rules: Rules) -> DataFrame:
+def meetups(grid: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
     """(server_id, player_a, player_b, meets, null_meets) of the pairs that met; null_meets is the mean over the shifts.
 
     The shifted joins are made for the pairs that met only.
     """
     place = deaths(grid, rules).select("server_id", "idx", "player_id", "x", "y", "died", "n")
-    seen = _meetups(pairs(place, shifted(place, rules, null=False), ordered=True), rules).filter("meets > 0").drop("shift")
+    seen = _meetups(pairs(place, shifted(place, rules, null=False), ordered=True), rules, since).filter("meets > 0").drop("shift")
     mine = seen.select("server_id", "player_id", "player_id_j").join(place, ["server_id", "player_id"])
     other = shifted(place, rules, real=False).select("server_id", "idx", "shift", *[F.col(c).alias(f"{c}_j") for c in ("player_id", "x", "y", "died")])
-    by_chance = _meetups(mine.join(other, ["server_id", "player_id_j", "idx"]), rules)
+    by_chance = _meetups(mine.join(other, ["server_id", "player_id_j", "idx"]), rules, since)
     null = by_chance.groupBy("server_id", "player_id", "player_id_j").agg(F.sum("meets").alias("by_chance"))
     used = grid.select("server_id", "n").distinct().select("server_id", n_shifts(F.col("n"), rules).alias("used"))
     rows = seen.join(null, ["server_id", "player_id", "player_id_j"], "left").join(used, "server_id")
@@ -71,7 +71,7 @@ def meetups(grid: DataFrame, rules: Rules) -> DataFrame:
     return rows.select("server_id", F.col("player_id").alias("player_a"), F.col("player_id_j").alias("player_b"), F.col("meets").cast("long").alias("meets"), mean.alias("null_meets"))
 
 
-def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules) -> DataFrame:
+def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
     """(server_id, player_id, idx, dino_class, duration_s, censored): from each spawn to the first contact.
 
     A spawn is an appearance, a jump or a change of class after the grid's begin; the life lasts to the next spawn or
@@ -86,19 +86,20 @@ def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules) -> DataFrame
     lives = grid.select("server_id", "idx", "player_id", "x", "y", "dino_class", spawned.alias("spawned"), new_run.alias("new_run"))
     lives = lives.withColumn("life", F.sum((F.col("spawned") | F.col("new_run")).cast("int")).over(order))
     place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = pairs(place, place).filter(square() <= rules.contact_m**2)
+    near = close(place, place, rules.contact_m)
     touch = near.join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti").select("server_id", "player_id", "idx").distinct().withColumn("hit", F.col("idx"))
     rows = lives.join(touch, ["server_id", "player_id", "idx"], "left")
     life = rows.groupBy(*PLAYER, "life").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("steps"), F.min("hit").alias("hit"), F.min_by("spawned", "idx").alias("spawned"), F.min_by("dino_class", "idx").alias("dino_class"))
     life = life.filter(F.col("spawned") & (F.col("hit").isNotNull() | (F.col("steps") >= rules.steps(rules.spawn_min_s))))
     lasted = F.coalesce(F.col("hit") - F.col("idx"), F.col("steps")) * F.lit(rules.step_s)
-    return life.select(*PLAYER, "idx", "dino_class", lasted.alias("duration_s"), F.col("hit").isNull().alias("censored"))
+    return counted(life, since).select(*PLAYER, "idx", "dino_class", lasted.alias("duration_s"), F.col("hit").isNull().alias("censored"))
 
 
-def ambushes(grid: DataFrame, assoc: DataFrame, rules: Rules) -> DataFrame:
+def ambushes(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
     """(server_id, player_id, waits, hits, null_hits): waits that end with the arrival and death of someone once out of range."""
-    spell = waits(grid, rules)
-    mine = spell.join(grid.select(*PLAYER, "idx", "x", "y", "aware", "n"), [*PLAYER]).filter("idx between run_start and run_end")
+    spell = counted(waits(grid, rules), since, "run_start")
+    steps = spell.withColumn("idx", F.explode(F.sequence("run_start", "run_end")))
+    mine = steps.join(grid.select(*PLAYER, "idx", "x", "y", "aware", "n"), [*PLAYER, "idx"])
     spot = mine.groupBy(*PLAYER, "run_start", "run_end").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min_by("aware", "idx").alias("aware"), F.max("n").alias("n"))
     spot = spot.withColumn("idx", F.explode(F.sequence("run_start", F.least(F.col("run_end") + rules.steps(rules.wait_grace_s), F.col("n") - 1))))
     others = shifted(deaths(grid, rules).select("server_id", "idx", "player_id", "x", "y", "died", "n"), rules)

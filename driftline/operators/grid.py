@@ -18,6 +18,16 @@ def spans(samples: DataFrame, rules: Rules) -> DataFrame:
     return rows.select("server_id", "t0", (F.floor((F.col("t1") - F.col("t0")) / F.lit(rules.step_s)) + 1).cast("long").alias("n"))
 
 
+def counted_from(samples: DataFrame, when: float, rules: Rules) -> DataFrame:
+    """(server_id, count_from): the first step of each server's grid at or after a time; what begins before is context only."""
+    return spans(samples, rules).select("server_id", F.ceil((F.lit(when) - F.col("t0")) / F.lit(rules.step_s)).cast("long").alias("count_from"))
+
+
+def counted(rows: DataFrame, since: DataFrame | None, begin: str = "idx") -> DataFrame:
+    """The rows that begin at or after their server's count_from; all of them without one."""
+    return rows if since is None else rows.join(since, "server_id").filter(F.col(begin) >= F.col("count_from")).drop("count_from")
+
+
 def resample(samples: DataFrame, rules: Rules) -> DataFrame:
     """(server_id, player_id, idx, x, y, dino_class, aware, n): linear between samples at most max_gap_s apart.
 
@@ -40,7 +50,12 @@ def resample(samples: DataFrame, rules: Rules) -> DataFrame:
 
 
 def headings(grid: DataFrame, rules: Rules) -> DataFrame:
-    """Adds (dx, dy), the way over the next heading_s, null where the player isn't there by then, and whether that is moving."""
+    """Adds (dx, dy), the way over the next heading_s, null where the player isn't there by then, and whether that is moving.
+
+    A grid that has them already comes back as it is: they are worked out once where many operators need them.
+    """
+    if "moving" in grid.columns:
+        return grid
     k = rules.steps(rules.heading_s)
     ahead = W.partitionBy(*PLAYER).orderBy("idx").rangeBetween(k, k)
     rows = grid.withColumn("dx", F.max("x").over(ahead) - F.col("x")).withColumn("dy", F.max("y").over(ahead) - F.col("y"))
@@ -83,6 +98,17 @@ def square(a: str = "x", b: str = "y"):
     return (F.col(f"{a}_j") - F.col(a)) * (F.col(f"{a}_j") - F.col(a)) + (F.col(f"{b}_j") - F.col(b)) * (F.col(f"{b}_j") - F.col(b))
 
 
+def close(mine: DataFrame, others: DataFrame, radius: float, ordered: bool = False) -> DataFrame:
+    """As pairs, of those within the radius only: rows meet in cells of that size, each with the others of nine cells."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
+    near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    left = mine.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
+    right = others.withColumn("_i", near).withColumn("_k", near).withColumn("_cx", cell("x") + F.col("_i")).withColumn("_cy", cell("y") + F.col("_k")).drop("_i", "_k")
+    right = right.select("server_id", "idx", "_cx", "_cy", *[F.col(c).alias(f"{c}_j") for c in others.columns if c not in ("server_id", "idx", "shift", "n")], *(["shift"] if "shift" in others.columns else []))
+    rows = left.join(right, ["server_id", "idx", "_cx", "_cy"]).drop("_cx", "_cy").filter(square() <= radius * radius)
+    return rows.filter(F.col("player_id") < F.col("player_id_j")) if ordered else rows.filter(F.col("player_id") != F.col("player_id_j"))
+
+
 def islands(rows: DataFrame, keys: tuple, bridge: int = 0, extra: tuple = ()) -> DataFrame:
     """Runs of consecutive idx by key, gaps of up to `bridge` steps filled: (keys, run_start, run_end) and aggregates."""
     order = W.partitionBy(*keys).orderBy("idx")

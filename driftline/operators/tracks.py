@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..rules import Rules
-from .grid import PLAYER, pairs, square
+from .grid import PLAYER, close, pairs, square
 from .state import Table
 
 
@@ -35,7 +35,7 @@ def last_heading(rows: DataFrame) -> DataFrame:
 def nearest_slots(grid: DataFrame, n: int, radius: float) -> DataFrame:
     """(server_id, player_id, idx, slot, player_id_j, distance2): the n nearest others within the radius at each step."""
     place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = pairs(place, place).withColumn("distance2", square()).filter(F.col("distance2") <= radius * radius)
+    near = close(place, place, radius).withColumn("distance2", square())
     order = W.partitionBy(*PLAYER, "idx").orderBy("distance2", "player_id_j")
     rows = near.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= n)
     return rows.select("server_id", "player_id", "idx", "slot", "player_id_j", "distance2")
