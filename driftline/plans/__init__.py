@@ -1,6 +1,6 @@
 """All queries of the library."""
 
 from ..queries import QUERIES, SQL
-from . import records, scoring
+from . import learning, records, scoring
 
-__all__ = ["QUERIES", "SQL", "records", "scoring"]
+__all__ = ["QUERIES", "SQL", "learning", "records", "scoring"]
