@@ -14,7 +14,7 @@ CONTEXT = 1024
 END = 0
 #: Words of up to LONG characters whose ids a Python worker keeps; when so many are new, those not seen since the last time
 #: are forgotten.
-CACHE, LONG = 300_000, 64
+CACHE, LONG = 200_000, 64
 #: White space as the tokenizer's pattern has it, and letters it takes as such.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
