@@ -34,10 +34,10 @@ def x28_score_window(spark, sf_dir):
 
 @query()
 def x30_run(spark, sf_dir):
-    """A run for every org (the servers are split among three): its windows that are due, its scores, and a summary."""
+    """A run for every org (the servers are split among three): its windows that are due, its players, and those who ever were of one class as flagged."""
     rows = samples(spark, sf_dir).withColumn("org_id", F.concat(F.lit("o"), F.pmod(F.crc32("server_id"), F.lit(3))))
     progress = rows.groupBy("org_id").agg(F.min("t").cast("double").alias("start"))
     now = rows.agg(F.max("t")).first()[0]
     windows = V.pending_windows(progress, R, float(now or 0), lag_s=60.0, window_s=900.0)
     scored = rows.select("org_id", "player_id").distinct()
-    return V.run_summary(windows, scored, scored.filter("player_id LIKE '%7'"))
+    return V.run_summary(windows, scored, rows.filter("dino_class = 'purchase'").select("org_id", "player_id").distinct())
