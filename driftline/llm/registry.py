@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, packing, pii, secrets, simhash, substrings, topk, toxicity
+from . import ann, codes, divergence, language, licenses, mixing, packing, pii, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_codes": codes.op11_codes,
+    "op12_licenses": licenses.op12_licenses,
+    "op13_divergence": divergence.op13_divergence,
 }
 SQL = {
     "op3_substrings": substrings.SQL,
     "op7_topk": topk.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_codes": codes.SQL,
+    "op13_divergence": divergence.SQL,
 }
