@@ -1,6 +1,6 @@
 """All queries of the library."""
 
 from ..queries import QUERIES, SQL
-from . import learning, records, scoring
+from . import learning, records, samples, scoring
 
-__all__ = ["QUERIES", "SQL", "learning", "records", "scoring"]
+__all__ = ["QUERIES", "SQL", "learning", "records", "samples", "scoring"]
