@@ -99,7 +99,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
     by = accumulated(by, [F.col(score)], "q", "_before")
     won = by.select("p", "q", (F.col("p") * (F.col("_before") + F.col("q") / 2)).alias("won"))
-    return won.agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return won.agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
