@@ -11,6 +11,15 @@ STAMP = "yyyyMMdd'T'HHmmss'Z'"
 KEY_SHAPE = "^espk_[A-Za-z0-9_-]{43}$"
 MARKDOWN = r"([\\*_~`|>#<\[\]()\-:.!+=])"
 CONTROL = r"[\x00-\x1f\x7f-\x9f  ]"
+KEY = r"([A-Za-z]+)\s*[:=]"
+BEELINE = "Beeline: %s walks straight to players out of sight"
+AMBUSH = "Ambush: %s of %s waits ended with a distant player arriving"
+CONTACT, NO_CONTACT = "Time to contact: median %s after spawning", "Time to contact: no contact after spawning"
+LEAKAGE = (
+    "leakage z %s (sub-score %s): players nobody could have seen predict this player's moves %s nats per move better than "
+    "the same players at other times, over %d moves (%s h observed)"
+)
+TOO_FEW = "; too few moves to score (needs %d)"
 ELLIPSIS, ZERO_WIDTH = "…", "​"
 
 
@@ -41,7 +50,7 @@ def looks_like_key(text: Column) -> Column:
 
 def line_shape(line: Column) -> Column:
     """The names of a line's fields in their order, so that a line can be logged without what it says."""
-    return F.substring(F.array_join(F.regexp_extract_all(line, F.lit(r"([A-Za-z][A-Za-z ]*?)\s*[:=]"), F.lit(1)), " "), 1, 200)
+    return F.substring(F.array_join(F.regexp_extract_all(line, F.lit(KEY), F.lit(1)), " "), 1, 200)
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -80,25 +89,70 @@ def joined(items: Column, most: int, separator: str = ", ") -> Column:
     return F.when(n > 0, F.coalesce(fits, truncated(items[0], most))).otherwise("")
 
 
-def number(value: Column, places: int = 0) -> Column:
-    """A number from stored details; a question mark for what is none."""
-    sane = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e15)
-    return F.when(sane, F.format_string(f"%.{places}f", F.bround(value, places))).otherwise("?")
+def rounded(value: Column, places: int) -> Column:
+    """|value| x 10^places as the nearest integer to what the double really holds, ties to even.
+
+    The product's rounding error is worked out exactly, by splitting the double in halves: 0.35 is less than its decimals.
+    """
+    scale = float(10**places)
+
+    def nearest(y: Column) -> Column:
+        part = y - F.floor(y).cast("double")
+        big = part * 134217729.0
+        high = big - (big - part)
+        product = part * scale
+        error = (high * scale - product) + (part - high) * scale
+        whole = F.floor(y) * F.lit(10**places) + F.floor(product)
+        over = (product - F.floor(product).cast("double")) - 0.5
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return whole + up.cast("long")
+
+    return F.transform(F.array(F.abs(value)), nearest)[0]
+
+
+def fixed(value: Column, places: int, plus: bool = False) -> Column:
+    """A finite number below 10^15 with so many places, like printf on the double's exact value."""
+    n = rounded(value, places)
+    digits = F.lpad(n.cast("string"), F.greatest(F.lit(places + 1), F.length(n.cast("string"))), F.lit("0"))
+    text = F.concat(F.substr(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.substr(digits, F.length(digits) - places + 1, F.lit(places))) if places else digits
+    return F.concat(F.when(value < 0, "-").otherwise("+" if plus else ""), text)
+
+
+def number(text: Column, places: int = 0) -> Column:
+    """A number from stored details as JSON has it: integers as they are, others rounded; a question mark for what is none."""
+    value = text.try_cast("double")
+    sane = F.coalesce(~F.isnan(value) & (F.abs(value) < 1e15), F.lit(False))
+    shown = fixed(value, places) if places else F.regexp_replace(fixed(value, 0), "^-0$", "0")
+    return F.when(~sane, "?").when(text.rlike("^-?[0-9]+$"), value.cast("long").cast("string")).otherwise(shown)
+
+
+def duration(text: Column) -> Column:
+    """Seconds, or minutes from ten on."""
+    value = text.try_cast("double")
+    return F.when(value < 600, F.concat(fixed(value, 0), F.lit(" s"))).otherwise(F.concat(fixed(value / 60, 0), F.lit(" min")))
 
 
 def behaviours(details: Column) -> Column:
     """Sentences for the behaviours that made a score, from the details' JSON; those absent or at zero are left out."""
-    at = lambda path: F.get_json_object(details, f"$.{path}").try_cast("double")
-    positive = lambda name: F.coalesce(at(f"{name}.score") > 0, F.lit(False))
-    part = lambda path, before, places, after="": F.when(at(path).isNotNull(), F.concat(F.lit(before), number(at(path), places), F.lit(after)))
+    raw = lambda path: F.get_json_object(details, f"$.{path}")
+    at = lambda path: raw(path).try_cast("double")
+    said = lambda path: F.coalesce(at(path) >= 0, F.lit(False)) & (at(path) < float("inf"))
+    positive = lambda name: F.coalesce((at(f"{name}.score") > 0) & (at(f"{name}.score") < float("inf")), F.lit(False))
+    part = lambda path, before, places, after="": F.when(raw(path).isNotNull(), F.concat(F.lit(before), number(raw(path), places), F.lit(after)))
     extras = lambda *parts: F.when(F.size(F.array_compact(F.array(*parts))) > 0, F.concat(F.lit(" ("), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit(")"))).otherwise("")
     blank = lambda c: F.coalesce(c, F.lit(""))
-    beeline = F.concat(F.lit("Beeline: "), number(at("beeline.episodes")), F.lit(" walks straight to players out of sight"), blank(part("beeline.null_episodes", " vs ", 1, " expected")), extras(part("beeline.moving_minutes", "in ", 0, " min of moving"), part("beeline.z", "z ", 1)))
-    ambush = F.concat(F.lit("Ambush: "), number(at("ambush.hits")), F.lit(" of "), number(at("ambush.waits")), F.lit(" waits ended with a distant player arriving"), blank(part("ambush.null_hits", " vs ", 1, " expected")), extras(part("ambush.z", "z ", 1)))
-    return F.array_compact(F.array(F.when(positive("beeline"), beeline), F.when(positive("ambush"), ambush)))
-
-
-def gain_summary(z: Column, score: Column, gain: Column, moves: Column, stride_s: float) -> Column:
-    """What a leakage score says, in a sentence."""
-    hours = moves * F.lit(stride_s / 3600)
-    return F.format_string("leakage z %.1f (sub-score %.2f): %+.3f nats per move over %d moves (%.1f h observed)", F.bround(z, 1), F.bround(score, 2), F.bround(gain, 3), moves, F.bround(hours, 1))
+    of = lambda path: F.coalesce(number(raw(path)), F.lit("?"))
+    beeline = F.concat(F.format_string(BEELINE, of("beeline.episodes")), blank(part("beeline.null_episodes", " vs ", 1, " expected")), extras(part("beeline.moving_minutes", "in ", 0, " min of moving"), part("beeline.z", "z ", 1)))
+    ambush = F.concat(F.format_string(AMBUSH, of("ambush.hits"), of("ambush.waits")), blank(part("ambush.null_hits", " vs ", 1, " expected")), extras(part("ambush.z", "z ", 1)))
+    median = F.when(said("ttc.median_ttc_s"), F.format_string(CONTACT, duration(raw("ttc.median_ttc_s")))).otherwise(NO_CONTACT)
+    server = F.when(said("ttc.server_median_ttc_s"), F.concat(F.lit(" vs "), duration(raw("ttc.server_median_ttc_s")), F.lit(" server median"))).otherwise("")
+    spawns = F.when(raw("ttc.episodes").isNotNull(), F.concat(blank(part("ttc.contacts", "", 0, " contacts in ")), of("ttc.episodes"), F.lit(" spawns")))
+    contact = F.concat(median, server, extras(spawns, part("ttc.z", "z ", 1)))
+    return F.array_compact(F.array(F.when(positive("beeline"), beeline), F.when(positive("ambush"), ambush), F.when(positive("ttc"), contact)))
+
+
+def gain_summary(z: Column, score: Column, gain: Column, moves: Column, stride_s: float, least: int = 120) -> Column:
+    """What a leakage score says, in a sentence; and if so, that there are too few moves for one."""
+    hours = moves * F.lit(float(stride_s)) / F.lit(3600.0)
+    said = F.format_string(LEAKAGE, fixed(z, 1), fixed(score, 2), fixed(gain, 3, plus=True), moves, fixed(hours, 1))
+    return F.concat(said, F.when(moves < least, TOO_FEW % least).otherwise(""))

@@ -159,18 +159,24 @@ def f18_joined(spark, sf_dir):
     return rows.select("o_custkey", X.joined(F.col("l"), 30).alias("line"))
 
 
-@query(on_events("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN event_id % 4 > 0 THEN 'Beeline: ' || event_id % 9 || ' walks straight to players out of sight vs 2.5 expected (z 6.0)' END AS line FROM e"))
+@query(on_events("""SELECT event_id, list_filter([
+  CASE WHEN event_id % 4 > 0 THEN 'Beeline: ' || event_id % 9 || ' walks straight to players out of sight vs ' || printf('%.1f', value / 8) || ' expected (in ' || printf('%.0f', value) || ' min of moving, z ' || printf('%.1f', value / 16 - 2) || ')' END,
+  CASE WHEN event_id % 5 > 0 THEN 'Ambush: ' || event_id % 5 || ' of ' || event_id % 7 || ' waits ended with a distant player arriving (z 6)' END,
+  CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 6 = 1 THEN 'Time to contact: no contact after spawning' ELSE 'Time to contact: median ' || CASE WHEN value * 9 < 600 THEN printf('%.0f', value * 9) || ' s' ELSE printf('%.0f', value * 9 / 60) || ' min' END || ' after spawning' END
+       || ' vs ' || CASE WHEN event_id % 1000 < 600 THEN event_id % 1000 || ' s' ELSE printf('%.0f', event_id % 1000 / 60.0::DOUBLE) || ' min' END || ' server median (' || event_id % 11 || ' contacts in ' || event_id % 13 || ' spawns)' END], lambda x: x IS NOT NULL) AS lines FROM e"""))
 def f19_behaviours(spark, sf_dir):
-    n = F.col("event_id")
-    details = F.to_json(F.struct(F.struct((n % 4).alias("score"), (n % 9).alias("episodes"), F.lit(2.5).alias("null_episodes"), F.lit(6).alias("z")).alias("beeline")))
-    rows = events(spark, sf_dir).select("event_id", X.behaviours(details).alias("l"))
-    return rows.select("event_id", F.size("l").alias("n"), F.get("l", F.lit(0)).alias("line"))
+    n, v = F.col("event_id"), F.col("value")
+    beeline = F.struct((n % 4).alias("score"), (n % 9).alias("episodes"), (v / 8).alias("null_episodes"), v.alias("moving_minutes"), (v / 16 - 2).alias("z"))
+    ambush = F.struct((n % 5).alias("score"), (n % 5).alias("hits"), (n % 7).alias("waits"), F.lit(6).alias("z"))
+    ttc = F.struct((n % 3).alias("score"), F.when(n % 6 == 1, -1.0).otherwise(v * 9).alias("median_ttc_s"), (n % 1000).alias("server_median_ttc_s"), (n % 13).alias("episodes"), (n % 11).alias("contacts"))
+    details = F.to_json(F.struct(beeline.alias("beeline"), ambush.alias("ambush"), ttc.alias("ttc")))
+    return events(spark, sf_dir).select("event_id", X.behaviours(details).alias("lines"))
 
 
-@query(on_events("SELECT user_id, printf('leakage z %.1f (sub-score %.2f): %+.3f nats per move over %d moves (%.1f h observed)', n / 4.0::DOUBLE, 0.25::DOUBLE, -0.5::DOUBLE, n, n * (15 / 3600.0::DOUBLE)) AS line FROM (SELECT user_id, count(*) AS n FROM e GROUP BY 1)"))
+@query(on_events("SELECT user_id, printf('leakage z %.1f (sub-score %.2f): players nobody could have seen predict this player''s moves %+.3f nats per move better than the same players at other times, over %d moves (%.1f h observed)', n / 4.0::DOUBLE, v / 100, v / 50 - 1, n, n * 15.0::DOUBLE / 3600) || CASE WHEN n < 60 THEN '; too few moves to score (needs 60)' ELSE '' END AS line FROM (SELECT user_id, count(*) AS n, max(value) AS v FROM e GROUP BY 1)"))
 def f25_gain_summary(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("user_id", X.gain_summary(F.col("n") / 4.0, F.lit(0.25), F.lit(-0.5), F.col("n"), 15.0).alias("line"))
+    rows = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
+    return rows.select("user_id", X.gain_summary(F.col("n") / 4.0, F.col("v") / 100, F.col("v") / 50 - 1, F.col("n"), 15.0, 60).alias("line"))
 
 
 @query(on_events("""SELECT user_id, '{"n":' || n || ',"name":"u' || user_id || '"}' AS json, n FROM (SELECT user_id, count(*) AS n FROM e GROUP BY 1)"""))
@@ -180,8 +186,9 @@ def f12_json(spark, sf_dir):
     return rows.select("user_id", "json", F.from_json("json", "n long, name string")["n"].alias("n"))
 
 
-@query(on_events("SELECT event_id, 'Name PlayerID Location X Y' AS shape FROM e"))
+@query(on_events("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Name ' ELSE '' END || upper(event_type) || ' PlayerID Slots' || CASE WHEN event_id % 2 = 0 THEN ' X' ELSE '' END AS shape FROM e"))
 def f11_line_shape(spark, sf_dir):
-    n = F.col("event_id").cast("string")
-    line = F.concat(F.lit("Name: p"), n, F.lit(", PlayerID: 7"), n, F.lit(", Location: X="), n, F.lit(" Y=2"))
+    """Names with blanks and colons, keys of two words, and keys before an equals sign."""
+    n = F.col("event_id")
+    line = F.concat(F.when(n % 3 == 0, "Name: John Smith 3 ").otherwise("12 : "), F.upper("event_type"), F.lit(" : hi, PlayerID: 7"), n.cast("string"), F.lit(", Mutation Slots: x"), F.when(n % 2 == 0, ", X = 5").otherwise(", Y 5"))
     return events(spark, sf_dir).select("event_id", X.line_shape(line).alias("shape"))

@@ -594,10 +594,13 @@ def p13_map_points(spark, sf_dir):
     return samples(spark, sf_dir).select("server_id", "player_id", "t", u.alias("u"), v.alias("v"))
 
 
-@query(on_events("SELECT event_id, 'see https://h.example/*** or ***@***, Password: ***' AS line FROM e"))
+@query(on_events("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'see https://h' || event_id % 7 || '.example/***' ELSE 'no link ' || event_id END || ' or ' || CASE WHEN event_id % 2 = 0 THEN '***@***' ELSE event_type END || ', ' || CASE WHEN event_id % 5 = 0 THEN 'password = ***' ELSE 'pass word ' || user_id END AS line FROM e"))
 def p14_redaction(spark, sf_dir):
-    n = F.col("event_id").cast("string")
-    line = F.concat(F.lit("see https://h.example/"), n, F.lit("/x or m"), n, F.lit("@mail.example, Password: p"), n)
+    n, text = F.col("event_id"), F.col("event_id").cast("string")
+    link = F.when(n % 3 == 0, F.concat(F.lit("see https://h"), (n % 7).cast("string"), F.lit(".example/"), text, F.lit("/x"))).otherwise(F.concat(F.lit("no link "), text))
+    mail = F.when(n % 2 == 0, F.concat(F.lit("m"), text, F.lit("@mail.example"))).otherwise(F.col("event_type"))
+    word = F.when(n % 5 == 0, F.concat(F.lit("password = p"), text)).otherwise(F.concat(F.lit("pass word "), F.col("user_id").cast("string")))
+    line = F.concat(link, F.lit(" or "), mail, F.lit(", "), word)
     return events(spark, sf_dir).select("event_id", T.redacted(line).alias("line"))
 
 
