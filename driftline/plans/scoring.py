@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import grid as G
+from ..operators import job as J
 from ..operators import window as V
-from ..operators.state import Table
+from ..operators.state import Table, shared_folder
+from ..operators.store import Store
 from ..queries import grid, query, samples
 from ..rules import EVENT_RULES as R
 
@@ -34,10 +37,10 @@ def x28_score_window(spark, sf_dir):
 
 @query()
 def x30_run(spark, sf_dir):
-    """A run for every org (the servers are split among three): its windows that are due, its players, and those who ever were of one class as flagged."""
-    rows = samples(spark, sf_dir).withColumn("org_id", F.concat(F.lit("o"), F.pmod(F.crc32("server_id"), F.lit(3))))
-    progress = rows.groupBy("org_id").agg(F.min("t").cast("double").alias("start"))
+    """A run for every org (the servers are split among three), into a store of its own: windows due, players scored, new flags."""
+    rows = samples(spark, sf_dir).withColumn("org_id", F.concat(F.lit("o"), F.pmod(F.crc32("server_id"), F.lit(3)))).withColumn("t", F.col("t").cast("double"))
+    rows = Table(rows).df
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", J.SCHEMAS)
+    store.scratch()
     now = rows.agg(F.max("t")).first()[0]
-    windows = V.pending_windows(progress, R, float(now or 0), lag_s=60.0, window_s=900.0)
-    scored = rows.select("org_id", "player_id").distinct()
-    return V.run_summary(windows, scored, rows.filter("dino_class = 'purchase'").select("org_id", "player_id").distinct())
+    return J.run_scoring(store, rows, R, float(now or 0), lag_s=60.0, window_s=3000.0)
