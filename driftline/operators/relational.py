@@ -62,10 +62,17 @@ def bounded_queue(rows: DataFrame, keys: list[str], order: str, size: str, most:
     return rows.withColumn("_b", F.sum(size).over(back)).filter(F.col("_b") <= most).drop("_b")
 
 
-def rejoins(sightings: DataFrame, keys: list[str], at: str, gap_s: int) -> DataFrame:
-    """Sightings at least gap_s after the one before, the first of each key included."""
+def rejoins(sightings: DataFrame, keys: list[str], at: str, gap_s: float, seeds: DataFrame | None = None) -> DataFrame:
+    """Sightings at least gap_s after the one before, the first of each key included.
+
+    With seeds (keys, last_seen), what came up to then has been dealt with, and the first one after is compared with it.
+    """
     before = F.lag(at).over(W.partitionBy(*keys).orderBy(at))
-    return sightings.withColumn("gap_s", F.col(at) - before).filter(F.col("gap_s").isNull() | (F.col("gap_s") >= gap_s))
+    if seeds is not None:
+        sightings = sightings.join(seeds, keys, "left").filter(F.col("last_seen").isNull() | (F.col(at) > F.col("last_seen")))
+        before = F.coalesce(before, F.col("last_seen"))
+    rows = sightings.withColumn("gap_s", F.col(at) - before).filter(F.col("gap_s").isNull() | (F.col("gap_s") >= gap_s))
+    return rows if seeds is None else rows.drop("last_seen")
 
 
 def apply_flags(scores: DataFrame, flags: DataFrame, now: Column, threshold: float, suppress: Column) -> DataFrame:
