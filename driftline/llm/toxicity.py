@@ -51,7 +51,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def select_features(train: DataFrame):
-    """Words and word beginnings that mark toxic texts, strongest first, and the share of toxic rows.
+    """Words and word beginnings that mark toxic texts, strongest first, and the share of toxic rows; None if a class is missing.
 
     A feature's likelihood ratio against the base rate must exceed the logarithm of the number of features tried and a
     margin, so that rare words which fell into toxic texts by chance don't pass, at any size of the sample.
@@ -71,7 +71,7 @@ def select_features(train: DataFrame):
     base = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     rate = (base.get(1, 0) + 0.5) / (sum(base.values()) + 1)
     if not base.get(1) or not base.get(0):
-        return [], rate
+        return None, rate
     counts = train.select("text", "toxic").repartition(8).mapInArrow(seen, "f string, toxic int, n long").groupBy("f").agg(F.sum(F.col("n") * F.col("toxic")).alias("p"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("q"))
     here = F.col("p") / (F.col("p") + F.col("q"))
     gain = F.col("p") * F.log(here / rate) + F.when(F.col("q") > 0, F.col("q") * F.log((1 - here) / (1 - rate))).otherwise(0.0)
@@ -151,34 +151,84 @@ def label_model(votes, counts, rate: float, known=None):
     return post
 
 
-def vectors(hits: list, size: int):
-    """Dense rows: the logarithm of each feature's count, all hits, hits by length, and a constant."""
+class Sparse:
+    """A matrix by its entries: products with a vector from either side, in time and memory in proportion to them."""
+
+    def __init__(self, rows, columns, values, shape):
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+
+    @classmethod
+    def of(cls, dense):
+        import numpy as np
+
+        rows, columns = np.nonzero(dense)
+        return cls(rows, columns, np.asarray(dense, dtype=float)[rows, columns], dense.shape)
+
+    def left(self, v):
+        """The matrix times a vector of its columns."""
+        import numpy as np
+
+        return np.bincount(self.rows, self.values * v[self.columns], minlength=self.shape[0])
+
+    def right(self, v):
+        """The transposed matrix times a vector of its rows."""
+        import numpy as np
+
+        return np.bincount(self.columns, self.values * v[self.rows], minlength=self.shape[1])
+
+
+def vectors(hits: list, size: int) -> Sparse:
+    """A row a text: the logarithm of each feature's count, all hits, hits by length, and a constant."""
     import numpy as np
 
-    x = np.zeros((len(hits), size + 3), dtype=np.float32)
+    rows, columns, values = [], [], []
     for row, (counts, words) in enumerate(hits):
         if counts:
-            x[row, list(counts)] = np.log1p(list(counts.values()))
-            x[row, size] = np.log1p(sum(counts.values()))
-            x[row, size + 1] = min(1.0, 20 * sum(counts.values()) / max(1, words))
-    x[:, -1] = 1
+            total = sum(counts.values())
+            columns += [*counts, size, size + 1]
+            values += [*np.log1p(list(counts.values())).tolist(), np.log1p(total), min(1.0, 20 * total / max(1, words))]
+        columns.append(size + 2)
+        values.append(1.0)
+        rows += [row] * (len(columns) - len(rows))
+    return Sparse(np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64), np.array(values, dtype=float), (len(hits), size + 3))
+
+
+def solved(times, b, steps: int = 300):
+    """x with times(x) = b for a positive definite product, by conjugate gradients."""
+    import numpy as np
+
+    x, r = np.zeros_like(b), b.copy()
+    d, size = r.copy(), r @ r
+    end = size * 1e-16
+    for _ in range(steps):
+        if size <= end:
+            break
+        along = times(d)
+        a = size / (d @ along)
+        x, r = x + a * d, r - a * along
+        size, before = r @ r, size
+        d = r + size / before * d
     return x
 
 
 def train_linear(x, target, weight, decay: float = 2e-4, settled: float = 1e-9):
-    """Logistic regression of soft labels on weighted rows, by Newton's steps until the gradient is settled."""
+    """Logistic regression of soft labels on weighted rows, by Newton's steps until the gradient is settled.
+
+    The curvature is never formed: a step is solved for by its products with vectors, so that features may be many.
+    """
     import numpy as np
 
-    x, total = x.astype(np.float64), weight.sum()
+    x, total = x if isinstance(x, Sparse) else Sparse.of(x), weight.sum()
     w = np.zeros(x.shape[1])
     ridge = np.append(np.full(x.shape[1] - 1, decay), 1e-9)
-    loss = lambda w: (weight @ (np.logaddexp(0, x @ w) - target * (x @ w))) / total + ridge @ (w * w) / 2
+    loss = lambda w: (weight @ (np.logaddexp(0, x.left(w)) - target * x.left(w))) / total + ridge @ (w * w) / 2
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - target)) / total + ridge * w
+        p = 1 / (1 + np.exp(-np.clip(x.left(w), -30, 30)))
+        grad = x.right(weight * (p - target)) / total + ridge * w
         if np.abs(grad).max() < settled:
             break
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x / total + np.diag(ridge + 1e-12), grad)
+        curve = weight * p * (1 - p)
+        step = solved(lambda v, curve=curve: x.right(curve * x.left(v)) / total + (ridge + 1e-12) * v, grad)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -187,8 +237,10 @@ def train_linear(x, target, weight, decay: float = 2e-4, settled: float = 1e-9):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Features and the weights of the linear classifier (None if either class is missing).
+    """Features and the weights of the linear classifier; without labels of both classes no features, and one weight for all.
 
+    INSULTS are features whether or not any word was induced, and the other voters need no features, so the label model and
+    the classifier run at every size.
     Lexicons are induced from the labelled sample. The votes of all documents that aren't held out, labelled or not, are
     counted by pattern (2 to the number of voters at most, in fact a few hundred) for the label model, in which the
     sample's labels anchor the classes. The classifier learns the posteriors of the sample's votes; the labels are no
@@ -200,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     train = sampled(docs, labels, sample)
     induced, rate = select_features(train)
-    if not induced:
-        return [], np.array([np.log(rate / (1 - rate))]) if 0 < rate < 1 else None
+    if induced is None:
+        return [], np.array([np.log(rate / (1 - rate))])
     features = [*induced, *sorted({f"w {w}" for w in INSULTS} - set(induced))]
 
     def vote(batches: Iterator) -> Iterator:
@@ -242,7 +294,7 @@ def predict(docs: DataFrame, features: list[str], weights) -> DataFrame:
         features, weights = model.value
         reader, size = Reader(features), len(features)
         for batch in batches:
-            z = np.full(batch.num_rows, weights[-1] if weights is not None else 0.0)
+            z = np.full(batch.num_rows, weights[-1])
             if features:
                 for row, text in enumerate(batch.column(1)):
                     counts, words = reader.hits(text.as_py() or "")
@@ -255,6 +307,7 @@ def predict(docs: DataFrame, features: list[str], weights) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model of the labels of the others; one score for all without labels of both classes."""
     docs = table(spark, sf_dir, "documents")
     features, weights = fit(docs, table(spark, sf_dir, "labels"))
     rows = predict(docs, features, weights)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from driftline.llm import codes, divergence, licenses
+from driftline.llm import codes, divergence, licenses, toxicity
 from tests.llm.test_ops import DATA, ODD, frame, run
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string, error string, v string, id string, _label string"
@@ -183,3 +183,56 @@ def test_proportions_do_not_overflow():
     counts, total, kinds = np.array([0, 7, 10**15]), np.array([4 * 10**15]), 3
     assert divergence.proportions(counts, total, kinds).tolist() == [1 + 10**9 * (c + 2) // (4 * 10**15 + 6) for c in counts.tolist()]
     assert divergence.proportions(np.array([9]), np.array([9]), 1).tolist() == [10**9 + 1]
+
+
+def test_toxicity_with_six_labels_and_nothing_induced(spark):
+    rng = random.Random(7)
+    plain = ["river", "stone", "market", "window", "garden", "letter", "winter", "bridge", "music", "paper"]
+    insults = ["you idiot and moron", "stupid worthless scum", "pathetic vermin, you clown", "you are such a loser", "disgusting trash, i hate you", "what an 1d10t you fool"]
+    rows = [(i, " ".join(rng.choices(plain, k=25)) + (" " + insults[i // 20 % 6] if i % 20 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r["doc_id"] for r in docs.filter(toxicity.held_out(docs["doc_id"])).collect()}
+    toxic = [i for i in range(0, 240, 20) if i not in held][:6]
+    marks = spark.createDataFrame([(i, int(i in toxic)) for i in range(240) if i not in held and (i in toxic or i % 20)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in run(toxicity.op10_toxicity, spark, documents=docs, labels=marks)}
+    assert len(set(got.values())) > 1
+    assert all((got[i] >= 0.7) == (i % 20 == 0) for i in range(240)), sorted((i, s) for i, s in got.items() if i % 20 == 0 or s > 0.5)
+
+
+def plain_toxicity(features, weights, text):
+    """The score of one text: words looked up one by one, counted, weighed."""
+    words = toxicity.WORD.findall((text or "").lower())
+    counts = Counter(f for w in words for f in toxicity.features_of(w) if f in features)
+    z = weights[-1]
+    if counts:
+        total = sum(counts.values())
+        z += sum(weights[features.index(f)] * math.log1p(n) for f, n in counts.items()) + weights[-3] * math.log1p(total) + weights[-2] * min(1, 20 * total / max(1, len(words)))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_query_equals_plain_scores(spark):
+    docs, marks = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    features, weights = toxicity.fit(docs, marks)
+    got = {r["doc_id"]: r for r in run(toxicity.op10_toxicity, spark, documents=docs, labels=marks)}
+    assert len({r["score"] for r in got.values()}) > 1
+    for r in docs.collect():
+        want = plain_toxicity(features, weights, r["text"])
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
+
+
+def test_label_model_discounts_correlated_voters():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    truth = rng.random(30_000) < 0.15
+    lead = rng.random(30_000) < np.where(truth, 0.7, 0.05)
+    follow = lambda: np.where(rng.random(30_000) < 0.9, lead, rng.random(30_000) < 0.5)
+    alone = [rng.random(30_000) < np.where(truth, hit, false) for hit, false in ((0.8, 0.03), (0.75, 0.02))]
+    loud = [rng.random(30_000) < 0.1 for _ in range(2)]
+    votes = np.column_stack([follow(), follow(), follow(), *alone, *loud]).astype(int)
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    known = np.zeros((len(counts), 2))
+    np.add.at(known, (where.ravel()[:15_000], truth[:15_000].astype(int)), 1)
+    post = toxicity.label_model(patterns, counts, 0.2, known)[where.ravel()]
+    only_followers = (votes[:, :3].sum(axis=1) == 3) & (votes[:, 3:5].sum(axis=1) == 0)
+    assert ((post > 0.5) == truth).mean() > 0.95 and post[only_followers].mean() < 0.6
