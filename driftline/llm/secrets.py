@@ -121,6 +121,25 @@ def battery(token: Column) -> Column:
     return out[0]
 
 
+def clear_of(spans: Column, base: list[Column]) -> Column:
+    """The spans that no base span overlaps; spans are in order and don't overlap each other.
+
+    A span is free if as many base spans begin before its end as end by its start. Both counts are places in sorted
+    lists, where the i-th span has i others before it, so that many spans of both kinds take no time pair by pair.
+    """
+
+    def places(own: Column, theirs: list[Column], mine: int) -> Column:
+        """The places of the spans' own positions, which sort before equal ones of the others if mine is 0."""
+        both = F.concat(F.transform(spans, lambda x: own(x) * 2 + mine), *theirs)
+        return F.filter(F.transform(F.sort_array(both), lambda x, i: F.when(x % 2 == mine, i).otherwise(-1)), lambda i: i >= 0)
+
+    starts = places(lambda x: x["e"], [F.transform(b, lambda y: y["s"] * 2 + 1) for b in base], 0)
+    ends = places(lambda x: x["s"], [F.transform(b, lambda y: y["e"] * 2) for b in base], 1)
+    free = F.zip_with(starts, ends, lambda a, b: a == b)
+    kept = F.filter(F.zip_with(spans, free, lambda x, f: F.struct(x.alias("x"), f.alias("f"))), lambda z: z["f"])
+    return F.when(F.size(spans) > 0, F.transform(kept, lambda z: z["x"])).otherwise(spans)
+
+
 def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
     """(doc_id, base spans, clear spans and tests of the other long tokens, carried columns by number, _t if they hold text)."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t"), *numbers(carry))
@@ -130,9 +149,7 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
     spans["assign"] = F.filter(spans["assign"], lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 8)
     kept = [c for c in rows.columns if c[:3] not in ("_m_", "_g_")]
     rows = rows.select(*kept, *[s.alias(f"_s_{k}") for k, s in spans.items()])
-    base = F.concat(*[F.col(f"_s_{k}") for k in BASE])
-    clear = F.filter("_s_random", lambda x: ~F.exists(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    rows = rows.withColumn("_clear", clear)
+    rows = rows.withColumn("_clear", clear_of(F.col("_s_random"), [F.col(f"_s_{k}") for k in BASE]))
     tests = F.transform("_clear", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("t")))
     rows = rows.withColumn("_tests", F.when(F.size("_clear") > 0, tests))
     ends = [F.transform(f"_s_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"_s_{k}") for k in BASE]
