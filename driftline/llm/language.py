@@ -88,7 +88,7 @@ def mixtures(texts: list[str], logs):
     """Proportions (texts x languages) of each text's languages, zero outside its set.
 
     A text is cut into segments, each of one language. Expectation-maximisation finds the proportions that make its
-    segments likeliest; starting from all languages, the rarest one goes as long as the likelihood loses less than the
+    segments likeliest, each text on its own; starting from all languages, the rarest one goes as long as the likelihood loses less than the
     penalty of one language, half the logarithm of the number of segments and a constant.
     """
     import numpy as np
@@ -104,9 +104,10 @@ def mixtures(texts: list[str], logs):
     for a in range(0, len(edges), CHUNK):
         begin, end = edges[a : a + CHUNK], stops[a : a + CHUNK]
         codes = grams(data[begin[0] : end[-1] + GRAM - 1])
+        # sums from each segment's beginning to its end; those from one end to the next beginning are left out
+        marks = np.column_stack([begin, end]).ravel() - begin[0]
         for j, row in enumerate(logs):
-            running = np.concatenate([[0.0], np.cumsum(row[codes], dtype=np.float64)])
-            like[a : a + CHUNK, j] = (running[end - begin[0]] - running[begin - begin[0]]) * TEMPER
+            like[a : a + CHUNK, j] = np.add.reduceat(np.append(row[codes].astype(np.float64), 0.0), marks)[::2] * TEMPER
     top = like.max(axis=1, keepdims=True)
     like = np.exp(like - top)
     whose = np.repeat(np.arange(len(texts)), n)
@@ -114,12 +115,20 @@ def mixtures(texts: list[str], logs):
 
     def settle(allowed):
         share = allowed / allowed.sum(axis=1, keepdims=True)
+        open_ = np.arange(len(texts))  # a text's steps end when it has settled, whatever the others do
+        mine, where, begin = like, whose, first
         for _ in range(STEPS):
-            part = like * share[whose]
+            part = mine * share[where]
             part /= part.sum(axis=1, keepdims=True) + 1e-300
-            before, share = share, np.add.reduceat(part, first, axis=0) / n[:, None]
-            if np.abs(share - before).max() < SETTLED:
+            new = np.add.reduceat(part, begin, axis=0) / n[open_, None]
+            moving = np.abs(new - share[open_]).max(axis=1) >= SETTLED
+            share[open_] = new
+            if not moving.any():
                 break
+            if not moving.all():
+                rows = np.repeat(moving, n[open_])
+                open_, mine, where = open_[moving], mine[rows], where[rows]
+                begin = np.concatenate([[0], np.cumsum(n[open_])[:-1]])
         fit_ = np.add.reduceat(np.log((like * share[whose]).sum(axis=1) + 1e-300), first) + base
         return share, fit_
 
