@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from driftline.llm import codes, divergence, licenses, toxicity
+from driftline.llm import codes, divergence, language, licenses, pii, secrets, toxicity
 from tests.llm.test_ops import DATA, ODD, frame, run
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string, error string, v string, id string, _label string"
@@ -236,3 +236,43 @@ def test_label_model_discounts_correlated_voters():
     post = toxicity.label_model(patterns, counts, 0.2, known)[where.ravel()]
     only_followers = (votes[:, :3].sum(axis=1) == 3) & (votes[:, 3:5].sum(axis=1) == 0)
     assert ((post > 0.5) == truth).mean() > 0.95 and post[only_followers].mean() < 0.6
+
+
+def test_a_text_alone_is_as_in_a_batch(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names, logs = language.fit(docs)
+    texts = [r["text"] for r in docs.collect() if r["text"] and language.has_letter(r["text"])][:150]
+    together = language.mixtures(texts, logs)
+    assert all((language.mixtures([t], logs)[0] == together[i]).all() for i, t in enumerate(texts)) and len(names) > 1
+
+
+def test_account_numbers_before_capitals(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 IS MY ACCOUNT", "pay GB82WEST12345698765432 NOW", "iban DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432X", "GB83 WEST 1234 5698 7654 32 bank", "bank NO9386011117947"]
+    rows = pii.find_pii(frame(spark, texts)).collect()
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["s"] : s["e"]] for s in r["spans"] if s["k"] == "iban"] for r in rows}
+    assert got == {0: ["GB82 WEST 1234 5698 7654 32"], 1: ["GB82WEST12345698765432"], 2: ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"], 3: [], 4: [], 5: ["NO9386011117947"]}
+
+
+def test_spans_free_of_others(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    spans = lambda n: [tuple(sorted(p)) for p in zip(*[iter(sorted(rng.sample(range(900), 2 * n)))] * 2, strict=True)]
+    rows = [(i, spans(rng.randrange(30)), spans(rng.randrange(12)), spans(rng.randrange(12))) for i in range(80)]
+    kind = "array<struct<s:bigint,e:bigint>>"
+    df = spark.createDataFrame(rows, f"i int, x {kind}, a {kind}, b {kind}")
+    for r in df.select("*", secrets.clear_of(F.col("x"), [F.col("a"), F.col("b")]).alias("free")).collect():
+        want = [x for x in r["x"] if not any(x["s"] < y["e"] and y["s"] < x["e"] for y in (*r["a"], *r["b"]))]
+        assert r["free"] == want
+
+
+def test_many_hashes_in_one_text(spark):
+    import time
+
+    rng = random.Random(1)
+    token = lambda k, letters: "".join(rng.choices(letters, k=k))
+    text = "\n".join(f"{token(40, '0123456789abcdef')} {token(30, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789')}" for _ in range(50_000))
+    start = time.time()
+    row = secrets.find_secrets(frame(spark, [text])).collect()[0]
+    kinds = Counter(s["k"] for s in row["spans"])
+    assert kinds["hex"] == 50_000 and kinds["random"] > 40_000 and time.time() - start < 240
