@@ -211,19 +211,28 @@ def clans(links: DataFrame) -> DataFrame:
     return labels.df.select("player_id", "clan")
 
 
+def spawn_counts(spawns: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by, player_id, dino_class, duration_s, censored, n): equal episodes counted. Counts of windows or servers add up, by
+    being counted again together, so that nobody's episodes are ever gathered in one row."""
+    n = F.col("n") if "n" in spawns.columns else F.lit(1)
+    return spawns.groupBy(*by, "player_id", "dino_class", "duration_s", "censored").agg(F.sum(n.cast("long")).alias("n"))
+
+
 def contact_scores(spawns: DataFrame, rules: Rules, by: tuple = ()) -> DataFrame:
     """(player_id, episodes, contacts, mean_rank, z, score): how fast a player meets others after spawning. With `by`,
     columns that come first, players are ranked among those with the same values.
 
     Each episode is ranked among the other players' of its class, or of all classes if those are too few: contacts
-    made sooner count one, episodes left sooner half. Counts over everyone less one's own come from windows.
+    made sooner count one, episodes left sooner half. Counts over everyone less one's own come from windows. Rows may be
+    single episodes, or the counts `n` of equal ones that spawn_counts makes, which is all that ranking needs.
     """
-    rows = spawns.select(*by, "player_id", F.coalesce("dino_class", F.lit("")).alias("c"), "duration_s", F.col("censored").cast("int").alias("k"))
-    weight = F.sum(F.when(F.col("k") == 1, 0.5).otherwise(1.0))
+    n = F.col("n") if "n" in spawns.columns else F.lit(1)
+    rows = spawns.select(*by, "player_id", F.coalesce("dino_class", F.lit("")).alias("c"), "duration_s", F.col("censored").cast("int").alias("k"), n.cast("long").alias("n"))
+    weight = F.sum(F.when(F.col("k") == 1, 0.5).otherwise(1.0) * F.col("n"))
     for keys, name in ((["c"], "c"), (["c", "player_id"], "oc"), ([], "a"), (["player_id"], "oa")):
         keys = [*by, *keys]
         # counts per distinct duration, of which there are no more than steps in a grid, and sums over those before
-        per = rows.groupBy(*keys, "duration_s").agg(weight.alias("_w"), F.count(F.lit(1)).alias("_k"))
+        per = rows.groupBy(*keys, "duration_s").agg(weight.alias("_w"), F.sum("n").alias("_k"))
         order = W.partitionBy(*keys or [F.lit(0)])
         before = F.coalesce(F.sum("_w").over(order.orderBy("duration_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
         per = per.select(*keys, "duration_s", before.alias(f"_b{name}"), F.sum("_k").over(order).alias(f"_n{name}"))
@@ -233,7 +242,7 @@ def contact_scores(spawns: DataFrame, rules: Rules, by: tuple = ()) -> DataFrame
     wide = F.col("nc") - F.col("mc") < rules.spawn_min_others
     share = F.when(wide, (F.col("ba") - F.col("oa")) / (F.col("na") - F.col("ma"))).otherwise((F.col("bc") - F.col("oc")) / F.greatest(F.lit(1), F.col("nc") - F.col("mc")))
     rank = F.when(F.col("k") == 1, (share + 1.0) / 2.0).otherwise(share)
-    out = rows.groupBy(*by, "player_id").agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("k") == 0).alias("contacts"), F.avg(rank).alias("mean_rank"))
+    out = rows.groupBy(*by, "player_id").agg(F.sum("n").alias("episodes"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("contacts"), (F.sum(rank * F.col("n")) / F.sum("n")).alias("mean_rank"))
     out = out.withColumn("z", (0.5 - F.col("mean_rank")) * F.sqrt(12.0 * F.col("episodes")))
     return out.withColumn("score", ramp(F.col("z"), *rules.contact_ramp))
 

@@ -48,17 +48,23 @@ def bare(name: str) -> Column:
     return F.substr(F.col(name), F.length(org_of(name)) + 2)
 
 
+def window_grid(positions: DataFrame, windows: DataFrame, rules: Rules, context_s: float) -> tuple[DataFrame, DataFrame]:
+    """The grid of one window of each org in `windows` (org_id, start, end) with the time before it, and the step of each
+    server from which it counts. Servers and players are qualified by their org."""
+    rows = positions.join(windows, "org_id").filter((F.col("t") >= F.col("start") - context_s) & (F.col("t") < F.col("end")))
+    rows = Table(rows.select(qualified(F.col("org_id"), F.col("server_id")).alias("server_id"), qualified(F.col("org_id"), F.col("player_id")).alias("player_id"), "t", "x", "y", "dino_class", "start")).df
+    starts = rows.select("server_id", "start").distinct()
+    since = spans(rows, rules).join(starts, "server_id").select("server_id", F.ceil((F.col("start") - F.col("t0")) / F.lit(rules.step_s)).cast("long").alias("count_from"))
+    return Table(headings(resample(rows.drop("start"), rules), rules)).df, since
+
+
 def window_evidence(positions: DataFrame, windows: DataFrame, store: Store, rules: Rules, context_s: float = 1800.0, horizon_s: float = 7 * 86_400.0) -> dict[str, DataFrame]:
     """Evidence, spawns and pairs of one window of each org in `windows` (org_id, start, end), all orgs in one pass.
 
     Positions are (org_id, server_id, player_id, t, x, y, dino_class), in metres. The time before a window is context;
     the clans in force come from the pairs of the horizon before.
     """
-    rows = positions.join(windows, "org_id").filter((F.col("t") >= F.col("start") - context_s) & (F.col("t") < F.col("end")))
-    rows = Table(rows.select(qualified(F.col("org_id"), F.col("server_id")).alias("server_id"), qualified(F.col("org_id"), F.col("player_id")).alias("player_id"), "t", "x", "y", "dino_class", "start")).df
-    starts = rows.select("server_id", "start").distinct()
-    since = spans(rows, rules).join(starts, "server_id").select("server_id", F.ceil((F.col("start") - F.col("t0")) / F.lit(rules.step_s)).cast("long").alias("count_from"))
-    grid = Table(headings(resample(rows.drop("start"), rules), rules)).df
+    grid, since = window_grid(positions, windows, rules, context_s)
     prior = store.read("pairs").join(windows.select("org_id", "end"), "org_id").filter(F.col("window_end") > F.col("end") - horizon_s)
     prior = prior.select(*[qualified(F.col("org_id"), F.col(c)).alias(c) for c in ("player_a", "player_b")], *V.PAIR_COUNTS)
     ev = V.extract(grid, rules, since, prior)
@@ -129,6 +135,7 @@ def score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float = 7
     evidence = store.read("evidence", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
     active = evidence.join(fresh, "org_id").filter(F.col("scored_until").isNull() | (F.col("window_end") > F.col("scored_until"))).select("player_id").distinct()
     spawns = store.read("spawns", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
+    spawns = A.spawn_counts(spawns, ("org_id",))
     walks = evidence.select("player_id", "moving_s", F.col("beeline_episodes").alias("episodes"), F.col("beeline_null").alias("null_episodes"))
     waits = evidence.select("player_id", F.col("ambush_waits").alias("waits"), F.col("ambush_hits").alias("hits"), F.col("ambush_null").alias("null_hits"))
     rows = A.scores(walks, A.contact_scores(spawns, rules, ("org_id",)), waits, rules).join(active, "player_id", "left_semi")

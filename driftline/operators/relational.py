@@ -101,12 +101,15 @@ def deliveries(outbox: DataFrame, base: float, cap: float, tries: int) -> DataFr
     return rows.withColumn("wait_s", F.when(F.col("status") == "pending", F.col("_wait"))).drop("outcome", "retry_after", "_wait")
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, ties counted half: from counts per distinct score, so no pair is formed."""
-    by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    by = accumulated(by, [F.col(score)], "q", "_before")
-    won = by.select("p", "q", (F.col("p") * (F.col("_before") + F.col("q") / 2)).alias("won"))
-    return won.agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+def auc(rows: DataFrame, score: str, label: str, by: tuple = ()) -> DataFrame:
+    """(by, auc): area under the ROC curve, ties counted half: from counts per distinct score, so no pair is formed.
+
+    With `by`, of each key on its own. Null where one of the classes is missing.
+    """
+    counts = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    counts = accumulated(counts, [F.col(score)], "q", "_before", by)
+    won = counts.select(*by, "p", "q", (F.col("p") * (F.col("_before") + F.col("q") / 2)).alias("won"))
+    return won.groupBy(*by).agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:

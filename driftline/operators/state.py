@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,10 +66,26 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return kept.withColumn(name, _starts(sizes, F.lit(0).cast("long")) + F.col("_row")).drop("_part", "_row")
 
 
-def accumulated(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Adds the sum of a number over all rows before each in the order, in the same way."""
-    kept = _ranges(df, order)
-    sums = {r["_part"]: r["s"] or 0 for r in kept.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
-    before = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum(value).over(before), F.lit(0))
-    return kept.withColumn(name, _starts(sums, F.lit(0)) + own).drop("_part", "_row")
+def accumulated(df: DataFrame, order: list[Column], value: str, name: str, keys: tuple = ()) -> DataFrame:
+    """Adds the sum of a number over all rows before each in the order, with keys of those with the same keys, in the same way.
+
+    A key of many rows spreads over many range partitions. What a partition begins with is the sum so far of the one key
+    that reaches into it: through the driver goes a row for each partition.
+    """
+    kept = _ranges(df, [*map(F.col, keys), *order])
+    spark = df.sparkSession
+    parts = kept.groupBy("_part", *keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias("s"), F.max("_row").alias("_last"))
+    ends = parts.groupBy("_part").agg(F.max_by(F.struct(*keys, "s"), "_last").alias("e")).select("_part", "e.*").orderBy("_part")
+    carries, key, total = [], None, 0
+    for r in ends.collect():
+        own = tuple(r[k] for k in keys)
+        if key is not None:
+            carries.append((r["_part"], *key, total))
+        key, total = own, (total if own == key else 0) + r["s"]
+    before = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = kept.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    fields = [StructField("_p", kept.schema["_part"].dataType), *[StructField(f"_k{i}", kept.schema[k].dataType) for i, k in enumerate(keys)], StructField("_carry", ends.schema["s"].dataType)]
+    held = spark.createDataFrame(carries, StructType(fields))
+    same = [rows["_part"] == held["_p"], *[rows[k].eqNullSafe(held[f"_k{i}"]) for i, k in enumerate(keys)]]
+    out = rows.join(held, same, "left").withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
+    return out.drop("_part", "_row", "_p", "_carry", *[f"_k{i}" for i in range(len(keys))])

@@ -1,6 +1,6 @@
 """All queries of the library."""
 
 from ..queries import QUERIES, SQL
-from . import learning, records, samples, scoring, streams
+from . import exports, learning, records, samples, scoring, streams
 
-__all__ = ["QUERIES", "SQL", "learning", "records", "samples", "scoring", "streams"]
+__all__ = ["QUERIES", "SQL", "exports", "learning", "records", "samples", "scoring", "streams"]

@@ -31,6 +31,12 @@ def positions(events: DataFrame) -> DataFrame:
     )
 
 
+def between(events: DataFrame, since: int, until: int) -> DataFrame:
+    """Positions with t in [since, until): the limits reach the scan as limits of the time stamp."""
+    at = lambda t: F.expr(f"TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {t * 360})")
+    return positions(events.filter((F.col("ts") >= at(since)) & (F.col("ts") < at(until))))
+
+
 def awareness(dino_class: Column) -> Column:
     """Metres within which the class notices others; a null class has the default."""
     out = F.lit(AWARENESS_DEFAULT)

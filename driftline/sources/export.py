@@ -29,6 +29,17 @@ def manifest(rows: DataFrame, window_s: int = 7200) -> DataFrame:
     return rows.groupBy("org", end.alias("window_end")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("player").alias("players"), F.countDistinct("server").alias("servers"))
 
 
-def read(spark: SparkSession, path: str, first: str, last: str, columns: list[str]) -> DataFrame:
-    """Columns of the dates from first to last: folders outside are not listed, columns not asked for not read."""
-    return spark.read.parquet(path).filter(F.col("date").between(first, last)).select(*columns)
+def read(spark: SparkSession, path: str, first: str | None, last: str | None, columns: list[str], since: float | None = None, until: float | None = None) -> DataFrame:
+    """Columns of the dates from first to last, both included, and of times in [since, until).
+
+    Folders of other dates are not listed, columns not asked for not read, and within a file row groups of other times are
+    passed over. A window that was exported twice counts once.
+    """
+    rows = spark.read.parquet(path)
+    limits = [F.col("date") >= F.lit(first).cast("date") if first else None, F.col("date") <= F.lit(last).cast("date") if last else None]
+    limits += [F.col("t") >= since if since is not None else None, F.col("t") < until if until is not None else None]
+    for limit in limits:
+        rows = rows if limit is None else rows.filter(limit)
+    keys = [c for c in ("server", "player", "t") if c in columns]
+    rows = rows.select(*columns)
+    return rows.dropDuplicates(keys) if len(keys) == 3 else rows
