@@ -228,11 +228,12 @@ def contact_scores(spawns: DataFrame, rules: Rules, by: tuple = ()) -> DataFrame
     """
     n = F.col("n") if "n" in spawns.columns else F.lit(1)
     rows = spawns.select(*by, "player_id", F.coalesce("dino_class", F.lit("")).alias("c"), "duration_s", F.col("censored").cast("int").alias("k"), n.cast("long").alias("n"))
+    base = rows = Table(rows).df
     weight = F.sum(F.when(F.col("k") == 1, 0.5).otherwise(1.0) * F.col("n"))
     for keys, name in ((["c"], "c"), (["c", "player_id"], "oc"), ([], "a"), (["player_id"], "oa")):
         keys = [*by, *keys]
         # counts per distinct duration, of which there are no more than steps in a grid, and sums over those before
-        per = rows.groupBy(*keys, "duration_s").agg(weight.alias("_w"), F.sum("n").alias("_k"))
+        per = base.groupBy(*keys, "duration_s").agg(weight.alias("_w"), F.sum("n").alias("_k"))
         order = W.partitionBy(*keys or [F.lit(0)])
         before = F.coalesce(F.sum("_w").over(order.orderBy("duration_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
         per = per.select(*keys, "duration_s", before.alias(f"_b{name}"), F.sum("_k").over(order).alias(f"_n{name}"))

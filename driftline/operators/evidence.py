@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..rules import Rules
 from .grid import PLAYER, close, counted, deaths, headings, islands, n_shifts, pairs, shifted, square
+from .state import Table
 
 PAIR = ("server_id", "shift", "player_id", "player_id_j")
 
@@ -34,12 +35,27 @@ def waits(grid: DataFrame, rules: Rules) -> DataFrame:
     return islands(still, PLAYER).filter(F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.wait_min_s))
 
 
-def associates(grid: DataFrame, rules: Rules) -> DataFrame:
-    """(server_id, player_id, player_id_j) in both orders: pairs within associate_radius_m for associate_min_s in all."""
+def near(grid: DataFrame, rules: Rules) -> DataFrame:
+    """(server_id, idx, player_id, player_id_j, d2): who is within associate_radius_m of whom, once a pair, written once
+    for all that asks who is near."""
     place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = close(place, place, rules.associate_radius_m, ordered=True)
-    found = near.groupBy("server_id", "player_id", "player_id_j").count().filter(F.col("count") * rules.step_s >= rules.associate_min_s).drop("count")
-    return found.unionByName(found.select("server_id", F.col("player_id_j").alias("player_id"), F.col("player_id").alias("player_id_j")))
+    return Table(close(place, place, rules.associate_radius_m, ordered=True).select("server_id", "idx", "player_id", "player_id_j", square().alias("d2"))).df
+
+
+def both_orders(rows: DataFrame) -> DataFrame:
+    """Pairs, and the same pairs the other way round."""
+    turned = {"player_id": "player_id_j", "player_id_j": "player_id"}
+    return rows.unionByName(rows.select(*[F.col(turned.get(c, c)).alias(c) for c in rows.columns]))
+
+
+def associates(grid: DataFrame, rules: Rules, beside: DataFrame | None = None) -> DataFrame:
+    """(server_id, player_id, player_id_j) in both orders: pairs within associate_radius_m for associate_min_s in all.
+
+    `beside` is what `near` has found, if that is known already.
+    """
+    beside = near(grid, rules) if beside is None else beside
+    found = beside.groupBy("server_id", "player_id", "player_id_j").count().filter(F.col("count") * rules.step_s >= rules.associate_min_s).drop("count")
+    return both_orders(found)
 
 
 def _meetups(rows: DataFrame, rules: Rules, since: DataFrame | None) -> DataFrame:
@@ -57,10 +73,15 @@ def _meetups(rows: DataFrame, rules: Rules, since: DataFrame | None) -> DataFram
 def meetups(grid: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
     """(server_id, player_a, player_b, meets, null_meets) of the pairs that met; null_meets is the mean over the shifts.
 
-    The shifted joins are made for the pairs that met only.
+    Whole tracks are joined only for pairs that were close for long enough once, and the shifted ones for pairs that met.
     """
-    place = deaths(grid, rules).select("server_id", "idx", "player_id", "x", "y", "died", "n")
-    seen = _meetups(pairs(place, shifted(place, rules, null=False), ordered=True), rules, since).filter("meets > 0").drop("shift")
+    place = Table(deaths(grid, rules).select("server_id", "idx", "player_id", "x", "y", "died", "n")).df
+    spot = place.select("server_id", "idx", "player_id", "x", "y")
+    runs = islands(close(spot, spot, rules.meet_radius_m, ordered=True), ("server_id", "player_id", "player_id_j"))
+    able = Table(runs.filter(F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.meet_min_s)).select("server_id", "player_id", "player_id_j").distinct()).df
+    them = place.select("server_id", "idx", *[F.col(c).alias(f"{c}_j") for c in ("player_id", "x", "y", "died")], F.lit(0).cast("long").alias("shift"))
+    tracks = able.join(place, ["server_id", "player_id"]).join(them, ["server_id", "player_id_j", "idx"])
+    seen = Table(_meetups(tracks, rules, since).filter("meets > 0").drop("shift")).df
     mine = seen.select("server_id", "player_id", "player_id_j").join(place, ["server_id", "player_id"])
     other = shifted(place, rules, real=False).select("server_id", "idx", "shift", *[F.col(c).alias(f"{c}_j") for c in ("player_id", "x", "y", "died")])
     by_chance = _meetups(mine.join(other, ["server_id", "player_id_j", "idx"]), rules, since)
@@ -71,11 +92,11 @@ def meetups(grid: DataFrame, rules: Rules, since: DataFrame | None = None) -> Da
     return rows.select("server_id", F.col("player_id").alias("player_a"), F.col("player_id_j").alias("player_b"), F.col("meets").cast("long").alias("meets"), mean.alias("null_meets"))
 
 
-def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
+def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None, beside: DataFrame | None = None) -> DataFrame:
     """(server_id, player_id, idx, dino_class, duration_s, censored): from each spawn to the first contact.
 
     A spawn is an appearance, a jump or a change of class after the grid's begin; the life lasts to the next spawn or
-    until the player is gone.
+    until the player is gone. `beside` is what `near` has found, which contacts are among unless they are made from afar.
     """
     order = W.partitionBy(*PLAYER).orderBy("idx")
     lag = lambda c: F.lag(c).over(order)
@@ -85,9 +106,10 @@ def spawn_episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataF
     spawned = (F.col("idx") > 0) & (new_run | (way > rules.respawn_m**2) | changed)
     lives = grid.select("server_id", "idx", "player_id", "x", "y", "dino_class", spawned.alias("spawned"), new_run.alias("new_run"))
     lives = lives.withColumn("life", F.sum((F.col("spawned") | F.col("new_run")).cast("int")).over(order))
-    place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = close(place, place, rules.contact_m)
-    touch = near.join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti").select("server_id", "player_id", "idx").distinct().withColumn("hit", F.col("idx"))
+    if beside is None or rules.contact_m > rules.associate_radius_m:
+        place = grid.select("server_id", "idx", "player_id", "x", "y")
+        beside = close(place, place, rules.contact_m, ordered=True).select("server_id", "idx", "player_id", "player_id_j", square().alias("d2"))
+    touch = both_orders(beside.filter(F.col("d2") <= rules.contact_m**2).drop("d2")).join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti").select("server_id", "player_id", "idx").distinct().withColumn("hit", F.col("idx"))
     rows = lives.join(touch, ["server_id", "player_id", "idx"], "left")
     life = rows.groupBy(*PLAYER, "life").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("steps"), F.min("hit").alias("hit"), F.min_by("spawned", "idx").alias("spawned"), F.min_by("dino_class", "idx").alias("dino_class"))
     life = life.filter(F.col("spawned") & (F.col("hit").isNotNull() | (F.col("steps") >= rules.steps(rules.spawn_min_s))))

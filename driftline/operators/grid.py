@@ -98,12 +98,18 @@ def square(a: str = "x", b: str = "y"):
     return (F.col(f"{a}_j") - F.col(a)) * (F.col(f"{a}_j") - F.col(a)) + (F.col(f"{b}_j") - F.col(b)) * (F.col(f"{b}_j") - F.col(b))
 
 
+#: Radii to the side of a cell in `close`: rows near a border are copied, (1 + 2 / CELL)^2 rows for each on average.
+CELL = 6
+
+
 def close(mine: DataFrame, others: DataFrame, radius: float, ordered: bool = False) -> DataFrame:
-    """As pairs, of those within the radius only: rows meet in cells of that size, each with the others of nine cells."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
-    near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    left = mine.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
-    right = others.withColumn("_i", near).withColumn("_k", near).withColumn("_cx", cell("x") + F.col("_i")).withColumn("_cy", cell("y") + F.col("_k")).drop("_i", "_k")
+    """As pairs, of those within the radius only: rows meet in large cells, into which those within the radius of their
+    borders are copied."""
+    side, reach = float(radius) * CELL, float(radius) * (1 + 1e-9)
+    cell = lambda c: F.floor(c / F.lit(side)).cast("long")
+    left = mine.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    right = others.withColumn("_cx", touched("x")).withColumn("_cy", touched("y"))
     right = right.select("server_id", "idx", "_cx", "_cy", *[F.col(c).alias(f"{c}_j") for c in others.columns if c not in ("server_id", "idx", "shift", "n")], *(["shift"] if "shift" in others.columns else []))
     rows = left.join(right, ["server_id", "idx", "_cx", "_cy"]).drop("_cx", "_cy").filter(square() <= radius * radius)
     return rows.filter(F.col("player_id") < F.col("player_id_j")) if ordered else rows.filter(F.col("player_id") != F.col("player_id_j"))

@@ -15,7 +15,7 @@ from . import approach as A
 from . import window as V
 from .grid import headings, resample, spans
 from .relational import apply_flags, latest
-from .state import Table, numbered
+from .state import Table, numbered, scope
 from .store import Store
 
 SEPARATOR = "\x1f"
@@ -85,7 +85,8 @@ def save_windows(store: Store, windows: list, work: Callable[[list], dict[str, D
     window that can't be worked out holds up its own org only."""
     own = hashlib.sha256("\0".join(f"{r['org_id']}@{r['end']}" for r in windows).encode()).hexdigest()
     try:
-        store.save(f"window-{own}", work(windows), {r["org_id"]: float(r["end"]) for r in windows})
+        with scope():
+            store.save(f"window-{own}", work(windows), {r["org_id"]: float(r["end"]) for r in windows})
         return windows, []
     except Exception:
         log.exception("%d windows failed", len(windows))
@@ -126,12 +127,18 @@ def run_scoring(store: Store, positions: DataFrame, rules: Rules, now: float, la
 
 def score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float = 7 * 86_400.0, suppress_s: float = 30 * 86_400.0) -> tuple[DataFrame, DataFrame]:
     """Scores of the players in windows saved since the last scoring, and the new flags; saved with flags and alerts at once."""
-    nothing = store.read("scores").limit(0), store.read("flags").limit(0)
+    with scope():
+        saved = _score_and_flag(store, rules, now, horizon_s, suppress_s)
+    scores, flags = store.read("scores"), store.read("flags")
+    return scores.filter((F.col("computed_at") == now) & F.lit(saved)), flags.filter((F.col("created_at") == now) & (F.col("updated_at") == now) & F.lit(saved))
+
+
+def _score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float, suppress_s: float) -> bool:
     last = store.progress("scores-").withColumnRenamed("until", "scored_until")
     fresh = store.progress("window-").join(last, "org_id", "left").filter(F.col("scored_until").isNull() | (F.col("until") > F.col("scored_until")))
     ends = {r["org_id"]: r["until"] for r in fresh.collect()}
     if not ends:
-        return nothing
+        return False
     evidence = store.read("evidence", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
     active = evidence.join(fresh, "org_id").filter(F.col("scored_until").isNull() | (F.col("window_end") > F.col("scored_until"))).select("player_id").distinct()
     spawns = store.read("spawns", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
@@ -150,9 +157,7 @@ def score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float = 7
     kept = stamp(acts.filter("action = 'refresh'").join(open_, "player_id"), F.col("created_at"))
     alerts = new.select("org_id", "player_id", F.lit("flag").alias("kind"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(now).alias("created_at"), F.lit(now).alias("next_attempt_at"))
     scores = told(rows).select("org_id", "player_id", F.lit(now).alias("computed_at"), "score", "beeline", "ttc", "ambush")
-    if not store.save(f"scores-{now:.0f}", {"scores": scores, "flags": new.unionByName(kept), "alerts": alerts}, ends):
-        return nothing
-    return scores, new
+    return store.save(f"scores-{now:.0f}", {"scores": scores, "flags": new.unionByName(kept), "alerts": alerts}, ends)
 
 
 def resolve(store: Store, flags: DataFrame, status: str, now: float) -> bool:
@@ -177,7 +182,8 @@ def export_pending(store: Store, target: Store, positions: DataFrame, key: bytes
         if done + failed >= most:
             break
         try:
-            done += target.save(batch, export_window(store, positions, key, rules, r["org_id"], r["end"], window_s, horizon_s), {r["org_id"]: r["end"]})
+            with scope():
+                done += target.save(batch, export_window(store, positions, key, rules, r["org_id"], r["end"], window_s, horizon_s), {r["org_id"]: r["end"]})
         except Exception:
             log.exception("export of %s failed", batch)
             failed += 1

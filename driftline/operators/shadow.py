@@ -17,6 +17,7 @@ from . import window as V
 from .job import SEPARATOR, bare, org_of, qualified, window_grid
 from .samples import build_samples
 from .selection import Pair
+from .state import scope
 from .store import Store
 
 STATS = ", ".join(f"{c} double" for c in L.STATS[2:])
@@ -59,10 +60,11 @@ def run_shadow(store: Store, version: str, stats: Callable[[DataFrame], DataFram
         due.setdefault(r["org_id"], []).append(r["end"])
     count = 0
     while turn := sorted((org, ends.pop(0)) for org, ends in due.items() if ends):
-        rows = stats(spark.createDataFrame([(org, end - window_s, end) for org, end in turn], WINDOW))
         ends = spark.createDataFrame(turn, "org_id string, window_end double")
         name = hashlib.sha256(repr(turn).encode()).hexdigest()
-        count += len(turn) * store.save(f"{own}{name}", {"leakage": rows.join(ends, "org_id").withColumn("model_version", F.lit(version))}, dict(turn))
+        with scope():
+            rows = stats(spark.createDataFrame([(org, end - window_s, end) for org, end in turn], WINDOW))
+            count += len(turn) * store.save(f"{own}{name}", {"leakage": rows.join(ends, "org_id").withColumn("model_version", F.lit(version))}, dict(turn))
     return count, rescore(store, version, now, horizon_s, z_floor, z_full, least, stride_s)
 
 

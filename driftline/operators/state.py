@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/driftline-shared"
 
 
+_open: ContextVar[list | None] = ContextVar("_open", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops, when it ends, the tables that were made within it on this thread: what comes of them has to be written by then."""
+    made: list[Table] = []
+    token = _open.set(made)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for table in made:
+            table.drop()
+
+
 class Table:
     """A DataFrame written to the shared folder and read again: a lost executor costs a reread."""
 
@@ -31,6 +50,8 @@ class Table:
         self._fs = self._path.getFileSystem(context._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
         self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
+        if (made := _open.get()) is not None:
+            made.append(self)
 
     def drop(self) -> None:
         self._fs.delete(self._path, True)

@@ -56,7 +56,8 @@ def extract(grid: DataFrame, rules: Rules, since: DataFrame | None = None, prior
     Companions are no targets of either stage; clanmates aren't of the second, where what a clan knows is shared. The
     window's pairs are its own, without the prior ones. Each stage is written once, as the next reads it many times.
     """
-    assoc = Table(E.associates(grid, rules)).df
+    beside = E.near(grid, rules)
+    assoc = Table(E.associates(grid, rules, beside)).df
     pairs = Table(pair_evidence(grid, assoc, rules, since)).df
     horizon = pairs if prior_pairs is None else added(pairs, prior_pairs.select(*pairs.columns))
     clans = A.clans(A.clan_links(horizon, rules))
@@ -66,7 +67,7 @@ def extract(grid: DataFrame, rules: Rules, since: DataFrame | None = None, prior
         pairs=pairs,
         beeline=A.beelines(grid, found, rules, since),
         ambush=E.ambushes(grid, never, rules, since),
-        spawns=E.spawn_episodes(grid, never, rules, since),
+        spawns=E.spawn_episodes(grid, never, rules, since, beside),
         players=counted(grid, since).select(*PLAYER).distinct(),
         clans=clans,
     )

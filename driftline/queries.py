@@ -42,8 +42,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table(G.headings(G.resample(samples(spark, sf_dir), R), R)).df
 
 
-def company(g: DataFrame) -> DataFrame:
-    return Table(E.associates(g, R)).df
+def company(g: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    return Table(E.associates(g, R, beside)).df
 
 
 def with_(*parts: str) -> str:
@@ -57,7 +57,7 @@ def s5_positions(spark, sf_dir):
 
 @query(with_() + " SELECT server_id, player_id, idx, x, y, dino_class FROM grid")
 def w1_resample(spark, sf_dir):
-    return grid(spark, sf_dir).select("server_id", "player_id", "idx", "x", "y", "dino_class")
+    return G.resample(samples(spark, sf_dir), R).select("server_id", "player_id", "idx", "x", "y", "dino_class")
 
 
 @query(with_() + " SELECT server_id, dino_class, aware, count(*) AS steps FROM grid GROUP BY ALL")
@@ -143,7 +143,8 @@ spawn AS (SELECT server_id, player_id, idx, dino_class, coalesce(hit - idx, step
 @query(with_(ASSOC, SPAWN) + " SELECT * FROM spawn")
 def x5_spawn_episodes(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return E.spawn_episodes(g, company(g), R)
+    beside = E.near(g, R)
+    return E.spawn_episodes(g, company(g, beside), R, beside=beside)
 
 
 AMBUSH = """
@@ -297,9 +298,10 @@ score AS (SELECT *, 1 - (1 - coalesce(beeline, 0)) * (1 - coalesce(0.35 * ttc, 0
 @query(with_(G.HEAD_SQL, ASSOC, G.DEATH_SQL, APPROACH, KNOWN, MERGE.format(source="as5"), BEELINE, WAITS, AMBUSH, SPAWN, TTC, SCORE) + " SELECT player_id, round(beeline, 6) AS beeline, round(ttc, 6) AS ttc, round(ambush, 6) AS ambush, round(score, 6) AS score, score >= 0.6 AS flagged FROM score")
 def x12_scores(spark, sf_dir):
     g = grid(spark, sf_dir)
-    assoc = company(g)
+    beside = E.near(g, R)
+    assoc = company(g, beside)
     beeline = A.beelines(g, A.episodes(g, assoc, R), R)
-    rows = A.scores(beeline, A.contact_scores(E.spawn_episodes(g, assoc, R), R), E.ambushes(g, assoc, R), R)
+    rows = A.scores(beeline, A.contact_scores(E.spawn_episodes(g, assoc, R, beside=beside), R), E.ambushes(g, assoc, R), R)
     return rows.select("player_id", *[F.round(c, 6).alias(c) for c in ("beeline", "ttc", "ambush", "score")], "flagged")
 
 
