@@ -14,7 +14,7 @@ from ..sources import export
 from . import approach as A
 from . import window as V
 from .grid import headings, resample, spans
-from .relational import apply_flags, latest
+from .relational import apply_flags, latest, pair_quality
 from .state import Table, numbered, scope
 from .store import Store
 
@@ -125,6 +125,51 @@ def run_scoring(store: Store, positions: DataFrame, rules: Rules, now: float, la
     return V.run_summary(windows, scored, new)
 
 
+def scored(evidence: DataFrame, spawns: DataFrame, rules: Rules) -> DataFrame:
+    """(player_id, beeline, ttc, ambush, score, flagged) from evidence of any number of windows, added up; players are
+    qualified by their org, and ranked by their contacts within it."""
+    spawns = A.spawn_counts(spawns.withColumn("player_id", qualified(F.col("org_id"), F.col("player_id"))), ("org_id",))
+    walks = evidence.select("player_id", "moving_s", F.col("beeline_episodes").alias("episodes"), F.col("beeline_null").alias("null_episodes"))
+    waits = evidence.select("player_id", F.col("ambush_waits").alias("waits"), F.col("ambush_hits").alias("hits"), F.col("ambush_null").alias("null_hits"))
+    return A.scores(walks, A.contact_scores(spawns, rules, ("org_id",)), waits, rules)
+
+
+def evaluate(store: Store, positions: DataFrame, rules: Rules, window_s: float = 7200.0, context_s: float = 1800.0, teams: DataFrame | None = None, evidence: Callable = window_evidence) -> tuple[DataFrame, DataFrame | None]:
+    """Scores (org_id, player_id, part, score, flagged), part "first" and "accumulated", and how well the clans found match teams.
+
+    Window after window is saved, all orgs together, each with the clans of all before it; the first window's evidence
+    scores alone, then the sum of all. teams are true pairs (org_id, player_a, player_b); clans come from all pairs.
+    """
+    spans_ = positions.groupBy("org_id").agg(F.min("t").cast("double").alias("start"), F.max("t").cast("double").alias("end")).collect()
+    due = [[{"org_id": r["org_id"], "start": r["start"] + k * window_s, "end": r["start"] + (k + 1) * window_s} for k in range(int((r["end"] - r["start"] + 1) // window_s))] for r in spans_]
+    firsts = {rows[0]["org_id"]: rows[0]["end"] for rows in due if rows}
+    spark, everything = store.spark, float("inf")
+
+    def work(rows: list) -> dict[str, DataFrame]:
+        windows = spark.createDataFrame([(r["org_id"], r["start"], r["end"]) for r in rows], "org_id string, start double, end double")
+        return evidence(positions, windows, store, rules, context_s, everything)
+
+    while turn := [rows.pop(0) for rows in due if rows]:
+        save_windows(store, turn, work)
+    early = spark.createDataFrame(list(firsts.items()), "org_id string, window_end double")
+    out = None
+    for part in ("first", "accumulated"):
+        ev, spawns = store.read("evidence"), store.read("spawns")
+        if part == "first":
+            ev, spawns = (df.join(early, ["org_id", "window_end"], "left_semi") for df in (ev, spawns))
+        rows = scored(ev.withColumn("player_id", qualified(F.col("org_id"), F.col("player_id"))), spawns, rules)
+        rows = rows.select(org_of("player_id").alias("org_id"), bare("player_id").alias("player_id"), F.lit(part).alias("part"), "score", "flagged")
+        out = rows if out is None else out.unionByName(rows)
+    if teams is None:
+        return out, None
+    both = store.read("pairs").select(*[qualified(F.col("org_id"), F.col(c)).alias(c) for c in ("player_a", "player_b")], *V.PAIR_COUNTS)
+    clans = A.clans(A.clan_links(V.added(both), rules))
+    other = clans.select("clan", F.col("player_id").alias("player_b"))
+    found = clans.withColumnRenamed("player_id", "player_a").join(other, "clan").filter("player_a < player_b")
+    true = teams.select(*[qualified(F.col("org_id"), F.col(c)).alias(c) for c in ("player_a", "player_b")])
+    return out, pair_quality(true, found)
+
+
 def score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float = 7 * 86_400.0, suppress_s: float = 30 * 86_400.0) -> tuple[DataFrame, DataFrame]:
     """Scores of the players in windows saved since the last scoring, and the new flags; saved with flags and alerts at once."""
     with scope():
@@ -141,12 +186,8 @@ def _score_and_flag(store: Store, rules: Rules, now: float, horizon_s: float, su
         return False
     evidence = store.read("evidence", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
     active = evidence.join(fresh, "org_id").filter(F.col("scored_until").isNull() | (F.col("window_end") > F.col("scored_until"))).select("player_id").distinct()
-    spawns = store.read("spawns", now - horizon_s).filter(F.col("window_end") > now - horizon_s).withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
-    spawns = A.spawn_counts(spawns, ("org_id",))
-    walks = evidence.select("player_id", "moving_s", F.col("beeline_episodes").alias("episodes"), F.col("beeline_null").alias("null_episodes"))
-    waits = evidence.select("player_id", F.col("ambush_waits").alias("waits"), F.col("ambush_hits").alias("hits"), F.col("ambush_null").alias("null_hits"))
-    rows = A.scores(walks, A.contact_scores(spawns, rules, ("org_id",)), waits, rules).join(active, "player_id", "left_semi")
-    rows = Table(rows).df
+    spawns = store.read("spawns", now - horizon_s).filter(F.col("window_end") > now - horizon_s)
+    rows = Table(scored(evidence, spawns, rules).join(active, "player_id", "left_semi")).df
     flags = latest(store.read("flags"), ["org_id", "player_id", "created_at"], ["updated_at"])
     flags = flags.withColumn("player_id", qualified(F.col("org_id"), F.col("player_id")))
     acts = Table(apply_flags(rows, flags, F.lit(now), rules.flag_at, F.lit(suppress_s))).df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import job as J
 from ..operators import window as V
+from ..operators.relational import mode
 from ..operators.state import Table, shared_folder
 from ..operators.store import Store
 from ..queries import grid, query, samples
@@ -44,3 +45,14 @@ def x30_run(spark, sf_dir):
     store.scratch()
     now = rows.agg(F.max("t")).first()[0]
     return J.run_scoring(store, rows, R, float(now or 0), lag_s=60.0, window_s=3000.0)
+
+
+@query()
+def x29_evaluation(spark, sf_dir):
+    """First-window and accumulated scores by the class a player is seen in most, over windows that carry pairs and clans on."""
+    rows = Table(samples(spark, sf_dir).withColumn("org_id", F.lit("o")).withColumn("t", F.col("t").cast("double"))).df
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", J.SCHEMAS)
+    store.scratch()
+    kinds = mode(rows, ["player_id"], "dino_class").select("player_id", F.col("dino_class").alias("kind"))
+    scores, _ = J.evaluate(store, rows, R, window_s=3000.0)
+    return scores.join(kinds, "player_id").groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.max("score").alias("most"), F.count_if("flagged").alias("flagged"))

@@ -129,3 +129,20 @@ def test_evidence_of_a_run_is_that_of_its_windows(spark, tmp_path):
     got = {r["player_id"]: (r["moving_s"], r["beeline_episodes"], r["ambush_waits"]) for r in store.read("evidence").collect()}
     assert got == want and any(v[0] for v in want.values())
     assert {(r["player_id"], r["duration_s"]) for r in store.read("spawns").collect()} == {(r["player_id"], r["duration_s"]) for r in ev.spawns.collect()}
+
+
+def test_evaluation_folds_windows(spark, tmp_path, positions):
+    def half(positions, windows, *rest):
+        """Hits of one player in the second window on, and meetings of a and b in every window."""
+        out = cheap(positions, windows, *rest)
+        late = F.col("window_end") > 150
+        out["evidence"] = out["evidence"].withColumns({c: F.when(late, F.col(c)).otherwise(0).cast("long") for c in ("ambush_waits", "ambush_hits")})
+        pairs = windows.select("org_id", F.lit("cold").alias("player_a"), F.lit("hot").alias("player_b"), F.col("end").alias("window_end"), F.lit(4).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), F.lit(0).cast("long").alias("tips"), F.lit(0.0).alias("null_tips"))
+        return out | {"pairs": pairs}
+
+    store = Store(spark, str(tmp_path / "s"), J.SCHEMAS)
+    teams = spark.createDataFrame([("a", "cold", "hot"), ("c", "cold", "other")], "org_id string, player_a string, player_b string")
+    scores, quality = J.evaluate(store, positions.filter("org_id <> 'bad'"), RULES, 100.0, 0.0, teams, evidence=half)
+    got = {(r["org_id"], r["player_id"], r["part"]): r["flagged"] for r in scores.collect()}
+    assert got == {(o, p, part): p == "hot" and part == "accumulated" for o in "ac" for p in ("hot", "cold") for part in ("first", "accumulated")}
+    assert tuple(quality.first())[:3] == (1, 2, 2)
