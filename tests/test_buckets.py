@@ -10,7 +10,7 @@ from driftline import plans as Q
 TIMES = (0, 0, 1409, 28684, 43200, 43200)
 
 
-@pytest.mark.parametrize("name", ["f21_token_bucket"])
+@pytest.mark.parametrize("name", ["f21_token_bucket", "st10_bucket_stream"])
 def test_a_token_is_back_after_exactly_its_time(spark, tmp_path, name):
     calls = spark.createDataFrame([(i, 7, "view", 1.0, t) for i, t in enumerate(TIMES)], "event_id long, user_id long, event_type string, value double, s long")
     calls.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s").write.parquet(f"{tmp_path}/events.parquet")
