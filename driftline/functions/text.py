@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ KEY = r"([A-Za-z]+)\s*[:=]"
 BEELINE = "Beeline: %s walks straight to players out of sight"
 AMBUSH = "Ambush: %s of %s waits ended with a distant player arriving"
 CONTACT, NO_CONTACT = "Time to contact: median %s after spawning", "Time to contact: no contact after spawning"
+DETAILS = (
+    *(f"beeline.{c}" for c in ("score", "episodes", "null_episodes", "moving_minutes", "z")),
+    *(f"ambush.{c}" for c in ("score", "hits", "waits", "null_hits", "z")),
+    *(f"ttc.{c}" for c in ("score", "median_ttc_s", "server_median_ttc_s", "episodes", "contacts", "z")),
+)
 LEAKAGE = (
     "leakage z %s (sub-score %s): players nobody could have seen predict this player's moves %s nats per move better than "
     "the same players at other times, over %d moves (%s h observed)"
@@ -89,6 +96,11 @@ def joined(items: Column, most: int, separator: str = ", ") -> Column:
     return F.when(n > 0, F.coalesce(fits, truncated(items[0], most))).otherwise("")
 
 
+def held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once for each row, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def rounded(value: Column, places: int) -> Column:
     """|value| x 10^places as the nearest integer to what the double really holds, ties to even.
 
@@ -96,8 +108,7 @@ def rounded(value: Column, places: int) -> Column:
     """
     scale = float(10**places)
 
-    def nearest(y: Column) -> Column:
-        part = y - F.floor(y).cast("double")
+    def nearest(y: Column, part: Column) -> Column:
         big = part * 134217729.0
         high = big - (big - part)
         product = part * scale
@@ -107,39 +118,48 @@ def rounded(value: Column, places: int) -> Column:
         up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
         return whole + up.cast("long")
 
-    return F.transform(F.array(F.abs(value)), nearest)[0]
+    return held(F.abs(value), lambda y: held(y - F.floor(y).cast("double"), lambda part: nearest(y, part)))
 
 
 def fixed(value: Column, places: int, plus: bool = False) -> Column:
     """A finite number below 10^15 with so many places, like printf on the double's exact value."""
-    n = rounded(value, places)
-    digits = F.lpad(n.cast("string"), F.greatest(F.lit(places + 1), F.length(n.cast("string"))), F.lit("0"))
-    text = F.concat(F.substr(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.substr(digits, F.length(digits) - places + 1, F.lit(places))) if places else digits
-    return F.concat(F.when(value < 0, "-").otherwise("+" if plus else ""), text)
+    point = lambda d: F.concat(F.substr(d, F.lit(1), F.length(d) - places), F.lit("."), F.substr(d, F.length(d) - places + 1, F.lit(places)))
+    digits = lambda n: F.lpad(n, F.greatest(F.lit(places + 1), F.length(n)), F.lit("0"))
+    text = lambda n: held(digits(n), point) if places else digits(n)
+    return held(value, lambda v: F.concat(F.when(v < 0, "-").otherwise("+" if plus else ""), held(rounded(v, places).cast("string"), text)))
 
 
 def number(text: Column, places: int = 0) -> Column:
     """A number from stored details as JSON has it: integers as they are, others rounded; a question mark for what is none."""
-    value = text.try_cast("double")
-    sane = F.coalesce(~F.isnan(value) & (F.abs(value) < 1e15), F.lit(False))
-    shown = fixed(value, places) if places else F.regexp_replace(fixed(value, 0), "^-0$", "0")
-    return F.when(~sane, "?").when(text.rlike("^-?[0-9]+$"), value.cast("long").cast("string")).otherwise(shown)
+    def said(text: Column, value: Column) -> Column:
+        sane = F.coalesce(~F.isnan(value) & (F.abs(value) < 1e15), F.lit(False))
+        shown = fixed(value, places) if places else F.regexp_replace(fixed(value, 0), "^-0$", "0")
+        return F.when(~sane, "?").when(text.rlike("^-?[0-9]+$"), value.cast("long").cast("string")).otherwise(shown)
+
+    return held(text, lambda t: held(t.try_cast("double"), lambda v: said(t, v)))
 
 
 def duration(text: Column) -> Column:
     """Seconds, or minutes from ten on."""
-    value = text.try_cast("double")
-    return F.when(value < 600, F.concat(fixed(value, 0), F.lit(" s"))).otherwise(F.concat(fixed(value / 60, 0), F.lit(" min")))
+    return held(text.try_cast("double"), lambda v: F.when(v < 600, F.concat(fixed(v, 0), F.lit(" s"))).otherwise(F.concat(fixed(v / 60, 0), F.lit(" min"))))
 
 
 def behaviours(details: Column) -> Column:
-    """Sentences for the behaviours that made a score, from the details' JSON; those absent or at zero are left out."""
-    raw = lambda path: F.get_json_object(details, f"$.{path}")
+    """Sentences for the behaviours that made a score, from the details' JSON; those absent or at zero are left out.
+
+    Each number is looked up in the text once, and the text itself made once.
+    """
+    looked_up = lambda text: F.struct(*[F.get_json_object(text, f"$.{path}").alias(path.replace(".", "_")) for path in DETAILS])
+    return held(details, lambda text: held(looked_up(text), _sentences))
+
+
+def _sentences(numbers: Column) -> Column:
+    raw = lambda path: numbers.getField(path.replace(".", "_"))
     at = lambda path: raw(path).try_cast("double")
     said = lambda path: F.coalesce(at(path) >= 0, F.lit(False)) & (at(path) < float("inf"))
     positive = lambda name: F.coalesce((at(f"{name}.score") > 0) & (at(f"{name}.score") < float("inf")), F.lit(False))
     part = lambda path, before, places, after="": F.when(raw(path).isNotNull(), F.concat(F.lit(before), number(raw(path), places), F.lit(after)))
-    extras = lambda *parts: F.when(F.size(F.array_compact(F.array(*parts))) > 0, F.concat(F.lit(" ("), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit(")"))).otherwise("")
+    extras = lambda *parts: held(F.array_join(F.array(*parts), ", "), lambda text: F.when(text == "", "").otherwise(F.concat(F.lit(" ("), text, F.lit(")"))))
     blank = lambda c: F.coalesce(c, F.lit(""))
     of = lambda path: F.coalesce(number(raw(path)), F.lit("?"))
     beeline = F.concat(F.format_string(BEELINE, of("beeline.episodes")), blank(part("beeline.null_episodes", " vs ", 1, " expected")), extras(part("beeline.moving_minutes", "in ", 0, " min of moving"), part("beeline.z", "z ", 1)))

@@ -49,3 +49,9 @@ def test_shapes_and_salvaged_names(spark):
     lines = ["UserName x Name: Bob, PlayerID : 76561190000000001 X=1 Y=2 Z=3", "NAME : A: b , PlayerID- 76561190000000002 X=1 Y=2 Z=3", "76561190000000003 X=1 Y=2 Z=3"]
     got = T.parse(spark.createDataFrame([("r", "\n".join(lines))], "response_id string, text string")).orderBy("line_no").collect()
     assert [(r["salvaged"], r["player_name"]) for r in got] == [(True, "Bob"), (True, "A: b"), (True, "")]
+
+
+def test_what_is_shown_is_worked_out_once(spark):
+    text = F.sha2(F.col("id").cast("string"), 256)
+    used = lambda c: spark.range(1).select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("sha2(")
+    assert [used(c) for c in (X.number(text, 1), X.number(text), X.duration(text), X.fixed(F.length(text).cast("double"), 2), X.behaviours(text))] == [1] * 5
