@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..rules import Rules
-from .grid import PLAYER, close, pairs, square
+from .grid import PLAYER, by_step, close, pairs, square
 from .state import Table
 
 
@@ -100,12 +100,19 @@ def health_sum(parts: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
 BOXES = 8
 
 
-def tracking(rows: DataFrame) -> DataFrame:
+def tracking(head: DataFrame) -> DataFrame:
     """(server_id, player_id, idx, player_id_j, cos): the nearest other at each step of a moving player, and the cosine of heading for them."""
-    near = rows.withColumn("_d", square())
-    least = F.struct("_d", "player_id_j")
-    best = near.groupBy(*PLAYER, "idx", "dx", "dy").agg(F.min_by(F.struct("player_id_j", (F.col("x_j") - F.col("x")).alias("rx"), (F.col("y_j") - F.col("y")).alias("ry"), "_d"), least).alias("n"))
-    cos = (F.col("n.rx") * F.col("dx") + F.col("n.ry") * F.col("dy")) / F.nullif(F.sqrt(F.col("n._d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))), F.lit(0.0))
+
+    def nearest(me: Column) -> Column:
+        way = lambda p, c: p[c] - me[c]
+        square_ = lambda p: way(p, "x") * way(p, "x") + way(p, "y") * way(p, "y")
+        others = F.filter("all", lambda p: p["player_id"] != me["player_id"])
+        return F.array_min(F.transform(others, lambda p: F.struct(square_(p).alias("d"), p["player_id"].alias("player_id_j"), way(p, "x").alias("rx"), way(p, "y").alias("ry"))))
+
+    moving = F.filter("all", lambda p: p["moving"])
+    each = F.transform(moving, lambda me: F.struct(me["player_id"].alias("player_id"), me["dx"].alias("dx"), me["dy"].alias("dy"), nearest(me).alias("n")))
+    best = by_step(head, "x", "y", "dx", "dy", "moving").select("server_id", "idx", F.inline(each)).filter("n is not null")
+    cos = (F.col("n.rx") * F.col("dx") + F.col("n.ry") * F.col("dy")) / F.nullif(F.sqrt(F.col("n.d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))), F.lit(0.0))
     return best.select(*PLAYER, "idx", F.col("n.player_id_j").alias("player_id_j"), cos.alias("cos"))
 
 
