@@ -23,3 +23,12 @@ def plan(df):
 def test_nearest_of_a_step_without_sorting_pairs(spark):
     df = T.tracking(G.headings(tracks(spark), RULES))
     assert "SortAggregate" not in plan(df) and "Join" not in plan(df)
+
+
+def test_shifting_the_fewer_rows_gives_the_same_pairs(spark):
+    grid = tracks(spark)
+    few, others = grid.filter("player_id in ('u1', 'u7')"), grid.select("server_id", "idx", "player_id", "x", "y", "n")
+    want = G.pairs(few, G.shifted(others, RULES)).select("server_id", "shift", "player_id", "player_id_j", "idx", "x_j", "y_j")
+    there = others.select("server_id", F.col("idx").alias("then"), *[F.col(c).alias(f"{c}_j") for c in ("player_id", "x", "y")])
+    got = G.at_shifts(few, RULES).join(there, ["server_id", "then"]).filter("player_id <> player_id_j").select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and {r["shift"] for r in got.collect()} == {0, 4, 8}
