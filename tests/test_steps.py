@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from driftline.operators import evidence as E
 from driftline.operators import grid as G
+from driftline.operators import samples as M
 from driftline.operators import tracks as T
 from driftline.rules import Rules
 
@@ -32,3 +34,12 @@ def test_shifting_the_fewer_rows_gives_the_same_pairs(spark):
     there = others.select("server_id", F.col("idx").alias("then"), *[F.col(c).alias(f"{c}_j") for c in ("player_id", "x", "y")])
     got = G.at_shifts(few, RULES).join(there, ["server_id", "then"]).filter("player_id <> player_id_j").select(*want.columns)
     assert sorted(got.collect()) == sorted(want.collect()) and {r["shift"] for r in got.collect()} == {0, 4, 8}
+
+
+def test_counts_of_known_steps_equal_the_steps(spark):
+    grid = tracks(spark)
+    friends = E.both_orders(spark.createDataFrame([("a", "u0", "u1")], "server_id string, player_id string, player_id_j string"))
+    keys = ["server_id", "player_id", "player_id_j"]
+    want = M.known_to_others(grid, friends, RULES).groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), F.min("idx").alias("first"))
+    got = M.known_steps(grid, friends, RULES)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and got.count() > 0
