@@ -96,8 +96,8 @@ def health_sum(parts: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
     return sums.join(maps, keys, "left") if keys else sums.join(maps)
 
 
-#: Small cells to the side of a large one in nearest_approach.
-BOXES = 8
+#: Rounds of nearest_approach: the first looks 1 / 2^(ROUNDS - 1) of the radius far, each further one twice as far.
+ROUNDS = 8
 
 
 def tracking(head: DataFrame) -> DataFrame:
@@ -119,33 +119,45 @@ def tracking(head: DataFrame) -> DataFrame:
 def nearest_approach(mine: DataFrame, grid: DataFrame, radius: float, most: int) -> DataFrame:
     """(server_id, player_id, player_id_j, distance2): who ever came how near to where a player ever was, at any times.
 
-    Each track is cut into boxes, the points of a small cell of the plane. Boxes meet those of their own and the eight
-    large cells around, a radius wide. Two boxes are at least their gap apart, and the tracks at most as far as any
-    point of one from any of the other: only boxes whose gap doesn't exceed that and the radius are compared point by
-    point, so nothing is lost. Points that aren't finite take no part.
+    Points meet in cells, first of a small reach, then of twice that, up to the radius. What is found within a reach is
+    the least of its pair, and nearer than all that isn't found: so a player who has `most` pairs is done, and for the
+    others only pairs go on that weren't found yet. Points that aren't finite take no part.
     """
-    side = radius * (1 + 1e-9) / BOXES
-    cell = lambda c: F.floor(F.col(c) / side).cast("long")
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
-    points = lambda g: g.filter(finite).select(*PLAYER, "x", "y").distinct().withColumn("bx", cell("x")).withColumn("by", cell("y"))
-    ends = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("least_", F.min), ("most_", F.max))]
-    boxes = lambda rows: rows.groupBy(*PLAYER, "bx", "by").agg(*ends, F.min(F.struct("x", "y")).alias("p")).select("*", "p.x", "p.y").drop("p")
-    other = lambda rows: rows.select("server_id", *[F.col(c).alias(f"{c}_j") for c in rows.columns if c != "server_id"])
-    left, right = points(mine), points(grid)
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    large = lambda c: F.floor(F.col(c) / BOXES).cast("long")
-    ours = boxes(left).withColumn("_i", around).withColumn("_k", around).withColumn("cx", large("bx") + F.col("_i")).withColumn("cy", large("by") + F.col("_k")).drop("_i", "_k")
-    theirs = other(boxes(right)).withColumn("cx", large("bx_j")).withColumn("cy", large("by_j"))
-    gap = lambda c: F.greatest(F.col(f"least_{c}_j") - F.col(f"most_{c}"), F.col(f"least_{c}") - F.col(f"most_{c}_j"), F.lit(0.0))
-    met = ours.join(theirs, ["server_id", "cx", "cy"]).filter(F.col("player_id") != F.col("player_id_j"))
-    met = met.withColumn("gap2", gap("x") * gap("x") + gap("y") * gap("y")).filter(F.col("gap2") <= radius * radius)
+    points = lambda g: Table(g.filter(finite).select(*PLAYER, "x", "y").distinct()).df
+    left = points(mine)
+    right = left if grid is mine else points(grid)
     pair = [*PLAYER, "player_id_j"]
-    bound = Table(met.groupBy(*pair).agg(F.min(square()).alias("bound"))).df
-    open_ = met.select(*pair, "bx", "by", "bx_j", "by_j", "gap2").join(bound, pair).filter("gap2 <= bound").drop("gap2", "bound")
-    near = open_.join(left, [*PLAYER, "bx", "by"]).join(other(right), ["server_id", "player_id_j", "bx_j", "by_j"]).filter(square() <= radius * radius)
-    best = near.groupBy(*pair).agg(F.min(square()).alias("distance2"))
+    found, open_, reach = None, None, radius / 2 ** (ROUNDS - 1)
+    while True:
+        best = Table(_within(left, right, reach, open_)).df
+        found = best if found is None else found.unionByName(best)
+        if reach >= radius:
+            break
+        busy = left.select(*PLAYER).distinct().join(found.groupBy(*PLAYER).count().filter(F.col("count") >= most), [*PLAYER], "left_anti")
+        others = right.select("server_id", F.col("player_id").alias("player_id_j")).distinct()
+        open_ = Table(busy.join(others, "server_id").filter(F.col("player_id") != F.col("player_id_j")).join(found, pair, "left_anti")).df
+        if open_.isEmpty():
+            break
+        reach = min(radius, 2 * reach)
     order = W.partitionBy(*PLAYER).orderBy("distance2", "player_id_j")
-    return best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def _within(left: DataFrame, right: DataFrame, reach: float, open_: DataFrame | None) -> DataFrame:
+    """(server_id, player_id, player_id_j, distance2): the least squared distance within the reach of each pair, of those
+    in `open_` if given."""
+    side = reach * (1 + 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    touched = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    keys = ["server_id", "_cx", "_cy"]
+    theirs = right.select("server_id", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    if open_ is not None:
+        left = open_.join(left, [*PLAYER])
+        keys.append("player_id_j")
+    ours = left.withColumn("_cx", touched("x")).withColumn("_cy", touched("y"))
+    rows = ours.join(theirs, keys).withColumn("_d", square()).filter((F.col("_d") <= reach * reach) & (F.col("player_id") != F.col("player_id_j")))
+    return rows.groupBy(*PLAYER, "player_id_j").agg(F.min("_d").alias("distance2"))
 
 
 def summary(rows: DataFrame, kind: str, value: str, flag_at: float) -> DataFrame:
