@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import count_z, noisy_or, ramp
 from ..rules import Rules
 from .evidence import PAIR
-from .grid import PLAYER, counted, headings, islands, n_shifts, pairs, shifted, square
+from .grid import PLAYER, at_shifts, before_shift, counted, headings, islands, n_shifts, pairs, shifted, square
 from .state import Table
 
 RUN = (*PAIR, "run_start")
@@ -31,12 +31,17 @@ def dying(grid: DataFrame, rules: Rules) -> DataFrame:
     return rows.select(*PLAYER, "n", F.explode(span).alias("idx")).distinct()
 
 
-def around(runs: DataFrame, first, last, mine: DataFrame, others: DataFrame) -> DataFrame:
-    """The rows of i and of the shifted j of each run where both are present, from one step of the grid to another."""
-    steps = runs.withColumn("idx", F.explode(F.sequence(first, last)))
+def around(runs: DataFrame, first, last, mine: DataFrame) -> DataFrame:
+    """The rows of i and of the shifted j of each run where both are present, from one step of the grid to another. The few
+    steps of the runs are moved to where j was, and not the whole grid to each shift."""
+    steps = before_shift(runs.withColumn("idx", F.explode(F.sequence(first, last))))
     left = mine.select("server_id", "player_id", "idx", *[c for c in mine.columns if c not in (*PLAYER, "idx", "n")])
-    right = others.select("server_id", "shift", "idx", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j"))
-    return steps.join(left, ["server_id", "player_id", "idx"]).join(right, ["server_id", "shift", "player_id_j", "idx"])
+    return steps.join(left, ["server_id", "player_id", "idx"]).join(there(mine, "then", x="x_j", y="y_j"), ["server_id", "player_id_j", "then"])
+
+
+def there(grid: DataFrame, step: str, **names: str) -> DataFrame:
+    """Where j was at a step of another name, in columns of other names."""
+    return grid.select("server_id", F.col("player_id").alias("player_id_j"), F.col("idx").alias(step), *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True, known: bool = True, clans: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
@@ -50,13 +55,15 @@ def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True,
     rows = pairs(mine.filter("moving"), others).withColumn("_d", square())
     dot = (F.col("x_j") - F.col("x")) * F.col("dx") + (F.col("y_j") - F.col("y")) * F.col("dy")
     straight = (F.col("_d") > 0) & (dot >= rules.aligned_cos * F.sqrt(F.col("_d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))
-    aligned = rows.filter(straight).select(*PAIR, "idx", "_d", "aware", "n").join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti")
+    aligned = rows.filter(straight).select(*PAIR, "idx", "_d", "aware", "n")
     runs = islands(aligned, PAIR, rules.steps(rules.bridge_s), (F.min_by("_d", "idx").alias("d0"), F.min_by("aware", "idx").alias("aware0"), F.max("n").alias("n")))
     far = (F.col("d0") > F.col("aware0") * F.col("aware0")) & (F.col("d0") <= rules.max_start_m**2)
     runs = counted(runs.filter(far & (F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.aligned_min_s))), since, "run_start")
+    # pairs in company have no runs at all, so they go when the rows are runs
+    runs = runs.join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti")
     place = mine.select(*PLACE, "aware")
     tail = rules.steps(rules.arrive_grace_s)
-    span = around(runs, F.col("run_start"), F.least(F.col("run_end") + tail, F.col("n") - 1), place, others).withColumn("_d", square())
+    span = around(runs, F.col("run_start"), F.least(F.col("run_end") + tail, F.col("n") - 1), place).withColumn("_d", square())
     kept = ("run_end", "d0", "n")
     reach = span.groupBy(*RUN, *kept).agg(
         F.count_if((F.col("idx") <= F.col("run_end")) & (F.col("_d") > F.col("aware") * F.col("aware"))).alias("_far"),
@@ -65,16 +72,16 @@ def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True,
     # each narrowing reads its runs twice, so they are written in between and not worked out anew
     found = Table(reach.filter(F.col("arrival").isNotNull() & (F.col("_far") >= rules.steps(rules.aligned_min_s))).drop("_far")).df
     back = F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.near_s))
-    near = around(found, back, F.col("run_start"), place, others).filter(square() <= F.col("aware") * F.col("aware")).select(*RUN).distinct()
+    near = around(found, back, F.col("run_start"), place).filter(square() <= F.col("aware") * F.col("aware")).select(*RUN).distinct()
     found = Table(found.join(near, [*RUN], "left_anti")).df
     if known:
         found = found.join(shared(found, grid, assoc, rules, clans), [*RUN], "left_anti")
     found = found.join(on_the_way(found, mine, rules), [*RUN], "left_anti")
     found = Table(found).df
-    found = found.join(approached(found, mine, others, rules), [*RUN], "left_anti")
+    found = found.join(approached(found, mine, rules), [*RUN], "left_anti")
     if known:
         found = Table(found).df
-        found = found.join(reunions(found, grid, place, others, rules), [*RUN], "left_anti")
+        found = found.join(reunions(found, grid, place, rules), [*RUN], "left_anti")
     return found.select(*RUN, "arrival", F.sqrt("d0").alias("distance"))
 
 
@@ -88,24 +95,22 @@ def on_the_way(found: DataFrame, mine: DataFrame, rules: Rules) -> DataFrame:
     return rows.filter((norm > 0) & (F.col("dx") * tx + F.col("dy") * ty >= rules.aligned_cos * F.sqrt(norm))).select(*RUN)
 
 
-def approached(found: DataFrame, mine: DataFrame, others: DataFrame, rules: Rules) -> DataFrame:
+def approached(found: DataFrame, mine: DataFrame, rules: Rules) -> DataFrame:
     """Runs whose target came to the player for more than max_approach of the distance."""
     here = mine.select("server_id", "player_id", F.col("idx").alias("run_start"), "x", "y")
-    them = others.select("server_id", "shift", F.col("player_id").alias("player_id_j"), F.col("idx").alias("run_start"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    later = others.select("server_id", "shift", F.col("player_id").alias("player_id_j"), F.col("idx").alias("arrival"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    keys = ["server_id", "shift", "player_id_j"]
-    rows = found.join(here, ["server_id", "player_id", "run_start"]).join(them, [*keys, "run_start"]).join(later, [*keys, "arrival"])
+    rows = before_shift(before_shift(found, "run_start", "_a"), "arrival", "_b").join(here, ["server_id", "player_id", "run_start"])
+    rows = rows.join(there(mine, "_a", x="ax", y="ay"), ["server_id", "player_id_j", "_a"]).join(there(mine, "_b", x="bx", y="by"), ["server_id", "player_id_j", "_b"])
     came = (F.col("bx") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("y") - F.col("ay"))
     return rows.filter(came > rules.max_approach * F.col("d0")).select(*RUN)
 
 
-def reunions(found: DataFrame, grid: DataFrame, place: DataFrame, others: DataFrame, rules: Rules) -> DataFrame:
+def reunions(found: DataFrame, grid: DataFrame, place: DataFrame, rules: Rules) -> DataFrame:
     """Runs after whose arrival the two stay together in peace. Under a shift both deaths are the shifted ones."""
-    after = around(found, F.col("arrival"), F.least(F.col("arrival") + rules.steps(rules.reunion_s), F.col("n") - 1), place, others)
-    after = after.filter(square() <= rules.meet_radius_m**2).select(*RUN, "idx")
-    dead = shifted(dying(grid, rules), rules).select("server_id", "shift", "player_id", "idx")
-    after = after.join(dead, ["server_id", "shift", "player_id", "idx"], "left_anti")
-    after = after.join(dead.withColumnRenamed("player_id", "player_id_j"), ["server_id", "shift", "player_id_j", "idx"], "left_anti")
+    after = around(found, F.col("arrival"), F.least(F.col("arrival") + rules.steps(rules.reunion_s), F.col("n") - 1), place)
+    after = after.filter(square() <= rules.meet_radius_m**2).select(*RUN, "idx", "then")
+    dead = dying(grid, rules).select("server_id", "player_id", F.col("idx").alias("then"))
+    after = after.join(dead, ["server_id", "player_id", "then"], "left_anti")
+    after = after.join(dead.withColumnRenamed("player_id", "player_id_j"), ["server_id", "player_id_j", "then"], "left_anti")
     peace = islands(after.withColumnRenamed("run_start", "_s"), (*PAIR, "_s"))
     return peace.filter(F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.meet_min_s)).select(*PAIR, F.col("_s").alias("run_start")).distinct()
 
@@ -171,14 +176,14 @@ def tips(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | Non
     last = excluded.groupBy(*PLAYER, "m").agg(F.max("ord").alias("last"))
     back = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.shared_s)), F.col("run_start"))
     times = own.select(*PLAYER, "player_id_j", "ord", F.explode(back).alias("idx"))
-    target = grid.select("server_id", "idx", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j"))
-    times = times.join(target, ["server_id", "player_id_j", "idx"])
-    others = shifted(grid.select(*PLACE, "n"), rules).select("server_id", "shift", "idx", F.col("player_id").alias("m"), "x", "y", "n")
+    times = at_shifts(times.join(there(grid, "idx", x="x_j", y="y_j", n="n"), ["server_id", "player_id_j", "idx"]), rules)
+    others = grid.select("server_id", F.col("idx").alias("then"), F.col("player_id").alias("m"), "x", "y")
+    seen = times.join(others, ["server_id", "then"]).filter((F.col("m") != F.col("player_id")) & (F.col("m") != F.col("player_id_j")) & (square() > rules.meet_radius_m**2))
     # a shifted spotter keeps the awareness of the real time, and none while absent then
     range_ = grid.select("server_id", "idx", F.col("player_id").alias("m"), "aware")
-    seen = times.join(others, ["server_id", "idx"]).filter((F.col("m") != F.col("player_id")) & (F.col("m") != F.col("player_id_j"))).join(range_, ["server_id", "idx", "m"], "left")
+    seen = seen.join(range_, ["server_id", "idx", "m"], "left")
     reach = F.coalesce(F.col("aware"), F.lit(rules.awareness_m))
-    seen = seen.filter((square() <= reach * reach) & (square() > rules.meet_radius_m**2))
+    seen = seen.filter(square() <= reach * reach)
     hits = seen.select(*PLAYER, "ord", "m", "shift", "n").distinct().join(last, [*PLAYER, "m"], "left").filter(F.col("ord") > F.coalesce("last", F.lit(0)))
     share = F.when(F.col("shift") > 0, 1.0 / F.greatest(F.lit(1.0), n_shifts(F.col("n"), rules).cast("double"))).otherwise(0.0)
     pair = (F.least("player_id", "m").alias("player_a"), F.greatest("player_id", "m").alias("player_b"))
