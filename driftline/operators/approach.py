@@ -13,24 +13,13 @@ from pyspark.sql import Window as W
 from ..functions.scalars import count_z, noisy_or, ramp
 from ..rules import Rules
 from .evidence import PAIR
-from .grid import PLAYER, at_shifts, before_shift, counted, headings, islands, n_shifts, pairs, shifted, square
+from .grid import PLAYER, at_shifts, before_shift, counted, dying, headings, islands, n_shifts, pairs, shifted, square
 from .state import Table
 
 RUN = (*PAIR, "run_start")
 PLACE = ("server_id", "idx", "player_id", "x", "y")
 
 
-def dying(grid: DataFrame, rules: Rules) -> DataFrame:
-    """(server_id, player_id, idx, n): every step, present or not, from which the player dies within fight_grace_s."""
-    order = W.partitionBy(*PLAYER).orderBy("idx")
-    nxt = [F.lead(c).over(order) for c in ("idx", "x", "y")]
-    way = (nxt[1] - F.col("x")) * (nxt[1] - F.col("x")) + (nxt[2] - F.col("y")) * (nxt[2] - F.col("y"))
-    event = F.when(F.coalesce(nxt[0] == F.col("idx") + 1, F.lit(False)), way > rules.respawn_m**2).otherwise(F.col("idx") < F.col("n") - 1)
-    rows = grid.withColumn("_event", event).filter("_event")
-    span = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("idx") - rules.steps(rules.fight_grace_s)), F.col("idx"))
-    return rows.select(*PLAYER, "n", F.explode(span).alias("idx")).distinct()
-
-
 def around(runs: DataFrame, first, last, mine: DataFrame) -> DataFrame:
     """The rows of i and of the shifted j of each run where both are present, from one step of the grid to another. The few
     steps of the runs are moved to where j was, and not the whole grid to each shift."""
