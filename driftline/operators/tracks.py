@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..rules import Rules
-from .grid import PLAYER, by_step, close, pairs, square
+from .grid import PLAYER, by_step, pairs, square
 from .state import Table
 
 
@@ -32,13 +32,19 @@ def last_heading(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"h{c}": F.last_value(F.when(F.col("moving"), F.col(f"d{c}")), F.lit(True)).over(order) for c in "xy"})
 
 
-def nearest_slots(grid: DataFrame, n: int, radius: float) -> DataFrame:
+def nearest_slots(steps: DataFrame, n: int, radius: float) -> DataFrame:
     """(server_id, player_id, idx, slot, player_id_j, distance2): the n nearest others within the radius at each step."""
-    place = grid.select("server_id", "idx", "player_id", "x", "y")
-    near = close(place, place, radius).withColumn("distance2", square())
-    order = W.partitionBy(*PLAYER, "idx").orderBy("distance2", "player_id_j")
-    rows = near.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= n)
-    return rows.select("server_id", "player_id", "idx", "slot", "player_id_j", "distance2")
+    way = lambda a, b, c: b[c] - a[c]
+    square_ = lambda a, b: way(a, b, "x") * way(a, b, "x") + way(a, b, "y") * way(a, b, "y")
+
+    def nearest(me: Column) -> Column:
+        near = F.filter("all", lambda p: (p["player_id"] != me["player_id"]) & (square_(me, p) <= radius * radius))
+        return F.slice(F.array_sort(F.transform(near, lambda p: F.struct(square_(me, p).alias("distance2"), p["player_id"].alias("player_id_j")))), 1, n)
+
+    each = F.transform("all", lambda me: F.struct(me["player_id"].alias("player_id"), nearest(me).alias("near")))
+    rows = by_step(steps, "x", "y").select("server_id", "idx", F.inline(each)).filter(F.size("near") > 0)
+    rows = rows.select("server_id", "player_id", "idx", F.posexplode("near").alias("slot", "near"))
+    return rows.select("server_id", "player_id", "idx", (F.col("slot") + 1).alias("slot"), "near.player_id_j", "near.distance2")
 
 
 def neighbourhood(grid: DataFrame, margin: float, reach: float) -> DataFrame:
