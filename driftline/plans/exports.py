@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import approach as A
-from ..operators import evidence as E
-from ..operators.state import shared_folder
-from ..queries import EXPORT_KEY, SQL, company, grid, query, samples
+from ..operators.grid import spans
+from ..operators.state import Table, shared_folder
+from ..queries import EXPORT_KEY, SQL, query, samples, spawns
 from ..rules import EVENT_RULES as R
 from ..sources import events as S
 from ..sources import export as X
@@ -43,8 +43,8 @@ def s5_positions_range(spark, sf_dir):
 @query(SQL["x6_contact_scores"])
 def a24_contact_from_windows(spark, sf_dir):
     """Contact scores from episodes counted by window (here: the halves of each server's time), then added up."""
-    g = grid(spark, sf_dir)
-    spawns = E.spawn_episodes(g, company(g), R).join(g.select("server_id", F.expr("n div 2").alias("half")).distinct(), "server_id")
-    first, second = (A.spawn_counts(spawns.filter(c)) for c in ("idx < half", "idx >= half"))
+    halves = spans(samples(spark, sf_dir), R).select("server_id", F.expr("n div 2").alias("half"))
+    found = Table(spawns(spark, sf_dir).join(halves, "server_id")).df
+    first, second = (A.spawn_counts(found.filter(c)) for c in ("idx < half", "idx >= half"))
     rows = A.contact_scores(A.spawn_counts(first.unionByName(second)), R)
     return rows.select("player_id", "episodes", "contacts", F.round("mean_rank", 8).alias("mean_rank"), F.round("z", 6).alias("z"), F.round("score", 6).alias("score"))
