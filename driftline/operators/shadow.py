@@ -30,12 +30,12 @@ WINDOW = "org_id string, start double, end double"
 
 def window_stats(pair: Pair, store: Store, positions: DataFrame, windows: DataFrame, rules: Rules, context_s: float, horizon_s: float) -> DataFrame:
     """(org_id, player_id, the additive statistics) of one window of each org, under the clans of the horizon up to its end."""
-    grid, since = window_grid(positions, windows, rules, context_s)
+    grid, since, tracks = window_grid(positions, windows, rules, context_s)
     ends = windows.select("org_id", "end")
     known = store.read("pairs").join(ends, "org_id").filter((F.col("window_end") > F.col("end") - horizon_s) & (F.col("window_end") <= F.col("end")))
     known = known.select(*[qualified(F.col("org_id"), F.col(c)).alias(c) for c in ("player_a", "player_b")], *V.PAIR_COUNTS)
     clans = A.clans(A.clan_links(V.added(known), rules))
-    friends = E.associates(grid, rules).unionByName(V.clanmates(grid, clans)).distinct()
+    friends = E.associates(grid, rules, E.near(grid, rules, tracks)).unionByName(V.clanmates(grid, clans)).distinct()
     gains = pair.terms(build_samples(grid, friends, rules, pair.spec, clans, since))
     stats = L.summed(L.statistics(gains, ["player_id", "server_id"], ["idx"]), ["player_id"])
     return stats.withColumn("org_id", org_of("player_id")).withColumn("player_id", bare("player_id"))

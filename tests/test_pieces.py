@@ -3,10 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import evidence as E
 from driftline.operators import grid as G
+from driftline.operators import job as J
 from driftline.operators import tracks as T
+from driftline.operators import window as V
 from driftline.rules import Rules
 
 RULES = Rules(null_shifts_s=(100.0, 200.0), meet_min_s=20.0, associate_min_s=50.0, meet_radius_m=200.0, apart_m=260.0, fight_grace_s=10.0)
@@ -58,3 +61,12 @@ def test_nothing_as_long_as_the_grid_is_shuffled_for_neighbours(spark, samples):
             assert "Exchange" not in plan.split("Generate explode(sequence")[0]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_windows_find_meetings_from_pieces(spark, samples, monkeypatch):
+    windows = spark.createDataFrame([("o", 500.0, 1500.0)], "org_id string, start double, end double")
+    grid, since, pieces = J.window_grid(samples.withColumn("org_id", F.lit("o")), windows, RULES, 500.0)
+    assoc = E.associates(grid, RULES)
+    want = rows(V.pair_evidence(grid, assoc, RULES, since))
+    monkeypatch.setattr(E, "of_grid", None)
+    assert any(r[2] for r in want) and rows(V.extract(grid, RULES, since, tracks=pieces).pairs) == want
