@@ -97,19 +97,27 @@ def save_windows(store: Store, windows: list, work: Callable[[list], dict[str, D
     return [w for done, _ in parts for w in done], [w for _, failed in parts for w in failed]
 
 
-def run_scoring(store: Store, positions: DataFrame, rules: Rules, now: float, lag_s: float = 300.0, window_s: float = 7200.0, context_s: float = 1800.0, horizon_s: float = 7 * 86_400.0, most: int = 12, suppress_s: float = 30 * 86_400.0, evidence: Callable = window_evidence) -> DataFrame:
+def whole(failed: list) -> None:
+    """Ends what is no result without the windows that failed; why they did is in the log."""
+    if failed:
+        names = ", ".join(sorted(f"{r['org_id']} to {r['end']}" for r in failed))
+        raise RuntimeError(f"{len(failed)} windows failed: {names}")
+
+
+def run_scoring(store: Store, positions: DataFrame, rules: Rules, now: float, lag_s: float = 300.0, window_s: float = 7200.0, context_s: float = 1800.0, horizon_s: float = 7 * 86_400.0, most: int = 12, suppress_s: float = 30 * 86_400.0, evidence: Callable = window_evidence, strict: bool = False) -> DataFrame:
     """(org_id, windows, scored, new_flags): saves the windows that are due, then scores and flags who was in them.
 
     The k-th windows of all orgs go together, in one pass and one commit, and an org's next follows the one before. A run
     that dies leaves whole windows; the next one goes on from there, and scores also what was saved and not yet scored.
     The list of windows due, at most `most` an org, is all that comes to the driver. One run at a time writes to a store.
+    A `strict` run whose windows did not all come out ends with an error once what did is saved.
     """
     first = positions.groupBy("org_id").agg(F.min("t").cast("double").alias("first"))
     progress = first.join(store.progress("window-"), "org_id", "left").select("org_id", F.coalesce("until", "first").alias("start"))
     due: dict[str, list] = {}
     for r in V.pending_windows(progress, rules, now, lag_s, window_s, most).orderBy("org_id", "end").collect():
         due.setdefault(r["org_id"], []).append(r)
-    spark, done = store.spark, []
+    spark, done, lost = store.spark, [], []
     schema = "org_id string, start double, end double"
 
     def work(rows: list) -> dict[str, DataFrame]:
@@ -118,10 +126,12 @@ def run_scoring(store: Store, positions: DataFrame, rules: Rules, now: float, la
 
     while turn := [rows.pop(0) for rows in due.values() if rows]:
         saved, failed = save_windows(store, turn, work)
-        done += saved
+        done, lost = done + saved, lost + failed
         for r in failed:
             due[r["org_id"]].clear()
     scored, new = score_and_flag(store, rules, now, horizon_s, suppress_s)
+    if strict:
+        whole(lost)
     windows = spark.createDataFrame([(r["org_id"],) for r in done], "org_id string")
     return V.run_summary(windows, scored, new)
 
@@ -140,6 +150,7 @@ def evaluate(store: Store, positions: DataFrame, rules: Rules, window_s: float =
 
     Window after window is saved, all orgs together, each with the clans of all before it; the first window's evidence
     scores alone, then the sum of all. teams are true pairs (org_id, player_a, player_b); clans come from all pairs.
+    A window that fails ends it: scores of the others would look like those of all.
     """
     spans_ = positions.groupBy("org_id").agg(F.min("t").cast("double").alias("start"), F.max("t").cast("double").alias("end")).collect()
     due = [[{"org_id": r["org_id"], "start": r["start"] + k * window_s, "end": r["start"] + (k + 1) * window_s} for k in range(int((r["end"] - r["start"] + 1) // window_s))] for r in spans_]
@@ -151,7 +162,7 @@ def evaluate(store: Store, positions: DataFrame, rules: Rules, window_s: float =
         return evidence(positions, windows, store, rules, context_s, everything)
 
     while turn := [rows.pop(0) for rows in due if rows]:
-        save_windows(store, turn, work)
+        whole(save_windows(store, turn, work)[1])
     early = spark.createDataFrame(list(firsts.items()), "org_id string, window_end double")
     out = None
     for part in ("first", "accumulated"):

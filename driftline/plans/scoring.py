@@ -44,7 +44,7 @@ def x30_run(spark, sf_dir):
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", J.SCHEMAS)
     store.scratch()
     now = rows.agg(F.max("t")).first()[0]
-    return J.run_scoring(store, rows, R, float(now or 0), lag_s=60.0, window_s=3000.0)
+    return J.run_scoring(store, rows, R, float(now or 0), lag_s=60.0, window_s=3000.0, strict=True)
 
 
 @query()

@@ -146,3 +146,12 @@ def test_evaluation_folds_windows(spark, tmp_path, positions):
     got = {(r["org_id"], r["player_id"], r["part"]): r["flagged"] for r in scores.collect()}
     assert got == {(o, p, part): p == "hot" and part == "accumulated" for o in "ac" for p in ("hot", "cold") for part in ("first", "accumulated")}
     assert tuple(quality.first())[:3] == (1, 2, 2)
+
+
+def test_a_window_that_fails_is_no_result(spark, tmp_path, positions):
+    with pytest.raises(RuntimeError, match="bad to 200.0"):
+        J.evaluate(Store(spark, str(tmp_path / "s"), J.SCHEMAS), positions, RULES, 100.0, 0.0, evidence=cheap)
+    store = Store(spark, str(tmp_path / "r"), J.SCHEMAS)
+    with pytest.raises(RuntimeError, match="1 windows failed: bad to 200.0"):
+        run(store, positions, 250.0, strict=True)
+    assert {r["org_id"]: r["until"] for r in store.progress("scores-").collect()} == {"a": 200.0, "bad": 100.0, "c": 200.0}
