@@ -1,134 +1,158 @@
 """Beelines: heading straight for someone out of range, and arriving; tips, clans and scores built on them.
 
-Episodes are narrowed step by step: aligned rows become runs, runs that can't count go, and only for those left are the
-rows around them looked up again, each time by equal keys. So what a step reads falls with each rule.
+Episodes are narrowed step by step: aligned steps become runs in the task where the pieces of two tracks meet, runs that
+can't count go, and only for those left are the pieces around them looked up again, by player and block of steps. So it is
+pieces and runs that are shuffled, and not the steps of pairs or of the grid.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import count_z, noisy_or, ramp
 from ..rules import Rules
-from .evidence import PAIR
-from .grid import PLAYER, at_shifts, before_shift, counted, dying, headings, islands, n_shifts, pairs, shifted, square
+from ..sources.events import AWARENESS, AWARENESS_DEFAULT, awareness
+from . import heading as H
+from .evidence import PAIR, steps_from
+from .grid import PLAYER, Pieces, _at, at_each_shift, before_shift, counted, falls, headings, is_moving, islands, joined, n_shifts, of_grid, square, way_ahead, who_dies
 from .state import Table
 
 RUN = (*PAIR, "run_start")
-PLACE = ("server_id", "idx", "player_id", "x", "y")
 
 
-def around(runs: DataFrame, first, last, mine: DataFrame) -> DataFrame:
-    """The rows of i and of the shifted j of each run where both are present, from one step of the grid to another. The few
-    steps of the runs are moved to where j was, and not the whole grid to each shift."""
-    steps = before_shift(runs.withColumn("idx", F.explode(F.sequence(first, last))))
-    left = mine.select("server_id", "player_id", "idx", *[c for c in mine.columns if c not in (*PLAYER, "idx", "n")])
-    return steps.join(left, ["server_id", "player_id", "idx"]).join(there(mine, "then", x="x_j", y="y_j"), ["server_id", "player_id_j", "then"])
+def around(runs: DataFrame, first, last, tracks: Pieces) -> DataFrame:
+    """Where i and the shifted j of each run are at the steps at which both are present, from one step of the grid to another,
+    with the step (then) of j before the shift."""
+    rows = tracks.of(runs.withColumns({"_lo": first, "_hi": last}), "player_id")
+    rows = rows.withColumn("_off", F.explode(F.array("shift", F.col("shift") - F.col("n"))))
+    rows = tracks.of(rows, "player_id_j", "_j", F.col("_off")).withColumn("idx", F.explode(F.sequence("_lo", "_hi")))
+    places = [_at(c, F.col("idx"), tracks.rules, end).alias(f"{c}{end}") for end in ("", "_j") for c in "xy"]
+    return rows.select(*runs.columns, "idx", (F.col("idx") - F.col("off_j")).alias("then"), awareness(F.col("dino_class")).alias("aware"), *places)
+
 
+def straight(dx, dy, d, rx, ry, rules: Rules):
+    """Whether a way (dx, dy) heads for who is (rx, ry) away."""
+    return (d > 0) & (rx * dx + ry * dy >= rules.aligned_cos * F.sqrt(d * (dx * dx + dy * dy)))
 
-def there(grid: DataFrame, step: str, **names: str) -> DataFrame:
-    """Where j was at a step of another name, in columns of other names."""
-    return grid.select("server_id", F.col("player_id").alias("player_id_j"), F.col("idx").alias(step), *[F.col(c).alias(n) for c, n in names.items()])
+
+def runs_of(tracks: Pieces, rules: Rules, null: bool = True) -> DataFrame:
+    """(PAIR, run_start, run_end, d0, aware0, n, arrival, whole): runs in which i moves and heads for j, that begin out of range
+    and last. They are made in blocks of steps: what is `whole` within its block has arrived, of the others that is open.
+    Only those, as parts, are shuffled by pair.
+    """
+    tracks = replace(tracks, block=H.BLOCK)
+    aware = awareness(F.col("dino_class")).alias("aware")
+    keys, own = ("server_id", "_block"), ("player_id", "n", "t0", "t", "x", "y", "vx", "vy", "a", "b", "off")
+    movers = tracks.dealt(tracks.headed(), boxes=False).select(*keys, *own, *[f"{c}_h" for c in ("t", "x", "y", "vx", "vy")])
+    everyone = tracks.dealt(tracks.everywhen(null), boxes=False).select(*keys, *own, "shift", aware)
+    runs = Table(movers.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(H.block_runs(rules, tracks.block), H.SCHEMA)).df
+    firsts = tuple(F.min_by(c, "run_start").alias(c) for c in ("d0", "aware0"))
+    parts = joined(runs.filter("not whole"), PAIR, rules.steps(rules.bridge_s), (*firsts, F.max("n").alias("n")))
+    far = (F.col("d0") > F.col("aware0") * F.col("aware0")) & (F.col("d0") <= rules.max_start_m**2)
+    parts = parts.filter(far & (F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.aligned_min_s)))
+    return runs.filter("whole").unionByName(parts.withColumns({"arrival": F.lit(None).cast("long"), "whole": F.lit(False)}))
 
 
-def episodes(grid: DataFrame, assoc: DataFrame, rules: Rules, null: bool = True, known: bool = True, clans: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
+def episodes(grid: DataFrame | None, assoc: DataFrame, rules: Rules, null: bool = True, known: bool = True, clans: DataFrame | None = None, since: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
     """(server_id, shift, player_id, player_id_j, run_start, arrival, distance): unmerged episodes of i towards j.
 
-    Without `known`, what others knew and whether the two meet in peace don't matter (the display form).
+    Without `known`, what others knew and whether the two meet in peace don't matter (the display form). With the pieces of
+    the tracks the grid isn't read; else each of its steps is one.
     """
-    head = headings(grid, rules)
-    others = shifted(grid.select(*PLACE, "n"), rules, null=null)
-    mine = head.select(*PLACE, "aware", "dx", "dy", "moving", "n")
-    rows = pairs(mine.filter("moving"), others).withColumn("_d", square())
-    dot = (F.col("x_j") - F.col("x")) * F.col("dx") + (F.col("y_j") - F.col("y")) * F.col("dy")
-    straight = (F.col("_d") > 0) & (dot >= rules.aligned_cos * F.sqrt(F.col("_d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))
-    aligned = rows.filter(straight).select(*PAIR, "idx", "_d", "aware", "n")
-    runs = islands(aligned, PAIR, rules.steps(rules.bridge_s), (F.min_by("_d", "idx").alias("d0"), F.min_by("aware", "idx").alias("aware0"), F.max("n").alias("n")))
-    far = (F.col("d0") > F.col("aware0") * F.col("aware0")) & (F.col("d0") <= rules.max_start_m**2)
-    runs = counted(runs.filter(far & (F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.aligned_min_s))), since, "run_start")
+    tracks = of_grid(grid, rules).kept() if tracks is None else tracks
+    runs = counted(runs_of(tracks, rules, null), since, "run_start")
     # pairs in company have no runs at all, so they go when the rows are runs
-    runs = runs.join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti")
-    place = mine.select(*PLACE, "aware")
-    tail = rules.steps(rules.arrive_grace_s)
-    span = around(runs, F.col("run_start"), F.least(F.col("run_end") + tail, F.col("n") - 1), place).withColumn("_d", square())
     kept = ("run_end", "d0", "n")
+    runs = Table(runs.join(assoc, ["server_id", "player_id", "player_id_j"], "left_anti").select(*RUN, *kept, "arrival", "whole")).df
+    tail = rules.steps(rules.arrive_grace_s)
+    open_ = runs.filter("not whole").select(*RUN, *kept)
+    span = around(open_, F.col("run_start"), F.least(F.col("run_end") + tail, F.col("n") - 1), tracks).withColumn("_d", square())
     reach = span.groupBy(*RUN, *kept).agg(
         F.count_if((F.col("idx") <= F.col("run_end")) & (F.col("_d") > F.col("aware") * F.col("aware"))).alias("_far"),
         F.min(F.when(F.col("_d") <= rules.arrive_m**2, F.col("idx"))).alias("arrival"),
     )
+    reach = reach.filter(F.col("arrival").isNotNull() & (F.col("_far") >= rules.steps(rules.aligned_min_s))).drop("_far")
     # each narrowing reads its runs twice, so they are written in between and not worked out anew
-    found = Table(reach.filter(F.col("arrival").isNotNull() & (F.col("_far") >= rules.steps(rules.aligned_min_s))).drop("_far")).df
+    found = Table(runs.filter("whole").drop("whole").unionByName(reach)).df
     back = F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.near_s))
-    near = around(found, back, F.col("run_start"), place).filter(square() <= F.col("aware") * F.col("aware")).select(*RUN).distinct()
+    near = around(found, back, F.col("run_start"), tracks).filter(square() <= F.col("aware") * F.col("aware")).select(*RUN).distinct()
     found = Table(found.join(near, [*RUN], "left_anti")).df
     if known:
-        found = found.join(shared(found, grid, assoc, rules, clans), [*RUN], "left_anti")
-    found = found.join(on_the_way(found, mine, rules), [*RUN], "left_anti")
+        found = found.join(shared(found, tracks, assoc, rules, clans), [*RUN], "left_anti")
+    found = found.join(on_the_way(found, tracks, rules), [*RUN], "left_anti")
     found = Table(found).df
-    found = found.join(approached(found, mine, rules), [*RUN], "left_anti")
+    found = found.join(approached(found, tracks, rules), [*RUN], "left_anti")
     if known:
         found = Table(found).df
-        found = found.join(reunions(found, grid, place, rules), [*RUN], "left_anti")
+        found = found.join(reunions(found, tracks, rules), [*RUN], "left_anti")
     return found.select(*RUN, "arrival", F.sqrt("d0").alias("distance"))
 
 
-def on_the_way(found: DataFrame, mine: DataFrame, rules: Rules) -> DataFrame:
+def on_the_way(found: DataFrame, tracks: Pieces, rules: Rules) -> DataFrame:
     """Runs whose player was, turn_s before, moving and heading for where they are at the arrival."""
-    then = found.withColumn("idx", F.col("run_start") - rules.steps(rules.turn_s)).join(mine.filter("moving").select("server_id", "player_id", "idx", "x", "y", "dx", "dy"), ["server_id", "player_id", "idx"])
-    end = mine.select("server_id", "player_id", F.col("idx").alias("arrival"), F.col("x").alias("px"), F.col("y").alias("py"))
-    rows = then.join(end, ["server_id", "player_id", "arrival"])
+    at = F.col("run_start") - rules.steps(rules.turn_s)
+    rows = tracks.of(found.withColumns({"_lo": at, "_hi": at}), "player_id", pieces=tracks.headed())
+    places = [_at(c, F.col("_lo"), rules).alias(c) for c in "xy"]
+    rows = rows.select(*RUN, "arrival", "n", *places, *[way_ahead(c, F.col("_lo"), rules).alias(f"d{c}") for c in "xy"])
+    rows = tracks.at(rows.filter(is_moving(F.col("dx"), F.col("dy"), rules)), "player_id", "arrival", x="px", y="py")
     tx, ty = F.col("px") - F.col("x"), F.col("py") - F.col("y")
     norm = (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) * (tx * tx + ty * ty)
     return rows.filter((norm > 0) & (F.col("dx") * tx + F.col("dy") * ty >= rules.aligned_cos * F.sqrt(norm))).select(*RUN)
 
 
-def approached(found: DataFrame, mine: DataFrame, rules: Rules) -> DataFrame:
+def approached(found: DataFrame, tracks: Pieces, rules: Rules) -> DataFrame:
     """Runs whose target came to the player for more than max_approach of the distance."""
-    here = mine.select("server_id", "player_id", F.col("idx").alias("run_start"), "x", "y")
-    rows = before_shift(before_shift(found, "run_start", "_a"), "arrival", "_b").join(here, ["server_id", "player_id", "run_start"])
-    rows = rows.join(there(mine, "_a", x="ax", y="ay"), ["server_id", "player_id_j", "_a"]).join(there(mine, "_b", x="bx", y="by"), ["server_id", "player_id_j", "_b"])
+    rows = tracks.at(found, "player_id", "run_start", x="x", y="y")
+    rows = before_shift(before_shift(rows, "run_start", "_a"), "arrival", "_b")
+    rows = tracks.at(tracks.at(rows, "player_id_j", "_a", x="ax", y="ay"), "player_id_j", "_b", x="bx", y="by")
     came = (F.col("bx") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("y") - F.col("ay"))
     return rows.filter(came > rules.max_approach * F.col("d0")).select(*RUN)
 
 
-def reunions(found: DataFrame, grid: DataFrame, place: DataFrame, rules: Rules) -> DataFrame:
+def reunions(found: DataFrame, tracks: Pieces, rules: Rules) -> DataFrame:
     """Runs after whose arrival the two stay together in peace. Under a shift both deaths are the shifted ones."""
-    after = around(found, F.col("arrival"), F.least(F.col("arrival") + rules.steps(rules.reunion_s), F.col("n") - 1), place)
-    after = after.filter(square() <= rules.meet_radius_m**2).select(*RUN, "idx", "then")
-    dead = dying(grid, rules).select("server_id", "player_id", F.col("idx").alias("then"))
-    after = after.join(dead, ["server_id", "player_id", "then"], "left_anti")
-    after = after.join(dead.withColumnRenamed("player_id", "player_id_j"), ["server_id", "player_id_j", "then"], "left_anti")
+    after = around(found, F.col("arrival"), F.least(F.col("arrival") + rules.steps(rules.reunion_s), F.col("n") - 1), tracks)
+    after = Table(after.filter(square() <= rules.meet_radius_m**2).select(*RUN, "idx", "then")).df
+    fallen = falls(tracks.steps(), rules)
+    for who in ("player_id", "player_id_j"):
+        key = ["server_id", who, "then"]
+        after = after.join(who_dies(after, fallen, rules, who, "then", key), key, "left_anti")
     peace = islands(after.withColumnRenamed("run_start", "_s"), (*PAIR, "_s"))
     return peace.filter(F.col("run_end") - F.col("run_start") + 1 >= rules.steps(rules.meet_min_s)).select(*PAIR, F.col("_s").alias("run_start")).distinct()
 
 
-def shared(found: DataFrame, grid: DataFrame, assoc: DataFrame, rules: Rules, clans: DataFrame | None = None) -> DataFrame:
+def shared(found: DataFrame, tracks: Pieces, assoc: DataFrame, rules: Rules, clans: DataFrame | None = None) -> DataFrame:
     """Runs whose target someone else knew of within shared_s before: an independent spotter, or a clanmate of i.
 
     A spotter has the target in range, further than meet_radius_m, and isn't its company. A clanmate counts who has it
     in range or heads for it. The times are those before the shift, as what was known moves with its target.
     """
     at = F.pmod(F.col("run_start") - F.col("shift"), F.col("n"))
-    back = F.sequence(F.greatest(F.lit(0).cast("long"), at - rules.steps(rules.shared_s)), at)
-    times = found.select(*RUN, F.explode(back).alias("idx"))
-    target = grid.select("server_id", "idx", F.col("player_id").alias("player_id_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j"))
-    times = times.join(target, ["server_id", "player_id_j", "idx"])
-    head = headings(grid, rules).select("server_id", "idx", F.col("player_id").alias("m"), "x", "y", "aware", "dx", "dy", "moving")
-    seen = times.join(head, ["server_id", "idx"]).filter((F.col("m") != F.col("player_id")) & (F.col("m") != F.col("player_id_j"))).withColumn("_d", square())
-    company = assoc.select("server_id", F.col("player_id").alias("m"), "player_id_j", F.lit(True).alias("_with"))
-    sight = F.col("_d") <= F.col("aware") * F.col("aware")
+    times = found.withColumns({"_lo": F.greatest(F.lit(0).cast("long"), at - rules.steps(rules.shared_s)), "_hi": at})
+    times = tracks.of(times.select(*RUN, "n", "_lo", "_hi"), "player_id_j", "_j")
+
+    def beside(pieces: DataFrame | None) -> DataFrame:
+        rows = tracks.of(times, "", "_m", pieces=pieces).filter((F.col("player_id_m") != F.col("player_id")) & (F.col("player_id_m") != F.col("player_id_j")))
+        rows = rows.withColumn("idx", F.explode(F.sequence("_lo", "_hi")))
+        return rows.withColumns({f"r{c}": _at(c, F.col("idx"), rules, "_j") - _at(c, F.col("idx"), rules, "_m") for c in "xy"}).withColumn("_d", F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry"))
+
+    aware = awareness(F.col("dino_class_m"))
+    beyond = F.max(F.col("_d") > rules.meet_radius_m**2).alias("_beyond")
+    seen = beside(None).filter(F.col("_d") <= aware * aware).groupBy(*RUN, "player_id_m").agg(beyond)
+    company = assoc.select("server_id", F.col("player_id").alias("player_id_m"), "player_id_j")
+    spotted = seen.filter("_beyond").join(company, ["server_id", "player_id_m", "player_id_j"], "left_anti").select(*RUN)
     if clans is None:
-        seen = seen.filter(sight & (F.col("_d") > rules.meet_radius_m**2))
-        return seen.join(company, ["server_id", "m", "player_id_j"], "left_anti").select(*RUN).distinct()
-    dot = (F.col("x_j") - F.col("x")) * F.col("dx") + (F.col("y_j") - F.col("y")) * F.col("dy")
-    pursue = F.col("moving") & (F.col("_d") > 0) & (dot >= rules.aligned_cos * F.sqrt(F.col("_d") * (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))
-    seen = seen.withColumn("_sight", sight).withColumn("_pursue", pursue).filter("_sight or _pursue")
-    seen = seen.join(company, ["server_id", "m", "player_id_j"], "left")
-    seen = seen.join(clans.select("player_id", F.col("clan").alias("_mine")), "player_id", "left").join(clans.select(F.col("player_id").alias("m"), F.col("clan").alias("_theirs")), "m", "left")
-    spot = F.col("_sight") & (F.col("_d") > rules.meet_radius_m**2) & F.col("_with").isNull()
-    return seen.filter(spot | F.coalesce(F.col("_mine") == F.col("_theirs"), F.lit(False))).select(*RUN).distinct()
+        return spotted.distinct()
+    ahead = [way_ahead(c, F.col("idx"), rules, "_m") for c in "xy"]
+    heads = beside(tracks.headed()).filter(is_moving(*ahead, rules) & straight(*ahead, F.col("_d"), F.col("rx"), F.col("ry"), rules))
+    knew = seen.select(*RUN, "player_id_m").unionByName(heads.select(*RUN, "player_id_m")).distinct()
+    theirs = clans.select(F.col("player_id").alias("player_id_m"), "clan")
+    mates = knew.join(theirs, "player_id_m").join(clans.select("player_id", "clan"), ["player_id", "clan"])
+    return spotted.unionByName(mates.select(*RUN)).distinct()
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -141,38 +165,44 @@ def merged(found: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "_g").agg(F.min("run_start").alias("run_start"), F.max("arrival").alias("arrival"), F.min_by("player_id_j", first).alias("player_id_j"), F.min_by("distance", first).alias("distance")).drop("_g")
 
 
-def beelines(grid: DataFrame, found: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
+def beelines(grid: DataFrame | None, found: DataFrame, rules: Rules, since: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
     """(server_id, player_id, moving_s, episodes, null_episodes, start_sum_m) of every player in the steps that count."""
     count = merged(found).groupBy(*PLAYER).agg(F.count_if(F.col("shift") == 0).alias("episodes"), F.count_if(F.col("shift") > 0).alias("by_chance"), F.sum(F.when(F.col("shift") == 0, F.col("distance"))).alias("start_sum_m"))
-    moving = counted(headings(grid, rules), since).groupBy(*PLAYER).agg((F.count_if("moving") * F.lit(rules.step_s)).alias("moving_s"), F.max("n").alias("n"))
+    head = counted(headings(grid, rules), since) if tracks is None else headings(steps_from(tracks, since), rules)
+    moving = head.groupBy(*PLAYER).agg((F.count_if("moving") * F.lit(rules.step_s)).alias("moving_s"), F.max("n").alias("n"))
     rows = moving.withColumn("used", n_shifts(F.col("n"), rules)).join(count, [*PLAYER], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     null = zero("by_chance") / F.greatest(F.lit(1.0), F.col("used").cast("double"))
     return rows.select(*PLAYER, "moving_s", zero("episodes").cast("long").alias("episodes"), null.alias("null_episodes"), F.coalesce("start_sum_m", F.lit(0.0)).alias("start_sum_m"))
 
 
-def tips(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None) -> DataFrame:
+def tips(grid: DataFrame | None, assoc: DataFrame, rules: Rules, since: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
     """(player_a, player_b, tips, null_tips): approaches of one to a target that the other had spotted just before.
 
     An approach clears what its player had counted so far for the target and its company, so a tip counts only after
-    the last approach that excludes the tipper.
+    the last approach that excludes the tipper. With the pieces of the tracks the grid isn't read.
     """
-    own = merged(episodes(grid, assoc, rules, null=False, known=False, since=since)).drop("shift")
+    tracks = of_grid(grid, rules).kept() if tracks is None else tracks
+    own = merged(episodes(None, assoc, rules, null=False, known=False, since=since, tracks=tracks)).drop("shift")
     own = Table(own).df.withColumn("ord", F.row_number().over(W.partitionBy(*PLAYER).orderBy("run_start", "arrival", "player_id_j")))
     with_target = assoc.select("server_id", F.col("player_id").alias("player_id_j"), F.col("player_id_j").alias("m"))
     out = own.select(*PLAYER, "player_id_j", "ord")
     excluded = out.select(*PLAYER, "ord", F.col("player_id_j").alias("m")).unionByName(out.join(with_target, ["server_id", "player_id_j"]).select(*PLAYER, "ord", "m"))
     last = excluded.groupBy(*PLAYER, "m").agg(F.max("ord").alias("last"))
-    back = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.shared_s)), F.col("run_start"))
-    times = own.select(*PLAYER, "player_id_j", "ord", F.explode(back).alias("idx"))
-    times = at_shifts(times.join(there(grid, "idx", x="x_j", y="y_j", n="n"), ["server_id", "player_id_j", "idx"]), rules)
-    others = grid.select("server_id", F.col("idx").alias("then"), F.col("player_id").alias("m"), "x", "y")
-    seen = times.join(others, ["server_id", "then"]).filter((F.col("m") != F.col("player_id")) & (F.col("m") != F.col("player_id_j")) & (square() > rules.meet_radius_m**2))
+    back = F.greatest(F.lit(0).cast("long"), F.col("run_start") - rules.steps(rules.shared_s))
+    times = own.select(*PLAYER, "player_id_j", "ord", back.alias("_lo"), F.col("run_start").alias("_hi"))
+    times = tracks.of(times.join(tracks.rows.select("server_id", "n").distinct(), "server_id"), "player_id_j", "_j")
+    seen = tracks.of(at_each_shift(times, rules), "", "_m", F.col("_off"))
+    seen = seen.filter((F.col("player_id_m") != F.col("player_id")) & (F.col("player_id_m") != F.col("player_id_j"))).withColumn("idx", F.explode(F.sequence("_lo", "_hi")))
+    rx, ry = (_at(c, F.col("idx"), rules, "_j") - _at(c, F.col("idx"), rules, "_m") for c in "xy")
+    most = max(rules.awareness_m, AWARENESS_DEFAULT, *AWARENESS.values())
+    seen = seen.select(*PLAYER, "ord", F.col("player_id_m").alias("m"), "shift", "n", "idx", (rx * rx + ry * ry).alias("_d"))
+    seen = seen.filter((F.col("_d") > rules.meet_radius_m**2) & (F.col("_d") <= most * most)).withColumn("_block", F.expr(f"idx div {tracks.block}"))
     # a shifted spotter keeps the awareness of the real time, and none while absent then
-    range_ = grid.select("server_id", "idx", F.col("player_id").alias("m"), "aware")
-    seen = seen.join(range_, ["server_id", "idx", "m"], "left")
+    real = tracks.blocks().select(F.col("server_id").alias("_s"), F.col("player_id").alias("_p"), F.col("_block").alias("_k"), "a", "b", awareness(F.col("dino_class")).alias("aware"))
+    same = (F.col("server_id") == F.col("_s")) & (F.col("m") == F.col("_p")) & (F.col("_block") == F.col("_k")) & (F.col("idx") >= F.col("a")) & (F.col("idx") <= F.col("b"))
     reach = F.coalesce(F.col("aware"), F.lit(rules.awareness_m))
-    seen = seen.filter(square() <= reach * reach)
+    seen = seen.join(real, same, "left").filter(F.col("_d") <= reach * reach)
     hits = seen.select(*PLAYER, "ord", "m", "shift", "n").distinct().join(last, [*PLAYER, "m"], "left").filter(F.col("ord") > F.coalesce("last", F.lit(0)))
     share = F.when(F.col("shift") > 0, 1.0 / F.greatest(F.lit(1.0), n_shifts(F.col("n"), rules).cast("double"))).otherwise(0.0)
     pair = (F.least("player_id", "m").alias("player_a"), F.greatest("player_id", "m").alias("player_b"))

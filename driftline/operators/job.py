@@ -48,14 +48,19 @@ def bare(name: str) -> Column:
     return F.substr(F.col(name), F.length(org_of(name)) + 2)
 
 
-def window_grid(positions: DataFrame, windows: DataFrame, rules: Rules, context_s: float) -> tuple[DataFrame, DataFrame, Pieces]:
-    """The grid of one window of each org in `windows` (org_id, start, end) with the time before it, the step of each
-    server from which it counts, and the pieces of the tracks. Servers and players are qualified by their org."""
+def window_tracks(positions: DataFrame, windows: DataFrame, rules: Rules, context_s: float) -> tuple[Pieces, DataFrame]:
+    """The pieces of the tracks in one window of each org in `windows` (org_id, start, end) with the time before it, and the
+    step of each server from which it counts. Servers and players are qualified by their org."""
     rows = positions.join(windows, "org_id").filter((F.col("t") >= F.col("start") - context_s) & (F.col("t") < F.col("end")))
     rows = Table(rows.select(qualified(F.col("org_id"), F.col("server_id")).alias("server_id"), qualified(F.col("org_id"), F.col("player_id")).alias("player_id"), "t", "x", "y", "dino_class", "start")).df
     starts = rows.select("server_id", "start").distinct()
     since = spans(rows, rules).join(starts, "server_id").select("server_id", F.ceil((F.col("start") - F.col("t0")) / F.lit(rules.step_s)).cast("long").alias("count_from"))
-    tracks = pieces(rows.drop("start"), rules).kept()
+    return pieces(rows.drop("start"), rules).kept(), Table(since).df
+
+
+def window_grid(positions: DataFrame, windows: DataFrame, rules: Rules, context_s: float) -> tuple[DataFrame, DataFrame, Pieces]:
+    """As window_tracks, with the grid before the others."""
+    tracks, since = window_tracks(positions, windows, rules, context_s)
     return Table(headings(tracks.steps(), rules)).df, since, tracks
 
 
@@ -65,10 +70,10 @@ def window_evidence(positions: DataFrame, windows: DataFrame, store: Store, rule
     Positions are (org_id, server_id, player_id, t, x, y, dino_class), in metres. The time before a window is context;
     the clans in force come from the pairs of the horizon before.
     """
-    grid, since, tracks = window_grid(positions, windows, rules, context_s)
+    tracks, since = window_tracks(positions, windows, rules, context_s)
     prior = store.read("pairs").join(windows.select("org_id", "end"), "org_id").filter(F.col("window_end") > F.col("end") - horizon_s)
     prior = prior.select(*[qualified(F.col("org_id"), F.col(c)).alias(c) for c in ("player_a", "player_b")], *V.PAIR_COUNTS)
-    ev = V.extract(grid, rules, since, prior, tracks)
+    ev = V.extract(None, rules, since, prior, tracks)
     ends = windows.select("org_id", F.col("end").alias("window_end"))
 
     def told(df: DataFrame, *names: str) -> DataFrame:

@@ -28,10 +28,10 @@ class Evidence:
     clans: DataFrame
 
 
-def pair_evidence(grid: DataFrame, assoc: DataFrame, rules: Rules, since: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
+def pair_evidence(grid: DataFrame | None, assoc: DataFrame, rules: Rules, since: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
     """(player_a, player_b, meets, null_meets, tips, null_tips), summed over servers."""
     met = E.meetups(grid, rules, since, tracks).select("player_a", "player_b", "meets", "null_meets", F.lit(0).cast("long").alias("tips"), F.lit(0.0).alias("null_tips"))
-    told = A.tips(grid, assoc, rules, since).select("player_a", "player_b", F.lit(0).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), F.col("tips").cast("long").alias("tips"), "null_tips")
+    told = A.tips(grid, assoc, rules, since, tracks).select("player_a", "player_b", F.lit(0).cast("long").alias("meets"), F.lit(0.0).alias("null_meets"), F.col("tips").cast("long").alias("tips"), "null_tips")
     return added(met, told)
 
 
@@ -50,31 +50,32 @@ def clanmates(grid: DataFrame, clans: DataFrame) -> DataFrame:
     return here.join(other, ["server_id", "clan"]).filter(F.col("player_id") != F.col("player_id_j")).drop("clan")
 
 
-def extract(grid: DataFrame, rules: Rules, since: DataFrame | None = None, prior_pairs: DataFrame | None = None, tracks: Pieces | None = None) -> Evidence:
+def extract(grid: DataFrame | None, rules: Rules, since: DataFrame | None = None, prior_pairs: DataFrame | None = None, tracks: Pieces | None = None) -> Evidence:
     """All evidence of one window, in stages: pairs first, clans from them and the horizon's, then what players do.
 
     Companions are no targets of either stage; clanmates aren't of the second, where what a clan knows is shared. The
     window's pairs are its own, without the prior ones. Each stage is written once, as the next reads it many times. With
-    the pieces of the tracks, company and meetings are found from them.
+    the pieces of the tracks everything is found from them, and the grid isn't read.
     """
+    there = grid if tracks is None else tracks.rows
     beside = E.near(grid, rules, tracks)
     assoc = Table(E.associates(grid, rules, beside)).df
     pairs = Table(pair_evidence(grid, assoc, rules, since, tracks)).df
     horizon = pairs if prior_pairs is None else added(pairs, prior_pairs.select(*pairs.columns))
     clans = A.clans(A.clan_links(horizon, rules))
-    never = Table(assoc.unionByName(clanmates(grid, clans)).distinct()).df
-    found = Table(A.episodes(grid, never, rules, clans=clans, since=since)).df
+    never = Table(assoc.unionByName(clanmates(there, clans)).distinct()).df
+    found = Table(A.episodes(grid, never, rules, clans=clans, since=since, tracks=tracks)).df
     return Evidence(
         pairs=pairs,
-        beeline=A.beelines(grid, found, rules, since),
-        ambush=E.ambushes(grid, never, rules, since),
-        spawns=E.spawn_episodes(grid, never, rules, since, beside),
-        players=counted(grid, since).select(*PLAYER).distinct(),
+        beeline=A.beelines(grid, found, rules, since, tracks),
+        ambush=E.ambushes(grid, never, rules, since, tracks),
+        spawns=E.spawn_episodes(grid, never, rules, since, beside, tracks),
+        players=counted(there, since, "idx" if tracks is None else "b").select(*PLAYER).distinct(),
         clans=clans,
     )
 
 
-def score_window(grid: DataFrame, rules: Rules, since: DataFrame | None = None, prior_pairs: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
+def score_window(grid: DataFrame | None, rules: Rules, since: DataFrame | None = None, prior_pairs: DataFrame | None = None, tracks: Pieces | None = None) -> DataFrame:
     """Scores of every player seen in one window, with the servers they were on, highest first."""
     ev = extract(grid, rules, since, prior_pairs, tracks)
     rows = A.scores(ev.beeline, A.contact_scores(ev.spawns, rules), ev.ambush, rules)

@@ -11,29 +11,29 @@ from ..operators import window as V
 from ..operators.relational import mode
 from ..operators.state import Table, shared_folder
 from ..operators.store import Store
-from ..queries import gridded, query, samples
+from ..queries import query, samples, tracks
 from ..rules import EVENT_RULES as R
 
 
 def midway(spark, sf_dir):
-    """Each server's grid, the step in its middle from which evidence counts, and the pieces of the tracks."""
-    g, pieces = gridded(spark, sf_dir)
-    return g, g.select("server_id", F.expr("n div 2").alias("count_from")).distinct(), pieces
+    """The pieces of the tracks, and the step in the middle of each server's grid from which evidence counts."""
+    pieces = tracks(spark, sf_dir).kept()
+    return pieces, pieces.rows.select("server_id", F.expr("n div 2").alias("count_from")).distinct()
 
 
 @query()
 def x11_extract_evidence(spark, sf_dir):
     """Evidence of the second half of each server's time, the first half being context, in stages."""
-    g, since, pieces = midway(spark, sf_dir)
-    ev = V.extract(g, R, since, tracks=pieces)
+    pieces, since = midway(spark, sf_dir)
+    ev = V.extract(None, R, since, tracks=pieces)
     keys = ["server_id", "player_id"]
     return ev.players.join(ev.beeline, keys, "left").join(ev.ambush, keys, "left").join(ev.clans, "player_id", "left")
 
 
 @query()
 def x28_score_window(spark, sf_dir):
-    g, since, pieces = midway(spark, sf_dir)
-    return V.score_window(g, R, since, tracks=pieces)
+    pieces, since = midway(spark, sf_dir)
+    return V.score_window(None, R, since, tracks=pieces)
 
 
 @query()
