@@ -1,6 +1,10 @@
 """Nearest approaches: near pairs settle in small cells, others go on to wider ones."""
 
+from driftline import queries as Q
+from driftline.operators import grid as G
+from driftline.operators import nearest as N
 from driftline.operators import tracks as T
+from driftline.rules import EVENT_RULES as R
 
 
 def test_pairs_of_a_settled_player_are_not_looked_for_further(spark):
@@ -12,3 +16,18 @@ def test_pairs_of_a_settled_player_are_not_looked_for_further(spark):
     assert {ours(r) for r in T.nearest_approach(rows, rows, 500.0, 1).collect()} == {("a", "b", 1.0), ("b", "a", 1.0), ("c", "b", 159201.0)}
     near = T._within(rows, rows, 500.0 / 2 ** (T.ROUNDS - 1), None).collect()
     assert {ours(r) for r in near} == {("a", "b", 1.0), ("b", "a", 1.0)}
+
+
+def test_pieces_of_tracks_come_as_near_as_their_points(spark, monkeypatch):
+    samples = Q.samples(spark, "/root/testdata/sf0.001").filter("player_id in ('u1', 'u2', 'u3', 'u4')")
+    grid = G.resample(samples, R)
+    content = lambda df: sorted(map(tuple, df.select("server_id", "player_id", "player_id_j", "distance2").collect()))
+    want = content(T.nearest_approach(grid, grid, 500.0, 2))
+    odd = [(0, 1, 5.0, float("nan"), "c"), (0, 2, float("inf"), 0.0, "c"), (0, 9, 5.0, 1.0, "c")]
+    more = samples.unionByName(spark.createDataFrame([("srv-0", "odd", *r[1:]) for r in odd], "server_id string, player_id string, t long, x double, y double, dino_class string"))
+    for block, at_once in ((N.BLOCK, N.AT_ONCE), (100, 50)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "AT_ONCE", at_once)
+        assert content(N.nearest_approach(G.pieces(samples, R), 500.0, 2)) == want and len(want) == 8
+    G_ = G.resample(more, R)
+    assert content(N.nearest_approach(G.pieces(more, R), 500.0, 9)) == content(T.nearest_approach(G_, G_, 500.0, 9))
